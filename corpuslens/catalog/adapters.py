@@ -6,6 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.operators.staging import spread_small
 from corpuslens.operators.topk import top_per_key
 from corpuslens.plans import ingest
 
@@ -16,6 +17,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
+    """A table whose rows are costly to work on."""
+    return spread_small(table(spark, sf_dir, name), key)
+
+
 def post_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(ord_raw, metrics)`` for every document: events are dealt out by number."""
     documents = table(spark, sf_dir, "documents")
@@ -81,7 +87,7 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw posts without comments or counters: a projection of the documents."""
-    return _post_columns(table(spark, sf_dir, "documents")).select(
+    return _post_columns(texts(spark, sf_dir, "documents", "doc_id")).select(
         "*",
         *[F.lit(0).cast("long").alias(c) for c in ("reactionCount", "shareCount", "commentCount")],
         F.lit(None).cast(
@@ -155,7 +161,7 @@ def money_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     seconds = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
     return _composed(
         spark,
-        table(spark, sf_dir, "orders").select(
+        texts(spark, sf_dir, "orders", "o_orderkey").select(
             key.alias("ord_raw"), seconds.alias("createdAt"), text.alias("text")
         ),
     )
@@ -174,7 +180,7 @@ def money_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("createdAt"), text.alias("text"),
         F.struct(F.lit("").alias("name")).alias("author"),
     )
-    cleaned = table(spark, sf_dir, "lineitem").select(
+    cleaned = texts(spark, sf_dir, "lineitem", "l_orderkey").select(
         F.col("l_orderkey").alias("ord_raw"), F.col("l_linenumber").cast("long").alias("idx"),
         ingest.comment_struct(raw, F.lit(""), F.col("l_linenumber")).alias("c"),
     )
@@ -195,7 +201,7 @@ def link_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     return _composed(
         spark,
-        table(spark, sf_dir, "pages").select(
+        texts(spark, sf_dir, "pages", "page_id").select(
             page.alias("ord_raw"),
             (F.lit(1640995200) + (page % 40) * 86400).cast("long").alias("createdAt"),
             text.alias("text"),

@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from corpuslens.catalog import adapters as ad
 from corpuslens.functions import text as tx
 from corpuslens.functions.patterns import fold_case
-from corpuslens.functions.entities import pattern_tags
+from corpuslens.functions.entities import pattern_tags, required_words
+from corpuslens.functions.keywords import keyword_counts, present
 from corpuslens.functions.urls import canonical_url, domain, extract_urls
 from corpuslens.lexicons import OWN_DOMAIN_PREFIXES, TOPICS
 from corpuslens.operators.ordering import thread_order
@@ -83,7 +84,7 @@ def cleaning_stats(spark: SparkSession, sf: str) -> DataFrame:
 def snippets(spark: SparkSession, sf: str) -> DataFrame:
     """The three snippet lengths in use, over whole documents."""
     text = F.col("text")
-    return ad.table(spark, sf, "documents").select(
+    return ad.texts(spark, sf, "documents", "doc_id").select(
         "doc_id", *[tx.snippet(text, n).alias(f"snippet_{n}") for n in (100, 200, 300)]
     )
 
@@ -169,7 +170,7 @@ def extract_links(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def canonical_links(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical form and domain of page addresses outside the forum's own site."""
-    pages = ad.table(spark, sf, "pages").select("page_id", canonical_url(F.col("url")).alias("url_canonical"))
+    pages = ad.texts(spark, sf, "pages", "page_id").select("page_id", canonical_url(F.col("url")).alias("url_canonical"))
     pages = pages.withColumn("domain", domain(F.col("url_canonical"))).where("domain <> ''")
     for prefix in OWN_DOMAIN_PREFIXES:
         pages = pages.where(~F.col("domain").startswith(prefix))
@@ -238,10 +239,11 @@ def marketing_candidates(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def pattern_join(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document and pattern found in it."""
-    texts = ad.table(spark, sf, "documents").select(
-        "doc_id", "text", fold_case(F.col("text")).alias("folded")
+    folded = fold_case(F.col("text"))
+    texts = ad.texts(spark, sf, "documents", "doc_id").select(
+        "doc_id", "text", present(keyword_counts(folded, required_words(TEST_MARKETING))).alias("words")
     )
-    tags = pattern_tags(F.col("text"), F.col("folded"), TEST_MARKETING)
+    tags = pattern_tags(F.col("text"), F.col("words"), TEST_MARKETING)
     return texts.select("doc_id", F.explode(tags).alias("pattern"))
 
 
@@ -303,7 +305,7 @@ def query_topics(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def word_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Whole-word counts of three words in every document, German and French included."""
-    lowered = ad.table(spark, sf, "documents").select("doc_id", F.lower("text").alias("low"))
+    lowered = ad.texts(spark, sf, "documents", "doc_id").select("doc_id", F.lower("text").alias("low"))
     return lowered.select(
         "doc_id", *[tx.word_count(F.col("low"), w).alias(f"n_{w}") for w in ("en", "the", "license")]
     )

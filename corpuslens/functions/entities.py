@@ -1,39 +1,59 @@
-"""Named resources in a text: credentials, course providers, software."""
+"""Named resources and marketing patterns in a text."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import find_all, found
+from corpuslens.functions.patterns import find_all, found, required_text
 from corpuslens.lexicons import MARKETING_PATTERNS, entity_families
 
 
+def required_words(patterns: list[str]) -> list[str]:
+    """What to look for before running the patterns, in lower case."""
+    return list(dict.fromkeys(required_text(p).lower() for p in patterns if required_text(p)))
+
+
+def _candidate(present: Column, pattern: str) -> Column:
+    """Whether the pattern's required text occurs; true if it has none."""
+    text = required_text(pattern).lower()
+    return F.array_contains(present, text) if text else F.lit(True)
+
+
 def entity_mentions(
     text: Column,
     uppered: Column,
-    folded: Column,
+    present: Column,
     families: list[tuple[str, list[str], bool]] | None = None,
 ) -> Column:
     """Array of ``(entity, category)``, by family, then pattern, then place in the text.
 
-    The entity is the match in upper case. ``uppered`` and ``folded`` are the
-    text in upper and in folded case, given as columns so that they are computed once.
+    The entity is the match in upper case. ``uppered`` is the text in upper case,
+    ``present`` the required words that occur in it; a pattern is only run when its
+    own is among them.
     """
 
     def family(category: str, patterns: list[str], in_upper: bool) -> Column:
-        source, guard = (uppered, uppered) if in_upper else (text, folded)
-        matches = [find_all(source, guard, p, ignore_case=not in_upper) for p in patterns]
+        source = uppered if in_upper else text
+        matches = [
+            find_all(source, _candidate(present, p), p, ignore_case=not in_upper) for p in patterns
+        ]
         return F.transform(
             F.flatten(F.array(*matches)),
             lambda m: F.struct(F.upper(m).alias("entity"), F.lit(category).alias("category")),
         )
 
-    return F.concat(*[family(*f) for f in families or entity_families()])
+    families = families or entity_families()
+    mentions = F.concat(*[family(*f) for f in families])
+    if all(required_text(p) for _, patterns, _ in families for p in patterns):
+        none = F.array().cast("array<struct<entity:string,category:string>>")
+        return F.when(F.size(present) > 0, mentions).otherwise(none)
+    return mentions
 
 
 def pattern_tags(
-    text: Column, folded: Column, patterns: list[str] = MARKETING_PATTERNS
+    text: Column, present: Column, patterns: list[str] = MARKETING_PATTERNS
 ) -> Column:
     """The patterns that occur in the text, in list order, case ignored."""
-    return F.array_compact(F.array(*[F.when(found(text, folded, p), F.lit(p)) for p in patterns]))
+    hits = [F.when(found(text, _candidate(present, p), p), F.lit(p)) for p in patterns]
+    return F.array_compact(F.array(*hits))

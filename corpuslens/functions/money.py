@@ -9,8 +9,8 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import java_regex
-from corpuslens.functions.text import snippet
+from corpuslens.functions.patterns import find_all, java_regex, let, required_text
+from corpuslens.functions.text import clean_text, cut
 from corpuslens.lexicons import MONEY_CONTEXT, MONEY_PATTERNS
 
 
@@ -25,22 +25,25 @@ def _context_tags(context: Column, families: dict[str, list[str]]) -> Column:
     return F.array_compact(F.array(*tags))
 
 
-def _starts(matches: Column, pieces: Column) -> Column:
-    """Offset of each match, from the lengths of the pieces between matches."""
-    widths = F.zip_with(
-        F.transform(F.slice(pieces, 1, F.size(matches)), F.length),
-        F.transform(matches, F.length),
-        lambda gap, width: F.struct(gap.alias("gap"), width.alias("width")),
+def _with_starts(matches: Column, pieces: Column) -> Column:
+    """``(m, start)`` per match; its offset follows from the lengths of the pieces
+    between matches."""
+    parts = F.zip_with(
+        F.slice(pieces, 1, F.size(matches)),
+        matches,
+        lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")),
     )
-    empty = F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("starts"))
+    none = F.array().cast("array<struct<m:string,start:int>>")
     return F.aggregate(
-        widths,
-        empty,
-        lambda acc, w: F.struct(
-            (acc["at"] + w["gap"] + w["width"]).alias("at"),
-            F.array_append(acc["starts"], acc["at"] + w["gap"]).alias("starts"),
+        parts,
+        F.struct(F.lit(0).alias("end"), none.alias("hits")),
+        lambda acc, p: F.struct(
+            (acc["end"] + p["gap"] + F.length(p["m"])).alias("end"),
+            F.array_append(
+                acc["hits"], F.struct(p["m"], (acc["end"] + p["gap"]).alias("start"))
+            ).alias("hits"),
         ),
-        lambda acc: acc["starts"],
+        lambda acc: acc["hits"],
     )
 
 
@@ -65,32 +68,38 @@ def _pattern_mentions(
     pattern: str,
     window: int,
     families: dict[str, list[str]],
+    with_context: bool,
 ) -> Column:
     """The matches of one pattern, in place order."""
     regex = java_regex(pattern)
-    matches = F.regexp_extract_all(lowered, F.lit(regex), F.lit(0))
-    starts = _starts(matches, F.split(lowered, regex, -1))
+    groups = range(1, re.compile(pattern).groups + 1)
 
-    def locate(match: Column, start: Column) -> Column:
-        left = F.greatest(start - window, F.lit(0))
-        right = F.least(start + F.length(match) + window, F.length(text))
+    def locate(hit: Column) -> Column:
+        left = F.greatest(hit["start"] - window, F.lit(0))
+        right = F.least(hit["start"] + F.length(hit["m"]) + window, F.length(text))
         context = F.substring(text, left + 1, right - left)
-        return F.struct(match.alias("m"), context.alias("c"), F.lower(context).alias("l"))
+        return F.struct(hit["m"], context.alias("c"), F.lower(context).alias("l"))
 
     def shape(hit: Column) -> Column:
         # A match read again on its own gives the same groups.
-        groups = range(1, re.compile(pattern).groups + 1)
         values = F.array(*[F.regexp_extract(hit["m"], regex, g) for g in groups])
         amounts = F.filter(F.transform(values, _amount), lambda a: a.between(1, 9999))
+        context = [let(clean_text(hit["c"]), lambda c: cut(c, 100)).alias("context_snippet")]
         return F.struct(
             F.lit(number).alias("pattern_pos"),
             hit["m"].alias("matched_text"),
             amounts.alias("amount_values"),
             _context_tags(hit["l"], families).alias("context_tags"),
-            snippet(hit["c"], 100).alias("context_snippet"),
+            *(context if with_context else []),
         )
 
-    return F.transform(F.zip_with(matches, starts, locate), shape)
+    def mentions(matches: Column) -> Column:
+        hits = _with_starts(matches, F.split(lowered, regex, -1))
+        return F.when(F.size(matches) > 0, F.transform(F.transform(hits, locate), shape))
+
+    needed = required_text(pattern)
+    candidate = F.contains(lowered, F.lit(needed)) if needed else F.lit(True)
+    return let(find_all(lowered, candidate, pattern), mentions)
 
 
 def money_mentions(
@@ -99,9 +108,10 @@ def money_mentions(
     window: int = 50,
     patterns: list[str] = MONEY_PATTERNS,
     families: dict[str, list[str]] = MONEY_CONTEXT,
+    with_context: bool = False,
 ) -> Column:
-    """One struct per match: pattern number, matched text, amounts, context tags
-    and a short context. Patterns overlap, so one amount can give several structs.
+    """One struct per match: pattern number, matched text, amounts, context tags,
+    and the cleaned context if asked for. Patterns overlap, so one amount can give several structs.
 
     Amounts outside 1..9999 are dropped, and a match left without any is too.
     Offsets come from the lower-cased text (``lowered``, a column so that it is
@@ -109,9 +119,9 @@ def money_mentions(
     digit.
     """
     per_pattern = [
-        _pattern_mentions(text, lowered, number, pattern, window, families)
+        _pattern_mentions(text, lowered, number, pattern, window, families, with_context)
         for number, pattern in enumerate(patterns, 1)
     ]
-    found = F.filter(F.flatten(F.array(*per_pattern)), lambda m: F.size(m["amount_values"]) > 0)
+    found = F.filter(F.flatten(F.array_compact(F.array(*per_pattern))), lambda m: F.size(m["amount_values"]) > 0)
     # Every amount needs a digit; texts without one skip all of this.
     return F.when(text.rlike(r"\p{Nd}"), found)

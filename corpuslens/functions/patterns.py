@@ -7,15 +7,24 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# The characters Python's ``\s`` matches in text, as the inside of a class.
-SPACE_CHARS = (
-    r"\x09-\x0d\x1c-\x20\x85\xa0\x{1680}\x{2000}-\x{200a}"
-    r"\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
-)
+# The characters Python's ``\s`` matches in text, as the inside of a class. Those
+# below U+0100 are listed one by one, which Java looks up in a table.
+_OTHER_SPACES = r"\x09\x0a\x0b\x0c\x0d\x1c\x1d\x1e\x1f\x85\xa0"
+_WIDE_SPACES = r"\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+SPACE_CHARS = rf"\x20{_OTHER_SPACES}{_WIDE_SPACES}"
+# What has to change when whitespace is collapsed; single plain spaces stay. The
+# outer range lets most characters fail at once.
+_WIDE = rf"[\x{{1680}}-\x{{3000}}&&[{_WIDE_SPACES}]]"
+UNEVEN_SPACE = rf"[\x20{_OTHER_SPACES}{_WIDE}]{{2,}}|[{_OTHER_SPACES}{_WIDE}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 _BOUNDARY = f"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
 
-_LITERAL = re.compile(r"[A-Za-z0-9 ]+")
+_WHOLE = re.compile(r"[A-Za-z0-9 ]+")
+# Parts of a pattern that are not plain text: groups, classes, escapes, wild cards.
+_GROUP = re.compile(r"\([^()]*\)(?:[?*+]|\{[^}]*\})*")
+_CLASS = re.compile(r"\[[^\]]*\](?:[?*+]|\{[^}]*\})*")
+_ESCAPE = re.compile(r"\\[A-Za-z](?:[?*+]|\{[^}]*\})*")
+_PLAIN = re.compile(r"[A-Za-z0-9 $]+[?*{]?")
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
@@ -29,49 +38,53 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iud)" if ignore_case else "(?d)") + body
 
 
-def literal_prefix(pattern: str) -> tuple[str, bool]:
-    """The plain text a match must start with, and whether it is the whole pattern.
+def required_text(pattern: str) -> str:
+    """The longest plain text every match contains; empty when none is certain.
 
-    Used to skip the regex engine on texts that cannot match. Empty when nothing
-    is certain (alternatives, or a leading class or group).
+    Used to skip the regex engine on texts that cannot match.
     """
-    bare = pattern.replace(r"\b", "")
+    bare = pattern.replace(r"\$", "$")
+    for part in (_ESCAPE, _CLASS):
+        bare = part.sub("\0", bare)
+    while _GROUP.search(bare):
+        bare = _GROUP.sub("\0", bare)
     if "|" in bare:
-        return "", False
-    run = _LITERAL.match(bare)
-    if not run:
-        return "", False
-    text, rest = run.group(0), bare[run.end():]
-    if rest[:1] in ("*", "?", "{", "+"):
-        text = text[:-1]
-    return text, rest == "" and bare == pattern
+        return ""
+    runs = [run[:-2] if run[-1] in "?*{" else run for run in _PLAIN.findall(bare)]
+    return max(runs, key=len, default="")
+
+
+def is_plain(pattern: str) -> bool:
+    """True when the pattern is plain text, so that finding the text is enough."""
+    return bool(_WHOLE.fullmatch(pattern))
 
 
 def fold_case(text: Column) -> Column:
     """Lower case in which every character that equals an ASCII letter when case
     is ignored becomes that letter (dotted and dotless i, long s, Kelvin sign)."""
-    return F.lower(F.translate(text, "İıſK", "iisk"))
+    special = F.lit(False)
+    for char in "İıſK":
+        special = special | F.contains(text, F.lit(char))
+    return F.when(special, F.lower(F.translate(text, "İıſK", "iisk"))).otherwise(F.lower(text))
 
 
-def found(text: Column, folded: Column, pattern: str) -> Column:
-    """True when the pattern occurs in ``text``, ignoring case.
-
-    ``folded`` is ``fold_case(text)``, passed in so that a list of patterns
-    shares one copy.
-    """
-    prefix, whole = literal_prefix(pattern)
-    hit = F.contains(folded, F.lit(prefix.lower())) if prefix else F.lit(True)
-    return hit if whole else hit & text.rlike(java_regex(pattern, ignore_case=True))
+def found(text: Column, candidate: Column, pattern: str) -> Column:
+    """True when the pattern occurs in ``text``, ignoring case. ``candidate`` says
+    whether its required text does."""
+    if is_plain(pattern):
+        return candidate
+    return candidate & text.rlike(java_regex(pattern, ignore_case=True))
 
 
-def find_all(text: Column, guard: Column, pattern: str, ignore_case: bool = False) -> Column:
-    """All matches of the pattern, left to right. ``guard`` is the text in the
-    case the pattern's literal prefix is looked up in."""
-    prefix, _ = literal_prefix(pattern)
+def find_all(
+    text: Column, candidate: Column, pattern: str, ignore_case: bool = False
+) -> Column:
+    """All matches of the pattern, left to right. ``candidate`` says whether its
+    required text occurs."""
     matches = F.regexp_extract_all(text, F.lit(java_regex(pattern, ignore_case)), F.lit(0))
-    if not prefix:
-        return matches
-    key = prefix.lower() if ignore_case else prefix
-    return F.when(F.contains(guard, F.lit(key)), matches).otherwise(
-        F.array().cast("array<string>")
-    )
+    return F.when(candidate, matches).otherwise(F.array().cast("array<string>"))
+
+
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,13 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import SPACE_CHARS, WORD_CHAR
+from corpuslens.functions.patterns import UNEVEN_SPACE, WORD_CHAR
 from corpuslens.lexicons import STOP_WORDS
 
 
 def clean_text(text: Column) -> Column:
     """Collapse each run of whitespace to one space and trim; null becomes ''."""
-    return F.coalesce(F.trim(F.regexp_replace(text, f"[{SPACE_CHARS}]+", " ")), F.lit(""))
+    return F.coalesce(F.trim(F.regexp_replace(text, UNEVEN_SPACE, " ")), F.lit(""))
 
 
 def first_text(*texts: Column) -> Column:

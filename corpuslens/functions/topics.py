@@ -5,45 +5,38 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.text import substring_count
+from corpuslens.functions.keywords import total
 from corpuslens.lexicons import TOPICS
 
 
-def lexicon_literal(topics: dict[str, list[str]] = TOPICS) -> Column:
-    """The lexicon as one constant array of ``(topic, topic_pos, keywords)``."""
-    if any(not keyword for keywords in topics.values() for keyword in keywords):
-        raise ValueError("a keyword may not be empty")
-    return F.array(
+def topic_words(topics: dict[str, list[str]] = TOPICS) -> list[str]:
+    """All keywords of a lexicon, as they are looked for."""
+    return [k.lower() for keywords in topics.values() for k in keywords]
+
+
+def topic_scores(counts: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
+    """Array of ``(topic, topic_pos, score)`` for the topics with a hit, from the
+    counts of the topic words in the lower-cased text.
+
+    Scoring happens inside the row: threads are neither multiplied by keywords nor
+    shuffled to add the counts up.
+    """
+    lexicon = F.array(
         *[
             F.struct(
-                F.lit(topic).alias("topic"),
-                F.lit(pos).alias("topic_pos"),
-                F.array(*[F.lit(k.lower()) for k in keywords]).alias("keywords"),
+                F.lit(topic).alias("topic"), F.lit(pos).alias("topic_pos"),
+                F.array(*[F.lit(k.lower()) for k in words]).alias("keywords"),
             )
-            for pos, (topic, keywords) in enumerate(topics.items())
+            for pos, (topic, words) in enumerate(topics.items())
         ]
     )
-
-
-def keyword_total(lowered: Column, keywords: Column) -> Column:
-    """Sum of the occurrence counts of an array of keywords in lower-cased text."""
-    return F.aggregate(
-        keywords, F.lit(0).cast("long"), lambda total, k: total + substring_count(lowered, k)
-    )
-
-
-def topic_scores(lowered: Column, topics: dict[str, list[str]] = TOPICS) -> Column:
-    """Array of ``(topic, topic_pos, score)`` for the topics with a hit.
-
-    Scoring happens inside the row, so threads are never multiplied by keywords
-    nor shuffled to add the counts up.
-    """
     scored = F.transform(
-        lexicon_literal(topics),
+        lexicon,
         lambda t: F.struct(
-            t["topic"].alias("topic"),
-            t["topic_pos"].alias("topic_pos"),
-            keyword_total(lowered, t["keywords"]).alias("score"),
+            t["topic"].alias("topic"), t["topic_pos"].alias("topic_pos"),
+            total(counts, t["keywords"]).alias("score"),
         ),
     )
-    return F.filter(scored, lambda s: s["score"] > 0)
+    return F.when(F.size(counts) > 0, F.filter(scored, lambda s: s["score"] > 0)).otherwise(
+        F.array().cast("array<struct<topic:string,topic_pos:int,score:bigint>>")
+    )

@@ -44,6 +44,18 @@ def computed_once(df: DataFrame, keep: list[str], **computed: Column) -> DataFra
     return df.select(*keep, F.inline(F.array(row)))
 
 
+def spread_small(scan: DataFrame, key: str) -> DataFrame:
+    """Spread a small scan over all cores before costly work on its texts.
+
+    A file with one row group is one task however large the cluster. A scan that
+    already has a task per core, as any large one has, is left alone. Only for
+    plain scans: it asks for the number of their partitions, which is known
+    without running anything.
+    """
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+
+
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
     """Hint a broadcast only when the frame has at most ``max_rows`` rows.
 

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 
 from corpuslens import lexicons
 from corpuslens.functions import text as tx
-from corpuslens.functions.entities import entity_mentions, pattern_tags
+from corpuslens.functions.entities import entity_mentions, pattern_tags, required_words
+from corpuslens.functions.keywords import keyword_counts, present
 from corpuslens.functions.money import money_mentions
 from corpuslens.functions.patterns import fold_case
-from corpuslens.functions.topics import topic_scores
+from corpuslens.functions.topics import topic_scores, topic_words
 from corpuslens.functions.urls import canonical_url, extract_urls
 from corpuslens.operators.staging import computed_once
 
@@ -85,18 +86,23 @@ def thread_features(
         {
             "_clean": tx.clean_text(F.col("_post")), "_post_lower": F.lower("_post"),
             "_lower": F.lower("_full"), "_upper": F.upper("_full"),
-            "_folded": fold_case(F.col("_full")),
         }
     )
-    post, full, folded = F.col("_post"), F.col("_full"), F.col("_folded")
+    texts = texts.withColumn("_topic_words", keyword_counts(F.col("_lower"), topic_words(lex.topics)))
+    patterns = [p for _, family, _ in lex.entities for p in family] + lex.marketing
+    texts = texts.withColumn(
+        "_pattern_words",
+        present(keyword_counts(fold_case(F.col("_full")), required_words(patterns))),
+    )
+    post, full, words = F.col("_post"), F.col("_full"), F.col("_pattern_words")
     build = {
         "comments_n": lambda: F.size("comments"),
         "snippet_200": lambda: tx.cut(F.col("_clean"), 200),
         "snippet_300": lambda: tx.cut(F.col("_clean"), 300),
         "links": lambda: F.transform(extract_urls(full), canonical_url),
-        "entities": lambda: entity_mentions(full, F.col("_upper"), folded, lex.entities),
-        "tags": lambda: pattern_tags(full, folded, lex.marketing),
-        "scores": lambda: topic_scores(F.col("_lower"), lex.topics),
+        "entities": lambda: entity_mentions(full, F.col("_upper"), words, lex.entities),
+        "tags": lambda: pattern_tags(full, words, lex.marketing),
+        "scores": lambda: topic_scores(F.col("_topic_words"), lex.topics),
         "money": lambda: money_mentions(
             post, F.col("_post_lower"), patterns=lex.money_patterns, families=lex.money_context
         ),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
@@ -11,7 +11,7 @@ from corpuslens.operators.staging import computed_once
 
 _OUT = [
     "source_type", "thread_id", "comment_id", "createdAt_iso", "url", "pattern_pos",
-    "matched_text", "amount_values", "context_tags", "context_snippet", "text_snippet",
+    "matched_text", "amount_values", "context_tags", "text_snippet",
     "ord_raw", "createdAt_ts", "place",
 ]
 
@@ -22,27 +22,33 @@ def money_mentions_table(features: DataFrame) -> DataFrame:
     ``place`` orders the mentions of one thread: post first (comment number -1),
     then comments, each by pattern and place in the text.
     """
-    posts = features.select(
-        "*", F.posexplode("money").alias("match_at", "m")
-    ).select(
-        F.lit("thread").alias("source_type"), "thread_id", F.lit("").alias("comment_id"),
-        "createdAt_iso", "url", "m.*", F.col("snippet_200").alias("text_snippet"),
-        "ord_raw", "createdAt_ts",
-        F.struct(F.lit(-1).alias("comment"), F.col("match_at")).alias("place"),
-    )
-    comments = (
-        features.select(
-            "thread_id", "ord_raw", "createdAt_ts",
-            F.posexplode("comment_money").alias("comment_at", "c"),
+
+    def of_post(m: Column, at: Column) -> Column:
+        return F.struct(
+            F.lit("thread").alias("source_type"), F.lit("").alias("comment_id"),
+            F.col("createdAt_iso").alias("createdAt_iso"), F.col("url").alias("url"),
+            m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"],
+            F.col("snippet_200").alias("text_snippet"),
+            F.struct(F.lit(-1).alias("comment"), at.alias("match_at")).alias("place"),
         )
-        .select("*", F.posexplode("c.mentions").alias("match_at", "m"))
-        .select(
-            F.lit("comment").alias("source_type"), "thread_id", "c.comment_id",
-            "c.createdAt_iso", "c.url", "m.*", "c.text_snippet", "ord_raw", "createdAt_ts",
-            F.struct(F.col("comment_at").alias("comment"), F.col("match_at")).alias("place"),
+
+    def of_comment(c: Column, comment: Column) -> Column:
+        return F.transform(
+            c["mentions"],
+            lambda m, at: F.struct(
+                F.lit("comment").alias("source_type"), c["comment_id"], c["createdAt_iso"], c["url"],
+                m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"],
+                c["text_snippet"],
+                F.struct(comment.alias("comment"), at.alias("match_at")).alias("place"),
+            ),
         )
-    )
-    return posts.select(*_OUT).unionByName(comments.select(*_OUT))
+
+    posts = F.transform("money", of_post)
+    comments = F.flatten(F.transform("comment_money", of_comment))
+    both = F.flatten(F.array_compact(F.array(posts, comments)))
+    return features.select(
+        "thread_id", "ord_raw", "createdAt_ts", F.explode(both).alias("m")
+    ).select("thread_id", "ord_raw", "createdAt_ts", "m.*").select(*_OUT)
 
 
 def comment_mentions(comments: DataFrame, threads: DataFrame) -> DataFrame:

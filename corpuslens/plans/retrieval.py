@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
-from corpuslens.functions.topics import keyword_total
+from corpuslens.functions.keywords import keyword_counts, total
 from corpuslens.operators.ordering import thread_order
 from corpuslens.operators.staging import broadcast_if_small, computed_once
 from corpuslens.operators.topk import number_rows, top_per_key
@@ -126,14 +126,16 @@ def score_threads(
 ) -> DataFrame:
     """Thread keys with ``hits`` (words), ``topic_hits`` and ``bonus``: the parts of
     the score that come from the text. A projection, so it also runs on a stream."""
+    lowered = [k.lower() for k in topic_keywords]
     texts = threads.withColumn("_lower", scoring_text())
-    lexicon = F.array(*[F.lit(k.lower()) for k in topic_keywords]).cast("array<string>")
+    texts = texts.withColumn("_counts", keyword_counts(F.col("_lower"), lowered))
+    every = F.array(*[F.lit(k) for k in lowered]).cast("array<string>")
     bonus = F.when(F.col("thread_id").isin(bonus_ids), BONUS) if bonus_ids else F.lit(None)
     keep = ["ord_raw", "createdAt_ts", "thread_id"]
     return computed_once(
         texts, keep + [c for c in ("metrics",) if c in threads.columns],
         hits=word_hits(F.col("_lower"), keywords),
-        topic_hits=keyword_total(F.col("_lower"), lexicon),
+        topic_hits=total(F.col("_counts"), every),
         bonus=F.coalesce(bonus.cast("double"), F.lit(0.0)),
     )
 
@@ -237,20 +239,23 @@ def evidence_for_queries(
         scoring_text().alias("_lower"),
     )
     set_list = sets.agg(F.collect_list(F.struct("*")).alias("sets")).scalar()
+    # The lexicon's words come to the driver to build one pattern for all of them.
+    lexicon = [k.lower() for row in entries.select("keywords").collect() for k in row["keywords"]]
+
     by_set = F.transform(
         "_sets",
         lambda s: F.struct(
             s["topic_set"].alias("topic_set"),
-            (
-                keyword_total(F.col("_lower"), F.transform(s["topic_keywords"], lambda w: F.lower(w))) * 1.0
-            ).alias("topic_hits"),
+            (total(F.col("_counts"), F.transform(s["topic_keywords"], lambda w: F.lower(w))) * 1.0)
+            .alias("topic_hits"),
             F.when(F.array_contains(s["bonus_ids"], F.col("thread_id")), BONUS)
             .otherwise(0.0).alias("bonus"),
         ),
     )
     # One pass over the texts: scores per topic set, and the words.
     scored = computed_once(
-        texts.withColumn("_sets", set_list), [c for c in texts.columns if c != "_lower"],
+        texts.withColumn("_counts", keyword_counts(F.col("_lower"), lexicon)).withColumn("_sets", set_list),
+        [c for c in texts.columns if c != "_lower"],
         by_set=by_set, words=tx.words(F.col("_lower")),
     )
     if metrics is not None:
