@@ -133,8 +133,7 @@ def _mention_columns(mentions: DataFrame) -> DataFrame:
 
 
 def _money_features(spark: SparkSession, sf: str) -> DataFrame:
-    wanted = ["money", "comment_money", "snippet_200"]
-    return thread_features(ad.money_threads(spark, sf), only=wanted)
+    return thread_features(ad.money_threads(spark, sf), only=["money", "snippet_200"])
 
 
 @query
@@ -162,16 +161,15 @@ def money_per_month(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def extract_links(spark: SparkSession, sf: str) -> DataFrame:
     """URLs in texts as written, with their place."""
-    return ad.link_threads(spark, sf).select(
-        "thread_id", F.posexplode(extract_urls(tx.post_text())).alias("place", "url_found")
-    )
+    texts = ad.link_threads(spark, sf).select("thread_id", tx.post_text().alias("post"))
+    return texts.select("thread_id", F.posexplode(extract_urls("post")).alias("place", "url_found"))
 
 
 @query
 def canonical_links(spark: SparkSession, sf: str) -> DataFrame:
     """Canonical form and domain of page addresses outside the forum's own site."""
-    pages = ad.texts(spark, sf, "pages", "page_id").select("page_id", canonical_url(F.col("url")).alias("url_canonical"))
-    pages = pages.withColumn("domain", domain(F.col("url_canonical"))).where("domain <> ''")
+    pages = ad.texts(spark, sf, "pages", "page_id").select("page_id", canonical_url("url").alias("url_canonical"))
+    pages = pages.withColumn("domain", domain("url_canonical")).where("domain <> ''")
     for prefix in OWN_DOMAIN_PREFIXES:
         pages = pages.where(~F.col("domain").startswith(prefix))
     return pages
@@ -243,7 +241,7 @@ def pattern_join(spark: SparkSession, sf: str) -> DataFrame:
     texts = ad.texts(spark, sf, "documents", "doc_id").select(
         "doc_id", "text", present(keyword_counts(folded, required_words(TEST_MARKETING))).alias("words")
     )
-    tags = pattern_tags(F.col("text"), F.col("words"), TEST_MARKETING)
+    tags = pattern_tags("text", "words", TEST_MARKETING)
     return texts.select("doc_id", F.explode(tags).alias("pattern"))
 
 

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import find_all, found, required_text
+from corpuslens.functions.patterns import is_plain, java_regex, required_text
+from corpuslens.functions.sqltext import NO_STRINGS, quote
 from corpuslens.lexicons import MARKETING_PATTERNS, entity_families
 
 
@@ -14,46 +15,52 @@ def required_words(patterns: list[str]) -> list[str]:
     return list(dict.fromkeys(required_text(p).lower() for p in patterns if required_text(p)))
 
 
-def _candidate(present: Column, pattern: str) -> Column:
+def _candidate(present: str, pattern: str) -> str:
     """Whether the pattern's required text occurs; true if it has none."""
     text = required_text(pattern).lower()
-    return F.array_contains(present, text) if text else F.lit(True)
+    return f"array_contains({present}, {quote(text)})" if text else "true"
 
 
 def entity_mentions(
-    text: Column,
-    uppered: Column,
-    present: Column,
+    text: str,
+    uppered: str,
+    present: str,
     families: list[tuple[str, list[str], bool]] | None = None,
 ) -> Column:
     """Array of ``(entity, category)``, by family, then pattern, then place in the text.
 
-    The entity is the match in upper case. ``uppered`` is the text in upper case,
-    ``present`` the required words that occur in it; a pattern is only run when its
-    own is among them.
+    Arguments name columns. The entity is the match in upper case. ``uppered`` is the
+    text in upper case, ``present`` the required words that occur in it; a pattern
+    is only run when its own is among them.
     """
-
-    def family(category: str, patterns: list[str], in_upper: bool) -> Column:
+    parts = []
+    families = families or entity_families()
+    for category, patterns, in_upper in families:
         source = uppered if in_upper else text
-        matches = [
-            find_all(source, _candidate(present, p), p, ignore_case=not in_upper) for p in patterns
-        ]
-        return F.transform(
-            F.flatten(F.array(*matches)),
-            lambda m: F.struct(F.upper(m).alias("entity"), F.lit(category).alias("category")),
+        matches = ", ".join(
+            f"case when {_candidate(present, p)} then "
+            f"regexp_extract_all({source}, {quote(java_regex(p, not in_upper))}, 0) else {NO_STRINGS} end"
+            for p in patterns
         )
-
-    families = families or entity_families()
-    mentions = F.concat(*[family(*f) for f in families])
+        parts.append(
+            f"transform(flatten(array({matches})), "
+            f"m -> named_struct('entity', upper(m), 'category', {quote(category)}))"
+        )
+    mentions = f"concat({', '.join(parts)})"
     if all(required_text(p) for _, patterns, _ in families for p in patterns):
-        none = F.array().cast("array<struct<entity:string,category:string>>")
-        return F.when(F.size(present) > 0, mentions).otherwise(none)
-    return mentions
+        none = "cast(array() as array<struct<entity:string,category:string>>)"
+        mentions = f"case when size({present}) > 0 then {mentions} else {none} end"
+    return F.expr(mentions)
 
 
-def pattern_tags(
-    text: Column, present: Column, patterns: list[str] = MARKETING_PATTERNS
-) -> Column:
-    """The patterns that occur in the text, in list order, case ignored."""
-    hits = [F.when(found(text, _candidate(present, p), p), F.lit(p)) for p in patterns]
-    return F.array_compact(F.array(*hits))
+def pattern_tags(text: str, present: str, patterns: list[str] = MARKETING_PATTERNS) -> Column:
+    """The patterns that occur in the named text, in list order, case ignored."""
+
+    def hit(pattern: str) -> str:
+        candidate = _candidate(present, pattern)
+        if is_plain(pattern):
+            return candidate
+        return f"{candidate} and rlike({text}, {quote(java_regex(pattern, ignore_case=True))})"
+
+    cases = ", ".join(f"case when {hit(p)} then {quote(p)} end" for p in patterns)
+    return F.expr(f"array_compact(array({cases}))")

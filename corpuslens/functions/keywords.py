@@ -118,10 +118,9 @@ def present(counts: Column) -> Column:
     return F.transform(counts, lambda c: c["kw"])
 
 
-def total(counts: Column, keywords: Column) -> Column:
+def total_sql(counts: str, keywords: str) -> str:
     """Sum of the counts of those keywords that are in ``keywords``."""
-    return F.aggregate(
-        F.filter(counts, lambda c: F.array_contains(keywords, c["kw"])),
-        F.lit(0).cast("long"),
-        lambda acc, c: acc + c["n"],
+    return (
+        f"aggregate(filter({counts}, c -> array_contains({keywords}, c.kw)), "
+        f"cast(0 as bigint), (acc, c) -> acc + c.n)"
     )

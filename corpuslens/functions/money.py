@@ -9,50 +9,11 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import find_all, java_regex, let, required_text
-from corpuslens.functions.text import clean_text, cut
+from corpuslens.functions.patterns import UNEVEN_SPACE, java_regex, required_text
+from corpuslens.functions.sqltext import NO_STRINGS, let, quote
 from corpuslens.lexicons import MONEY_CONTEXT, MONEY_PATTERNS
 
 
-def _context_tags(context: Column, families: dict[str, list[str]]) -> Column:
-    """Names of the word families found in the context, in family order."""
-    tags = []
-    for tag, keywords in families.items():
-        hit = F.lit(False)
-        for keyword in keywords:
-            hit = hit | F.contains(context, F.lit(keyword))
-        tags.append(F.when(hit, F.lit(tag)))
-    return F.array_compact(F.array(*tags))
-
-
-def _with_starts(matches: Column, pieces: Column) -> Column:
-    """``(m, start)`` per match; its offset follows from the lengths of the pieces
-    between matches."""
-    parts = F.zip_with(
-        F.slice(pieces, 1, F.size(matches)),
-        matches,
-        lambda gap, m: F.struct(F.length(gap).alias("gap"), m.alias("m")),
-    )
-    none = F.array().cast("array<struct<m:string,start:int>>")
-    return F.aggregate(
-        parts,
-        F.struct(F.lit(0).alias("end"), none.alias("hits")),
-        lambda acc, p: F.struct(
-            (acc["end"] + p["gap"] + F.length(p["m"])).alias("end"),
-            F.array_append(
-                acc["hits"], F.struct(p["m"], (acc["end"] + p["gap"]).alias("start"))
-            ).alias("hits"),
-        ),
-        lambda acc: acc["hits"],
-    )
-
-
-def _amount(value: Column) -> Column:
-    """Number in a matched group; digits of any script count as digits."""
-    other = _other_digits()
-    return F.translate(value, other, "0123456789" * (len(other) // 10)).try_cast("double")
-
-
 @cache
 def _other_digits() -> str:
     """Decimal digits outside ASCII, in code point order: each script's 0 to 9."""
@@ -61,67 +22,88 @@ def _other_digits() -> str:
     )
 
 
-def _pattern_mentions(
-    text: Column,
-    lowered: Column,
-    number: int,
-    pattern: str,
-    window: int,
-    families: dict[str, list[str]],
-    with_context: bool,
-) -> Column:
-    """The matches of one pattern, in place order."""
-    regex = java_regex(pattern)
-    groups = range(1, re.compile(pattern).groups + 1)
+def _number(value: str) -> str:
+    """Number in a matched group; digits of any script count as digits."""
+    other = _other_digits()
+    ascii_digits = "0123456789" * (len(other) // 10)
+    return f"try_cast(translate({value}, {quote(other)}, {quote(ascii_digits)}) as double)"
+
 
-    def locate(hit: Column) -> Column:
-        left = F.greatest(hit["start"] - window, F.lit(0))
-        right = F.least(hit["start"] + F.length(hit["m"]) + window, F.length(text))
-        context = F.substring(text, left + 1, right - left)
-        return F.struct(hit["m"], context.alias("c"), F.lower(context).alias("l"))
-
-    def shape(hit: Column) -> Column:
-        # A match read again on its own gives the same groups.
-        values = F.array(*[F.regexp_extract(hit["m"], regex, g) for g in groups])
-        amounts = F.filter(F.transform(values, _amount), lambda a: a.between(1, 9999))
-        context = [let(clean_text(hit["c"]), lambda c: cut(c, 100)).alias("context_snippet")]
-        return F.struct(
-            F.lit(number).alias("pattern_pos"),
-            hit["m"].alias("matched_text"),
-            amounts.alias("amount_values"),
-            _context_tags(hit["l"], families).alias("context_tags"),
-            *(context if with_context else []),
-        )
-
-    def mentions(matches: Column) -> Column:
-        hits = _with_starts(matches, F.split(lowered, regex, -1))
-        return F.when(F.size(matches) > 0, F.transform(F.transform(hits, locate), shape))
+def _tags(context: str, families: dict[str, list[str]]) -> str:
+    """Names of the word families found in the context, in family order."""
+    cases = [
+        f"case when {' or '.join(f'contains({context}, {quote(k)})' for k in words)} then {quote(tag)} end"
+        for tag, words in families.items()
+    ]
+    return f"array_compact(array({', '.join(cases)}))"
 
+
+def _with_starts(matches: str, pieces: str) -> str:
+    """``(m, start)`` per match; its offset follows from the lengths of the pieces
+    between matches."""
+    return f"""aggregate(
+        zip_with(slice({pieces}, 1, size({matches})), {matches},
+                 (gap, m) -> named_struct('gap', length(gap), 'm', m)),
+        named_struct('pos', 0, 'hits', cast(array() as array<struct<m:string,start:int>>)),
+        (acc, p) -> named_struct(
+            'pos', acc.pos + p.gap + length(p.m),
+            'hits', array_append(acc.hits, named_struct('m', p.m, 'start', acc.pos + p.gap))),
+        acc -> acc.hits)"""
+
+
+def _pattern_hits(lowered: str, number: int, pattern: str) -> str:
+    """Match, offset and groups of each match of one pattern, in place order."""
+    regex = quote(java_regex(pattern))
+    # A match read again on its own gives the same groups.
+    groups = range(1, re.compile(pattern).groups + 1)
+    values = ", ".join(f"regexp_extract(h.m, {regex}, {g})" for g in groups)
+    hits = _with_starts("ms", f"split({lowered}, {regex}, -1)")
+    hit = f"named_struct('n', {number}, 'm', h.m, 'start', h.start, 'groups', array({values}))"
     needed = required_text(pattern)
-    candidate = F.contains(lowered, F.lit(needed)) if needed else F.lit(True)
-    return let(find_all(lowered, candidate, pattern), mentions)
+    found = f"regexp_extract_all({lowered}, {regex}, 0)"
+    if needed:
+        found = f"case when contains({lowered}, {quote(needed)}) then {found} else {NO_STRINGS} end"
+    return let("ms", found, f"case when size(ms) > 0 then transform({hits}, h -> {hit}) end")
 
 
-def money_mentions(
-    text: Column,
-    lowered: Column,
+def money_sql(
+    text: str,
+    lowered: str,
     window: int = 50,
     patterns: list[str] = MONEY_PATTERNS,
     families: dict[str, list[str]] = MONEY_CONTEXT,
     with_context: bool = False,
-) -> Column:
+) -> str:
+    """:func:`money_mentions` as SQL text, for use inside larger expressions."""
+    per_pattern = ", ".join(
+        _pattern_hits(lowered, number, pattern) for number, pattern in enumerate(patterns, 1)
+    )
+    hits = f"flatten(array_compact(array({per_pattern})))"
+    left = f"greatest(h.start - {window}, 0)"
+    right = f"least(h.start + length(h.m) + {window}, length({text}))"
+    near = f"""named_struct('n', h.n, 'm', h.m,
+        'amounts', filter(transform(h.groups, v -> {_number('v')}), a -> a between 1 and 9999),
+        'c', substring({text}, {left} + 1, {right} - {left}))"""
+    kept = f"filter(transform({hits}, h -> {near}), h -> size(h.amounts) > 0)"
+    clean = f"trim(regexp_replace(h.c, {quote(UNEVEN_SPACE)}, ' '))"
+    cut = "case when length(c) <= 100 then c else concat(substring(c, 1, 97), '...') end"
+    mention = f"""named_struct(
+        'pattern_pos', h.n, 'matched_text', h.m, 'amount_values', h.amounts,
+        'context_tags', {let('low', 'lower(h.c)', _tags('low', families))}
+        {", 'context_snippet', " + let('c', clean, cut) if with_context else ""})"""
+    # Every amount needs a digit; texts without one skip all of this.
+    return f"""case when rlike({text}, {quote(r'\p{Nd}')}) then
+        transform({kept}, h -> {mention}) end"""
+
+
+def money_mentions(text: str, lowered: str, **options) -> Column:
     """One struct per match: pattern number, matched text, amounts, context tags,
-    and the cleaned context if asked for. Patterns overlap, so one amount can give several structs.
+    and the cleaned context if asked for. Patterns overlap, so one amount can give
+    several structs.
 
-    Amounts outside 1..9999 are dropped, and a match left without any is too.
-    Offsets come from the lower-cased text (``lowered``, a column so that it is
-    made once), the context from the text as written. Null when the text holds no
-    digit.
+    ``text`` and ``lowered`` name the column and its lower-cased form. Amounts
+    outside 1..9999 are dropped, and a match left without any is too. Offsets come
+    from the lower-cased text, the context from the text as written. Null when the
+    text holds no digit.
     """
-    per_pattern = [
-        _pattern_mentions(text, lowered, number, pattern, window, families, with_context)
-        for number, pattern in enumerate(patterns, 1)
-    ]
-    found = F.filter(F.flatten(F.array_compact(F.array(*per_pattern))), lambda m: F.size(m["amount_values"]) > 0)
-    # Every amount needs a digit; texts without one skip all of this.
-    return F.when(text.rlike(r"\p{Nd}"), found)
+    return F.expr(money_sql(text, lowered, **options))

@@ -68,23 +68,6 @@ def fold_case(text: Column) -> Column:
     return F.when(special, F.lower(F.translate(text, "İıſK", "iisk"))).otherwise(F.lower(text))
 
 
-def found(text: Column, candidate: Column, pattern: str) -> Column:
-    """True when the pattern occurs in ``text``, ignoring case. ``candidate`` says
-    whether its required text does."""
-    if is_plain(pattern):
-        return candidate
-    return candidate & text.rlike(java_regex(pattern, ignore_case=True))
-
-
-def find_all(
-    text: Column, candidate: Column, pattern: str, ignore_case: bool = False
-) -> Column:
-    """All matches of the pattern, left to right. ``candidate`` says whether its
-    required text occurs."""
-    matches = F.regexp_extract_all(text, F.lit(java_regex(pattern, ignore_case)), F.lit(0))
-    return F.when(candidate, matches).otherwise(F.array().cast("array<string>"))
-
-
 def let(value: Column, body) -> Column:
     """``body`` of a value that is computed once, however often the body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

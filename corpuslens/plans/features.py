@@ -16,10 +16,11 @@ from corpuslens import lexicons
 from corpuslens.functions import text as tx
 from corpuslens.functions.entities import entity_mentions, pattern_tags, required_words
 from corpuslens.functions.keywords import keyword_counts, present
-from corpuslens.functions.money import money_mentions
-from corpuslens.functions.patterns import fold_case
+from corpuslens.functions.money import money_mentions, money_sql
+from corpuslens.functions.patterns import UNEVEN_SPACE, fold_case
+from corpuslens.functions.sqltext import let, quote
 from corpuslens.functions.topics import topic_scores, topic_words
-from corpuslens.functions.urls import canonical_url, extract_urls
+from corpuslens.functions.urls import links_sql
 from corpuslens.operators.staging import computed_once
 
 
@@ -45,28 +46,22 @@ FEATURES = [
 
 def _comment_money(lex: Lexicons) -> Column:
     """Per comment with a price: its id, time, url, snippet and mentions."""
-
-    def read(c: Column) -> Column:
-        return F.struct(
-            c["comment_id"].alias("comment_id"), c["createdAt_iso"].alias("createdAt_iso"),
-            c["url"].alias("url"), tx.first_text(c["text_clean"], c["text_raw"]).alias("text"),
-        )
-
-    def clean(c: Column) -> Column:
-        return c.withField("lowered", F.lower(c["text"])).withField("clean", tx.clean_text(c["text"]))
-
-    def find(c: Column) -> Column:
-        mentions = money_mentions(
-            c["text"], c["lowered"], patterns=lex.money_patterns, families=lex.money_context
-        )
-        return F.struct(
-            c["comment_id"], c["createdAt_iso"], c["url"],
-            tx.cut(c["clean"], 200).alias("text_snippet"), mentions.alias("mentions"),
-        )
-
-    with_digits = F.filter(F.transform("comments", read), lambda c: c["text"].rlike(r"\p{Nd}"))
-    found = F.transform(F.transform(with_digits, clean), find)
-    return F.filter(found, lambda c: F.size(c["mentions"]) > 0)
+    text = "coalesce(nullif(c.text_clean, ''), nullif(c.text_raw, ''), '')"
+    read = (
+        "named_struct('comment_id', c.comment_id, 'createdAt_iso', c.createdAt_iso, 'url', c.url, "
+        f"'text', {text})"
+    )
+    clean = f"trim(regexp_replace(c.text, {quote(UNEVEN_SPACE)}, ' '))"
+    cut = "case when length(t) <= 200 then t else concat(substring(t, 1, 197), '...') end"
+    mentions = money_sql(
+        "c.text", "lower_text", patterns=lex.money_patterns, families=lex.money_context
+    )
+    shaped = (
+        "named_struct('comment_id', c.comment_id, 'createdAt_iso', c.createdAt_iso, 'url', c.url, "
+        f"'text_snippet', {let('t', clean, cut)}, 'mentions', {let('lower_text', 'lower(c.text)', mentions)})"
+    )
+    with_digits = f"filter(transform(comments, c -> {read}), c -> rlike(c.text, {quote(r'\p{Nd}')}))"
+    return F.expr(f"filter(transform({with_digits}, c -> {shaped}), c -> size(c.mentions) > 0)")
 
 
 def thread_features(
@@ -94,17 +89,16 @@ def thread_features(
         "_pattern_words",
         present(keyword_counts(fold_case(F.col("_full")), required_words(patterns))),
     )
-    post, full, words = F.col("_post"), F.col("_full"), F.col("_pattern_words")
     build = {
         "comments_n": lambda: F.size("comments"),
         "snippet_200": lambda: tx.cut(F.col("_clean"), 200),
         "snippet_300": lambda: tx.cut(F.col("_clean"), 300),
-        "links": lambda: F.transform(extract_urls(full), canonical_url),
-        "entities": lambda: entity_mentions(full, F.col("_upper"), words, lex.entities),
-        "tags": lambda: pattern_tags(full, words, lex.marketing),
-        "scores": lambda: topic_scores(F.col("_topic_words"), lex.topics),
+        "links": lambda: F.expr(links_sql("_full")),
+        "entities": lambda: entity_mentions("_full", "_upper", "_pattern_words", lex.entities),
+        "tags": lambda: pattern_tags("_full", "_pattern_words", lex.marketing),
+        "scores": lambda: topic_scores("_topic_words", lex.topics),
         "money": lambda: money_mentions(
-            post, F.col("_post_lower"), patterns=lex.money_patterns, families=lex.money_context
+            "_post", "_post_lower", patterns=lex.money_patterns, families=lex.money_context
         ),
         "comment_money": lambda: _comment_money(lex),
     }

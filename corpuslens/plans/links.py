@@ -23,7 +23,7 @@ def link_occurrences(
     rows = features.select(
         "ord_raw", "createdAt_ts", "thread_id", "createdAt_iso",
         F.col("url").alias("thread_url"), F.posexplode("links").alias("at", "url_canonical"),
-    ).withColumn("domain", domain(F.col("url_canonical")))
+    ).withColumn("domain", domain("url_canonical"))
     rows = rows.where(F.col("domain") != "")
     for prefix in own_prefixes:
         rows = rows.where(~F.col("domain").startswith(prefix))

@@ -19,7 +19,7 @@ _OUT = [
 def money_mentions_table(features: DataFrame) -> DataFrame:
     """One row per mention, posts and comments together. No shuffle.
 
-    ``place`` orders the mentions of one thread: post first (comment number -1),
+    Features without ``comment_money`` give the posts' mentions alone. ``place`` orders the mentions of one thread: post first (comment number -1),
     then comments, each by pattern and place in the text.
     """
 
@@ -43,9 +43,10 @@ def money_mentions_table(features: DataFrame) -> DataFrame:
             ),
         )
 
-    posts = F.transform("money", of_post)
-    comments = F.flatten(F.transform("comment_money", of_comment))
-    both = F.flatten(F.array_compact(F.array(posts, comments)))
+    parts = [F.transform("money", of_post)]
+    if "comment_money" in features.columns:
+        parts.append(F.flatten(F.transform("comment_money", of_comment)))
+    both = F.flatten(F.array_compact(F.array(*parts)))
     return features.select(
         "thread_id", "ord_raw", "createdAt_ts", F.explode(both).alias("m")
     ).select("thread_id", "ord_raw", "createdAt_ts", "m.*").select(*_OUT)
@@ -60,7 +61,7 @@ def comment_mentions(comments: DataFrame, threads: DataFrame) -> DataFrame:
     found = computed_once(
         texts, ["ord_raw", "comment_id", "createdAt_iso", "url", "idx"],
         text_snippet=tx.snippet(F.col("_text"), 200),
-        mentions=money_mentions(F.col("_text"), F.col("_lower")),
+        mentions=money_mentions("_text", "_lower"),
     ).select("*", F.posexplode("mentions").alias("match_at", "m"))
     place = F.struct(F.col("idx").cast("int").alias("comment"), F.col("match_at"))
     keys = threads.select("ord_raw", "createdAt_ts", "thread_id")

@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
-from corpuslens.functions.keywords import keyword_counts, total
+from corpuslens.functions.keywords import keyword_counts, total_sql
+from corpuslens.functions.sqltext import string_array, strings
 from corpuslens.operators.ordering import thread_order
 from corpuslens.operators.staging import broadcast_if_small, computed_once
 from corpuslens.operators.topk import number_rows, top_per_key
@@ -129,13 +130,12 @@ def score_threads(
     lowered = [k.lower() for k in topic_keywords]
     texts = threads.withColumn("_lower", scoring_text())
     texts = texts.withColumn("_counts", keyword_counts(F.col("_lower"), lowered))
-    every = F.array(*[F.lit(k) for k in lowered]).cast("array<string>")
     bonus = F.when(F.col("thread_id").isin(bonus_ids), BONUS) if bonus_ids else F.lit(None)
     keep = ["ord_raw", "createdAt_ts", "thread_id"]
     return computed_once(
         texts, keep + [c for c in ("metrics",) if c in threads.columns],
         hits=word_hits(F.col("_lower"), keywords),
-        topic_hits=total(F.col("_counts"), every),
+        topic_hits=F.expr(total_sql("_counts", strings(lowered))),
         bonus=F.coalesce(bonus.cast("double"), F.lit(0.0)),
     )
 
@@ -188,8 +188,7 @@ def evidence_pack(
     texts = threads.drop("metrics", "createdAt_ts").join(F.broadcast(best), "ord_raw")
     matched = matched_keywords(
         scoring_text(),
-        F.array(*[F.lit(w) for w in keywords]).cast("array<string>"),
-        F.array(*[F.lit(w) for w in topic_keywords]).cast("array<string>"),
+        string_array(keywords), string_array(topic_keywords),
     )
     return (
         texts.withColumn("_matched", matched)
@@ -232,7 +231,8 @@ def evidence_for_queries(
     """
     plans = query_plans(queries, entries)
     # Distinct topic sets: at most the ways to choose three of the lexicon's topics.
-    sets = plans.select("topic_set", "topic_keywords", "bonus_ids").dropDuplicates(["topic_set"])
+    lowered = F.transform("topic_keywords", lambda k: F.lower(k)).alias("topic_keywords")
+    sets = plans.select("topic_set", lowered, "bonus_ids").dropDuplicates(["topic_set"])
 
     texts = threads.select(
         "ord_raw", "createdAt_ts", "thread_id", *[c for c in ("metrics",) if c in threads.columns],
@@ -242,16 +242,10 @@ def evidence_for_queries(
     # The lexicon's words come to the driver to build one pattern for all of them.
     lexicon = [k.lower() for row in entries.select("keywords").collect() for k in row["keywords"]]
 
-    by_set = F.transform(
-        "_sets",
-        lambda s: F.struct(
-            s["topic_set"].alias("topic_set"),
-            (total(F.col("_counts"), F.transform(s["topic_keywords"], lambda w: F.lower(w))) * 1.0)
-            .alias("topic_hits"),
-            F.when(F.array_contains(s["bonus_ids"], F.col("thread_id")), BONUS)
-            .otherwise(0.0).alias("bonus"),
-        ),
-    )
+    by_set = F.expr(f"""transform(_sets, s -> named_struct(
+        'topic_set', s.topic_set,
+        'topic_hits', cast({total_sql("_counts", "s.topic_keywords")} as double),
+        'bonus', case when array_contains(s.bonus_ids, thread_id) then {BONUS}D else 0D end))""")
     # One pass over the texts: scores per topic set, and the words.
     scored = computed_once(
         texts.withColumn("_counts", keyword_counts(F.col("_lower"), lexicon)).withColumn("_sets", set_list),
@@ -298,7 +292,7 @@ def evidence_for_queries(
             F.col("weight").alias("hits"),
         )
     )
-    total = F.col("hits") * 2.0 + F.col("topic_hits") + F.col("boost") + F.col("bonus")
+    summed = F.col("hits") * 2.0 + F.col("topic_hits") + F.col("boost") + F.col("bonus")
     candidates = (
         hits.unionByName(leading)
         .groupBy("query_id", "ord_raw", "createdAt_ts")
@@ -306,7 +300,7 @@ def evidence_for_queries(
             F.sum("hits").alias("hits"),
             *[F.max(c).alias(c) for c in ("topic_hits", "boost", "bonus")],
         )
-        .withColumn("score", total)
+        .withColumn("score", summed)
         .where("score > 0")
     )
     order = [F.col("score").desc(), *thread_order()]
