@@ -19,6 +19,7 @@ UNEVEN_SPACE = rf"[\x20{_OTHER_SPACES}{_WIDE}]{{2,}}|[{_OTHER_SPACES}{_WIDE}]"
 WORD_CHAR = r"[\p{L}\p{N}_]"
 _BOUNDARY = f"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
 
+_BOUNDED = re.compile(r"\\b([A-Za-z0-9]+)\\b")
 _WHOLE = re.compile(r"[A-Za-z0-9 ]+")
 # Parts of a pattern that are not plain text: groups, classes, escapes, wild cards.
 _GROUP = re.compile(r"\([^()]*\)(?:[?*+]|\{[^}]*\})*")
@@ -27,14 +28,18 @@ _ESCAPE = re.compile(r"\\[A-Za-z](?:[?*+]|\{[^}]*\})*")
 _PLAIN = re.compile(r"[A-Za-z0-9 $]+[?*{]?")
 
 
+def whole_word(word: str) -> str:
+    """Pattern for a word of letters and digits that stands alone. The look back
+    comes after the first letter, so that it is rarely needed."""
+    return f"{word[0]}(?<!{WORD_CHAR}{word[0]}){word[1:]}(?!{WORD_CHAR})"
+
+
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
     """Rewrite a Python pattern so that Java reads ``\\s``, ``\\d``, ``\\b`` and
     ``.`` the way Python does on text."""
-    body = (
-        pattern.replace(r"\b", _BOUNDARY)
-        .replace(r"\s", f"[{SPACE_CHARS}]")
-        .replace(r"\d", r"\p{Nd}")
-    )
+    word = _BOUNDED.fullmatch(pattern)
+    body = whole_word(word.group(1)) if word else pattern.replace(r"\b", _BOUNDARY)
+    body = body.replace(r"\s", f"[{SPACE_CHARS}]").replace(r"\d", r"\p{Nd}")
     return ("(?iud)" if ignore_case else "(?d)") + body
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import UNEVEN_SPACE, WORD_CHAR
+from corpuslens.functions.patterns import UNEVEN_SPACE, WORD_CHAR, whole_word
 from corpuslens.lexicons import STOP_WORDS
 
 
@@ -56,9 +56,8 @@ def substring_count(text: Column, keyword: Column) -> Column:
 
 def word_count(text: Column, word: str) -> Column:
     """How often ``word`` (letters and digits) occurs in ``text`` as a whole word."""
-    pattern = f"(?<!{WORD_CHAR}){word}(?!{WORD_CHAR})"
     return F.when(
-        F.contains(text, F.lit(word)), F.regexp_count(text, F.lit(pattern)).cast("long")
+        F.contains(text, F.lit(word)), F.regexp_count(text, F.lit(whole_word(word))).cast("long")
     ).otherwise(F.lit(0).cast("long"))
 
 

@@ -172,8 +172,9 @@ def evidence_pack(
     ``(ord_raw, metrics)`` when the threads do not carry them. A thread with any
     engagement has a score above 0; ``require_match`` asks for a keyword too.
 
-    Ranking moves keys and numbers only. The texts of the ``k`` chosen threads are
-    then read by a broadcast join on the keys.
+    Ranking moves keys and numbers only; its ``k`` rows come to the driver. The texts
+    of the chosen threads are then read by their keys, a filter that reaches the scan
+    and skips the row groups without any of them.
     """
     keywords, topic_keywords, bonus_ids = single_query_plan(entries, query)
     scored = score_threads(threads, keywords, topic_keywords, bonus_ids)
@@ -185,7 +186,13 @@ def evidence_pack(
         "ord_raw", "createdAt_ts", "metrics", "engagement", "score"
     )
     best = number_rows(ranked, [F.col("score").desc(), *thread_order()], k)
-    texts = threads.drop("metrics", "createdAt_ts").join(F.broadcast(best), "ord_raw")
+    rows = best.drop("createdAt_ts").collect()
+    chosen = threads.sparkSession.createDataFrame(rows, best.drop("createdAt_ts").schema)
+    texts = (
+        threads.where(F.col("ord_raw").isin([row["ord_raw"] for row in rows]))
+        .drop("metrics", "createdAt_ts")
+        .join(F.broadcast(chosen), "ord_raw")
+    )
     matched = matched_keywords(
         scoring_text(),
         string_array(keywords), string_array(topic_keywords),
@@ -230,67 +237,67 @@ def evidence_for_queries(
     by an equality join of words.
     """
     plans = query_plans(queries, entries)
+    lowered = F.transform("topic_keywords", lambda k: F.lower(k)).alias("words")
     # Distinct topic sets: at most the ways to choose three of the lexicon's topics.
-    lowered = F.transform("topic_keywords", lambda k: F.lower(k)).alias("topic_keywords")
     sets = plans.select("topic_set", lowered, "bonus_ids").dropDuplicates(["topic_set"])
-
-    texts = threads.select(
-        "ord_raw", "createdAt_ts", "thread_id", *[c for c in ("metrics",) if c in threads.columns],
-        scoring_text().alias("_lower"),
-    )
-    set_list = sets.agg(F.collect_list(F.struct("*")).alias("sets")).scalar()
-    # The lexicon's words come to the driver to build one pattern for all of them.
-    lexicon = [k.lower() for row in entries.select("keywords").collect() for k in row["keywords"]]
-
-    by_set = F.expr(f"""transform(_sets, s -> named_struct(
-        'topic_set', s.topic_set,
-        'topic_hits', cast({total_sql("_counts", "s.topic_keywords")} as double),
-        'bonus', case when array_contains(s.bonus_ids, thread_id) then {BONUS}D else 0D end))""")
-    # One pass over the texts: scores per topic set, and the words.
-    scored = computed_once(
-        texts.withColumn("_counts", keyword_counts(F.col("_lower"), lexicon)).withColumn("_sets", set_list),
-        [c for c in texts.columns if c != "_lower"],
-        by_set=by_set, words=tx.words(F.col("_lower")),
+    set_list = sets.agg(
+        F.array_sort(F.collect_list(F.struct("topic_set", "words", "bonus_ids"))).alias("sets")
+    ).scalar()
+    plans = plans.withColumn("_sets", set_list).select(
+        "query_id", "keywords",
+        F.expr("array_position(transform(_sets, s -> s.topic_set), topic_set)").alias("set_no"),
     )
-    if metrics is not None:
-        scored = scored.join(metrics, "ord_raw")
-    scored = with_engagement(scored).withColumn("boost", _boost(F.col("engagement")))
 
-    base = scored.select(
-        "ord_raw", "createdAt_ts", "boost", F.explode("by_set").alias("s")
+    # The lexicon's words come to the driver to be looked for all at once.
+    lexicon = [k.lower() for row in entries.select("keywords").collect() for k in row["keywords"]]
+    keep = ["ord_raw", "createdAt_ts"] + [c for c in ("metrics",) if c in threads.columns]
+    texts = threads.select(*keep, "thread_id", scoring_text().alias("_lower"))
+    counted = texts.withColumn("_counts", keyword_counts(F.col("_lower"), lexicon))
+    per_set = {
+        "topic_hits": F.expr(
+            f"transform(_sets, s -> cast({total_sql('_counts', 's.words')} as double))"
+        ),
+        "bonus": F.expr(
+            f"transform(_sets, s -> if(array_contains(s.bonus_ids, thread_id), {BONUS}D, 0D))"
+        ),
+    }
+
+    def scored(**more: Column) -> DataFrame:
+        """Scores per topic set as arrays, by number of the set; one pass over the texts."""
+        frame = computed_once(counted.withColumn("_sets", set_list), keep, **per_set, **more)
+        if metrics is not None:
+            frame = frame.join(metrics, "ord_raw")
+        return with_engagement(frame).withColumn("boost", _boost(F.col("engagement")))
+
+    parts = ["topic_hits", "boost", "bonus"]
+    base = scored().select(
+        "ord_raw", "createdAt_ts", "boost",
+        F.posexplode(F.arrays_zip("topic_hits", "bonus")).alias("at", "s"),
     ).select(
-        "s.topic_set", "ord_raw", "createdAt_ts",
-        # Kept in the order of the single-query score: words, topics, boost, bonus.
-        F.col("s.topic_hits"), "boost", F.col("s.bonus"),
-        (F.col("s.topic_hits") + F.col("boost") + F.col("s.bonus")).alias("base"),
+        (F.col("at") + 1).cast("long").alias("set_no"), "ord_raw", "createdAt_ts", "s.topic_hits",
+        "boost", "s.bonus",
     )
+    base = base.withColumn("base", F.col("topic_hits") + F.col("boost") + F.col("bonus"))
     leaders = top_per_key(
-        base.where("base > 0"), ["topic_set"], [F.col("base").desc(), *thread_order()], k, spread=32
+        base.where("base > 0"), ["set_no"], [F.col("base").desc(), *thread_order()], k, spread=32
     )
     # At most k rows per topic set.
-    leading = plans.join(F.broadcast(leaders), "topic_set").select(
-        "query_id", "ord_raw", "createdAt_ts", "topic_hits", "boost", "bonus",
-        F.lit(0).cast("long").alias("hits"),
+    leading = plans.join(F.broadcast(leaders), "set_no").select(
+        "query_id", "ord_raw", "createdAt_ts", *parts, F.lit(0).cast("long").alias("hits")
     )
 
     wanted = broadcast_if_small(
-        plans.select("query_id", "topic_set", F.explode("keywords").alias("word"))
-        .groupBy("query_id", "topic_set", "word")
-        .agg(F.count("*").alias("weight"))
+        plans.select("query_id", "set_no", F.explode("keywords").alias("word"))
+        .groupBy("query_id", "set_no", "word")
+        .agg(F.count("*").alias("hits"))
     )
-    hits = (
-        scored.select("ord_raw", "createdAt_ts", "by_set", "boost", F.explode("words").alias("word"))
-        .join(wanted, "word")
-        .select(
-            "query_id", "ord_raw", "createdAt_ts", "boost", "weight",
-            F.element_at(
-                F.filter("by_set", lambda s: s["topic_set"] == F.col("topic_set")), 1
-            ).alias("s"),
-        )
-        .select(
-            "query_id", "ord_raw", "createdAt_ts", "s.topic_hits", "boost", "s.bonus",
-            F.col("weight").alias("hits"),
-        )
+    words = scored(words=tx.words(F.col("_lower"))).select(
+        "ord_raw", "createdAt_ts", *parts, F.explode("words").alias("word")
+    )
+    number = F.col("set_no").cast("int")
+    hits = words.join(wanted, "word").select(
+        "query_id", "ord_raw", "createdAt_ts", F.element_at("topic_hits", number).alias("topic_hits"),
+        "boost", F.element_at("bonus", number).alias("bonus"), "hits",
     )
     summed = F.col("hits") * 2.0 + F.col("topic_hits") + F.col("boost") + F.col("bonus")
     candidates = (
@@ -298,7 +305,7 @@ def evidence_for_queries(
         .groupBy("query_id", "ord_raw", "createdAt_ts")
         .agg(
             F.sum("hits").alias("hits"),
-            *[F.max(c).alias(c) for c in ("topic_hits", "boost", "bonus")],
+            *[F.max(c).alias(c) for c in parts],
         )
         .withColumn("score", summed)
         .where("score > 0")
