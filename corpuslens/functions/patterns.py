@@ -39,7 +39,7 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     ``.`` the way Python does on text."""
     word = _BOUNDED.fullmatch(pattern)
     body = whole_word(word.group(1)) if word else pattern.replace(r"\b", _BOUNDARY)
-    body = body.replace(r"\s", f"[{SPACE_CHARS}]").replace(r"\d", r"\p{Nd}")
+    body = body.replace(r"\s", rf"[\x20{_OTHER_SPACES}{_WIDE}]").replace(r"\d", r"\p{Nd}")
     return ("(?iud)" if ignore_case else "(?d)") + body
 
 

@@ -4,26 +4,42 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from corpuslens.sources import schemas
 
 
-def _input_order(df: DataFrame) -> DataFrame:
-    """Add ``ord_raw``: file name, place of the split in the file, place in the split.
-
-    One sort by those three, so that the number grows with the place even when
-    Spark reads several files in another order.
-    """
-    at = ["_file", "_block", "_row"]
-    placed = df.withColumn("_row", F.monotonically_increasing_id())
-    return placed.orderBy(*at).drop(*at).withColumn("ord_raw", F.monotonically_increasing_id())
+# Places packed into one number: file, megabyte of the file its split starts in,
+# row among those its task read.
+_FILE_BITS, _SPLIT_BITS, _ROW_BITS = 20, 20, 23
 
 
-def _with_place(df: DataFrame) -> DataFrame:
-    return df.select(
+def _input_order(scan: DataFrame) -> DataFrame:
+    """Add ``ord_raw``, which grows with the place in the dump: files by name, then
+    splits, then rows. A projection, so texts are not moved to be numbered. Files
+    that do not fit its number range fail instead of being misplaced. Splits must
+    be at least a megabyte (``spark.sql.files.maxPartitionBytes``), as they are
+    unless set otherwise.
+    """
+    files = sorted(scan.inputFiles())
+    if len(files) >= 2**_FILE_BITS:
+        raise ValueError("too many files to number the posts")
+    ranks = scan.sparkSession.createDataFrame(
+        [(name, rank) for rank, name in enumerate(files)], "_file string, _rank long"
+    )
+    placed = scan.select(
         "*",
-        F.col("_metadata.file_path").alias("_file"),
-        F.col("_metadata.file_block_start").alias("_block"),
+        F.input_file_name().alias("_file"),
+        F.shiftright(F.col("_metadata.file_block_start"), 20).alias("_split"),
+        F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("_row"),
+    ).join(F.broadcast(ranks), "_file", "left")
+    number = (
+        F.shiftleft("_rank", _SPLIT_BITS + _ROW_BITS) + F.shiftleft("_split", _ROW_BITS) + F.col("_row")
+    )
+    fits = F.col("_rank").isNotNull() & (F.col("_row") < 2**_ROW_BITS) & (F.col("_split") < 2**_SPLIT_BITS)
+    failed = F.raise_error(F.concat(F.lit("cannot number the posts of "), "_file")).cast("long")
+    return placed.withColumn("ord_raw", F.when(fits, number).otherwise(failed)).drop(
+        "_file", "_rank", "_split", "_row"
     )
 
 
@@ -32,18 +48,31 @@ def read_posts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame
 
     A dump is one JSON array per file, and each such file is one task; large
     dumps should be many files, or one object per line (``lines=True``, which
-    splits). The sort behind ``ord_raw`` also spreads a single file's posts.
+    splits). Few files are spread over all cores once read.
     """
-    raw = spark.read.schema(schemas.RAW_POST).option("multiLine", not lines).json(path)
-    return _input_order(_with_place(raw))
+    scan = spark.read.schema(schemas.RAW_POST).option("multiLine", not lines).json(path)
+    cores = spark.sparkContext.defaultParallelism
+    numbered = _input_order(scan)
+    few = scan.rdd.getNumPartitions() < cores
+    return numbered.repartition(cores, "ord_raw") if few else numbered
 
 
 def read_threads(spark: SparkSession, path: str) -> DataFrame:
     """Threads from JSON lines. Files without ``ord_raw`` are numbered in file
     order; write such a frame to a table once and go on from there."""
-    threads = _with_place(spark.read.schema(schemas.THREAD).json(path))
+    threads = spark.read.schema(schemas.THREAD).json(path)
     numbered = threads.select("ord_raw").where("ord_raw is not null").limit(1).count() > 0
-    return threads.drop("_file", "_block") if numbered else _input_order(threads.drop("ord_raw"))
+    if numbered:
+        return threads
+    unnumbered = ", ".join(
+        part for part in _columns(schemas.THREAD) if not part.startswith("ord_raw ")
+    )
+    return _input_order(spark.read.schema(unnumbered).json(path))
+
+
+def _columns(schema: str) -> list[str]:
+    """The top-level fields of a schema text."""
+    return [f"{f.name} {f.dataType.simpleString()}" for f in StructType.fromDDL(schema).fields]
 
 
 def read_comments(spark: SparkSession, path: str) -> DataFrame:

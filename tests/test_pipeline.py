@@ -237,6 +237,23 @@ def test_files_read_back(spark, built):
     assert [r["url"] for r in numbered.orderBy("ord_raw").collect()] == sorted(r["url"] for r in again.collect())
 
 
+def test_many_files_are_numbered_in_name_order(spark, tmp_path):
+    sizes = [3, 500, 1, 120]
+    for n, size in enumerate(sizes):
+        rows = [json.dumps({"url": f"{n}-{i:04d}", "text": "x" * 50}) for i in range(size)]
+        (tmp_path / f"part-{n}.json").write_text("\n".join(rows))
+    posts = readers.read_posts(spark, str(tmp_path), lines=True).orderBy("ord_raw").collect()
+    assert [p["url"] for p in posts] == [f"{n}-{i:04d}" for n, size in enumerate(sizes) for i in range(size)]
+    big = tmp_path / "big"
+    big.mkdir()
+    rows = [json.dumps({"url": f"{i:06d}", "text": "y" * 300}) for i in range(40000)]
+    (big / "one file.json").write_text("\n".join(rows))
+    frame = readers.read_posts(spark, str(big), lines=True)
+    assert [p["url"] for p in frame.select("url", "ord_raw").orderBy("ord_raw").collect()] == [
+        f"{i:06d}" for i in range(40000)
+    ]
+
+
 def test_empty_corpus(spark, built):
     empty = built[1].where(F.lit(False))
     features = thread_features(empty)
