@@ -85,9 +85,13 @@ def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Raw posts without comments or counters: a projection of the documents."""
-    return _post_columns(texts(spark, sf_dir, "documents", "doc_id")).select(
+def posts(spark: SparkSession, sf_dir: str, keys_only: bool = False) -> DataFrame:
+    """Raw posts without comments or counters: a projection of the documents.
+    Queries that leave the texts alone take ``keys_only`` and need no spreading."""
+    documents = (
+        table(spark, sf_dir, "documents") if keys_only else texts(spark, sf_dir, "documents", "doc_id")
+    )
+    return _post_columns(documents).select(
         "*",
         *[F.lit(0).cast("long").alias(c) for c in ("reactionCount", "shareCount", "commentCount")],
         F.lit(None).cast(
@@ -117,9 +121,9 @@ def posts_with_comments(spark: SparkSession, sf_dir: str, first: int | None = No
     return posts(spark, sf_dir).drop("topComments").join(nested, "ord_raw", "left")
 
 
-def threads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Cleaned threads without comments or metrics. No shuffle."""
-    return ingest.clean_threads(posts(spark, sf_dir)).drop("metrics")
+def threads(spark: SparkSession, sf_dir: str, keys_only: bool = False) -> DataFrame:
+    """Cleaned threads without comments or metrics."""
+    return ingest.clean_threads(posts(spark, sf_dir, keys_only)).drop("metrics")
 
 
 def threads_with_comments(spark: SparkSession, sf_dir: str, first: int | None = None) -> DataFrame:

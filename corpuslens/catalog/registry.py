@@ -59,18 +59,20 @@ def clean_threads(spark: SparkSession, sf: str) -> DataFrame:
 @query
 def threads_newest_first(spark: SparkSession, sf: str) -> DataFrame:
     """Keys of the threads in thread order, the order of the cleaned file."""
-    keys = ad.threads(spark, sf).select("thread_id", "createdAt_iso", "createdAt_ts", "ord_raw")
+    keys = ad.threads(spark, sf, keys_only=True).select("thread_id", "createdAt_iso", "createdAt_ts", "ord_raw")
     return keys.orderBy(*thread_order())
 
 
 @query
 def clean_comments(spark: SparkSession, sf: str) -> DataFrame:
-    return ingest.clean_flat_comments(ad.raw_comments(spark, sf), ad.threads(spark, sf)).drop("text_raw")
+    return ingest.clean_flat_comments(
+        ad.raw_comments(spark, sf), ad.threads(spark, sf, keys_only=True)
+    ).drop("text_raw")
 
 
 def _counted_threads(spark: SparkSession, sf: str) -> DataFrame:
     """Thread keys with metrics and number of comments; no texts."""
-    keys = ad.threads(spark, sf).select("ord_raw", "thread_id", "createdAt_ts", "createdAt_iso", "url")
+    keys = ad.threads(spark, sf, keys_only=True).select("ord_raw", "thread_id", "createdAt_ts", "createdAt_iso", "url")
     counted = ad.with_metrics(spark, sf, keys).join(ad.comment_counts(spark, sf), "ord_raw", "left")
     return counted.withColumn("comments_n", F.coalesce("comments_n", F.lit(0)))
 
@@ -94,12 +96,12 @@ def snippets(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def threads_per_month(spark: SparkSession, sf: str) -> DataFrame:
-    return engagement.threads_per_month(ad.threads(spark, sf))
+    return engagement.threads_per_month(ad.threads(spark, sf, keys_only=True))
 
 
 @query
 def top_months(spark: SparkSession, sf: str) -> DataFrame:
-    return engagement.top_months(ad.threads(spark, sf))
+    return engagement.top_months(ad.threads(spark, sf, keys_only=True))
 
 
 @query
