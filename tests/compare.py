@@ -76,7 +76,7 @@ if __name__ == "__main__":
     spark.sparkContext.setLogLevel("ERROR")
     con = connect(sf)
     oracle = contract.oracle_sql()
-    chosen = sys.argv[2:] or list(contract.queries())
+    chosen = sys.argv[2:] or list(oracle)
     for name in chosen:
         began = time.time()
         try:
