@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.exact_dedup import exact_groups
+from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.sharding import shard_documents
+from corpuslens.llm.token_counts import count_tokens
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -44,3 +46,21 @@ def op7_jump_sharding(spark: SparkSession, sf: str) -> DataFrame:
     """All documents in 16 shards by their id."""
     rows = shard_documents(table(spark, sf, "documents"), 16)
     return rows.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
+
+
+def word_tokenizer() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+@query
+def op3_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
+    """All documents in sequences of 4096 tokens."""
+    return pack_documents(table(spark, sf, "documents"), word_tokenizer(), 4096, 2)
+
+
+@query
+def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Token counts of all documents."""
+    return count_tokens(table(spark, sf, "documents"), word_tokenizer(), 2048)
