@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.llm.bagminhash import near_duplicates
 from corpuslens.llm.exact_dedup import exact_groups
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.sharding import shard_documents
@@ -64,3 +65,9 @@ def op3_harmonic_packing(spark: SparkSession, sf: str) -> DataFrame:
 def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Token counts of all documents."""
     return count_tokens(table(spark, sf, "documents"), word_tokenizer(), 2048)
+
+
+@query
+def op8_bagminhash(spark: SparkSession, sf: str) -> DataFrame:
+    """Near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
+    return near_duplicates(table(spark, sf, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "class_size", "kept")
