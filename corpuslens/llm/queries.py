@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.bagminhash import near_duplicates
+from corpuslens.llm.decontamination import contamination_report
 from corpuslens.llm.exact_dedup import exact_groups
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.sharding import shard_documents
@@ -71,3 +72,10 @@ def op9_token_counts(spark: SparkSession, sf: str) -> DataFrame:
 def op8_bagminhash(spark: SparkSession, sf: str) -> DataFrame:
     """Near-duplicate class of every document: five-word shingles, similarity 0.8 or more."""
     return near_duplicates(table(spark, sf, "documents"), n=5, threshold=0.8).select("doc_id", "class_id", "class_size", "kept")
+
+
+@query
+def op10_seed_alignment(spark: SparkSession, sf: str) -> DataFrame:
+    """Which documents hold copies of benchmark items."""
+    report = contamination_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
+    return report.select("doc_id", "contaminated", "items", "item_id", "score")

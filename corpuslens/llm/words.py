@@ -12,6 +12,8 @@ import pyarrow as pa
 BLOCK = 1 << 20
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Everything in ASCII but letters and digits.
+MARKS = np.array([b < 128 and not chr(b).isalnum() for b in range(256)])
 _G = 0x9E3779B97F4A7C15
 _BASE = 0xD6E8FEB86659FD93  # odd, so that its powers can be divided by
 
@@ -51,9 +53,11 @@ def _folded() -> np.ndarray:
 _FOLDED = _folded()
 
 
-def _hash_block(data: np.ndarray, breaks: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _hash_block(
+    data: np.ndarray, breaks: np.ndarray, letters: np.ndarray, gaps: np.ndarray
+) -> tuple[np.ndarray, np.ndarray]:
     """Hashes and first bytes of the words of a block; ``breaks`` are places where a text begins."""
-    gap = SPACE[data]
+    gap = gaps[data]
     begins = ~gap
     begins[1:] &= gap[:-1]
     firsts = breaks[breaks < len(data)]
@@ -70,10 +74,10 @@ def _hash_block(data: np.ndarray, breaks: np.ndarray, letters: np.ndarray) -> tu
     return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), a
 
 
-def hashed_words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.ndarray]:
+def hashed_words(texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and where each text's words begin (n + 1 places).
 
-    Words are runs of anything but ASCII white space; ``fold`` lowers A to Z. Nulls
+    Words are runs of bytes that are no ``gaps``; ``fold`` lowers A to Z. Nulls
     count as empty. Long texts are cut between words, so memory stays bounded by the
     block and eight bytes a word.
     """
@@ -94,20 +98,20 @@ def hashed_words(texts: pa.Array, fold: bool = False) -> tuple[np.ndarray, np.nd
             edge = int(offsets[np.searchsorted(offsets, upto, side="right") - 1])
             if edge > at:
                 upto = edge
-            else:  # one long text: cut at its last white space in the block, or where it ends
-                spaces = np.flatnonzero(SPACE[data[at:upto]])
+            else:  # one long text: cut at its last gap in the block, or where it ends
+                spaces = np.flatnonzero(gaps[data[at:upto]])
                 end = int(offsets[np.searchsorted(offsets, at, side="right")])
                 if len(spaces):
                     upto = at + int(spaces[-1]) + 1
                 else:
-                    while upto < end and not SPACE[data[upto]]:
+                    while upto < end and not gaps[data[upto]]:
                         upto = min(end, upto + BLOCK)
-                        more = np.flatnonzero(SPACE[data[at:upto]])
+                        more = np.flatnonzero(gaps[data[at:upto]])
                         if len(more):
                             upto = at + int(more[0]) + 1
                             break
         lo, hi = np.searchsorted(offsets, (at, upto), side="left")
-        h, a = _hash_block(data[at:upto], (offsets[lo:hi] - at).astype(np.int64), letters)
+        h, a = _hash_block(data[at:upto], (offsets[lo:hi] - at).astype(np.int64), letters, gaps)
         hashes.append(h)
         starts.append(a + at)
         at = upto
