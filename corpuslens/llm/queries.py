@@ -13,6 +13,7 @@ from corpuslens.llm.exact_dedup import exact_groups
 from corpuslens.llm.packing import pack_documents
 from corpuslens.llm.sharding import shard_documents
 from corpuslens.llm.token_counts import count_tokens
+from corpuslens.llm.toxicity import fit, held_out, score_toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -79,3 +80,13 @@ def op10_seed_alignment(spark: SparkSession, sf: str) -> DataFrame:
     """Which documents hold copies of benchmark items."""
     report = contamination_report(table(spark, sf, "documents"), table(spark, sf, "benchmark"))
     return report.select("doc_id", "contaminated", "items", "item_id", "score")
+
+
+@query
+def op1_noisy_channel_toxicity(spark: SparkSession, sf: str) -> DataFrame:
+    """Toxicity score of every document; labels of held-out documents are not seen."""
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels")
+    fitted = fit(docs, labels, ~held_out(F.col("doc_id")))
+    scored = score_toxicity(docs.select("doc_id", "text"), fitted)
+    out = F.coalesce(held_out(F.col("doc_id")), F.lit(False))
+    return scored.select("doc_id", out.alias("held_out"), "score", "predicted")
