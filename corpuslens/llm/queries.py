@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.llm import brown
 from corpuslens.llm.bagminhash import near_duplicates
 from corpuslens.llm.chat import conversation_digests, format_turns
 from corpuslens.llm.decontamination import contamination_report
@@ -168,3 +169,12 @@ select page_id, host, path, rule,
        case when rule is null then own when rule in ('org/', 'com/fr/') then 'allow' else 'block' end as verdict
 from named
 """
+
+
+@query
+def op5_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
+    """Log probability of every document under a class bigram model of the training documents."""
+    docs = table(spark, sf, "documents").select("doc_id", "text")
+    out = F.coalesce(brown.held_out(F.col("doc_id")), F.lit(False))
+    model = brown.fit(docs.where(~out).select("text"))
+    return brown.score(docs, model).withColumn("held_out", out)

@@ -55,8 +55,8 @@ _FOLDED = _folded()
 
 def _hash_block(
     data: np.ndarray, breaks: np.ndarray, letters: np.ndarray, gaps: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes and first bytes of the words of a block; ``breaks`` are places where a text begins."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes, first bytes and ends of the words of a block; ``breaks`` are places where a text begins."""
     gap = gaps[data]
     begins = ~gap
     begins[1:] &= gap[:-1]
@@ -71,14 +71,26 @@ def _hash_block(
     total = np.empty(len(data) + 1, np.uint64)
     total[0] = 0
     np.cumsum(letters[data] * up[: len(data)], out=total[1:])
-    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), a
+    return mix((total[b] - total[a]) * down[a] + (b - a).astype(np.uint64)), a, b
+
 
+def _endings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """A hash of each word's last three bytes, A to Z lowered, with one closing mark apart."""
+    mark = MARKS[data[b - 1]] & (b - a > 1)
+    out = np.where(mark, _FOLDED[data[b - 1]], np.uint64(0))
+    for k in range(1, 4):
+        at = b - mark - k
+        out = out * np.uint64(_BASE) + np.where(at >= a, _FOLDED[data[np.maximum(at, 0)]], np.uint64(1))
+    return mix(out)
 
-def hashed_words(texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+
+def hashed_words(
+    texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACE, endings: list | None = None
+) -> tuple[np.ndarray, np.ndarray]:
     """Word hashes of all texts in a row, and where each text's words begin (n + 1 places).
 
     Words are runs of bytes that are no ``gaps``; ``fold`` lowers A to Z. Nulls
-    count as empty. Long texts are cut between words, so memory stays bounded by the
+    count as empty; ``endings`` takes arrays of hashes of how the words end. Long texts are cut between words, so memory stays bounded by the
     block and eight bytes a word.
     """
     if isinstance(texts, pa.ChunkedArray):
@@ -111,8 +123,10 @@ def hashed_words(texts: pa.Array, fold: bool = False, gaps: np.ndarray = SPACE)
                             upto = at + int(more[0]) + 1
                             break
         lo, hi = np.searchsorted(offsets, (at, upto), side="left")
-        h, a = _hash_block(data[at:upto], (offsets[lo:hi] - at).astype(np.int64), letters, gaps)
+        h, a, b = _hash_block(data[at:upto], (offsets[lo:hi] - at).astype(np.int64), letters, gaps)
         hashes.append(h)
+        if endings is not None:
+            endings.append(_endings(data[at:upto], a, b))
         starts.append(a + at)
         at = upto
     if not hashes:
