@@ -68,13 +68,13 @@ def _post_columns(documents: DataFrame) -> DataFrame:
 
 
 def raw_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Flat raw comments ``(ord_raw, idx, url, createdAt, text, author)``: the
-    turns of a conversation after its first."""
-    turns = table(spark, sf_dir, "conversations").where("turn > 0")
+    """Flat raw comments ``(ord_raw, idx, url, createdAt, text, author)``: all turns
+    of the conversations."""
+    turns = table(spark, sf_dir, "conversations")
     number = (F.col("conv_id") * 100 + F.col("turn")).cast("string")
     return turns.select(
         F.col("conv_id").alias("ord_raw"),
-        (F.col("turn") - 1).alias("idx"),
+        F.col("turn").alias("idx"),
         F.when(F.col("turn") % 3 == 0, F.concat(F.lit(f"{FORUM}/c/"), number))
         .otherwise(F.concat(F.lit(f"{FORUM}/c?comment_id="), number)).alias("url"),
         F.when(F.col("turn") % 4 == 0, F.lit(0))
@@ -191,9 +191,30 @@ def money_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cleaned.select("c.*", "ord_raw", "idx")
 
 
+def money_threads_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The threads of :func:`money_threads`, each with its line items as comments inside."""
+    key = F.col("l_orderkey") * 100 + F.col("l_linenumber")
+    text = F.concat(
+        F.lit("Paid $"), F.col("l_quantity").cast("long").cast("string"),
+        F.lit(" per visit, monthly\n"), F.col("l_linenumber").cast("string"), F.lit(" to 9"),
+    )
+    raw = F.struct(
+        F.concat(F.lit(f"{FORUM}/c?comment_id="), key.cast("string")).alias("url"),
+        F.lit(0).cast("long").alias("createdAt"), text.alias("text"),
+        F.struct(F.lit("").alias("name")).alias("author"),
+    )
+    nested = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ord_raw")).agg(
+        F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("at"), raw.alias("c")))).alias("c")
+    )
+    cleaned = nested.select(
+        "ord_raw", F.transform("c.c", lambda c, i: ingest.comment_struct(c, F.lit(""), i)).alias("comments")
+    )
+    return money_threads(spark, sf_dir).drop("comments").join(cleaned, "ord_raw", "left")
+
+
 def comment_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(ord_raw, comments_n)`` for threads with comments."""
-    turns = table(spark, sf_dir, "conversations").where("turn > 0")
+    turns = table(spark, sf_dir, "conversations")
     return turns.groupBy(F.col("conv_id").alias("ord_raw")).agg(F.count("*").alias("comments_n"))
 
 

@@ -62,11 +62,11 @@ _BLOCKS = {
                coalesce(nullif(text_clean, ''), nullif(text_raw, ''), '') as post
         from posts""",
     "replies": f"""
-        select conv_id as ord_raw, turn - 1 as idx, role, text as text_raw, {_clean('text')} as text_clean,
+        select conv_id as ord_raw, turn as idx, role, text as text_raw, {_clean('text')} as text_clean,
                case when turn % 3 = 0 then '{FORUM}/c/' || cast(conv_id * 100 + turn as varchar)
                     else '{FORUM}/c?comment_id=' || cast(conv_id * 100 + turn as varchar) end as url,
                case when turn % 4 = 0 then 0 else 1640995200 + conv_id * 7200 + turn * 60 end as ts
-        from conversations where turn > 0""",
+        from conversations""",
     "comments": f"""
         select r.*, t.thread_id,
                case when r.url like '%comment_id=%'
@@ -74,7 +74,7 @@ _BLOCKS = {
                     else t.thread_id || '_comment_' || cast(r.idx as varchar) end as comment_id,
                {_iso('r.ts')} as iso,
                coalesce(nullif(r.text_clean, ''), nullif(r.text_raw, ''), '') as body
-        from replies r join threads t on t.ord_raw = r.ord_raw""",
+        from replies r left join threads t on t.ord_raw = r.ord_raw""",
     "money_posts": f"""
         select o_orderkey as ord_raw, '{FORUM}/p/' || cast(o_orderkey as varchar) as url,
                cast(epoch(o_orderdate) as bigint) as ts,
@@ -103,7 +103,7 @@ _BLOCKS = {
         select 'comment' as source_type, t.thread_id, 'comment_' || cast(number as varchar) as comment_id,
                cast(null as varchar) as iso, '{FORUM}/c?comment_id=' || cast(number as varchar) as url,
                body, m.*
-        from money_comments c join money_threads t on t.ord_raw = c.l_orderkey, lateral (values
+        from money_comments c left join money_threads t on t.ord_raw = c.l_orderkey, lateral (values
             (1, '$' || cast(q as varchar), cast(q as double), null),
             (3, cast(n as varchar) || ' to 9', cast(n as double), 9.0),
             (6, cast(q as varchar) || ' per visit', cast(q as double), null))
@@ -113,9 +113,10 @@ _BLOCKS = {
     "money_around": """
         select *, strpos(lower(body), matched_text) - 1 as spot from money_all""",
     "money_context": """
-        select *, lower(substr(body, greatest(spot - 50, 0) + 1,
-                               least(spot + length(matched_text) + 50, length(body)) - greatest(spot - 50, 0))) as near
-        from money_around""",
+        select *, lower(near_text) as near from (
+            select *, substr(body, greatest(spot - 50, 0) + 1,
+                             least(spot + length(matched_text) + 50, length(body)) - greatest(spot - 50, 0)) as near_text
+            from money_around)""",
     "money_rows": f"""
         select source_type, thread_id, comment_id, iso as "createdAt_iso", url, pattern_pos, matched_text,
                concat_ws('|', cast(x as varchar), cast(y as varchar)) as amount_values,
@@ -127,7 +128,7 @@ _BLOCKS = {
                    case when regexp_matches(near, 'package|bundle') then 'package' end,
                    case when regexp_matches(near, 'membership|monthly|subscription') then 'membership' end,
                    case when regexp_matches(near, 'cash|oop') then 'cash' end) as context_tags,
-               {_snippet('body', 200)} as text_snippet
+               {_snippet('body', 200)} as text_snippet, {_clean('near_text')} as near_clean
         from money_context""",
     "canonical": """
         select page_id, url, split_part(split_part(url, '#', 1), '?', 1) as base,
@@ -170,10 +171,15 @@ def _lexicon_rows() -> str:
 
 _COUNT = "cast((length({t}) - length(replace({t}, {k}, ''))) / length({k}) as bigint)"
 
+_BLOCKS["whole"] = """
+        select t.*, t.post || coalesce(c.all_comments, '') as body
+        from threads t left join (
+            select ord_raw, string_agg(' ' || body, '' order by idx) as all_comments
+            from comments group by 1) c using (ord_raw)"""
 _BLOCKS["lexicon"] = f"select * from {_lexicon_rows()}"
 _BLOCKS["topic_hits"] = f"""
-        select t.ord_raw, l.topic, l.topic_pos, cast(sum({_COUNT.format(t='lower(t.post)', k='l.kw')}) as bigint) as score
-        from threads t join lexicon l on contains(lower(t.post), l.kw) group by 1, 2, 3"""
+        select t.ord_raw, l.topic, l.topic_pos, cast(sum({_COUNT.format(t='lower(t.body)', k='l.kw')}) as bigint) as score
+        from whole t join lexicon l on contains(lower(t.body), l.kw) group by 1, 2, 3"""
 _BLOCKS["ranked_topics"] = """
         select h.topic, h.topic_pos, h.score, t.thread_id, t.url, m.eng,
                row_number() over (partition by h.topic
@@ -208,8 +214,7 @@ def _topics_of(source: str) -> str:
         where overlap > 0"""
 
 
-# Texts queries are matched against: alone, and with the first ten comments.
-_BLOCKS["alone"] = "select ord_raw, lower(post) || ' ' as low from threads"
+# Texts queries are matched against: the post with its first ten comments.
 _BLOCKS["first_ten"] = """
         select ord_raw, string_agg(body, ' ' order by idx) filter (where body <> '') as ten,
                string_agg(body, '|' order by idx) filter (where body <> '' and idx < 5) as five,
@@ -282,13 +287,13 @@ def _entity_blocks(families) -> dict[str, str]:
             number += 1
             if in_upper:
                 word = pattern.replace(r"\b", "")
-                found = f"list_filter({_words('upper(post)')}, lambda w: w = {_text(word)})"
+                found = f"list_filter({_words('upper(body)')}, lambda w: w = {_text(word)})"
             else:
-                found = f"regexp_extract_all(post, {_text('(?i)' + pattern)})"
+                found = f"regexp_extract_all(body, {_text('(?i)' + pattern)})"
             parts.append(
                 f"select ord_raw, ts, thread_id, url, {number} as pat, '{category}' as category, "
                 f"unnest(f) as m, generate_subscripts(f, 1) as spot "
-                f"from (select *, {found} as f from threads)"
+                f"from (select *, {found} as f from whole)"
             )
     return {
         "matches": " union all ".join(parts),
@@ -301,7 +306,7 @@ def _entity_blocks(families) -> dict[str, str]:
             from entity_rows""",
         "entity_stats": """
             select entity, max(category) filter (where from_end = 1) as category,
-                   count(*) as count_mentions,
+                   count(*) as count_mentions, min(place) as first_place,
                    count(distinct thread_id) filter (where nth <= 5) as doc_count_threads,
                    count(distinct thread_id) as doc_count_all,
                    string_agg(thread_id, '|' order by nth) filter (where nth <= 5) as ids,
@@ -312,12 +317,12 @@ def _entity_blocks(families) -> dict[str, str]:
 
 _TAGS = "list_filter([{}], lambda p: p is not null)".format(
     ", ".join(
-        f"case when regexp_matches(post, {_text('(?i)' + p)}) then {_text(p)} end"
+        f"case when regexp_matches(body, {_text('(?i)' + p)}) then {_text(p)} end"
         for p in TEST_MARKETING
     )
 )
 _CANDIDATES = {
-    "tagged": f"select *, {_TAGS} as tags from threads",
+    "tagged": f"select *, {_TAGS} as tags from whole",
     "candidates": """
         select t.*, m.eng, len(tags) + cast(m.eng as double) * cast(0.1 as double) as score
         from tagged t join engaged m using (ord_raw) where len(tags) >= 2 or m.eng >= 20""",
@@ -350,7 +355,7 @@ _PACK = {
     **_ORDER_STATS,
     "sizes": """
         select (select count(*) from threads) as threads,
-               (select count(*) from money_in_posts) as money_mentions,
+               (select count(*) from money_all) as money_mentions,
                (select count(*) from urls) as unique_urls,
                (select count(*) from entity_stats) as unique_entities,
                (select count(*) from candidates) as marketing_candidates""",
@@ -384,7 +389,7 @@ def _evidence_blocks() -> dict[str, str]:
 
 
 def oracle_sql() -> dict[str, str]:
-    scored_many = _scores("asked", "alone")
+    scored_many = _scores("asked", "with_ten")
     return {
         "clean_threads": _sql("""
             select t.ord_raw, t.thread_id, t.iso as "createdAt_iso", t.ts as "createdAt_ts", t.url,
@@ -395,6 +400,9 @@ def oracle_sql() -> dict[str, str]:
         "threads_newest_first": _sql("""
             select thread_id, iso as "createdAt_iso", ts as "createdAt_ts", ord_raw
             from threads order by ts desc, ord_raw"""),
+        "nested_comments": _sql("""
+            select comment_id, thread_id, iso as "createdAt_iso", url, role as author_name, text_clean,
+                   ord_raw, idx from comments where thread_id is not null"""),
         "clean_comments": _sql("""
             select comment_id, thread_id, iso as "createdAt_iso", url, role as author_name, text_clean,
                    ord_raw, idx from comments"""),
@@ -429,7 +437,11 @@ def oracle_sql() -> dict[str, str]:
         "money_mentions": _sql("""
             select thread_id, "createdAt_iso", url, pattern_pos, matched_text, amount_values, context_tags,
                    text_snippet from money_rows where source_type = 'thread'"""),
-        "money_mentions_union": _sql("select * from money_rows"),
+        "money_mentions_union": _sql("select * exclude (near_clean) from money_rows"),
+        "money_mentions_nested": _sql(f"""
+            select source_type, thread_id, comment_id, "createdAt_iso", url, pattern_pos, matched_text,
+                   amount_values, context_tags, text_snippet, {_snippet('near_clean', 100)} as context_snippet
+            from money_rows"""),
         "money_per_month": _sql("""
             select substr(iso, 1, 7) as month, count(*) as n from money_in_posts
             where iso is not null group by 1"""),
@@ -459,6 +471,9 @@ def oracle_sql() -> dict[str, str]:
             select entity, category, count_mentions, doc_count_threads, doc_count_all,
                    ids as sample_thread_ids, urls as sample_urls from entity_stats""",
             extra=_entity_blocks(TEST_ENTITIES)),
+        "entities_top": _sql("""
+            select row_number() over (order by count_mentions desc, first_place) as rank, entity, count_mentions
+            from entity_stats qualify rank <= 100""", extra=_entity_blocks(TEST_ENTITIES)),
         "entities_default_lists": _sql("""
             select entity, category, count(*) as count_mentions from entity_rows group by 1, 2""",
             extra=_entity_blocks(entity_families())),
@@ -494,11 +509,7 @@ def oracle_sql() -> dict[str, str]:
             select t.ord_raw, coalesce(c.five, '') as first_five, coalesce(c.n_ten, 0) as n_ten,
                    w.low as scoring_text
             from threads t join with_ten w using (ord_raw) left join first_ten c using (ord_raw)"""),
-        "full_text": _sql("""
-            select t.ord_raw, t.post || coalesce(c.all_comments, '') as full_text
-            from threads t left join (
-                select ord_raw, string_agg(' ' || body, '' order by idx) as all_comments
-                from comments group by 1) c using (ord_raw)"""),
+        "full_text": _sql("select ord_raw, body as full_text from whole"),
         "evidence_pack": _sql("""
             select rank, thread_id, url, iso as "createdAt_iso", reactions as "reactionCount",
                    shares as "shareCount", comments_n as "commentCount", post as post_text,

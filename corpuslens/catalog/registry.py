@@ -16,6 +16,7 @@ from corpuslens.functions.urls import canonical_url, domain, extract_urls
 from corpuslens.lexicons import OWN_DOMAIN_PREFIXES, TOPICS
 from corpuslens.operators.ordering import thread_order
 from corpuslens.operators.staging import staged
+from corpuslens.operators.topk import number_rows
 from corpuslens.plans import (
     engagement, entities, ingest, links, marketing, money, report, retrieval, topics,
 )
@@ -70,6 +71,12 @@ def clean_comments(spark: SparkSession, sf: str) -> DataFrame:
     ).drop("text_raw")
 
 
+@query
+def nested_comments(spark: SparkSession, sf: str) -> DataFrame:
+    """The comments inside the threads, one row each."""
+    return ingest.flatten_comments(ad.threads_with_comments(spark, sf)).drop("text_raw")
+
+
 def _counted_threads(spark: SparkSession, sf: str) -> DataFrame:
     """Thread keys with metrics and number of comments; no texts."""
     keys = ad.threads(spark, sf, keys_only=True).select("ord_raw", "thread_id", "createdAt_ts", "createdAt_iso", "url")
@@ -127,10 +134,10 @@ def reaction_histogram(spark: SparkSession, sf: str) -> DataFrame:
 # ------------------------------------------------------------------- money
 
 
-def _mention_columns(mentions: DataFrame) -> DataFrame:
+def _mention_columns(mentions: DataFrame, *more: str) -> DataFrame:
     return mentions.select(
         "source_type", "thread_id", "comment_id", "createdAt_iso", "url", "pattern_pos",
-        "matched_text", pipe("amount_values"), pipe("context_tags"), "text_snippet",
+        "matched_text", pipe("amount_values"), pipe("context_tags"), "text_snippet", *more,
     )
 
 
@@ -152,6 +159,15 @@ def money_mentions_union(spark: SparkSession, sf: str) -> DataFrame:
     return _mention_columns(posts.unionByName(comments))
 
 
+@query
+def money_mentions_nested(spark: SparkSession, sf: str) -> DataFrame:
+    """Mentions in posts and in the comments inside them, with the words around."""
+    threads = ad.money_threads_with_comments(spark, sf)
+    features = thread_features(threads, only=["money", "snippet_200", "comment_money"], context=True)
+    mentions = money.money_mentions_table(features)
+    return _mention_columns(mentions, "context_snippet")
+
+
 @query
 def money_per_month(spark: SparkSession, sf: str) -> DataFrame:
     return money.money_per_month(thread_features(ad.money_threads(spark, sf), only=["money"]))
@@ -208,7 +224,7 @@ def domains_by_unique_url(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def entities_found(spark: SparkSession, sf: str) -> DataFrame:
-    features = thread_features(ad.threads(spark, sf), TEST_LEXICONS, only=["entities"])
+    features = thread_features(ad.threads_with_comments(spark, sf), TEST_LEXICONS, only=["entities"])
     rows = staged(entities.entity_occurrences(features), "entities")
     return entities.entities_rollup(rows).select(
         "entity", "category", "count_mentions", "doc_count_threads", "doc_count_all",
@@ -216,10 +232,20 @@ def entities_found(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def entities_top(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred entities of the written table: most mentions first, then first seen."""
+    features = thread_features(ad.threads_with_comments(spark, sf), TEST_LEXICONS, only=["entities"])
+    rolled = entities.entities_rollup(staged(entities.entity_occurrences(features), "entities"))
+    return number_rows(rolled, [F.col("count_mentions").desc(), F.col("first_at")], 100).select(
+        "rank", "entity", "count_mentions"
+    )
+
+
 @query
 def entities_default_lists(spark: SparkSession, sf: str) -> DataFrame:
     """Mentions per entity and category with the default pattern lists."""
-    rows = entities.entity_occurrences(thread_features(ad.threads(spark, sf), only=["entities"]))
+    rows = entities.entity_occurrences(thread_features(ad.threads_with_comments(spark, sf), only=["entities"]))
     return rows.groupBy("entity", "category").agg(F.count("*").alias("count_mentions"))
 
 
@@ -228,7 +254,7 @@ def entities_default_lists(spark: SparkSession, sf: str) -> DataFrame:
 
 @query
 def marketing_candidates(spark: SparkSession, sf: str) -> DataFrame:
-    features = thread_features(ad.threads(spark, sf), TEST_LEXICONS, only=["tags", "snippet_300"])
+    features = thread_features(ad.threads_with_comments(spark, sf), TEST_LEXICONS, only=["tags", "snippet_300"])
     candidates = marketing.marketing_candidates(ad.with_metrics(spark, sf, features))
     return marketing.marketing_top(candidates).select(
         "thread_id", "createdAt_iso", "url", "engagement", pipe("tags_triggered"), "text_snippet",
@@ -251,7 +277,7 @@ def pattern_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _topic_hits(spark: SparkSession, sf: str) -> DataFrame:
-    features = thread_features(ad.threads(spark, sf), only=["scores"])
+    features = thread_features(ad.threads_with_comments(spark, sf), only=["scores"])
     return topics.topic_hits(features)
 
 
@@ -352,7 +378,7 @@ def evidence_preview(spark: SparkSession, sf: str) -> DataFrame:
 def evidence_for_queries(spark: SparkSession, sf: str) -> DataFrame:
     """Best ten threads for every benchmark passage asked as a question."""
     best = retrieval.evidence_for_queries(
-        ad.threads(spark, sf), _entries(spark, sf), ad.free_text_queries(spark, sf), 10,
+        ad.threads_with_comments(spark, sf, first=10), _entries(spark, sf), ad.free_text_queries(spark, sf), 10,
         metrics=ad.post_metrics(spark, sf),
     )
     return best.select("query_id", "rank", "ord_raw", F.round("score", 6).alias("score"))
@@ -363,10 +389,12 @@ def evidence_for_queries(spark: SparkSession, sf: str) -> DataFrame:
 
 def _report_inputs(spark: SparkSession, sf: str):
     docs = thread_features(
-        ad.threads(spark, sf), TEST_LEXICONS, only=["entities", "tags", "snippet_300"]
+        ad.threads_with_comments(spark, sf), TEST_LEXICONS, only=["entities", "tags", "snippet_300"]
     )
     docs = staged(docs, "features")
-    mentions = money.money_mentions_table(_money_features(spark, sf))
+    mentions = money.money_mentions_table(_money_features(spark, sf)).unionByName(
+        money.comment_mentions(ad.money_comments(spark, sf), ad.money_threads(spark, sf))
+    )
     urls = links.url_counts(_link_occurrences(spark, sf))
     found = entities.entity_occurrences(docs).select("entity").distinct()
     candidates = marketing.marketing_candidates(ad.with_metrics(spark, sf, docs))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import is_plain, java_regex, required_text
+from corpuslens.functions.patterns import java_regex, required_text
 from corpuslens.functions.sqltext import NO_STRINGS, quote
 from corpuslens.lexicons import MARKETING_PATTERNS, entity_families
 
@@ -58,8 +58,6 @@ def pattern_tags(text: str, present: str, patterns: list[str] = MARKETING_PATTER
 
     def hit(pattern: str) -> str:
         candidate = _candidate(present, pattern)
-        if is_plain(pattern):
-            return candidate
         return f"{candidate} and rlike({text}, {quote(java_regex(pattern, ignore_case=True))})"
 
     cases = ", ".join(f"case when {hit(p)} then {quote(p)} end" for p in patterns)

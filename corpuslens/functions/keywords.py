@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import importlib.util
 import re
 from collections.abc import Iterator
 
@@ -16,23 +15,20 @@ from corpuslens.functions.text import substring_count
 COUNTS = "array<struct<kw:string,n:bigint>>"
 
 
-def keyword_counts(text: Column, keywords: list[str]) -> Column:
+def keyword_counts(text: Column, keywords: list[str], automaton: bool = False) -> Column:
     """Array of ``(kw, n)`` for the keywords that occur in the text, with how often
     they do without overlapping themselves. Keywords may lie within each other.
 
-    An automaton in Arrow batches passes over the text once. Spark's own functions
-    would search it once per keyword, or try the branches of one long pattern at
-    each character; both take about ten times as long for the topic lexicon. They
-    are the way taken where the automaton's library is missing.
+    Built-in functions by default. ``automaton`` takes an automaton in Arrow batches
+    instead, which needs the library pyahocorasick on every executor. For the topic
+    lexicon on four cores (12 MB of text) it took 1.2 s against 5.5 s.
     """
     keywords = list(dict.fromkeys(keywords))
     if "" in keywords:
         raise ValueError("a keyword may not be empty")
     if not keywords:
         return F.array().cast(COUNTS)
-    if importlib.util.find_spec("ahocorasick"):
-        return _by_automaton(keywords)(text)
-    return _by_pattern(text, keywords)
+    return _by_automaton(keywords)(text) if automaton else _by_pattern(text, keywords)
 
 
 def _by_automaton(keywords: list[str]):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from re import _parser
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,12 +21,6 @@ WORD_CHAR = r"[\p{L}\p{N}_]"
 _BOUNDARY = f"(?:(?<={WORD_CHAR})(?!{WORD_CHAR})|(?<!{WORD_CHAR})(?={WORD_CHAR}))"
 
 _BOUNDED = re.compile(r"\\b([A-Za-z0-9]+)\\b")
-_WHOLE = re.compile(r"[A-Za-z0-9 ]+")
-# Parts of a pattern that are not plain text: groups, classes, escapes, wild cards.
-_GROUP = re.compile(r"\([^()]*\)(?:[?*+]|\{[^}]*\})*")
-_CLASS = re.compile(r"\[[^\]]*\](?:[?*+]|\{[^}]*\})*")
-_ESCAPE = re.compile(r"\\[A-Za-z](?:[?*+]|\{[^}]*\})*")
-_PLAIN = re.compile(r"[A-Za-z0-9 $]+[?*{]?")
 
 
 def whole_word(word: str) -> str:
@@ -34,43 +29,64 @@ def whole_word(word: str) -> str:
     return f"{word[0]}(?<!{WORD_CHAR}{word[0]}){word[1:]}(?!{WORD_CHAR})"
 
 
+# An escape of two characters, so that an escaped backslash is not taken for one.
+_CLASS_ESCAPE = re.compile(r"\\(.)", re.S)
+
+
+def _python_class(match: re.Match) -> str:
+    inside = {
+        "s": rf"[\x20{_OTHER_SPACES}{_WIDE}]", "S": rf"[^\x20{_OTHER_SPACES}{_WIDE_SPACES}]",
+        "d": r"\p{Nd}", "D": r"\P{Nd}", "w": WORD_CHAR, "W": r"[^\p{L}\p{N}_]",
+    }
+    return inside.get(match.group(1), match.group(0))
+
+
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Rewrite a Python pattern so that Java reads ``\\s``, ``\\d``, ``\\b`` and
-    ``.`` the way Python does on text."""
+    """Rewrite a Python pattern so that Java reads ``\\s``, ``\\d``, ``\\w``, their
+    opposites, ``\\b`` and ``.`` the way Python does on text."""
     word = _BOUNDED.fullmatch(pattern)
     body = whole_word(word.group(1)) if word else pattern.replace(r"\b", _BOUNDARY)
-    body = body.replace(r"\s", rf"[\x20{_OTHER_SPACES}{_WIDE}]").replace(r"\d", r"\p{Nd}")
+    body = _CLASS_ESCAPE.sub(_python_class, body)
     return ("(?iud)" if ignore_case else "(?d)") + body
 
 
+def _runs(parts, runs: list[str]) -> None:
+    """Adds the runs of literal ASCII letters, digits, spaces and dollar signs that every
+    match of the parsed pattern holds."""
+    run = ""
+    for kind, value in parts:
+        name = str(kind)
+        char = chr(value) if name == "LITERAL" else ""
+        if char and char.isascii() and (char.isalnum() or char in " $"):
+            run += char
+            continue
+        runs.append(run)
+        run = ""
+        if name == "SUBPATTERN":
+            _runs(value[3], runs)
+        elif name in ("MAX_REPEAT", "MIN_REPEAT", "POSSESSIVE_REPEAT") and value[0] > 0:
+            _runs(value[2], runs)
+    runs.append(run)
+
+
 def required_text(pattern: str) -> str:
     """The longest plain text every match contains; empty when none is certain.
 
-    Used to skip the regex engine on texts that cannot match.
+    Used to skip the regex engine on texts that cannot match. Python's own parser says
+    what is literal: repeats, classes, alternatives, anchors and assertions give nothing.
     """
-    bare = pattern.replace(r"\$", "$")
-    for part in (_ESCAPE, _CLASS):
-        bare = part.sub("\0", bare)
-    while _GROUP.search(bare):
-        bare = _GROUP.sub("\0", bare)
-    if "|" in bare:
-        return ""
-    runs = [run[:-2] if run[-1] in "?*{" else run for run in _PLAIN.findall(bare)]
-    return max(runs, key=len, default="")
-
-
-def is_plain(pattern: str) -> bool:
-    """True when the pattern is plain text, so that finding the text is enough."""
-    return bool(_WHOLE.fullmatch(pattern))
+    runs: list[str] = []
+    _runs(_parser.parse(pattern), runs)
+    return max(runs, key=len)
 
 
 def fold_case(text: Column) -> Column:
-    """Lower case in which every character that equals an ASCII letter when case
-    is ignored becomes that letter (dotted and dotless i, long s, Kelvin sign)."""
-    special = F.lit(False)
-    for char in "İıſK":
-        special = special | F.contains(text, F.lit(char))
-    return F.when(special, F.lower(F.translate(text, "İıſK", "iisk"))).otherwise(F.lower(text))
+    """A form in which the plain text that a pattern requires is found whenever the
+    pattern matches the text with case ignored, or the text in upper case: upper case
+    first, as some letters turn into several there, then lower. The dotted capital i
+    counts as the plain one. It can hold more than the text does, so a pattern that
+    is found here still has to be run."""
+    return F.lower(F.translate(F.upper(text), "İ", "I"))
 
 
 def let(value: Column, body) -> Column:

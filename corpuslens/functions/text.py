@@ -87,9 +87,27 @@ def iso_time(epoch_seconds: Column) -> Column:
     return F.when(epoch_seconds != 0, text)
 
 
+# A date, extended or compact, alone or with a time and an offset behind any one character.
+_ISO_TIME = (
+    r"^(?:(\d{4})-(\d{2})-(\d{2})|(\d{4})(\d{2})(\d{2}))"
+    r"(?:(?s:.)(?:(?:[01]\d|2[0-3])(?::[0-5]\d(?::[0-5]\d(?:[.,]\d+)?)?|[0-5]\d(?:[0-5]\d(?:[.,]\d+)?)?)?"
+    r"(?:Z|[+-](?:[01]\d|2[0-3])(?::?[0-5]\d(?::?[0-5]\d(?:\.\d+)?)?)?)?))?$"
+)
+
+
 def month_key(iso: Column) -> Column:
-    """``YYYY-MM`` of an ISO time in its own offset; null when it does not parse."""
-    return F.when(F.try_to_timestamp(iso).isNotNull(), F.substring(iso, 1, 7))
+    """``YYYY-MM`` of an ISO date or time in its own offset; null when it is none, as
+    for a year or month alone, a time alone, spaces around it or a day that is not in
+    the calendar."""
+
+    def part(extended: int) -> Column:
+        found = F.regexp_extract(iso, _ISO_TIME, extended)
+        return F.when(found != "", found).otherwise(F.regexp_extract(iso, _ISO_TIME, extended + 3))
+
+    year, month, day = part(1), part(2), part(3)
+    dated = F.concat_ws("-", year, month, day)
+    valid = F.rlike(iso, F.lit(_ISO_TIME)) & (year != "0000") & F.try_to_date(dated, "yyyy-MM-dd").isNotNull()
+    return F.when(valid, F.concat_ws("-", year, month))
 
 
 def day_key(iso: Column) -> Column:

@@ -44,7 +44,7 @@ FEATURES = [
 ]
 
 
-def _comment_money(lex: Lexicons) -> Column:
+def _comment_money(lex: Lexicons, context: bool) -> Column:
     """Per comment with a price: its id, time, url, snippet and mentions."""
     text = "coalesce(nullif(c.text_clean, ''), nullif(c.text_raw, ''), '')"
     read = (
@@ -54,7 +54,7 @@ def _comment_money(lex: Lexicons) -> Column:
     clean = f"trim(regexp_replace(c.text, {quote(UNEVEN_SPACE)}, ' '))"
     cut = "case when length(t) <= 200 then t else concat(substring(t, 1, 197), '...') end"
     mentions = money_sql(
-        "c.text", "lower_text", patterns=lex.money_patterns, families=lex.money_context
+        "c.text", "lower_text", patterns=lex.money_patterns, families=lex.money_context, with_context=context
     )
     shaped = (
         "named_struct('comment_id', c.comment_id, 'createdAt_iso', c.createdAt_iso, 'url', c.url, "
@@ -65,11 +65,13 @@ def _comment_money(lex: Lexicons) -> Column:
 
 
 def thread_features(
-    threads: DataFrame, lex: Lexicons | None = None, only: list[str] | None = None
+    threads: DataFrame, lex: Lexicons | None = None, only: list[str] | None = None, context: bool = False,
+    automaton: bool = False,
 ) -> DataFrame:
     """Thread keys plus, per thread: number of comments, snippets, canonical
     ``links``, ``entities``, marketing ``tags``, topic ``scores``, the post's and
-    the comments' ``money``; or ``only`` some of these.
+    the comments' ``money``; or ``only`` some of these. ``context`` adds the words
+    around each price to its mention, ``automaton`` is that of :func:`keyword_counts`.
 
     Needs ``text_clean``, ``text_raw`` and ``comments``; passes on ``metrics``
     when present. Links, entities, tags and topics look at the full text (post
@@ -83,11 +85,11 @@ def thread_features(
             "_lower": F.lower("_full"), "_upper": F.upper("_full"),
         }
     )
-    texts = texts.withColumn("_topic_words", keyword_counts(F.col("_lower"), topic_words(lex.topics)))
+    texts = texts.withColumn("_topic_words", keyword_counts(F.col("_lower"), topic_words(lex.topics), automaton))
     patterns = [p for _, family, _ in lex.entities for p in family] + lex.marketing
     texts = texts.withColumn(
         "_pattern_words",
-        present(keyword_counts(fold_case(F.col("_full")), required_words(patterns))),
+        present(keyword_counts(fold_case(F.col("_full")), required_words(patterns), automaton)),
     )
     build = {
         "comments_n": lambda: F.size("comments"),
@@ -98,9 +100,9 @@ def thread_features(
         "tags": lambda: pattern_tags("_full", "_pattern_words", lex.marketing),
         "scores": lambda: topic_scores("_topic_words", lex.topics),
         "money": lambda: money_mentions(
-            "_post", "_post_lower", patterns=lex.money_patterns, families=lex.money_context
+            "_post", "_post_lower", patterns=lex.money_patterns, families=lex.money_context, with_context=context
         ),
-        "comment_money": lambda: _comment_money(lex),
+        "comment_money": lambda: _comment_money(lex, context),
     }
     keep = THREAD_KEYS + [c for c in ("metrics",) if c in threads.columns]
     return computed_once(texts, keep, **{name: build[name]() for name in only or FEATURES})

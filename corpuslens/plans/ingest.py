@@ -72,11 +72,12 @@ def flatten_comments(threads: DataFrame) -> DataFrame:
 def clean_flat_comments(comments: DataFrame, threads: DataFrame) -> DataFrame:
     """Cleaned comments from a flat raw table ``(ord_raw, idx, url, createdAt,
     text, author)``, joined to their threads for the id. Only ids cross the join
-    from the thread side."""
+    from the thread side. A comment whose thread is absent stays, without a thread id."""
     ids = threads.select("ord_raw", "thread_id")
-    joined = comments.join(ids, "ord_raw")
     raw = F.struct("url", "createdAt", "text", "author")
-    shaped = joined.select("ord_raw", "idx", comment_struct(raw, F.col("thread_id"), F.col("idx")).alias("c"))
+    shaped = comments.join(ids, "ord_raw", "left").select(
+        "ord_raw", "idx", comment_struct(raw, F.col("thread_id"), F.col("idx")).alias("c")
+    )
     return shaped.select("c.*", "ord_raw", "idx")
 
 

@@ -19,15 +19,19 @@ _OUT = [
 def money_mentions_table(features: DataFrame) -> DataFrame:
     """One row per mention, posts and comments together. No shuffle.
 
-    Features without ``comment_money`` give the posts' mentions alone. ``place`` orders the mentions of one thread: post first (comment number -1),
+    Features without ``comment_money`` give the posts' mentions alone; ``context_snippet``
+    is passed on when they have it. ``place`` orders the mentions of one thread: post first (comment number -1),
     then comments, each by pattern and place in the text.
     """
 
+    context = "context_snippet" in features.schema["money"].dataType.elementType.names
+    more = ["context_snippet"] if context else []
+
     def of_post(m: Column, at: Column) -> Column:
         return F.struct(
             F.lit("thread").alias("source_type"), F.lit("").alias("comment_id"),
             F.col("createdAt_iso").alias("createdAt_iso"), F.col("url").alias("url"),
-            m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"],
+            m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"], *[m[c] for c in more],
             F.col("snippet_200").alias("text_snippet"),
             F.struct(F.lit(-1).alias("comment"), at.alias("match_at")).alias("place"),
         )
@@ -37,7 +41,7 @@ def money_mentions_table(features: DataFrame) -> DataFrame:
             c["mentions"],
             lambda m, at: F.struct(
                 F.lit("comment").alias("source_type"), c["comment_id"], c["createdAt_iso"], c["url"],
-                m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"],
+                m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"], *[m[x] for x in more],
                 c["text_snippet"],
                 F.struct(comment.alias("comment"), at.alias("match_at")).alias("place"),
             ),
@@ -49,13 +53,14 @@ def money_mentions_table(features: DataFrame) -> DataFrame:
     both = F.flatten(F.array_compact(F.array(*parts)))
     return features.select(
         "thread_id", "ord_raw", "createdAt_ts", F.explode(both).alias("m")
-    ).select("thread_id", "ord_raw", "createdAt_ts", "m.*").select(*_OUT)
+    ).select("thread_id", "ord_raw", "createdAt_ts", "m.*").select(*_OUT, *more)
 
 
 def comment_mentions(comments: DataFrame, threads: DataFrame) -> DataFrame:
     """Mentions of a flat table of cleaned comments, as rows of
     :func:`money_mentions_table`. They are extracted first; the join for thread id
-    and order then moves mentions, not texts."""
+    and order then moves mentions, not texts. A comment whose thread is absent keeps
+    its mentions, without a thread id."""
     texts = comments.withColumn("_text", tx.post_text())
     texts = texts.withColumn("_lower", F.lower("_text"))
     found = computed_once(
@@ -65,7 +70,7 @@ def comment_mentions(comments: DataFrame, threads: DataFrame) -> DataFrame:
     ).select("*", F.posexplode("mentions").alias("match_at", "m"))
     place = F.struct(F.col("idx").cast("int").alias("comment"), F.col("match_at"))
     keys = threads.select("ord_raw", "createdAt_ts", "thread_id")
-    return found.join(keys, "ord_raw").select(
+    return found.join(keys, "ord_raw", "left").select(
         F.lit("comment").alias("source_type"), "thread_id", "comment_id", "createdAt_iso", "url",
         "m.*", "text_snippet", "ord_raw", "createdAt_ts", place.alias("place"),
     ).select(*_OUT)

@@ -195,3 +195,55 @@ def test_required_text():
     assert required_text(r"Herman\s*&?\s*Wallace") == "Wallace"
     assert required_text(r"(\d{1,4})\s*/\s*hr") == "hr"
     assert required_text("ab?c|d") == "" and required_text(r"x*") == ""
+    assert required_text("A{2,3}b") in ("A", "b") and required_text("x{10}") == "x"
+    assert required_text("end$") == "end" and required_text(r"\x41b") == "Ab" and required_text(r"a\$5") == "a$5"
+
+
+def test_required_text_is_in_every_match():
+    rng = random.Random(5)
+    parts = ["a", "b", "ab", "7", " ", r"\d", r"\s*", "x?", "(?:ab|b)", "(a|b)+", "[ab]", ".", "b{2}", "a{0,1}", "^", "$", r"\b", r"\x61", "(?=a)", "(?!b)"]
+    letters = "ab7 xB\n"
+    for _ in range(3000):
+        pattern = "".join(rng.choice(parts) for _ in range(rng.randint(1, 5)))
+        needed = required_text(pattern)
+        text = "".join(rng.choice(letters) for _ in range(12))
+        for match in re.finditer(pattern, text):
+            assert needed in match.group(0), (pattern, text)
+
+
+def test_patterns_with_python_meaning(spark):
+    """Repeats, anchors, codes and character classes, against Python on texts with marks."""
+    patterns = [r"A{2,3}b", r"x{10}", r"end$", r"\x41b", r"\w+\W\d", r"\S{3}", r"\D7", r"(?:a|b)\b", r"[^\W\d]z"]
+    parts = ["A", "AA", "b", "x" * 10, "end", "é", "_", "٣", "7", " ", "\u2003", "z", "ſ", "K", "-"]
+    texts = shuffled(parts, 400, 9, seed=21)
+    prepared = ("words", kw.present(kw.keyword_counts(fold_case(F.col("t")), required_words(patterns))))
+    tags = column(spark, texts, prepared, pattern_tags("t", "words", patterns))
+    assert tags == [[p for p in patterns if re.search(p, t, re.I)] for t in texts]
+
+
+def test_credentials_in_upper_case(spark):
+    families = [("credential", [r"\bPT", "SS"], True)]
+    texts = ["p\u1e97", "stra\u00dfe", "apt", "pt", "PT x ss", ""]
+    prepared = ("words", kw.present(kw.keyword_counts(fold_case(F.col("t")), required_words([p for _, ps, _ in families for p in ps]))))
+    got = column(spark, texts, ("up", F.upper("t")), prepared, entity_mentions("t", "up", "words", families))
+    want = [[m for p in families[0][1] for m in re.findall(p, t.upper())] for t in texts]
+    assert [[e["entity"] for e in found] for found in got] == want
+
+
+def test_month_keys(spark):
+    from datetime import datetime
+
+    dates = [
+        "2023", "12:30", "2023-11", " 2023-11-14T00:00:00Z", "2023-1-5", "20231114", "2023-11-14", "2023-11-14T05:06:07Z",
+        "2023-11-14 05:06", "2023-11-14T05:06:07.123456+02:00", "20231114T050607", "2023-02-30", "2023-13-01", "0000-01-01",
+        "2023-11-14T25:00:00", "2023-11-14T05:61:00", "2023-11-14x", "", None, "nonsense", "2024-02-29", "2023-02-29T00:00:00Z",
+        "2023-11-14T05", "2023-11-14T05:06:07-0500", "2023-11-14T05:06:07+0530", "1700000000",
+    ]
+
+    def month(text):
+        try:
+            return datetime.fromisoformat(text.replace("Z", "+00:00")).strftime("%Y-%m")
+        except (ValueError, AttributeError):
+            return None
+
+    assert dict(zip(dates, column(spark, dates, tx.month_key(F.col("t"))))) == {d: month(d) for d in dates}
