@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.exact_dedup import LOCATOR, located
+from corpuslens.llm.exact_dedup import LOCATOR, addressable, located, whole_rows
 from corpuslens.llm.words import MARKS, hashed_words, shingles, slices
 
 #: Words of test items that one pass over the documents looks for; bounds what is broadcast.
@@ -196,7 +196,7 @@ def contaminations(
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema[item_key].dataType.simpleString()
     schema = f"doc_id {kind}, _file string, _row long, item_id {item_kind}, score double, first_word long, last_word long"
-    source = located(docs, "doc_id", "text")
+    source = located(addressable(docs), "doc_id", "text")
 
     def search(items: Items):
         def run(batches):
@@ -242,6 +242,7 @@ def contaminations(
 def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """One row per document: doc_id, contaminated, items (how many), item_id and score of
     the best copy (of ties the smallest item_id), null where there is none, and the locator."""
+    docs = addressable(docs)
     order = F.struct((-F.col("score")).alias("s"), "item_id")
     hits = contaminations(docs, benchmark, **options).groupBy(*LOCATOR).agg(
         F.min(order).alias("best"), F.count(F.lit(1)).alias("items")
@@ -255,6 +256,6 @@ def contamination_report(docs: DataFrame, benchmark: DataFrame, **options) -> Da
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The documents that hold no copy of a test item, all columns as they were."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document")
+    docs = addressable(docs)
     gone = contaminations(docs, benchmark, **options).select(*LOCATOR).distinct()
-    return located(docs, whole).join(gone, list(LOCATOR), "left_anti").select("_document.*")
+    return whole_rows(docs).join(gone, list(LOCATOR), "left_anti").select("_document.*")

@@ -45,19 +45,29 @@ def _settings(spark: SparkSession, values: dict[str, str]):
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
 
 
-def located(docs: DataFrame, *columns: Column | str) -> DataFrame:
-    """The chosen columns with a content locator: file and row number in it.
+def addressable(docs: DataFrame) -> DataFrame:
+    """The documents as rows of files, so that each has a content locator for good.
 
-    Scans of Parquet files have one already; anything else is written to the shared
-    folder first. A locator names one row for good, whatever task reads it.
+    Scans of Parquet files are that already; anything else is written to the shared
+    folder. Operators that read documents more than once do this first.
     """
-    place = (F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
     try:
-        return docs.select(*columns, *place)
+        docs.select("_metadata.row_index")
     except AnalysisException as error:  # not a file scan
         if not (error.getCondition() or "").startswith("UNRESOLVED_COLUMN"):
             raise
-    return stage(docs, "located").select(*columns, *place)
+        return stage(docs, "located")
+    return docs
+
+
+def located(docs: DataFrame, *columns: Column | str) -> DataFrame:
+    """The chosen columns of addressable documents with the locator: file and row number in it."""
+    return docs.select(*columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+
+
+def whole_rows(docs: DataFrame) -> DataFrame:
+    """Each addressable document as one struct, so that no column name can clash, with its locator."""
+    return located(docs, F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document"))
 
 
 def keyed_state(arrivals: DataFrame, checkpoint: str) -> None:
@@ -98,6 +108,7 @@ def exact_groups(docs: DataFrame, digest=sha256_hex, files_per_trigger: int | No
     different bytes are found by the full check and grouped by their bytes.
     """
     spark = docs.sparkSession
+    docs = addressable(docs)
     source = located(docs, "doc_id", normalised(F.col("text")).alias("_text"))
     prints = source.select(
         "doc_id", *LOCATOR, digest(F.col("_text")).alias("digest"), sha256_hex(F.col("_text")).alias("text_sha256")
@@ -146,6 +157,6 @@ def exact_groups(docs: DataFrame, digest=sha256_hex, files_per_trigger: int | No
 
 def drop_exact_copies(docs: DataFrame) -> DataFrame:
     """The documents without exact copies, all columns as they were."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document")
+    docs = addressable(docs)
     kept = exact_groups(docs).where("kept").select(*LOCATOR)
-    return located(docs, whole).join(kept, list(LOCATOR), "left_semi").select("_document.*")
+    return whole_rows(docs).join(kept, list(LOCATOR), "left_semi").select("_document.*")

@@ -350,6 +350,17 @@ def score_toxicity(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataF
     return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
 
 
+def drop_toxic(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataFrame:
+    """The documents that score below ``cut``, all columns as they were, whatever their names."""
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array([fitted.score(t.as_py()) < cut for t in batch.column(at)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: Column) -> Column:
     """Rows whose labels are never seen: crc32 of the id as text, mod 4, is 2."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
