@@ -13,7 +13,7 @@ from corpuslens.llm.staging import fresh_path
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the noisy-channel classifier does not reject."""
     fitted = toxicity.fit(docs, table(spark, sf_dir, "labels"), ~toxicity.held_out(F.col("doc_id")))
-    return toxicity.score_toxicity(docs, fitted).where("predicted = 0").select(*docs.columns)
+    return toxicity.drop_toxic(docs, fitted)
 
 
 def without_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
