@@ -22,6 +22,7 @@ HEADLINE = [
     "reaction_histogram", "money_mentions", "links_rollup", "domains_top",
     "entities_default_lists", "entities_found", "marketing_candidates", "topic_scores",
     "topic_index", "word_counts", "evidence_pack", "evidence_for_queries", "corpus_report",
+    "money_mentions_union", "full_text", "clean_comments",
 ]
 
 
@@ -32,6 +33,7 @@ def main() -> None:
         SparkSession.builder.master(f"local[{cpus}]").appName("bench")
         .config("spark.sql.shuffle.partitions", cpus)
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.corpuslens.spread", cpus)
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")

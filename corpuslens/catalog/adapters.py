@@ -6,7 +6,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corpuslens.operators.staging import spread_small
+from corpuslens.operators.staging import spread
 from corpuslens.operators.topk import top_per_key
 from corpuslens.plans import ingest
 
@@ -19,7 +19,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, sf_dir: str, name: str, key: str) -> DataFrame:
     """A table whose rows are costly to work on."""
-    return spread_small(table(spark, sf_dir, name), key)
+    return spread(table(spark, sf_dir, name), key)
 
 
 def post_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -390,7 +390,7 @@ def _evidence_blocks() -> dict[str, str]:
 
 def oracle_sql() -> dict[str, str]:
     scored_many = _scores("asked", "with_ten")
-    return {
+    found = {
         "clean_threads": _sql("""
             select t.ord_raw, t.thread_id, t.iso as "createdAt_iso", t.ts as "createdAt_ts", t.url,
                    t.source as author_name, 'https://forum.example.com/u/' || t.source as author_url,
@@ -522,8 +522,58 @@ def oracle_sql() -> dict[str, str]:
         "evidence_for_queries": _sql("""
             select query_id, rank, ord_raw, round(score, 6) as score from best where rank <= 10""",
             extra=scored_many),
+        "evidence_with_match": _sql("""
+            select b.query_id, b.rank, t.thread_id, t.url, t.iso as "createdAt_iso", m.reactions as "reactionCount",
+                   m.shares as "shareCount", m.comments_n as "commentCount", t.post as post_text,
+                   coalesce(c.five, '') as comments_text,
+                   concat_ws('; ',
+                       case when len(k.kws) > 0 then 'Matched keywords: ' || array_to_string(k.kws[1:5], ', ') end,
+                       case when b.eng > 10 then 'High engagement (' || cast(b.eng as varchar) || ')' end,
+                       'Relevance score: ' || printf('%.1f', b.score)) as why_selected,
+                   round(b.score, 6) as score
+            from first_matched b join threads t using (ord_raw) join engaged m using (ord_raw)
+            join matched_many k on k.ord_raw = b.ord_raw and k.query_id = b.query_id
+            left join first_ten c on c.ord_raw = b.ord_raw""",
+            extra={**scored_many, "first_matched": """
+                select * exclude (rank), row_number() over (partition by query_id
+                           order by round(score, 9) desc, ts desc, ord_raw) as rank
+                from scored s where score > 0 and (
+                    exists (from word_part w where w.query_id = s.query_id and w.ord_raw = s.ord_raw and w.n > 0)
+                    or exists (from topic_part k where k.query_id = s.query_id and k.ord_raw = s.ord_raw and k.n > 0))
+                qualify rank <= 3""".replace("* exclude (rank)", "*"),
+                "topic_lists": "select query_id, list(kw order by spot) as topic_list from topic_words group by 1",
+                "thread_lists": "select ord_raw, list(w) as ws from thread_words group by 1",
+                "matched_many": """
+                    select query_id, ord_raw, list_concat(from_query,
+                               list_filter(topic_list, lambda k: contains(low, k) and not list_contains(from_query, k))) as kws
+                    from (select b.query_id, b.ord_raw, w.low, coalesce(l.topic_list, []) as topic_list,
+                                 list_filter(q.kws, lambda x: list_contains(coalesce(t.ws, []), x)) as from_query
+                          from first_matched b join asked q on q.query_id = b.query_id
+                          join with_ten w on w.ord_raw = b.ord_raw left join topic_lists l on l.query_id = b.query_id
+                          left join thread_lists t on t.ord_raw = b.ord_raw)"""}),
         "corpus_report": _sql(f"""
             select t.*, s.p90, s.p50, z.money_mentions, z.unique_urls, z.unique_entities, z.marketing_candidates
             from ({_TOTALS}) t, stats s, sizes z""", extra=_PACK),
         "pack_counts": _sql(f"select *, cast({len(TOPICS)} as bigint) as topics from sizes", extra=_PACK),
     }
+    found["round_trip_dump"] = _sql("""
+        select t.thread_id, t.lang as "groupId",
+               cast(row_number() over (partition by t.lang order by t.ord_raw) as integer) as nth_in_group,
+               t.ts as "createdAt_ts", t.text_clean, cast(coalesce(c.n, 0) as integer) as comments_n
+        from threads t left join (select ord_raw, count(*) as n from comments group by 1) c using (ord_raw)""")
+    found["round_trip_threads"] = _sql("""
+        select t.ord_raw, t.thread_id, t.iso as "createdAt_iso", t.ts as "createdAt_ts", t.url, t.text_clean,
+               cast(coalesce(c.n, 0) as integer) as comments_n
+        from threads t left join (select ord_raw, count(*) as n from comments group by 1) c using (ord_raw)""")
+    found["round_trip_comments"] = _sql("""
+        select comment_id, thread_id, iso as "createdAt_iso", url, role as author_name, text_clean
+        from comments where thread_id is not null""")
+    found["round_trip_stats"] = found["cleaning_stats"]
+    found["round_trip_csv"] = found["links_rollup"]
+    found["round_trip_topic_index"] = found["topic_entries"]
+    found["round_trip_evidence"] = _sql("""
+        select thread_id, url, iso as "createdAt_iso", reactions as "reactionCount", shares as "shareCount",
+               comments_n as "commentCount", post as post_text, five as comments_text, why as why_selected,
+               count(*) over () as records
+        from evidence""", extra=_evidence_blocks())
+    return found

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from corpuslens.catalog import adapters as ad
@@ -15,12 +15,15 @@ from corpuslens.functions.keywords import keyword_counts, present
 from corpuslens.functions.urls import canonical_url, domain, extract_urls
 from corpuslens.lexicons import OWN_DOMAIN_PREFIXES, TOPICS
 from corpuslens.operators.ordering import thread_order
-from corpuslens.operators.staging import staged
+from corpuslens.operators.staging import fresh_path, staged
 from corpuslens.operators.topk import number_rows
 from corpuslens.plans import (
     engagement, entities, ingest, links, marketing, money, report, retrieval, topics,
 )
 from corpuslens.plans.features import Lexicons, thread_features
+from corpuslens.plans.pack import write_evidence
+from corpuslens.sources.readers import read_comments, read_evidence, read_posts, read_threads, read_topic_index
+from corpuslens.sources.writers import write_csv, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -384,6 +387,92 @@ def evidence_for_queries(spark: SparkSession, sf: str) -> DataFrame:
     return best.select("query_id", "rank", "ord_raw", F.round("score", 6).alias("score"))
 
 
+@query
+def evidence_with_match(spark: SparkSession, sf: str) -> DataFrame:
+    """Records of the best three threads for every benchmark passage that share a word
+    with it or its topics, with the reasons."""
+    threads = ad.threads_with_comments(spark, sf, first=10)
+    entries, asked = _entries(spark, sf), ad.free_text_queries(spark, sf)
+    best = retrieval.evidence_for_queries(
+        threads, entries, asked, 3, metrics=ad.post_metrics(spark, sf), require_match=True
+    )
+    return retrieval.evidence_records(threads, entries, asked, staged(best, "chosen")).select(
+        "query_id", "rank", "thread_id", "url", "createdAt_iso", "metrics.*", "post_text",
+        pipe("comments_text"), "why_selected", F.round("score", 6).alias("score"),
+    )
+
+
+# ------------------------------------------------------------- round trips
+# Written to the shared folder and read back, twice where the output replaces the first.
+
+
+@query
+def round_trip_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw posts as JSON lines, read with their place in the dump, and cleaned."""
+    path = fresh_path(spark, "dump")
+    posts = ad.posts_with_comments(spark, sf).orderBy("ord_raw")
+    write_json(posts.drop("ord_raw"), path)
+    threads = ingest.clean_threads(read_posts(spark, path, lines=True))
+    place = F.row_number().over(Window.partitionBy("groupId").orderBy("ord_raw"))
+    return threads.select(
+        "thread_id", "groupId", place.alias("nth_in_group"), "createdAt_ts", "text_clean", F.size("comments").alias("comments_n")
+    )
+
+
+@query
+def round_trip_threads(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "threads")
+    threads = ingest.clean_threads(ad.posts_with_comments(spark, sf))
+    for _ in range(2):
+        write_json(threads, path)
+    return read_threads(spark, path).select(
+        "ord_raw", "thread_id", "createdAt_iso", "createdAt_ts", "url", "text_clean", F.size("comments").alias("comments_n")
+    )
+
+
+@query
+def round_trip_comments(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "comments")
+    write_json(ingest.flatten_comments(ad.threads_with_comments(spark, sf)).drop("ord_raw", "idx"), path)
+    return read_comments(spark, path).drop("text_raw")
+
+
+@query
+def round_trip_stats(spark: SparkSession, sf: str) -> DataFrame:
+    path, stats = fresh_path(spark, "stats"), ingest.cleaning_stats(_counted_threads(spark, sf))
+    write_json(stats, path, single_file=True)
+    return spark.read.schema(stats.schema).json(path)
+
+
+@query
+def round_trip_csv(spark: SparkSession, sf: str) -> DataFrame:
+    """The link table as CSV with joined cells."""
+    path, rows = fresh_path(spark, "links"), links_rollup(spark, sf)
+    for _ in range(2):
+        write_csv(rows, path)
+    return spark.read.schema(rows.schema).option("header", True).option("escape", '"').csv(path)
+
+
+@query
+def round_trip_topic_index(spark: SparkSession, sf: str) -> DataFrame:
+    path = fresh_path(spark, "topic-index")
+    write_json(topics.topic_document(topics.topic_entries(_topic_index(spark, sf))), path, single_file=True)
+    return read_topic_index(spark, path).select(
+        "topic", "topic_pos", pipe("keywords"), pipe("top_thread_ids"), pipe("top_urls")
+    )
+
+
+@query
+def round_trip_evidence(spark: SparkSession, sf: str) -> DataFrame:
+    """The evidence file, and on each row how many records were found in it."""
+    path = fresh_path(spark, "evidence")
+    found = write_evidence(_evidence(spark, sf), path)
+    return read_evidence(spark, path).select(
+        "thread_id", "url", "createdAt_iso", "metrics.*", "post_text", pipe("comments_text"), "why_selected",
+        F.lit(found).cast("long").alias("records"),
+    )
+
+
 # ------------------------------------------------------------------ report
 
 

@@ -22,13 +22,28 @@ def shared_folder(spark: SparkSession) -> str:
     return folder
 
 
+def _own_folder(spark: SparkSession) -> str:
+    return f"{shared_folder(spark)}/corpuslens-{spark.sparkContext.applicationId}"
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the application's part of the shared folder that nothing has used yet."""
+    return f"{_own_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def clear_staged(spark: SparkSession) -> None:
+    """Remove all that this application has staged, once its results are written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Write the frame as a Parquet table in the shared folder and read it back.
 
     For narrow tables that several results are computed from: the texts behind
     them are scanned once, and lost executors cost no rescan.
     """
-    path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -44,16 +59,14 @@ def computed_once(df: DataFrame, keep: list[str], **computed: Column) -> DataFra
     return df.select(*keep, F.inline(F.array(row)))
 
 
-def spread_small(scan: DataFrame, key: str) -> DataFrame:
-    """Spread a small scan over all cores before costly work on its texts.
+def spread(scan: DataFrame, key: str) -> DataFrame:
+    """Deal a scan over as many tasks as ``spark.corpuslens.spread`` says; as it is when
+    that is not set, which is right for inputs of many files or row groups.
 
-    A file with one row group is one task however large the cluster. A scan that
-    already has a task per core, as any large one has, is left alone. Only for
-    plain scans: it asks for the number of their partitions, which is known
-    without running anything.
+    A file with one row group is one task however large the cluster.
     """
-    cores = scan.sparkSession.sparkContext.defaultParallelism
-    return scan if scan.rdd.getNumPartitions() >= cores else scan.repartition(cores, key)
+    tasks = scan.sparkSession.conf.get("spark.corpuslens.spread", None)
+    return scan.repartition(int(tasks), key) if tasks else scan
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:

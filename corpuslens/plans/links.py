@@ -37,7 +37,8 @@ def link_occurrences(
 def links_rollup(occurrences: DataFrame) -> DataFrame:
     """Per URL: occurrences, domain, first five threads (repeats kept), first and
     last time seen. ``first_at`` is where it occurs first; order by ``counts``
-    descending, then ``first_at``."""
+    descending, then ``first_at``. One URL may hold most links, so its samples are
+    cut in slices first."""
     counts = occurrences.groupBy("url_canonical", "domain").agg(
         F.count("*").alias("counts"),
         F.min("createdAt_iso").alias("first_seen_iso"),
@@ -47,7 +48,7 @@ def links_rollup(occurrences: DataFrame) -> DataFrame:
     samples = (
         top_per_key(
             occurrences.select("url_canonical", "thread_id", "thread_url", "seen_at"),
-            ["url_canonical"], [F.col("seen_at")], SAMPLE,
+            ["url_canonical"], [F.col("seen_at")], SAMPLE, spread=32,
         )
         .groupBy("url_canonical")
         .agg(F.array_sort(F.collect_list(F.struct("rank", "thread_id", "thread_url"))).alias("s"))

@@ -9,7 +9,7 @@ from corpuslens.functions import text as tx
 from corpuslens.functions.keywords import keyword_counts, total_sql
 from corpuslens.functions.sqltext import string_array, strings
 from corpuslens.operators.ordering import thread_order
-from corpuslens.operators.staging import broadcast_if_small, computed_once
+from corpuslens.operators.staging import broadcast_if_small, computed_once, staged
 from corpuslens.operators.topk import number_rows, top_per_key
 from corpuslens.plans.features import with_engagement
 
@@ -219,98 +219,123 @@ def evidence_preview(evidence: DataFrame, n: int = 5) -> DataFrame:
     )
 
 
+def _text_facts(threads: DataFrame, wanted: DataFrame, lexicon: list[str]) -> DataFrame:
+    """``(ord_raw, is_word, term, n)``: the lexicon's keywords that occur in each thread's
+    text, and those of its words that some query asks for. One scan; counted before the
+    shuffle, so a word that a text repeats moves once."""
+    texts = computed_once(threads, ["ord_raw"], _lower=scoring_text())
+    keyword = F.transform(
+        keyword_counts(F.col("_lower"), lexicon),
+        lambda c: F.struct(F.lit(False).alias("is_word"), c["kw"].alias("term"), c["n"].alias("n")),
+    )
+    one = F.lit(1).cast("long")
+    word = F.transform(
+        tx.words(F.col("_lower")),
+        lambda w: F.struct(F.lit(True).alias("is_word"), w.alias("term"), one.alias("n")),
+    )
+    rows = texts.select("ord_raw", F.inline(F.concat(keyword, word)))
+    asked = broadcast_if_small(wanted.select(F.col("word").alias("term"), F.lit(True).alias("asked")).distinct())
+    kept = rows.join(asked, "term", "left").where("not is_word or asked")
+    return kept.groupBy("ord_raw", "is_word", "term").agg(F.sum("n").alias("n"))
+
+
 def evidence_for_queries(
     threads: DataFrame,
     entries: DataFrame,
     queries: DataFrame,
     k: int = 60,
     metrics: DataFrame | None = None,
+    require_match: bool = False,
 ) -> DataFrame:
-    """The ``k`` best threads for each row of ``(query_id, query)``.
-
-    Same scores as :func:`evidence_pack`, without scoring every pair of thread and
-    query. Queries that match the same topics share one *topic set*, and everything
-    in a score but the word hits depends on the set alone. So a thread without a
-    word of the query can only be among its best ``k`` if it is among the best ``k``
-    of the topic set: ``k`` threads ahead of it there are ahead of it for the query.
-    Candidates are those, plus the threads that share a word with the query, found
-    by an equality join of words.
+    """The ``k`` best threads for each row of ``(query_id, query)``:
+    ``query_id, rank, ord_raw, score, engagement, metrics``.
+
+    Same scores as :func:`evidence_pack`. Queries that match the same topics share one
+    *topic set*, and everything in a score but the word hits depends on the set alone. So
+    a thread without a word of the query can only be among its best ``k`` if it is among
+    the best ``k`` of the topic set: ``k`` threads ahead of it there are ahead of it for
+    the query. And a thread without a topic word or bonus has the same score for every
+    set, its boost. Candidates are therefore the threads that share a word with the query,
+    the best ``k`` of its set among those that meet the set, and the best ``k`` by boost.
+    ``require_match`` asks for a word or topic word, as there.
+
+    Texts are scanned once, for a written table of the terms that matter; from there on
+    keys and numbers move.
     """
-    plans = query_plans(queries, entries)
-    lowered = F.transform("topic_keywords", lambda k: F.lower(k)).alias("words")
+    plans = staged(
+        query_plans(queries, entries).select(
+            "query_id", "keywords", "bonus_ids", F.xxhash64("topic_set").alias("set_no"),
+            F.transform("topic_keywords", lambda w: F.lower(w)).alias("words"),
+        ), "query-plans",
+    )
     # Distinct topic sets: at most the ways to choose three of the lexicon's topics.
-    sets = plans.select("topic_set", lowered, "bonus_ids").dropDuplicates(["topic_set"])
-    set_list = sets.agg(
-        F.array_sort(F.collect_list(F.struct("topic_set", "words", "bonus_ids"))).alias("sets")
-    ).scalar()
-    plans = plans.withColumn("_sets", set_list).select(
-        "query_id", "keywords",
-        F.expr("array_position(transform(_sets, s -> s.topic_set), topic_set)").alias("set_no"),
+    sets = staged(plans.dropDuplicates(["set_no"]).select("set_no", "words", "bonus_ids"), "topic-sets")
+    wanted = staged(
+        plans.select("query_id", "set_no", F.explode("keywords").alias("word"))
+        .groupBy("query_id", "set_no", "word").agg(F.count("*").alias("times")), "query-words",
     )
-
     # The lexicon's words come to the driver to be looked for all at once.
-    lexicon = [k.lower() for row in entries.select("keywords").collect() for k in row["keywords"]]
-    keep = ["ord_raw", "createdAt_ts"] + [c for c in ("metrics",) if c in threads.columns]
-    texts = threads.select(*keep, "thread_id", scoring_text().alias("_lower"))
-    counted = texts.withColumn("_counts", keyword_counts(F.col("_lower"), lexicon))
-    per_set = {
-        "topic_hits": F.expr(
-            f"transform(_sets, s -> cast({total_sql('_counts', 's.words')} as double))"
-        ),
-        "bonus": F.expr(
-            f"transform(_sets, s -> if(array_contains(s.bonus_ids, thread_id), {BONUS}D, 0D))"
-        ),
-    }
-
-    def scored(**more: Column) -> DataFrame:
-        """Scores per topic set as arrays, by number of the set; one pass over the texts."""
-        frame = computed_once(counted.withColumn("_sets", set_list), keep, **per_set, **more)
-        if metrics is not None:
-            frame = frame.join(metrics, "ord_raw")
-        return with_engagement(frame).withColumn("boost", _boost(F.col("engagement")))
-
-    parts = ["topic_hits", "boost", "bonus"]
-    base = scored().select(
-        "ord_raw", "createdAt_ts", "boost",
-        F.posexplode(F.arrays_zip("topic_hits", "bonus")).alias("at", "s"),
-    ).select(
-        (F.col("at") + 1).cast("long").alias("set_no"), "ord_raw", "createdAt_ts", "s.topic_hits",
-        "boost", "s.bonus",
-    )
-    base = base.withColumn("base", F.col("topic_hits") + F.col("boost") + F.col("bonus"))
-    leaders = top_per_key(
-        base.where("base > 0"), ["set_no"], [F.col("base").desc(), *thread_order()], k, spread=32
+    lexicon = [w.lower() for row in entries.select("keywords").collect() for w in row["keywords"]]
+    facts = staged(_text_facts(threads, wanted, lexicon), "text-facts")
+    keys = threads.select("ord_raw", "createdAt_ts", "thread_id", *[c for c in ("metrics",) if c in threads.columns])
+    if metrics is not None:
+        keys = keys.join(metrics, "ord_raw")
+    keys = with_engagement(keys)
+
+    none, numbers = F.lit(0.0), ["ord_raw", "createdAt_ts", "engagement", "metrics"]
+    words = sets.select("set_no", F.explode("words").alias("term"))
+    hits = facts.where("not is_word").join(broadcast_if_small(words), "term").groupBy("set_no", "ord_raw").agg(
+        F.sum("n").cast("double").alias("topic_hits"), F.max(none).alias("bonus")
     )
-    # At most k rows per topic set.
-    leading = plans.join(F.broadcast(leaders), "set_no").select(
-        "query_id", "ord_raw", "createdAt_ts", *parts, F.lit(0).cast("long").alias("hits")
+    marked = sets.select("set_no", F.explode("bonus_ids").alias("thread_id"))
+    bonus = keys.join(broadcast_if_small(marked), "thread_id").select(
+        "set_no", "ord_raw", none.alias("topic_hits"), F.lit(BONUS).alias("bonus")
     )
-
-    wanted = broadcast_if_small(
-        plans.select("query_id", "set_no", F.explode("keywords").alias("word"))
-        .groupBy("query_id", "set_no", "word")
-        .agg(F.count("*").alias("hits"))
+    met = staged(
+        hits.unionByName(bonus).groupBy("set_no", "ord_raw").agg(
+            F.sum("topic_hits").alias("topic_hits"), F.max("bonus").alias("bonus")
+        ), "topic-parts",
     )
-    words = scored(words=tx.words(F.col("_lower"))).select(
-        "ord_raw", "createdAt_ts", *parts, F.explode("words").alias("word")
+    base = F.col("topic_hits") + _boost(F.col("engagement")) + F.col("bonus")
+    led = top_per_key(met.join(keys.select(*numbers), "ord_raw"), ["set_no"], [base.desc(), *thread_order()], k, spread=32)
+    boosted = keys.where("engagement > 0").orderBy(F.col("engagement").desc(), *thread_order()).limit(k)
+    every = sets.agg(F.collect_list("set_no").alias("all")).scalar()
+    leading = led.select("set_no", "ord_raw").unionByName(boosted.select(F.explode(every).alias("set_no"), "ord_raw")).distinct()
+    leading = plans.select("query_id", "set_no").join(leading, "set_no").withColumn("hits", F.lit(0).cast("long"))
+
+    shared = facts.where("is_word").withColumnRenamed("term", "word").join(broadcast_if_small(wanted), "word")
+    pairs = (
+        shared.select("query_id", "set_no", "ord_raw", (F.col("n") * F.col("times")).alias("hits")).unionByName(leading)
+        .groupBy("query_id", "set_no", "ord_raw").agg(F.sum("hits").alias("hits"))
     )
-    number = F.col("set_no").cast("int")
-    hits = words.join(wanted, "word").select(
-        "query_id", "ord_raw", "createdAt_ts", F.element_at("topic_hits", number).alias("topic_hits"),
-        "boost", F.element_at("bonus", number).alias("bonus"), "hits",
+    scored = pairs.join(met, ["set_no", "ord_raw"], "left").join(keys.select(*numbers), "ord_raw").withColumns(
+        {c: F.coalesce(c, none) for c in ("topic_hits", "bonus")}
     )
-    summed = F.col("hits") * 2.0 + F.col("topic_hits") + F.col("boost") + F.col("bonus")
-    candidates = (
-        hits.unionByName(leading)
-        .groupBy("query_id", "ord_raw", "createdAt_ts")
-        .agg(
-            F.sum("hits").alias("hits"),
-            *[F.max(c).alias(c) for c in parts],
-        )
-        .withColumn("score", summed)
-        .where("score > 0")
+    scored = scored.withColumn("score", F.col("hits") * 2.0 + base).where("score > 0")
+    if require_match:
+        scored = scored.where("hits > 0 or topic_hits > 0")
+    return top_per_key(scored, ["query_id"], [F.col("score").desc(), *thread_order()], k, spread=32).select(
+        "query_id", "rank", "ord_raw", "score", "engagement", "metrics"
     )
-    order = [F.col("score").desc(), *thread_order()]
-    return top_per_key(candidates, ["query_id"], order, k, spread=32).select(
-        "query_id", "rank", "ord_raw", "score"
+
+
+def evidence_records(
+    threads: DataFrame, entries: DataFrame, queries: DataFrame, chosen: DataFrame
+) -> DataFrame:
+    """The records of :func:`evidence_pack` for rows of :func:`evidence_for_queries`.
+
+    The texts of the chosen threads are read by their keys; where these are few, a
+    broadcast of them spares the shuffle of the others.
+    """
+    picked = broadcast_if_small(chosen.select("ord_raw").distinct())
+    texts = threads.drop("metrics", "createdAt_ts").join(picked, "ord_raw", "left_semi")
+    plans = query_plans(queries, entries).select("query_id", "keywords", "topic_keywords")
+    joined = chosen.join(plans, "query_id").join(texts, "ord_raw")
+    matched = matched_keywords(scoring_text(), F.col("keywords"), F.col("topic_keywords"))
+    return joined.withColumn("_matched", matched).select(
+        "query_id", "rank", "thread_id", "url", "createdAt_iso", "metrics",
+        tx.post_text().alias("post_text"),
+        tx.comment_texts(F.col("comments"), 5).alias("comments_text"),
+        _explain(F.col("_matched"), F.col("engagement"), F.col("score")).alias("why_selected"),
+        "score",
     )

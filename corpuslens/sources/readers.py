@@ -43,27 +43,24 @@ def _input_order(scan: DataFrame) -> DataFrame:
     )
 
 
-def read_posts(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+def read_posts(spark: SparkSession, path: str, lines: bool = False, tasks: int | None = None) -> DataFrame:
     """Raw posts with ``ord_raw``, their place in the dump.
 
     A dump is one JSON array per file, and each such file is one task; large
     dumps should be many files, or one object per line (``lines=True``, which
-    splits). Few files are spread over all cores once read.
+    splits). ``tasks`` deals what few files hold over that many tasks once read.
     """
     scan = spark.read.schema(schemas.RAW_POST).option("multiLine", not lines).json(path)
-    cores = spark.sparkContext.defaultParallelism
     numbered = _input_order(scan)
-    few = scan.rdd.getNumPartitions() < cores
-    return numbered.repartition(cores, "ord_raw") if few else numbered
+    return numbered.repartition(tasks, "ord_raw") if tasks else numbered
 
 
-def read_threads(spark: SparkSession, path: str) -> DataFrame:
-    """Threads from JSON lines. Files without ``ord_raw`` are numbered in file
-    order; write such a frame to a table once and go on from there."""
-    threads = spark.read.schema(schemas.THREAD).json(path)
-    numbered = threads.select("ord_raw").where("ord_raw is not null").limit(1).count() > 0
+def read_threads(spark: SparkSession, path: str, numbered: bool = True) -> DataFrame:
+    """Threads from JSON lines. Files written elsewhere have no ``ord_raw``: with
+    ``numbered=False`` they are numbered in file order; write such a frame to a table
+    once and go on from there."""
     if numbered:
-        return threads
+        return spark.read.schema(schemas.THREAD).json(path)
     unnumbered = ", ".join(
         part for part in _columns(schemas.THREAD) if not part.startswith("ord_raw ")
     )
