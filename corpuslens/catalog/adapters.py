@@ -3,9 +3,12 @@ comments, events are reactions."""
 
 from __future__ import annotations
 
+from re import _parser
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.lexicons import MARKETING_PATTERNS, entity_families
 from corpuslens.operators.staging import spread
 from corpuslens.operators.topk import top_per_key
 from corpuslens.plans import ingest
@@ -234,6 +237,50 @@ def link_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def _example(parts) -> str:
+    """A shortest text that a parsed pattern matches."""
+    out = ""
+    for kind, value in parts:
+        name = str(kind)
+        if name == "LITERAL":
+            out += chr(value)
+        elif name == "SUBPATTERN":
+            out += _example(value[3])
+        elif name.endswith("_REPEAT"):
+            out += _example(value[2]) * max(1, value[0])
+        elif name == "BRANCH":
+            out += _example(value[1][0])
+        elif name == "IN":
+            out += " " if str(value[0][1]) == "CATEGORY_SPACE" else _example(value[:1])
+        elif name == "ANY":
+            out += "x"
+    return out
+
+
+def examples() -> list[str]:
+    """One text for each default entity and marketing pattern."""
+    patterns = [p for _, family, _ in entity_families() for p in family] + MARKETING_PATTERNS
+    return [_example(_parser.parse(p)) for p in patterns]
+
+
+def composed_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Threads whose texts hold examples of the default patterns and a link, one per order."""
+    phrases = F.array(*[F.lit(p) for p in examples()])
+    n, key = len(examples()), F.col("o_orderkey")
+    text = F.concat(
+        F.lit("We like "), F.element_at(phrases, (key % n + 1).cast("int")), F.lit(" and "),
+        F.element_at(phrases, (F.col("o_custkey") % n + 1).cast("int")), F.lit(". https://site"),
+        (key % 150).cast("string"), F.lit(".example.com/"), (F.col("o_custkey") % 7).cast("string"),
+    )
+    seconds = F.datediff(F.col("o_orderdate"), F.lit("1970-01-01").cast("date")).cast("long") * 86400
+    return _composed(
+        spark,
+        texts(spark, sf_dir, "orders", "o_orderkey").select(
+            key.alias("ord_raw"), seconds.alias("createdAt"), text.alias("text")
+        ),
+    )
+
+
 def free_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, query)``: the benchmark passages, asked as questions."""
     return table(spark, sf_dir, "benchmark").select(

@@ -4,7 +4,8 @@ joins and lists in place of the Spark plans."""
 from __future__ import annotations
 
 from corpuslens.catalog.registry import TEST_ENTITIES, TEST_MARKETING, TEST_QUERY
-from corpuslens.lexicons import STOP_WORDS, TOPICS, entity_families
+from corpuslens.catalog.adapters import examples
+from corpuslens.lexicons import MARKETING_PATTERNS, STOP_WORDS, TOPICS, entity_families
 
 _SPACE = (
     r"\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}"
@@ -278,7 +279,7 @@ def _sql(select: str, *needs: str, extra: dict[str, str] | None = None) -> str:
     return ("with " + ",\n".join(used) + "\n" if used else "") + select
 
 
-def _entity_blocks(families) -> dict[str, str]:
+def _entity_blocks(families, source: str = "whole") -> dict[str, str]:
     """Matches per pattern. Word-bounded patterns are looked up among the words."""
     parts = []
     number = 0
@@ -293,7 +294,7 @@ def _entity_blocks(families) -> dict[str, str]:
             parts.append(
                 f"select ord_raw, ts, thread_id, url, {number} as pat, '{category}' as category, "
                 f"unnest(f) as m, generate_subscripts(f, 1) as spot "
-                f"from (select *, {found} as f from whole)"
+                f"from (select *, {found} as f from {source})"
             )
     return {
         "matches": " union all ".join(parts),
@@ -388,6 +389,19 @@ def _evidence_blocks() -> dict[str, str]:
     }
 
 
+def _composed() -> str:
+    """The texts of ``composed_threads``."""
+    phrases = "[" + ", ".join(_text(p) for p in examples()) + "]"
+    n = len(examples())
+    url = f"'{FORUM}/p/' || cast(o_orderkey as varchar)"
+    ts = "cast(epoch(o_orderdate) as bigint)"
+    return f"""
+        select o_orderkey as ord_raw, o_custkey as cust, {ts} as ts, {url} as url, {_thread_id(url, ts)} as thread_id,
+               {_clean("'We like ' || p[o_orderkey % {0} + 1] || ' and ' || p[o_custkey % {0} + 1] || '. https://site' ||"
+                       " cast(o_orderkey % 150 as varchar) || '.example.com/' || cast(o_custkey % 7 as varchar)".format(n))} as body
+        from orders, (select {phrases} as p)"""
+
+
 def oracle_sql() -> dict[str, str]:
     scored_many = _scores("asked", "with_ten")
     found = {
@@ -556,6 +570,30 @@ def oracle_sql() -> dict[str, str]:
             from ({_TOTALS}) t, stats s, sizes z""", extra=_PACK),
         "pack_counts": _sql(f"select *, cast({len(TOPICS)} as bigint) as topics from sizes", extra=_PACK),
     }
+    composed = {"composed": _composed(), "link_parts": """
+        select *, 'https://site' || cast(ord_raw % 150 as varchar) || '.example.com/' || cast(cust % 7 as varchar) as u,
+               'site' || cast(ord_raw % 150 as varchar) || '.example.com' as domain,
+               row_number() over (order by -ts, ord_raw) as place from composed""",
+        "composed_urls": "select u, domain, count(*) as counts, min(place) as first_place from link_parts group by 1, 2"}
+    found["months_of_orders"] = _sql("""
+        select substr(iso, 1, 7) as month, count(*) as n from money_threads where iso is not null
+        group by 1 order by n desc, month desc limit 5""")
+    found["domains_composed"] = _sql("""
+        select domain, counts, sample_urls from (
+            select domain, cast(sum(counts) as bigint) as counts, min(first_place) as first_place,
+                   string_agg(u, '|' order by nth) filter (where nth <= 5) as sample_urls
+            from (select *, row_number() over (partition by domain order by first_place) as nth from composed_urls)
+            group by 1)
+        order by counts desc, first_place limit 100""", extra=composed)
+    found["entities_composed"] = _sql(
+        "select entity, category, count(*) as count_mentions from entity_rows group by 1, 2",
+        extra={**composed, **_entity_blocks(entity_families(), "composed")})
+    default_tags = "list_filter([{}], lambda p: p is not null)".format(", ".join(
+        f"case when regexp_matches(body, {_text('(?i)' + p)}) then {_text(p)} end" for p in MARKETING_PATTERNS))
+    found["marketing_composed"] = _sql("""
+        select thread_id, array_to_string(tags[1:5], '|') as tags_triggered, cast(len(tags) as double) as score
+        from tagged_composed where len(tags) >= 2 order by len(tags) desc, ts desc, ord_raw limit 500""",
+        extra={**composed, "tagged_composed": f"select *, {default_tags} as tags from composed"})
     found["round_trip_dump"] = _sql("""
         select t.thread_id, t.lang as "groupId",
                cast(row_number() over (partition by t.lang order by t.ord_raw) as integer) as nth_in_group,

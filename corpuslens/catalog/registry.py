@@ -114,14 +114,16 @@ def top_months(spark: SparkSession, sf: str) -> DataFrame:
     return engagement.top_months(ad.threads(spark, sf, keys_only=True))
 
 
+@query
+def months_of_orders(spark: SparkSession, sf: str) -> DataFrame:
+    """The five busiest of some eighty months."""
+    return engagement.top_months(ad.money_threads(spark, sf))
+
+
 @query
 def engagement_top(spark: SparkSession, sf: str) -> DataFrame:
-    threads = ad.threads(spark, sf)
-    narrow = threads.select(
-        "ord_raw", "createdAt_ts", "thread_id", "createdAt_iso", "url",
-        tx.snippet(tx.post_text(), 200).alias("snippet_200"),
-    )
-    return engagement.engagement_top(ad.with_metrics(spark, sf, narrow), 300)
+    keys = ad.threads(spark, sf, keys_only=True).select("ord_raw", "createdAt_ts", "thread_id", "createdAt_iso", "url")
+    return engagement.engagement_top(ad.with_metrics(spark, sf, keys), 300, ad.threads(spark, sf))
 
 
 @query
@@ -217,6 +219,13 @@ def domains_top(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def domains_composed(spark: SparkSession, sf: str) -> DataFrame:
+    """The first hundred of 150 domains, many with the same count."""
+    rows = links.link_occurrences(thread_features(ad.composed_threads(spark, sf), only=["links"]))
+    return links.domains_top(staged(links.url_counts(rows), "urls")).select("domain", "counts", pipe("sample_urls"))
+
+
 @query
 def domains_by_unique_url(spark: SparkSession, sf: str) -> DataFrame:
     return links.domains_by_unique_url(links.url_counts(_link_occurrences(spark, sf)), 15)
@@ -265,6 +274,21 @@ def marketing_candidates(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query
+def marketing_composed(spark: SparkSession, sf: str) -> DataFrame:
+    """The first five hundred of more candidates, nearly all with the same score, default patterns."""
+    features = thread_features(ad.composed_threads(spark, sf), only=["tags", "snippet_300"])
+    top = marketing.marketing_top(marketing.marketing_candidates(features))
+    return top.select("thread_id", pipe("tags_triggered"), F.round("score", 6).alias("score"))
+
+
+@query
+def entities_composed(spark: SparkSession, sf: str) -> DataFrame:
+    """Texts that hold an example of each default pattern."""
+    rows = entities.entity_occurrences(thread_features(ad.composed_threads(spark, sf), only=["entities"]))
+    return rows.groupBy("entity", "category").agg(F.count("*").alias("count_mentions"))
+
+
 @query
 def pattern_join(spark: SparkSession, sf: str) -> DataFrame:
     """One row per document and pattern found in it."""
@@ -486,8 +510,9 @@ def _report_inputs(spark: SparkSession, sf: str):
     )
     urls = links.url_counts(_link_occurrences(spark, sf))
     found = entities.entity_occurrences(docs).select("entity").distinct()
-    candidates = marketing.marketing_candidates(ad.with_metrics(spark, sf, docs))
-    return _counted_threads(spark, sf), mentions, urls, found, candidates
+    counted = staged(_counted_threads(spark, sf), "counted")
+    candidates = marketing.marketing_candidates(docs.join(counted.select("ord_raw", "metrics"), "ord_raw"))
+    return counted, mentions, urls, found, candidates
 
 
 @query

@@ -12,19 +12,25 @@ from corpuslens.operators.topk import number_rows
 from corpuslens.plans.features import with_engagement
 
 
-def engagement_top(threads: DataFrame, n: int = 300) -> DataFrame:
-    """The ``n`` threads with the most engagement, ranked."""
+def engagement_top(threads: DataFrame, n: int = 300, texts: DataFrame | None = None) -> DataFrame:
+    """The ``n`` threads with the most engagement, ranked.
+
+    ``texts`` are the threads with their texts where ``threads`` holds keys and metrics
+    alone: then only keys are ranked, and the ``n`` texts are fetched by key.
+    """
     ranked = with_engagement(threads)
-    if "snippet_200" not in threads.columns:
-        ranked = ranked.withColumn("snippet_200", tx.snippet(tx.post_text(), 200))
-    narrow = ranked.select(
-        "ord_raw", "createdAt_ts", "thread_id", "createdAt_iso", "url", "metrics.*", "engagement",
-        F.col("snippet_200").alias("text_snippet"),
+    shown = [c for c in ("snippet_200", "text_clean", "text_raw") if c in ranked.columns]
+    keys = ranked.select(
+        "ord_raw", "createdAt_ts", "thread_id", "createdAt_iso", "url", "metrics.*", "engagement", *shown
     )
-    top = number_rows(narrow, [F.col("engagement").desc(), *thread_order()], n)
+    top = number_rows(keys, [F.col("engagement").desc(), *thread_order()], n)
+    if texts is not None:
+        # At most n rows.
+        top = texts.select("ord_raw", "text_clean", "text_raw").join(F.broadcast(top), "ord_raw")
+    snippet = F.col("snippet_200") if "snippet_200" in top.columns else tx.snippet(tx.post_text(), 200)
     return top.select(
         "rank", "thread_id", "createdAt_iso", "url", "reactionCount", "commentCount",
-        "shareCount", "text_snippet",
+        "shareCount", snippet.alias("text_snippet"),
     )
 
 

@@ -172,9 +172,8 @@ def evidence_pack(
     ``(ord_raw, metrics)`` when the threads do not carry them. A thread with any
     engagement has a score above 0; ``require_match`` asks for a keyword too.
 
-    Ranking moves keys and numbers only; its ``k`` rows come to the driver. The texts
-    of the chosen threads are then read by their keys, a filter that reaches the scan
-    and skips the row groups without any of them.
+    Ranking moves keys and numbers only; the texts of the chosen ``k`` threads are then
+    picked by a broadcast of their keys.
     """
     keywords, topic_keywords, bonus_ids = single_query_plan(entries, query)
     scored = score_threads(threads, keywords, topic_keywords, bonus_ids)
@@ -185,14 +184,9 @@ def evidence_pack(
     ranked = with_score(scored).select(
         "ord_raw", "createdAt_ts", "metrics", "engagement", "score"
     )
-    best = number_rows(ranked, [F.col("score").desc(), *thread_order()], k)
-    rows = best.drop("createdAt_ts").collect()
-    chosen = threads.sparkSession.createDataFrame(rows, best.drop("createdAt_ts").schema)
-    texts = (
-        threads.where(F.col("ord_raw").isin([row["ord_raw"] for row in rows]))
-        .drop("metrics", "createdAt_ts")
-        .join(F.broadcast(chosen), "ord_raw")
-    )
+    best = number_rows(ranked, [F.col("score").desc(), *thread_order()], k).drop("createdAt_ts")
+    # At most k rows.
+    texts = threads.drop("metrics", "createdAt_ts").join(F.broadcast(best), "ord_raw")
     matched = matched_keywords(
         scoring_text(),
         string_array(keywords), string_array(topic_keywords),
