@@ -11,7 +11,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import DoubleType, IntegerType
+from pyspark.sql.types import DoubleType, IntegerType, StructType
 
 from corpuslens.llm.staging import stage
 
@@ -95,7 +95,11 @@ SEPARATORS = ".-_*'`~^,:;/\\·•"
 #: letter, repeating a letter (first and further times), one letter written twice, a
 #: separator or space within a word, a space that is a true word end among single letters.
 SWAP, EXTRA, REPEAT, AGAIN, TWICE, SPLIT, WORD_END = -1.5, -12.0, -2.0, -0.2, -5.0, -1.0, -5.0
+#: Adding a sign that could be a letter in front of a word.
+FRONT = -8.0
 EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…-–—*#&%"
+#: An exclamation mark in front of a word may be its first letter.
+OPENING = EDGES.replace("!", "") + "¡¿"
 _TAIL = re.compile(r"(.)\1{2,}$")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s\x00-\x20][ \t]){2,}\S(?!\S)")
@@ -105,7 +109,7 @@ MEMO = 300_000
 
 def stripped(token: str) -> str:
     """The token without punctuation around it and without a tail of one sign repeated."""
-    token = token.strip(EDGES)
+    token = token.rstrip(EDGES).lstrip(OPENING)
     tail = _TAIL.search(token)
     if tail and not tail.group(1).isalnum():
         token = token[: tail.start()].rstrip(EDGES)
@@ -120,7 +124,8 @@ def is_noisy(core: str) -> bool:
 
 
 def lattice(core: str) -> list[list[tuple[str, float]]]:
-    """For each run of one character the strings it may stand for, with log costs."""
+    """For each run of one character the strings it may stand for, with log costs.
+    A sign in front may be no letter at all."""
     out = []
     for match in re.finditer(r"(.)\1*", core.lower(), re.S):
         char, n = match.group(1), len(match.group(0))
@@ -137,7 +142,7 @@ def lattice(core: str) -> list[list[tuple[str, float]]]:
                 arcs.append((letter * min(n, 2), SWAP * min(n, 2) + AGAIN * max(0, n - 2)))
                 if n >= 2:
                     arcs.append((letter, SWAP + more))
-            arcs.append(("", EXTRA if char in LEET else SPLIT))
+            arcs.append(("", SPLIT if char not in LEET else EXTRA if out or char.isdigit() else FRONT))
             if char in SEPARATORS:
                 arcs.append((" ", 0.0))
         out.append(arcs)
@@ -328,6 +333,11 @@ def fit(
     return Toxicity(model, weights, _logistic(data[:, 1:], data[:, 0]))
 
 
+def _beside_text(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as one struct, whatever their names, and the text."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"), F.col("text").alias("text"))
+
+
 def score_toxicity(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataFrame:
     """The rows with score (0 to 1) and predicted (1 from ``cut`` on) behind their columns.
 
@@ -335,30 +345,30 @@ def score_toxicity(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataF
     evidence; long texts are read whole; an empty table gives no rows; columns named
     score or predicted are replaced.
     """
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
-    schema = docs.select(*[F.col(f"`{c}`") for c in kept]).schema.add("score", DoubleType()).add("predicted", IntegerType())
-    at = kept.index("text")
+    rows = _beside_text(docs, [c for c in docs.columns if c not in ("score", "predicted")])
+    schema = StructType([rows.schema["document"]]).add("score", DoubleType()).add("predicted", IntegerType())
 
     def run(batches):
         for batch in batches:
-            scores = [fitted.score(t.as_py()) for t in batch.column(at)]
+            scores = [fitted.score(t.as_py()) for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32())],
+                [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32())],
                 names=schema.names,
             )
 
-    return docs.select(*[F.col(f"`{c}`") for c in kept]).mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema).select("document.*", "score", "predicted")
 
 
 def drop_toxic(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataFrame:
     """The documents that score below ``cut``, all columns as they were, whatever their names."""
-    at = docs.columns.index("text")
+    rows = _beside_text(docs, docs.columns)
 
     def run(batches):
         for batch in batches:
-            yield batch.filter(pa.array([fitted.score(t.as_py()) < cut for t in batch.column(at)], pa.bool_()))
+            clean = pa.array([fitted.score(t.as_py()) < cut for t in batch.column(1)], pa.bool_())
+            yield batch.filter(clean).select([0])
 
-    return docs.mapInArrow(run, docs.schema)
+    return rows.mapInArrow(run, StructType([rows.schema["document"]])).select("document.*")
 
 
 def held_out(doc_id: Column) -> Column:
