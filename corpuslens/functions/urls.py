@@ -8,12 +8,11 @@ from functools import cache
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import SPACE_CHARS
+from corpuslens.functions.patterns import java_regex
 from corpuslens.functions.sqltext import NO_STRINGS, let, quote, strings
-from corpuslens.lexicons import TRACKING_PARAMS, TRACKING_PREFIX
+from corpuslens.lexicons import TRACKING_PARAMS, TRACKING_PREFIX, URL_PATTERN
 
-# Ends a URL: whitespace, brackets, quotes. The last character may not be punctuation.
-_URL = rf"""https?://[^{SPACE_CHARS}<>"')\]]+(?<![.,;:!?)])"""
+_URL = java_regex(URL_PATTERN)
 
 
 def links_sql(text: str) -> str:

@@ -122,13 +122,18 @@ MONEY_CONTEXT: dict[str, list[str]] = {
 }
 
 # Query words that carry no meaning for retrieval.
-STOP_WORDS: list[str] = (
-    "the a an and or but is are was were be been being have has had do does did will would "
-    "could should may might must shall can to of in for on with at by from as into through "
-    "during before after above below it its this that these those what which who whom whose "
-    "when where why how all each every both few more most other some such no nor not only own "
-    "same so than too very just about any worth get getting"
-).split()
+STOP_WORDS: list[str] = [
+    "the", "a", "an", "and", "or", "but", "is", "are", "was", "were", "be", "been", "being", "have",
+    "has", "had", "do", "does", "did", "will", "would", "could", "should", "may", "might", "must",
+    "shall", "can", "to", "of", "in", "for", "on", "with", "at", "by", "from", "as", "into",
+    "through", "during", "before", "after", "above", "below", "it", "its", "this", "that", "these",
+    "those", "what", "which", "who", "whom", "whose", "when", "where", "why", "how", "all", "each",
+    "every", "both", "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only",
+    "own", "same", "so", "than", "too", "very", "just", "about", "any", "worth", "get", "getting",
+]
+
+# Links in a text: up to whitespace, a bracket or a quote, without punctuation at the end.
+URL_PATTERN = r"""https?://[^\s<>"')\]]+(?<![.,;:!?)])"""
 
 # Query-string parameters that only track the visitor, and link targets that
 # stay inside the forum's own site.

@@ -14,7 +14,9 @@ from corpuslens.functions.entities import entity_mentions, pattern_tags, require
 from corpuslens.functions.money import money_mentions
 from corpuslens.functions.patterns import fold_case, required_text
 from corpuslens.functions.urls import canonical_url, domain, extract_urls
-from corpuslens.lexicons import MARKETING_PATTERNS, MONEY_PATTERNS, STOP_WORDS, TOPICS, entity_families
+from corpuslens.lexicons import (
+    MARKETING_PATTERNS, MONEY_PATTERNS, STOP_WORDS, TOPICS, TRACKING_PARAMS, TRACKING_PREFIX, URL_PATTERN, entity_families,
+)
 
 
 def column(spark, texts, *columns, name="t"):
@@ -146,7 +148,7 @@ def canonical_in_python(url):
         return url
     kept = {
         k: v for k, v in parse_qs(parts.query, keep_blank_values=True).items()
-        if not k.startswith("utm_") and k not in ("fbclid", "gclid", "ref", "source")
+        if not k.startswith(TRACKING_PREFIX) and k not in TRACKING_PARAMS
     }
     query = urlencode(kept, doseq=True)
     head, slash, last = parts.path.rpartition("/")
@@ -169,8 +171,7 @@ def test_canonical_urls(spark):
 def test_extract_urls(spark):
     parts = ["https://", "http://", "a.b", "/c", ".", ",", ")", "(", " ", "!", "?q=1", "<", "\"", "'", "]", " ", "\x1f"]
     texts = shuffled(parts, 500, 10, seed=9)
-    pattern = r"""https?://[^\s<>"')\]]+(?<![.,;:!?)])"""
-    assert column(spark, texts, extract_urls("t")) == [re.findall(pattern, t) for t in texts]
+    assert column(spark, texts, extract_urls("t")) == [re.findall(URL_PATTERN, t) for t in texts]
 
 
 def test_entities_and_tags(spark):
