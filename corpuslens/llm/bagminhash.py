@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.components import components
-from corpuslens.llm.exact_dedup import LOCATOR, located, normalised, sha256_hex
+from corpuslens.llm.exact_dedup import LOCATOR, addressable, located, normalised, sha256_hex, whole_rows
 from corpuslens.llm.staging import stage
 from corpuslens.llm.words import draws, hashed_words, mix, shingles, slices
 
@@ -95,13 +95,15 @@ def similarity(a: pa.Array, b: pa.Array, n: int) -> np.ndarray:
 
 
 def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, locator, digest and band keys of every document, in one scan."""
+    """doc_id, locator, digest, number of shingles and band keys of every document, in one scan."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, _file string, _row long, digest string, bands array<long>"
+    schema = f"doc_id {kind}, _file string, _row long, digest string, size int, bands array<long>"
 
     def run(batches):
         for batch in batches:
             words, places = hashed_words(batch.column(4))
+            counts = np.diff(places)
+            sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
             keys = []
             for lo, hi in slices(places, GROUP_WORDS):
                 part = places[lo : hi + 1]
@@ -113,7 +115,10 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
             flat = np.concatenate(keys).ravel() if keys else np.empty(0, np.int64)
             offsets = pa.array(np.arange(len(batch) + 1, dtype=np.int32) * bands)
             lists = pa.ListArray.from_arrays(offsets, pa.array(flat))
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(4)), lists], names=["doc_id", "_file", "_row", "digest", "bands"])
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(i) for i in range(4)), pa.array(sizes.astype(np.int32)), lists],
+                names=["doc_id", "_file", "_row", "digest", "size", "bands"],
+            )
 
     source = located(docs, "doc_id", F.coalesce("text", F.lit("")).alias("text"))
     rows_ = source.select("doc_id", *LOCATOR, sha256_hex(F.trim(normalised(F.col("text")))).alias("digest"), "text")
@@ -134,85 +139,148 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     return joined.mapInArrow(run, "a long, b long, sim double")
 
 
+def _own_shingles(texts: DataFrame, n: int) -> DataFrame:
+    """(node, alone): how many shingles of a text, with repeats, no other of the texts has.
+
+    Counted by shingle; those that many texts share meet in the partial sums of each task.
+    """
+
+    def run(batches):
+        for batch in batches:
+            words, places = hashed_words(batch.column(1))
+            nodes = batch.column(0).to_numpy()
+            for lo, hi in slices(places, GROUP_WORDS):
+                part = places[lo : hi + 1]
+                keys, doc, weight = weighted_elements(*shingles(words[part[0] : part[-1]], part - part[0], n))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys.view(np.int64)), pa.array(nodes[lo:hi][doc]), pa.array(weight)], names=["shingle", "node", "times"]
+                )
+
+    rows = texts.select("node", "text").mapInArrow(run, "shingle long, node long, times long")
+    held = rows.groupBy("shingle").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("texts"), F.sum("times").alias("times"))
+    return held.where("texts = 1").groupBy("node").agg(F.sum("times").alias("alone"))
+
+
+#: Sizes are binned by this ratio when pairs are formed.
+_BIN = 1.02
+
+
+def _bin(size: Column) -> Column:
+    return F.floor(F.log(size) / float(np.log(_BIN))).cast("int")
+
+
+def _pairs_left(left: DataFrame, threshold: float, rounds: int) -> DataFrame:
+    """(a, b) of one bucket in different components that nothing rules out.
+
+    Each side names the sizes it can be linked with, so only pairs meet that allow each
+    other. Of those, a star rules out pairs whose distances to its centre differ too much
+    (the distance is a metric), and pairs whose overlap is too small: two texts share at
+    most the smaller of their overlaps with the centre, and of what they have beyond it
+    the smaller part that is not theirs alone.
+    """
+    stars = [f"{c}{k}" for k in range(rounds) for c in ("sim", "with", "beyond")]
+    carried = ["node", "root", "size", "most", *stars]
+    reach = F.sequence(_bin(F.col("size") * threshold) - 1, _bin(F.least("most", F.col("size") / threshold)) + 1)
+    sized = left.select("bucket", _bin(F.col("size")).alias("own"), F.explode(reach).alias("other"), F.struct(*carried).alias("x"))
+    one = sized.select("bucket", "own", "other", F.col("x").alias("a"))
+    two = sized.select("bucket", F.col("other").alias("own"), F.col("own").alias("other"), F.col("x").alias("b"))
+    possible = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    possible &= (F.col("a.most") >= F.col("b.size")) & (F.col("b.most") >= F.col("a.size"))
+    least = (F.col("a.size") + F.col("b.size")) * threshold / (1 + threshold) - 1e-6
+    for k in range(rounds):
+        far = F.abs(F.col(f"a.sim{k}") - F.col(f"b.sim{k}")) > 1 - threshold + 1e-9
+        most = F.least(f"a.with{k}", f"b.with{k}") + F.least(f"a.beyond{k}", f"b.beyond{k}")
+        both = F.col(f"a.sim{k}").isNotNull() & F.col(f"b.sim{k}").isNotNull()
+        possible &= ~(both & (far | (most < least)))
+    keys = ["bucket", "own", "other"]
+    on = possible
+    for key in keys:
+        on &= F.col(f"l.{key}") == F.col(f"r.{key}")
+    return one.alias("l").join(two.alias("r"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+
+
 def near_duplicates(
-    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, star_rounds: int = 2,
+    docs: DataFrame, n: int = 5, threshold: float = 0.8, bands: int = 32, rows: int = 6, star_rounds: int = 1,
 ) -> DataFrame:
     """One row per document with its class of near duplicates.
 
-    Columns: doc_id, class_id (smallest doc_id of the class), class_size, kept
-    (one row a class) and the row's locator. Two texts are linked when the multisets of their ``n``-word shingles overlap by
-    ``threshold`` or more (weighted Jaccard); classes are the components of the links.
-    Texts of fewer than ``n`` words have one shingle of all words. Null texts count as
-    empty; texts without words are equal to each other and to nothing else. Null
-    doc_ids come last in the order; repeated ids are rows of their own and the first
-    locator stays. Empty tables give no rows; other columns are not read.
+    Columns: doc_id, class_id (smallest doc_id of the class), class_size, kept (one row a
+    class) and the row's locator. Two texts are linked when the multisets of their
+    ``n``-word shingles overlap by ``threshold`` or more (weighted Jaccard); classes are
+    the components of the links. Texts of fewer than ``n`` words have one shingle of all
+    words. Null texts count as empty; texts without words are equal to each other and to
+    nothing else. Null doc_ids come last in the order; repeated ids are rows of their own
+    and the first locator stays. Empty tables give no rows; other columns are not read.
 
     Copies are folded into one node each before anything else. Nodes that share a band
     are candidates. In each bucket the node with the largest buckets is compared with
     all others (a star); after ``star_rounds`` of these the pairs that are still in
-    different components are compared one by one, without those that the stars rule
-    out: the distance is a metric, so two nodes whose distances to the same centre
-    differ by more than the threshold allows cannot be linked. Nothing is capped, and a
-    large group costs a star, not all its pairs.
+    different components are compared one by one. Nothing is capped, but pairs that
+    provably have no link are left out: shingles that no other candidate has bound a
+    node's overlap with any other, which rules out nodes and pairs of sizes; and as the
+    distance is a metric, so do distances to the same centre. A large group thus costs
+    its stars and not all its pairs.
     """
+    docs = addressable(docs)
     signed = stage(_signed(docs, n, bands, rows), "signed")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", *LOCATOR)).alias("first")
     nodes = stage(
-        signed.groupBy("digest").agg(first, F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
+        signed.groupBy("digest").agg(first, F.first("size").alias("size"), F.first("bands").alias("bands"), F.count(F.lit(1)).alias("copies"))
         .withColumn("node", F.monotonically_increasing_id()), "nodes",
     )
-    filled = nodes.where(F.exists("bands", lambda x: x != 0))
-    spots = filled.select("node", F.posexplode("bands").alias("band", "value")).select(
-        F.xxhash64("band", "value").alias("bucket"), "node"
+    spots = nodes.where("size > 0").select("node", "size", F.posexplode("bands").alias("band", "value")).select(
+        F.xxhash64("band", "value").alias("bucket"), "node", "size"
     )
-    sizes = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    buckets = stage(spots.join(sizes, "bucket"), "buckets")
-    pull = buckets.groupBy("node").agg(F.sum("size").alias("pull"))
-    wanted = pull.join(nodes.select("node", "first._file", "first._row"), "node")
+    shared = spots.groupBy("bucket").agg(F.count(F.lit(1)).alias("pull")).where("pull > 1")
+    buckets = stage(spots.join(shared, "bucket"), "buckets")
+    wanted = buckets.select("node").distinct().join(nodes.select("node", "first._file", "first._row"), "node")
     texts = stage(
-        located(docs, F.coalesce("text", F.lit("")).alias("text")).join(wanted, list(LOCATOR)).select("node", "pull", "text"), "texts"
+        located(docs, F.coalesce("text", F.lit("")).alias("text")).join(wanted, list(LOCATOR)).select("node", "text"), "texts"
+    )
+    alone = _own_shingles(texts, n)
+    overlap = F.col("size") - F.coalesce("alone", F.lit(0))
+    pull = buckets.groupBy("node", "size").agg(F.sum("pull").alias("pull")).join(alone, "node", "left")
+    # A link with a text of m shingles needs an overlap of threshold / (1 + threshold) * (size + m).
+    able = pull.where(overlap >= threshold * F.col("size")).select(
+        "node", "pull", overlap.alias("shared"), (overlap * (1 + threshold) / threshold - F.col("size") + 1e-6).alias("most")
     )
-    ranked = buckets.join(texts.select("node", "pull"), "node")
-    spark = docs.sparkSession
-    links = spark.createDataFrame([], "a long, b long, sim double")
-    ruled = spark.createDataFrame([], "bucket long, node long, centre long, sim double")
-    left = stage(ranked.select("bucket", "node", F.col("node").alias("root"), "pull"), "groups")
+    left = stage(buckets.drop("pull").join(able, "node").withColumn("root", F.col("node")), "groups")
+    links = roots = None
     for turn in range(star_rounds):
-        centre = left.groupBy("bucket").agg(F.max(F.struct("pull", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root")).alias("c"))
-        stars = left.join(centre.select("bucket", F.col("c.node").alias("centre"), F.col("c.root").alias("centre_root")), "bucket")
-        rays = stars.where("node <> centre").select(
-            "bucket", "node", "centre", F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b"), "root", "centre_root"
+        centre = left.groupBy("bucket").agg(
+            F.count(F.lit(1)).alias("members"),
+            F.max(F.struct("pull", F.xxhash64("node", F.lit(turn)).alias("h"), "node", "root", "size", "most")).alias("c"),
+        ).where("members > 1")
+        rays = left.join(centre, "bucket").where("node <> c.node").withColumns(
+            {"a": F.least("node", "c.node"), "b": F.greatest("node", "c.node")}
         )
-        pairs = rays.where("root <> centre_root").select("a", "b").distinct()
+        pairs = rays.where("root <> c.root and most >= c.size and c.most >= size").select("a", "b").distinct()
         found = stage(_verified(pairs, texts, n), "found")
-        links = links.union(found.where(F.col("sim") >= threshold))
-        ruled = ruled.union(rays.join(found, ["a", "b"]).select("bucket", "node", "centre", "sim"))
+        linked = found.where(F.col("sim") >= threshold)
+        links = linked if links is None else links.union(linked)
         roots = components(links)
-        again = (
-            left.join(centre.select("bucket", F.col("c.node").alias("node")), ["bucket", "node"], "left_anti")
-            .join(roots.withColumnRenamed("root", "new_root"), "node", "left")
-            .select("bucket", "node", F.coalesce("new_root", "node").alias("root"), "pull")
+        sim = F.col(f"sim{turn}")
+        overlap_c = F.round(sim / (1 + sim) * (F.col("size") + F.col("c.size")))
+        placed = rays.join(found.withColumnRenamed("sim", f"sim{turn}"), ["a", "b"], "left").withColumns(
+            {f"with{turn}": overlap_c, f"beyond{turn}": F.greatest(F.col("shared") - overlap_c, F.lit(0))}
         )
+        # A linked text with nothing to share beyond the centre, and no smaller than it,
+        # overlaps with a text that is not linked to the centre even less than the centre does.
+        settled = (sim >= threshold) & (F.col(f"beyond{turn}") == 0) & (F.col("size") >= F.col("c.size"))
+        again = placed.where(~F.coalesce(settled, F.lit(False))).drop("a", "b", "c", "members").join(
+            roots.withColumnRenamed("root", "new_root"), "node", "left"
+        ).withColumn("root", F.coalesce("new_root", "root")).drop("new_root")
         open_ = again.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
         left = stage(again.join(open_, "bucket"), "groups")
         if left.isEmpty():
             break
     else:
-        one = left.select("bucket", F.col("node").alias("a"), F.col("root").alias("root_a"))
-        two = left.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-        rest = one.join(two, "bucket").where("a < b and root_a <> root_b").select("bucket", "a", "b")
-        seen = ruled.select("bucket", "centre", F.col("node").alias("a"), F.col("sim").alias("sim_a"))
-        also = ruled.select("bucket", "centre", F.col("node").alias("b"), F.col("sim").alias("sim_b"))
-        apart = rest.join(seen, ["bucket", "a"]).join(also, ["bucket", "centre", "b"]).where(
-            F.abs(F.col("sim_a") - F.col("sim_b")) > 1 - threshold + 1e-9
-        )
-        rest = rest.join(apart, ["bucket", "a", "b"], "left_anti").select("a", "b").distinct()
-        links = links.union(stage(_verified(rest, texts, n), "found").where(F.col("sim") >= threshold))
-        roots = components(links)
-    classed = (
-        nodes.select("digest", "node", "first", "copies").join(roots, "node", "left")
-        .withColumn("root", F.coalesce("root", "node")).drop("node")
-    )
+        found = stage(_verified(_pairs_left(left, threshold, star_rounds), texts, n), "found")
+        linked = found.where(F.col("sim") >= threshold)
+        links = linked if links is None else links.union(linked)
+        if roots is None or not linked.isEmpty():
+            roots = components(links)
+    classed = nodes.select("digest", "node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = classed.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
     labelled = classed.select("digest", "root").join(heads, "root")
     return signed.select("doc_id", *LOCATOR, "digest").join(labelled, "digest").select(
@@ -223,6 +291,6 @@ def near_duplicates(
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each class, all columns as they were."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_document")
+    docs = addressable(docs)
     kept = near_duplicates(docs, **options).where("kept").select(*LOCATOR)
-    return located(docs, whole).join(kept, list(LOCATOR), "left_semi").select("_document.*")
+    return whole_rows(docs).join(kept, list(LOCATOR), "left_semi").select("_document.*")

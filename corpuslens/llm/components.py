@@ -21,8 +21,8 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         linked = linked.select(F.col("b").alias("a"), F.col("least").alias("b")).union(
             least.select("a", F.col("least").alias("b"))
         )
-    ordered = linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    return ordered.where("a > b").distinct()
+    ordered = linked.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a > b")
+    return ordered if large else ordered.distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
