@@ -15,8 +15,8 @@ os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark runs a task pe
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0  -     　]")
 PLAIN_WORDS = re.compile(r"[^\x20\x09-\x0D]+")
 CLOSING = ".,;:!?"
-#: Words remembered per Python worker, about 100 MB.
-MEMO_WORDS = 400_000
+#: Words remembered per Python worker, about 60 MB.
+MEMO_WORDS = 250_000
 
 
 def _byte_letters() -> dict[int, str]:

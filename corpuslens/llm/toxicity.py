@@ -104,7 +104,8 @@ _TAIL = re.compile(r"(.)\1{2,}$")
 _TRIPLE = re.compile(r"([^\W\d_])\1\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s\x00-\x20][ \t]){2,}\S(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
-MEMO = 300_000
+#: Tokens remembered by a task, of each kind.
+MEMO = 100_000
 
 
 def stripped(token: str) -> str:
@@ -303,14 +304,20 @@ def fit(
     rows = stage(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id").select(part.alias("part"), "y", "text"), "labelled")
 
     def count(batches):
+        def rows_of(total):
+            columns = [pa.array([n[k] for n in total.values()], pa.int64()) for k in range(4)]
+            return pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *columns], names=["feature", *COUNTS])
+
         reader, total = Toxicity(model, {}, []), {}
         for batch in batches:
             for half, y, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
                 found = {f for w in reader.restored(text.as_py() or "") for f in features(w)}
                 for f in [*found, ""]:
                     total.setdefault(f, [0] * 4)[2 * half + y] += 1
-        columns = [pa.array([n[k] for n in total.values()], pa.int64()) for k in range(4)]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), *columns], names=["feature", *COUNTS])
+                if len(total) > MEMO:
+                    yield rows_of(total)
+                    total = {}
+        yield rows_of(total)
 
     counted = rows.mapInArrow(count, "feature string, " + ", ".join(f"{c} long" for c in COUNTS))
     counted = stage(counted.groupBy("feature").agg(*[F.sum(c).alias(c) for c in COUNTS]), "evidence")
@@ -333,9 +340,9 @@ def fit(
     return Toxicity(model, weights, _logistic(data[:, 1:], data[:, 0]))
 
 
-def _beside_text(docs: DataFrame, columns: list[str]) -> DataFrame:
-    """The columns as one struct, whatever their names, and the text."""
-    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"), F.col("text").alias("text"))
+def _as_struct(docs: DataFrame, columns: list[str]) -> DataFrame:
+    """The columns as one struct, whatever their names."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"))
 
 
 def score_toxicity(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataFrame:
@@ -345,12 +352,13 @@ def score_toxicity(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataF
     evidence; long texts are read whole; an empty table gives no rows; columns named
     score or predicted are replaced.
     """
-    rows = _beside_text(docs, [c for c in docs.columns if c not in ("score", "predicted")])
+    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    rows, at = _as_struct(docs, kept), kept.index("text")
     schema = StructType([rows.schema["document"]]).add("score", DoubleType()).add("predicted", IntegerType())
 
     def run(batches):
         for batch in batches:
-            scores = [fitted.score(t.as_py()) for t in batch.column(1)]
+            scores = [fitted.score(t.as_py()) for t in batch.column(0).field(at)]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), pa.array(scores, pa.float64()), pa.array([int(s >= cut) for s in scores], pa.int32())],
                 names=schema.names,
@@ -361,12 +369,11 @@ def score_toxicity(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataF
 
 def drop_toxic(docs: DataFrame, fitted: Toxicity, cut: float = 0.3) -> DataFrame:
     """The documents that score below ``cut``, all columns as they were, whatever their names."""
-    rows = _beside_text(docs, docs.columns)
+    rows, at = _as_struct(docs, docs.columns), docs.columns.index("text")
 
     def run(batches):
         for batch in batches:
-            clean = pa.array([fitted.score(t.as_py()) < cut for t in batch.column(1)], pa.bool_())
-            yield batch.filter(clean).select([0])
+            yield batch.filter(pa.array([fitted.score(t.as_py()) < cut for t in batch.column(0).field(at)], pa.bool_()))
 
     return rows.mapInArrow(run, StructType([rows.schema["document"]])).select("document.*")
 
