@@ -1,7 +1,8 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words."""
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment of words."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -29,7 +30,7 @@ class Items:
     ids: list
     words: list[np.ndarray]
     grams: np.ndarray  # distinct, ascending
-    gram_of: np.ndarray  # for each seed place: its gram
+    gram_of: np.ndarray  # for each seed place: its gram, ascending
     item_of: np.ndarray  # its item
     place_of: np.ndarray  # its word in the item
     table: np.ndarray  # whether a gram may be there, by its low bits
@@ -41,7 +42,8 @@ def _items(ids: list, texts: list) -> Items:
     grams, item = shingles(words, places, SEED)
     counts = np.diff(places)
     place = np.concatenate([np.arange(max(0, c - SEED + 1) or min(c, 1)) for c in counts]) if len(counts) else np.empty(0, int)
-    enough = counts[item] >= SEED
+    enough = np.flatnonzero(counts[item] >= SEED)
+    enough = enough[np.argsort(grams[enough], kind="stable")]
     grams, item, place = grams[enough], item[enough], place[enough]
     distinct, gram_of = np.unique(grams, return_inverse=True)
     return _tabled(Items(ids, own, distinct, gram_of, item, place, np.empty(0, bool)))
@@ -111,67 +113,41 @@ def _blocks(benchmark: DataFrame, key: str, text: str) -> Iterator[Items]:
         yield _items(ids, texts)
 
 
-def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
-    """In how many documents each seed gram of the block occurs."""
-
-    def run(batches):
-        total = np.zeros(len(items.grams), np.int64)
-        for batch in batches:
-            words, places = hashed_words(batch.column(0), fold=True, gaps=MARKS)
-            for lo, hi in slices(places, 500_000):
-                part = places[lo : hi + 1]
-                gram, doc, _ = _found(items, words[part[0] : part[-1]], part - part[0])
-                pairs = np.unique(doc.astype(np.int64) * len(items.grams) + gram)
-                total += np.bincount(pairs % max(1, len(items.grams)), minlength=len(items.grams))
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there])], names=["gram", "n"])
-
-    counted = docs.select("text").mapInArrow(run, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
-    out = np.zeros(len(items.grams), np.int64)
-    for gram, n in counted.collect():  # at most one row for each gram of the block
-        out[gram] = n
-    return out
-
-
-def rare_seeds(items: Items, frequency: np.ndarray, share: float = 0.5, least: int = 6) -> Items:
-    """Keeps the rarest ``share`` of each item's grams by document frequency, ``least`` at least.
-
-    Rarity is relative to the item: a passage that thousands of documents copy keeps its
-    seeds, and phrases of everyday words do not lead to every document.
-    """
-    keep = np.zeros(len(items.gram_of), dtype=bool)
-    order = np.lexsort((items.place_of, frequency[items.gram_of], items.item_of))
-    item = items.item_of[order]
-    rank = np.arange(len(order)) - np.searchsorted(item, item, side="left")
-    size = np.searchsorted(item, item, side="right") - np.searchsorted(item, item, side="left")
-    keep[order] = rank < np.maximum(least, np.ceil(size * share))
-    chosen, gram_of = np.unique(items.gram_of[keep], return_inverse=True)
-    return _tabled(Items(items.ids, items.words, items.grams[chosen], gram_of, items.item_of[keep], items.place_of[keep], items.table))
-
-
-def _windows(items: Items, at: np.ndarray, place: np.ndarray, length: int) -> Iterator[tuple[int, int, int]]:
-    """(item, begin, end): the stretches of a text around its seed hits, joined where they overlap."""
-    order = np.argsort(items.gram_of, kind="stable")
-    sorted_grams = items.gram_of[order]
-    lo, hi = np.searchsorted(sorted_grams, at, side="left"), np.searchsorted(sorted_grams, at, side="right")
-    spans: dict[int, list[tuple[int, int]]] = {}
-    for a, b, p in zip(lo, hi, place):
-        for k in order[a:b]:
-            i = int(items.item_of[k])
-            size = len(items.words[i])
-            slack = size // 2 + 4
-            begin = int(p) - int(items.place_of[k])
-            spans.setdefault(i, []).append((max(0, begin - slack), min(length, begin + size + slack)))
+def _possible(items: Items, pair_item: np.ndarray, own: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether each item has enough words in the text to score ``threshold``; a match adds one
+    to the score and nothing else does, so items without are below it."""
+    chosen, back = np.unique(pair_item, return_inverse=True)
+    there = np.unique(own)
+    sizes = np.array([len(items.words[i]) for i in chosen])
+    words = np.concatenate([items.words[i] for i in chosen])
+    at = np.minimum(np.searchsorted(there, words), len(there) - 1)
+    held = np.add.reduceat((there[at] == words).astype(np.int64), np.concatenate(([0], np.cumsum(sizes)[:-1])))
+    return (held >= np.where(sizes >= SHORT, threshold, 1.0) * sizes * MATCH)[back]
+
+
+def _windows(items: Items, at: np.ndarray, place: np.ndarray, own: np.ndarray, threshold: float) -> Iterator[tuple[int, int, int]]:
+    """(item, begin, end): the stretches of a text that hold every copy around a seed hit,
+    joined where they overlap. What is added to a copy costs its score, so there is a bound."""
+    lo, hi = np.searchsorted(items.gram_of, at, side="left"), np.searchsorted(items.gram_of, at, side="right")
+    many = hi - lo
+    k = np.repeat(lo - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+    item, begin = items.item_of[k], np.repeat(place, many) - items.place_of[k]
+    fits = _possible(items, item, own, threshold)
+    item, begin = item[fits], begin[fits]
+    order = np.lexsort((begin, item))
+    spans: dict[int, list[list[int]]] = {}
+    for i, p in zip(item[order].tolist(), begin[order].tolist()):
+        size = len(items.words[i])
+        slack = math.ceil(size * (1 - threshold) * MATCH / -GAP) if size >= SHORT else 0
+        a, b = max(0, p - slack), min(len(own), p + size + slack)
+        held = spans.setdefault(i, [])
+        if held and a <= held[-1][1]:
+            held[-1][1] = max(b, held[-1][1])
+        else:
+            held.append([a, b])
     for i, found in spans.items():
-        found.sort()
-        a, b = found[0]
-        for c, d in found[1:]:
-            if c > b:
-                yield i, a, b
-                a, b = c, d
-            else:
-                b = max(b, d)
-        yield i, a, b
+        for a, b in found:
+            yield i, a, b
 
 
 def contaminations(
@@ -189,9 +165,10 @@ def contaminations(
     give no rows; other columns are not read.
 
     The benchmark is read in blocks of at most a million words, each looked for in all
-    documents: one pass counts in how many documents its three-word grams occur, one
-    looks for the rarest half of each item's and aligns where one is found. Texts never
-    leave the task that reads them.
+    documents for any run of three words of an item; where one is found and the text has
+    enough of the item's words, it is aligned. A copy in which no three words in a row are
+    left as they were is not found, whatever its score. Texts never leave the task that
+    reads them.
     """
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema[item_key].dataType.simpleString()
@@ -210,7 +187,7 @@ def contaminations(
                         mine = doc == d
                         own = words[part[d] : part[d + 1]]
                         best: dict[int, tuple[float, int, int]] = {}
-                        for i, a, b in _windows(items, gram[mine], place[mine], len(own)):
+                        for i, a, b in _windows(items, gram[mine], place[mine], own, threshold):
                             size = len(items.words[i])
                             score, begin, end = align(items.words[i], own[a:b])
                             score /= size * MATCH
@@ -233,8 +210,7 @@ def contaminations(
     batch_type = to_arrow_type(benchmark.schema[item_key].dataType)
     out = None
     for items in _blocks(benchmark.select(item_key, text), item_key, text):
-        seeds = rare_seeds(items, _frequencies(source, items))
-        hits = source.select("doc_id", *LOCATOR, "text").mapInArrow(search(seeds), schema)
+        hits = source.select("doc_id", *LOCATOR, "text").mapInArrow(search(items), schema)
         out = hits if out is None else out.union(hits)
     return docs.sparkSession.createDataFrame([], schema) if out is None else out
 

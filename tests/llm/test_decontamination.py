@@ -83,6 +83,28 @@ def test_seeds_of_a_common_passage_stay(spark):
     assert {r.doc_id for r in contaminations(frame, items).collect()} == {i for i in range(80) if i % 10}
 
 
+@pytest.mark.parametrize("every, instead", [(4, True), (5, True), (6, True), (3, False)])
+def test_edited_copies_are_those_of_full_alignment(spark, every, instead):
+    """A word put in place of every fourth to sixth, or after every third."""
+    items = [(n, [f"i{n}w{k}" for k in range(n)]) for n in (16, 20, 30, 40, 60)]
+    docs = []
+    for n, item in items:
+        copy = []
+        for k, word in enumerate(item):
+            new = k % every == every - 1
+            copy += [word] * (not (new and instead)) + [f"new{n}x{k}"] * new
+        docs.append((n, prose(n, 40).split() + copy + prose(n + 1, 40).split()))
+    got = contaminations(
+        spark.createDataFrame([(i, " ".join(d)) for i, d in docs], "doc_id long, text string"),
+        spark.createDataFrame([(i, " ".join(d)) for i, d in items], "item_id long, text string"),
+    ).collect()
+    numbers = {w: k for k, w in enumerate(dict.fromkeys(w for _, d in [*docs, *items] for w in d))}
+    coded = lambda words: np.array([numbers[w] for w in words])
+    want = {(d, i): brute(coded(b), coded(a)) / len(b) for d, a in docs for i, b in items}
+    assert {(r.doc_id, r.item_id): pytest.approx(r.score) for r in got} == {k: v for k, v in want.items() if v >= 0.5}
+    assert len(got) == len(docs)
+
+
 def test_odd_documents(spark, odd_documents, no_documents):
     items = spark.createDataFrame([("a", "a plain text of some words"), ("b", "X" * 50_000)], "item_id string, text string")
     rows = contamination_report(odd_documents, items).collect()
