@@ -101,9 +101,10 @@ EDGES = ".,;:!?\"'()[]{}<>«»“”‘’…-–—*#&%"
 #: An exclamation mark in front of a word may be its first letter.
 OPENING = EDGES.replace("!", "") + "¡¿"
 _TAIL = re.compile(r"(.)\1{2,}$")
-_TRIPLE = re.compile(r"([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:[^\s\x00-\x20][ \t]){2,}\S(?!\S)")
+_DOUBLE = re.compile(r"([^\W\d_])\1")
+_SPACED = re.compile(r"(?<!\S)(?:[^\s\x00-\x20]\s+){2,}\S(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
+_BETWEEN = re.compile(f"[^{re.escape(SEPARATORS)}]{{2,}}")
 #: Tokens remembered by a task, of each kind.
 MEMO = 100_000
 
@@ -120,8 +121,8 @@ def stripped(token: str) -> str:
 def is_noisy(core: str) -> bool:
     """Whether a token's lattice has more than the path that leaves it as it is."""
     if core.isalpha():
-        return bool(_TRIPLE.search(core))
-    return len(core) <= 64 and bool(_LETTER.search(core)) and not core.isdigit()
+        return bool(_DOUBLE.search(core.lower()))
+    return bool(_LETTER.search(core)) and not core.isdigit()
 
 
 def lattice(core: str) -> list[list[tuple[str, float]]]:
@@ -151,10 +152,11 @@ def lattice(core: str) -> list[list[tuple[str, float]]]:
 
 
 def viterbi(arcs: list[list[tuple[str, float]]], model: np.ndarray) -> str:
-    """The likeliest string through the lattice; a state is the last two symbols."""
-    states: dict[tuple[int, int], tuple[float, str]] = {(0, 0): (0.0, "")}
+    """The likeliest string through the lattice; a state is the last two symbols and holds
+    its string as a chain of parts, so that time grows with the length alone."""
+    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
     for options in arcs:
-        nxt: dict[tuple[int, int], tuple[float, str]] = {}
+        nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
         for (a, b), (score, text) in states.items():
             for string, cost in options:
                 x, y, total = a, b, score + cost
@@ -163,20 +165,28 @@ def viterbi(arcs: list[list[tuple[str, float]]], model: np.ndarray) -> str:
                     total += model[x, y, c]
                     x, y = y, c
                 if (x, y) not in nxt or total > nxt[x, y][0]:
-                    nxt[x, y] = (total, text + string)
+                    nxt[x, y] = (total, (text, string))
         states = nxt
-    return max(((s + model[a, b, 0], t) for (a, b), (s, t) in states.items()), default=(0.0, ""))[1]
+    _, chain = max(((s + model[a, b, 0], t) for (a, b), (s, t) in states.items()), key=lambda r: r[0], default=(0.0, ()))
+    parts = []
+    while chain:
+        chain, part = chain
+        parts.append(part)
+    return "".join(reversed(parts))
 
 
 def decode(core: str, model: np.ndarray) -> list[str]:
-    """Restored words of a token, lower case."""
+    """Restored words of a token, lower case; of a long one also those of what stands
+    between its separators, since it may be a list."""
     if not is_noisy(core):
         return [core.lower()] if core else []
-    return re.findall(r"[^\W\d_]+", viterbi(lattice(core), model))
+    words = re.findall(r"[^\W\d_]+", viterbi(lattice(core), model))
+    pieces = _BETWEEN.findall(core) if len(core) > 64 else []
+    return words + [w for piece in pieces if piece != core for w in decode(stripped(piece), model)]
 
 
 def decode_spaced(run: str, model: np.ndarray) -> list[str]:
-    """Restored words of single characters with spaces between them: every gap may be
+    """Restored words of single characters with white space between them: every gap may be
     the writer's or a true word end."""
     arcs = []
     for i, char in enumerate(run.split()):

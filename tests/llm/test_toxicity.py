@@ -67,6 +67,22 @@ def test_written_forms_are_restored(fitted, written):
     assert fitted.score(f"some words and {written} here") >= 0.3
 
 
+@pytest.mark.parametrize("written", ["idioott", "iddiot", "iiddiioott", "IiDdIiOoTt"])
+def test_doubled_letters_are_restored(fitted, written):
+    assert "idiot" in decode(stripped(written), fitted.model)
+
+
+@pytest.mark.parametrize("sign", [",", "/", "-", "."])
+def test_long_tokens_are_decoded_whole(fitted, sign):
+    token = sign.join(["plain", "words", "without", "any", "blank"] * 5 + ["1d10t", "and", "more"])
+    assert "idiot" in decode(stripped(token), fitted.model)
+
+
+@pytest.mark.parametrize("gap", ["  ", "\n", " \n\t", "\u00a0"])
+def test_letters_with_any_white_space_between_are_joined(fitted, gap):
+    assert "idiot" in fitted.restored("such an" + gap + gap.join("idiot") + gap + "there")
+
+
 def test_spaced_letters_are_joined(fitted):
     assert decode_spaced("i d i o t", fitted.model) == ["idiot"]
     assert fitted.score("the l o s e r is here") >= 0.3
