@@ -11,8 +11,11 @@ from corpuslens.llm import brown
 from corpuslens.llm.bagminhash import near_duplicates
 from corpuslens.llm.chat import conversation_digests, format_turns
 from corpuslens.llm.decontamination import contamination_report
+from corpuslens.llm.divergence import source_divergence
 from corpuslens.llm.exact_dedup import exact_groups
+from corpuslens.llm.main_text import extract_main_text
 from corpuslens.llm.packing import pack_documents
+from corpuslens.llm.periodic import periodic_runs
 from corpuslens.llm.reputation import DOMAIN_PATTERN, SUFFIX_PATTERN, Rule, judge_urls
 from corpuslens.llm.sharding import shard_documents
 from corpuslens.llm.token_counts import count_tokens
@@ -178,3 +181,94 @@ def op5_brown_classes(spark: SparkSession, sf: str) -> DataFrame:
     out = F.coalesce(brown.held_out(F.col("doc_id")), F.lit(False))
     model = brown.fit(docs.where(~out).select("text"))
     return brown.score(docs, model).withColumn("held_out", out)
+
+
+@query
+def op11_main_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Main text of every page."""
+    rows = extract_main_text(table(spark, sf, "pages").select("page_id", "url", "html"))
+    return rows.withColumn("n_chars", F.length("text").cast("long"))
+
+
+# Right where a page has one article, in it only h1, p, b and br, and no references but these.
+ORACLES["op11_main_text"] = r"""
+with article as (
+    select page_id, url, regexp_replace(regexp_extract(coalesce(html, ''), '<article>(.*?)</article>', 1, 's'), '[\s\x{a0}]|<br>', ' ', 'g') as body
+    from pages
+), blocks as (
+    select page_id, url, list_transform(string_split_regex(body, '</?(h1|p)>'), lambda b: trim(regexp_replace(
+        replace(replace(replace(replace(replace(regexp_replace(regexp_replace(b, '</?b>', '', 'g'), '&(amp|quot)(?:;|\b)', '&\1;', 'g'),
+            '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&'), '[\s\x{a0}]+', ' ', 'g'))) as parts
+    from article
+), texts as (select page_id, url, array_to_string(list_filter(parts, lambda b: b <> ''), chr(10)) as text from blocks)
+select page_id, url, text, length(text) as n_chars from texts
+"""
+
+
+@query
+def op12_source_divergence(spark: SparkSession, sf: str) -> DataFrame:
+    """Word divergence of the sources of each language, over all documents."""
+    return source_divergence(table(spark, sf, "documents"), least=10, top=10)
+
+
+ORACLES["op12_source_divergence"] = r"""
+with d as (
+    select row_number() over () as k, coalesce(lang, '') as lang, coalesce(source, '') as source,
+           unnest(list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                 '[^\x00-\x40\x5B-\x60\x7B-\x7F]+'), '')) as term
+    from documents
+), grp as (select distinct lang, source from d),
+counted as (select lang, source, term, count(*) as n from d where term <> '' group by all),
+kept as (select lang, term from d where term <> '' group by all having count(distinct k) >= 10),
+langs as (select lang, term, sum(n)::bigint as total from counted semi join kept using (lang, term) group by all),
+lang_n as (select lang, count(*) as v, sum(total)::bigint as n from langs group by all),
+full_ as (
+    select g.lang, g.source, t.term, coalesce(c.n, 0) as n, t.total
+    from grp g join langs t using (lang) left join counted c on c.lang = g.lang and c.source = g.source and c.term = t.term
+), shared as (
+    select f.*, 1 + 1000000000::bigint * (f.n + 2) // (sum(f.n) over (partition by f.lang, f.source)::bigint + 2 * v) as p,
+           1 + 1000000000::bigint * (total + 2) // (l.n + 2 * v) as q
+    from full_ f join lang_n l using (lang)
+), pairs as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // (a.p + b.p))::bigint as value
+    from shared a join shared b on a.lang = b.lang and a.term = b.term and a.source <> b.source group by all
+), every as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(value, 0) as value
+    from grp a join grp b on a.lang = b.lang and a.source <> b.source
+    left join pairs p on p.lang = a.lang and p.source = a.source and p.item = b.source
+    union all
+    select lang, source, 'term', term, (p - q) * (p - q) // (p + q) from shared where n > 0 and p > q
+), ranked as (select *, row_number() over (partition by lang, source, part order by value desc, item)::int as rank from every)
+select * from ranked where part = 'pair' or rank <= 10
+"""
+
+
+def _with_repeats(docs: DataFrame) -> DataFrame:
+    """doc_id and text of the documents; in those whose crc32(doc_id as text) ten divides, the
+    words from some place on go round in a stretch that starts there."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+"), F.lit(0))
+    g, n = F.floor(h / 10), F.size("w")
+    at = (g % n).cast("int")
+    span = (1 + F.floor((n - at) / (3 + g % 8))).cast("int")
+    rounds = F.transform(F.sequence(at, n - 1), lambda i: F.get("w", at + (i - at) % span))
+    changed = F.array_join(F.concat(F.slice("w", F.lit(1), at), rounds), " ")
+    chosen = F.when(h % 10 == 0, words)
+    return docs.select("doc_id", "text", chosen.alias("w")).select(
+        "doc_id", F.when(n > 0, changed).otherwise(F.col("text")).alias("text")
+    )
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of repeated words in every document, and what is left of it without them."""
+    found = periodic_runs(_with_repeats(table(spark, sf, "documents")), least=12)
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    rows = found.withColumn("best", best).withColumns({"length": F.col("best.length"), "period": -F.col("best.period")})
+    return rows.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), "length", "period",
+        F.call_function("div", 1000 * F.col("length"), F.col("period")).alias("exponent_milli"),
+        F.sha2(F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise("")), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
