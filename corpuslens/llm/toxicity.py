@@ -4,8 +4,11 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass, field
+from functools import lru_cache
+from itertools import product
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +24,7 @@ from corpuslens.llm.staging import stage
 CLASSES = 64
 
 
+@lru_cache(maxsize=1 << 16)
 def symbol(char: str) -> int:
     low = char.lower()[:1]
     if "a" <= low <= "z":
@@ -105,16 +109,30 @@ _DOUBLE = re.compile(r"([^\W\d_])\1")
 _SPACED = re.compile(r"(?<!\S)(?:[^\s\x00-\x20]\s+){2,}\S(?!\S)")
 _LETTER = re.compile(r"[^\W\d_]")
 _BETWEEN = re.compile(f"[^{re.escape(SEPARATORS)}]{{2,}}")
-#: Tokens remembered by a task, of each kind.
+_LETTERS = re.compile(r"[^\W\d_]+")
+#: Tokens whose evidence a Python worker remembers, and word features a task adds up.
 MEMO = 100_000
+_HELD: dict[str, dict[str, float]] = {}
+
+
+def _remembered(name: str) -> dict[str, float]:
+    """Evidence of tokens under a model, from task to task; a worker keeps that of two models."""
+    held = _HELD.get(name)
+    if held is None:
+        if len(_HELD) > 1:
+            _HELD.clear()
+        held = _HELD[name] = {}
+    return held
+
 
 
 def stripped(token: str) -> str:
     """The token without punctuation around it and without a tail of one sign repeated."""
     token = token.rstrip(EDGES).lstrip(OPENING)
-    tail = _TAIL.search(token)
-    if tail and not tail.group(1).isalnum():
-        token = token[: tail.start()].rstrip(EDGES)
+    if token and not token[-1].isalnum():
+        tail = _TAIL.search(token)
+        if tail:
+            token = token[: tail.start()].rstrip(EDGES)
     return token
 
 
@@ -133,13 +151,13 @@ def lattice(core: str) -> list[list[tuple[str, float]]]:
         char, n = match.group(1), len(match.group(0))
         more = REPEAT + AGAIN * (n - 2)
         if char.isalpha():
-            arcs = [(char * min(n, 8), 0.0)]
+            arcs = [(char * n, 0.0)]
             if n >= 2:
                 arcs.append((char, TWICE if n == 2 else more))
             if n >= 3:
                 arcs.append((char * 2, more))
         else:
-            arcs = [(char * min(n, 8), 0.0)] if char.isdigit() else []
+            arcs = [(char * n, 0.0)] if char.isdigit() else []
             for letter in LEET.get(char, ""):
                 arcs.append((letter * min(n, 2), SWAP * min(n, 2) + AGAIN * max(0, n - 2)))
                 if n >= 2:
@@ -151,23 +169,35 @@ def lattice(core: str) -> list[list[tuple[str, float]]]:
     return out
 
 
+_FLAT: list = [None, None]
+
+
+def _flat(model: np.ndarray) -> list[float]:
+    """The model as plain numbers, which are read one by one several times as fast."""
+    if _FLAT[0] is not model:
+        _FLAT[:] = model, model.ravel().tolist()
+    return _FLAT[1]
+
+
 def viterbi(arcs: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     """The likeliest string through the lattice; a state is the last two symbols and holds
     its string as a chain of parts, so that time grows with the length alone."""
-    states: dict[tuple[int, int], tuple[float, tuple]] = {(0, 0): (0.0, ())}
+    model = _flat(model)
+    states: dict[int, tuple[float, tuple]] = {0: (0.0, ())}
     for options in arcs:
-        nxt: dict[tuple[int, int], tuple[float, tuple]] = {}
-        for (a, b), (score, text) in states.items():
-            for string, cost in options:
-                x, y, total = a, b, score + cost
-                for char in string:
-                    c = symbol(char)
-                    total += model[x, y, c]
-                    x, y = y, c
-                if (x, y) not in nxt or total > nxt[x, y][0]:
-                    nxt[x, y] = (total, (text, string))
+        nxt: dict[int, tuple[float, tuple]] = {}
+        coded = [(string, cost, [symbol(c) for c in string]) for string, cost in options]
+        for state, (score, text) in states.items():
+            for string, cost, symbols in coded:
+                at, total = state, score + cost
+                for c in symbols:
+                    at = at * CLASSES + c
+                    total += model[at]
+                    at %= CLASSES * CLASSES
+                if at not in nxt or total > nxt[at][0]:
+                    nxt[at] = (total, (text, string))
         states = nxt
-    _, chain = max(((s + model[a, b, 0], t) for (a, b), (s, t) in states.items()), key=lambda r: r[0], default=(0.0, ()))
+    _, chain = max(((s + model[at * CLASSES], t) for at, (s, t) in states.items()), key=lambda r: r[0], default=(0.0, ()))
     parts = []
     while chain:
         chain, part = chain
@@ -175,12 +205,20 @@ def viterbi(arcs: list[list[tuple[str, float]]], model: np.ndarray) -> str:
     return "".join(reversed(parts))
 
 
+def spellings(core: str) -> list[str] | None:
+    """All strings of the lattice of a word of letters; none where they would be many."""
+    arcs = lattice(core)
+    if sum(len(options) > 1 for options in arcs) > 4:
+        return None
+    return ["".join(s for s, _ in path) for path in product(*arcs)]
+
+
 def decode(core: str, model: np.ndarray) -> list[str]:
     """Restored words of a token, lower case; of a long one also those of what stands
     between its separators, since it may be a list."""
     if not is_noisy(core):
         return [core.lower()] if core else []
-    words = re.findall(r"[^\W\d_]+", viterbi(lattice(core), model))
+    words = _LETTERS.findall(viterbi(lattice(core), model))
     pieces = _BETWEEN.findall(core) if len(core) > 64 else []
     return words + [w for piece in pieces if piece != core for w in decode(stripped(piece), model)]
 
@@ -193,7 +231,7 @@ def decode_spaced(run: str, model: np.ndarray) -> list[str]:
         if i:
             arcs.append([("", SPLIT), (" ", WORD_END)])
         arcs.extend(lattice(char))
-    return re.findall(r"[^\W\d_]+", viterbi(arcs, model))
+    return _LETTERS.findall(viterbi(arcs, model))
 
 
 # --------------------------------------------------------------------- evidence
@@ -216,36 +254,46 @@ class Toxicity:
     model: np.ndarray
     weights: dict[str, float]
     scale: list[float]
-    _words: dict = field(default_factory=dict, repr=False, compare=False)
-    _tokens: dict = field(default_factory=dict, repr=False, compare=False)
+    name: str = field(default_factory=lambda: uuid.uuid4().hex, repr=False, compare=False)
 
     def restored(self, text: str) -> set[str]:
         """Distinct restored words of a text."""
         return set().union(*map(self._token, set(text.split())), *(decode_spaced(m.group(0), self.model) for m in _SPACED.finditer(text)))
 
     def _token(self, token: str) -> list[str]:
-        words = self._tokens.get(token)
-        if words is None:
-            words = decode(stripped(token), self.model)
-            if len(token) < 64:
-                if len(self._tokens) >= MEMO:
-                    self._tokens.clear()
-                self._tokens[token] = words
-        return words
+        return decode(stripped(token), self.model)
 
     def _evidence(self, token: str) -> float:
         """Largest evidence among the restored words of a token."""
-        weight = self._words.get(token)
+        held = _remembered(self.name)
+        weight = held.get(token)
         if weight is None:
-            weight = self._weight(self._token(token))
+            weight = self._core_evidence(stripped(token))
             if len(token) < 64:
-                if len(self._words) >= MEMO:
-                    self._words.clear()
-                self._words[token] = weight
+                if len(held) >= MEMO:
+                    held.clear()
+                held[token] = weight
         return weight
 
+    def _core_evidence(self, core: str) -> float:
+        """As of the decoded token; a word of letters is decoded only if one of the strings
+        of its lattice carries evidence."""
+        if not core.isalpha():
+            return self._weight(decode(core, self.model))
+        word = core.lower()
+        if not _DOUBLE.search(word):
+            return self._weight([word])
+        strings = spellings(core)
+        if strings is not None and not any(self._weight(_LETTERS.findall(s)) for s in strings):
+            return 0.0
+        return self._weight(decode(core, self.model))
+
     def _weight(self, words: list[str]) -> float:
-        return max((self.weights.get(f, 0.0) for w in words for f in features(w)), default=0.0)
+        """Largest weight of the features of words."""
+        best, weight = 0.0, self.weights.get
+        for word in words:
+            best = max(best, weight("=" + word, 0.0), *[weight(word[:n], 0.0) for n in PREFIXES if len(word) >= n])
+        return best
 
     def summary(self, text: str | None) -> tuple[float, float]:
         """Largest evidence of a word, and the logarithm of how many words carry any."""
