@@ -1,22 +1,15 @@
-"""Written intermediate tables in the folder that all executors share."""
+"""Written intermediate tables in the application's part of the folder that all executors share."""
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import DataFrame
 
-from pyspark.sql import DataFrame, SparkSession
+from corpuslens.operators.staging import fresh_path, staged
 
-from corpuslens.operators.staging import shared_folder
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path in the shared folder that nothing has used yet."""
-    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+__all__ = ["fresh_path", "stage"]
 
 
 def stage(df: DataFrame, name: str) -> DataFrame:
     """Write the frame to the shared folder and read it back: lineage is cut, a lost
     executor costs no recomputation, and every later reader sees the same rows."""
-    path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return staged(df, name)
