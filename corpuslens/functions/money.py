@@ -38,17 +38,29 @@ def _tags(context: str, families: dict[str, list[str]]) -> str:
     return f"array_compact(array({', '.join(cases)}))"
 
 
+#: Matches whose offsets are added up together; appending to an array copies it.
+_BLOCK = 256
+
+
 def _with_starts(matches: str, pieces: str) -> str:
     """``(m, start)`` per match; its offset follows from the lengths of the pieces
-    between matches."""
-    return f"""aggregate(
-        zip_with(slice({pieces}, 1, size({matches})), {matches},
-                 (gap, m) -> named_struct('gap', length(gap), 'm', m)),
-        named_struct('pos', 0, 'hits', cast(array() as array<struct<m:string,start:int>>)),
+    between matches. Offsets are added up within blocks of matches, then over blocks,
+    so that the time for a text grows with its matches."""
+    hit = "array<struct<m:string,start:int>>"
+    block = f"""aggregate(slice(ps, b * {_BLOCK} + 1, {_BLOCK}),
+        named_struct('pos', 0, 'hits', cast(array() as {hit})),
         (acc, p) -> named_struct(
             'pos', acc.pos + p.gap + length(p.m),
-            'hits', array_append(acc.hits, named_struct('m', p.m, 'start', acc.pos + p.gap))),
-        acc -> acc.hits)"""
+            'hits', array_append(acc.hits, named_struct('m', p.m, 'start', acc.pos + p.gap))))"""
+    blocks = f"transform(sequence(0, (size(ps) - 1) div {_BLOCK}), b -> {block})"
+    moved = "transform(x.hits, h -> named_struct('m', h.m, 'start', acc.pos + h.start))"
+    pairs = f"""zip_with(slice({pieces}, 1, size({matches})), {matches},
+                 (gap, m) -> named_struct('gap', length(gap), 'm', m))"""
+    joined = f"""aggregate({blocks},
+        named_struct('pos', 0, 'hits', cast(array() as array<{hit}>)),
+        (acc, x) -> named_struct('pos', acc.pos + x.pos, 'hits', array_append(acc.hits, {moved})),
+        acc -> flatten(acc.hits))"""
+    return let("ps", pairs, joined)
 
 
 def _pattern_hits(lowered: str, number: int, pattern: str) -> str:

@@ -1,4 +1,4 @@
-"""Written intermediate tables and size-checked broadcasts."""
+"""Written intermediate tables."""
 
 from __future__ import annotations
 
@@ -67,13 +67,3 @@ def spread(scan: DataFrame, key: str) -> DataFrame:
     """
     tasks = scan.sparkSession.conf.get("spark.corpuslens.spread", None)
     return scan.repartition(int(tasks), key) if tasks else scan
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
-    """Hint a broadcast only when the frame has at most ``max_rows`` rows.
-
-    The count stops at the bound. Larger frames are left to a shuffled join.
-    """
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(df)
-    return df

@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
 from corpuslens.functions.keywords import keyword_counts, total_sql
 from corpuslens.functions.sqltext import string_array, strings
+from corpuslens.operators.impact import in_groups, reachable, term_sums
 from corpuslens.operators.ordering import thread_order
-from corpuslens.operators.staging import broadcast_if_small, computed_once, staged
+from corpuslens.operators.staging import computed_once, staged
 from corpuslens.operators.topk import number_rows, top_per_key
 from corpuslens.plans.features import with_engagement
 
 TOPICS_PER_QUERY = 3
 BONUS = 5.0
+#: What a word of the query counts in a score.
+WORD_WEIGHT = 2.0
 
 
 def scoring_text() -> Column:
@@ -143,7 +146,7 @@ def score_threads(
 def with_score(scored: DataFrame) -> DataFrame:
     """Add ``engagement`` and ``score``; only threads with a score above 0 stay."""
     total = (
-        F.col("hits") * 2.0 + F.col("topic_hits") * 1.0 + _boost(F.col("engagement")) + F.col("bonus")
+        F.col("hits") * WORD_WEIGHT + F.col("topic_hits") * 1.0 + _boost(F.col("engagement")) + F.col("bonus")
     )
     return with_engagement(scored).withColumn("score", total).where(F.col("score") > 0)
 
@@ -228,7 +231,7 @@ def _text_facts(threads: DataFrame, wanted: DataFrame, lexicon: list[str]) -> Da
         lambda w: F.struct(F.lit(True).alias("is_word"), w.alias("term"), one.alias("n")),
     )
     rows = texts.select("ord_raw", F.inline(F.concat(keyword, word)))
-    asked = broadcast_if_small(wanted.select(F.col("word").alias("term"), F.lit(True).alias("asked")).distinct())
+    asked = wanted.select("term", F.lit(True).alias("asked")).distinct()
     kept = rows.join(asked, "term", "left").where("not is_word or asked")
     return kept.groupBy("ord_raw", "is_word", "term").agg(F.sum("n").alias("n"))
 
@@ -240,6 +243,7 @@ def evidence_for_queries(
     k: int = 60,
     metrics: DataFrame | None = None,
     require_match: bool = False,
+    observation: Observation | None = None,
 ) -> DataFrame:
     """The ``k`` best threads for each row of ``(query_id, query)``:
     ``query_id, rank, ord_raw, score, engagement, metrics``.
@@ -249,12 +253,17 @@ def evidence_for_queries(
     a thread without a word of the query can only be among its best ``k`` if it is among
     the best ``k`` of the topic set: ``k`` threads ahead of it there are ahead of it for
     the query. And a thread without a topic word or bonus has the same score for every
-    set, its boost. Candidates are therefore the threads that share a word with the query,
-    the best ``k`` of its set among those that meet the set, and the best ``k`` by boost.
+    set, its boost. Those two and the ``k`` threads with the largest parts of the score for
+    one word of the query are scored first. The ``k``-th best of these scores is a threshold,
+    and other threads are met only in groups of like impact that can reach it
+    (:mod:`corpuslens.operators.impact`), which is exact. A query with fewer than ``k``
+    threads of any score has the threshold 0.
     ``require_match`` asks for a word or topic word, as there.
 
     Texts are scanned once, for a written table of the terms that matter; from there on
-    keys and numbers move.
+    keys and numbers move. All tables that are joined are written ones, so that Spark knows
+    their bytes when it chooses what to broadcast. ``observation`` gets the number of
+    ``pairs`` of query and thread that were scored.
     """
     plans = staged(
         query_plans(queries, entries).select(
@@ -264,25 +273,23 @@ def evidence_for_queries(
     )
     # Distinct topic sets: at most the ways to choose three of the lexicon's topics.
     sets = staged(plans.dropDuplicates(["set_no"]).select("set_no", "words", "bonus_ids"), "topic-sets")
-    wanted = staged(
-        plans.select("query_id", "set_no", F.explode("keywords").alias("word"))
-        .groupBy("query_id", "set_no", "word").agg(F.count("*").alias("times")), "query-words",
-    )
+    asked = plans.select("query_id", F.explode("keywords").alias("term"))
+    wanted = staged(asked.groupBy("query_id", "term").agg(F.count("*").alias("times")), "query-words")
     # The lexicon's words come to the driver to be looked for all at once.
     lexicon = [w.lower() for row in entries.select("keywords").collect() for w in row["keywords"]]
     facts = staged(_text_facts(threads, wanted, lexicon), "text-facts")
     keys = threads.select("ord_raw", "createdAt_ts", "thread_id", *[c for c in ("metrics",) if c in threads.columns])
     if metrics is not None:
         keys = keys.join(metrics, "ord_raw")
-    keys = with_engagement(keys)
+    keys = staged(with_engagement(keys).withColumn("boost", _boost(F.col("engagement"))), "thread-keys")
 
-    none, numbers = F.lit(0.0), ["ord_raw", "createdAt_ts", "engagement", "metrics"]
+    none = F.lit(0.0)
     words = sets.select("set_no", F.explode("words").alias("term"))
-    hits = facts.where("not is_word").join(broadcast_if_small(words), "term").groupBy("set_no", "ord_raw").agg(
+    hits = facts.where("not is_word").join(words, "term").groupBy("set_no", "ord_raw").agg(
         F.sum("n").cast("double").alias("topic_hits"), F.max(none).alias("bonus")
     )
     marked = sets.select("set_no", F.explode("bonus_ids").alias("thread_id"))
-    bonus = keys.join(broadcast_if_small(marked), "thread_id").select(
+    bonus = keys.join(marked, "thread_id").select(
         "set_no", "ord_raw", none.alias("topic_hits"), F.lit(BONUS).alias("bonus")
     )
     met = staged(
@@ -290,25 +297,47 @@ def evidence_for_queries(
             F.sum("topic_hits").alias("topic_hits"), F.max("bonus").alias("bonus")
         ), "topic-parts",
     )
-    base = F.col("topic_hits") + _boost(F.col("engagement")) + F.col("bonus")
-    led = top_per_key(met.join(keys.select(*numbers), "ord_raw"), ["set_no"], [base.desc(), *thread_order()], k, spread=32)
+    base = F.col("topic_hits") + F.col("boost") + F.col("bonus")
+    counted = facts.where("is_word").select("term", F.col("ord_raw").alias("item"), "n")
+    postings = staged(in_groups(counted), "postings")
+    boosts = keys.select(F.col("ord_raw").alias("item"), "boost")
+    grouped = postings.select("item", "group").distinct().join(boosts, "item")
+
+    led = top_per_key(met.join(keys, "ord_raw"), ["set_no"], [base.desc(), *thread_order()], k, spread=32)
     boosted = keys.where("engagement > 0").orderBy(F.col("engagement").desc(), *thread_order()).limit(k)
     every = sets.agg(F.collect_list("set_no").alias("all")).scalar()
     leading = led.select("set_no", "ord_raw").unionByName(boosted.select(F.explode(every).alias("set_no"), "ord_raw")).distinct()
-    leading = plans.select("query_id", "set_no").join(leading, "set_no").withColumn("hits", F.lit(0).cast("long"))
-
-    shared = facts.where("is_word").withColumnRenamed("term", "word").join(broadcast_if_small(wanted), "word")
-    pairs = (
-        shared.select("query_id", "set_no", "ord_raw", (F.col("n") * F.col("times")).alias("hits")).unionByName(leading)
-        .groupBy("query_id", "set_no", "ord_raw").agg(F.sum("hits").alias("hits"))
-    )
-    scored = pairs.join(met, ["set_no", "ord_raw"], "left").join(keys.select(*numbers), "ord_raw").withColumns(
-        {c: F.coalesce(c, none) for c in ("topic_hits", "bonus")}
+    leading = plans.select("query_id", "set_no").join(leading, "set_no").select("query_id", F.col("ord_raw").alias("item"))
+    by_word = top_per_key(postings, ["term"], [F.desc("n"), F.asc("item")], k, rank="_n", spread=32)
+    by_word = by_word.join(wanted, "term").groupBy("query_id", "item").agg(F.sum(F.col("n") * F.col("times")).alias("part"))
+    by_word = top_per_key(by_word, ["query_id"], [F.desc("part"), F.asc("item")], k, rank="_n")
+    first = staged(leading.unionByName(by_word.select("query_id", "item")).distinct(), "first-pairs")
+
+    def scored(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(plans.select("query_id", "set_no"), "query_id").select(
+            "query_id", "set_no", F.col("item").alias("ord_raw"), F.coalesce("n", F.lit(0)).alias("hits")
+        )
+        found = found.join(met, ["set_no", "ord_raw"], "left").join(keys.drop("thread_id"), "ord_raw").withColumns(
+            {c: F.coalesce(c, none) for c in ("topic_hits", "bonus")}
+        )
+        found = found.withColumn("score", F.col("hits") * WORD_WEIGHT + base).where("score > 0")
+        return found.where("hits > 0 or topic_hits > 0") if require_match else found
+
+    seeds = staged(scored(first.join(term_sums(first, postings, wanted), ["query_id", "item"], "left")), "first-scores")
+    kth = top_per_key(seeds, ["query_id"], [F.col("score").desc(), *thread_order()], k).where(F.col("rank") == k)
+    bounds = plans.select("query_id", F.col("set_no").alias("class")).join(
+        kth.select("query_id", F.col("score").alias("threshold")), "query_id", "left"
+    ).withColumn("threshold", F.coalesce("threshold", none))
+    bounds = wanted.withColumn("weight", F.col("times") * WORD_WEIGHT).join(staged(bounds, "thresholds"), "query_id")
+    rests = grouped.join(met.withColumnRenamed("ord_raw", "item"), "item").groupBy(F.col("set_no").alias("class"), "group").agg(
+        F.max(base).alias("rest")
     )
-    scored = scored.withColumn("score", F.col("hits") * 2.0 + base).where("score > 0")
-    if require_match:
-        scored = scored.where("hits > 0 or topic_hits > 0")
-    return top_per_key(scored, ["query_id"], [F.col("score").desc(), *thread_order()], k, spread=32).select(
+    least_rest = grouped.groupBy("group").agg(F.max("boost").alias("rest"))
+    further = reachable(postings, bounds, rests, least_rest).join(first, ["query_id", "item"], "left_anti")
+    both = seeds.unionByName(scored(further))
+    if observation is not None:
+        both = both.observe(observation, F.count(F.lit(1)).alias("pairs"))
+    return top_per_key(both, ["query_id"], [F.col("score").desc(), *thread_order()], k, spread=32).select(
         "query_id", "rank", "ord_raw", "score", "engagement", "metrics"
     )
 
@@ -318,10 +347,10 @@ def evidence_records(
 ) -> DataFrame:
     """The records of :func:`evidence_pack` for rows of :func:`evidence_for_queries`.
 
-    The texts of the chosen threads are read by their keys; where these are few, a
-    broadcast of them spares the shuffle of the others.
+    The texts of the chosen threads are read by their keys. These are a written table,
+    so that Spark knows its bytes and, if they are few, sends them to the texts.
     """
-    picked = broadcast_if_small(chosen.select("ord_raw").distinct())
+    picked = staged(chosen.select("ord_raw").distinct(), "chosen-keys")
     texts = threads.drop("metrics", "createdAt_ts").join(picked, "ord_raw", "left_semi")
     plans = query_plans(queries, entries).select("query_id", "keywords", "topic_keywords")
     joined = chosen.join(plans, "query_id").join(texts, "ord_raw")

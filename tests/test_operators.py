@@ -7,7 +7,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.operators.distribution import descending_order_stats, equal_width_histogram
-from corpuslens.operators.staging import broadcast_if_small, computed_once, staged
+from corpuslens.operators.impact import in_groups, reachable, term_sums
+from corpuslens.operators.staging import computed_once, staged
 from corpuslens.operators.topk import number_rows, top_per_key
 
 
@@ -56,11 +57,9 @@ def test_histogram(spark, values):
     assert np.allclose([r["bin_low"] for r in rows], edges[:-1])
 
 
-def test_staged_and_broadcast(spark):
+def test_staged(spark):
     frame = staged(spark.range(5).withColumn("x", F.col("id") * 2), "numbers")
     assert sorted(r["x"] for r in frame.collect()) == [0, 2, 4, 6, 8]
-    assert "broadcast" in broadcast_if_small(frame, 5)._jdf.queryExecution().logical().toString().lower()
-    assert "broadcast" not in broadcast_if_small(frame, 4)._jdf.queryExecution().logical().toString().lower()
 
 
 def test_computed_once_holds_filters(spark):
@@ -68,3 +67,38 @@ def test_computed_once_holds_filters(spark):
     plan = frame._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Filter") < plan.index("Generate") and plan.count("* 3") == 1
     assert frame.count() == 6
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_reachable_pairs_of_term_queries(spark, seed):
+    """No pair that reaches a threshold is left out, sums are exact, few others stay."""
+    rng = random.Random(seed)
+    counts = {(f"t{rng.randrange(60) ** 2 // 60}", i): rng.randint(1, 1 + i // 20) for i in range(400) for _ in range(rng.randrange(1, 25))}
+    rest = {(c, i): rng.random() * 5 for c in ("x", "y") for i in range(400) if rng.random() < 0.3}
+    boost = {i: rng.random() for i in range(400)}
+    asked = {q: {f"t{rng.randrange(70)}": rng.randint(1, 2) for _ in range(rng.randrange(1, 6))} for q in range(30)}
+    kind = {q: rng.choice(["x", "y", "z"]) for q in asked}
+    hits = {
+        (q, i): sum(times * counts.get((t, i), 0) for t, times in terms.items()) for q, terms in asked.items() for i in range(400)
+    }
+
+    def score(q, i):
+        return 2.0 * hits[q, i] + max(rest.get((kind[q], i), 0.0), boost[i])
+
+    least = {q: sorted((score(q, i) for i in range(400)), reverse=True)[4] for q in asked}
+    postings = staged(in_groups(spark.createDataFrame([(t, i, n) for (t, i), n in counts.items()], "term string, item int, n int")), "p")
+    wanted = spark.createDataFrame(
+        [(q, t, n, 2.0 * n, kind[q], least[q]) for q, terms in asked.items() for t, n in terms.items()],
+        "query_id int, term string, times int, weight double, class string, threshold double",
+    )
+    groups = postings.select("item", "group").distinct()
+    own = spark.createDataFrame([(c, i, max(r, boost[i])) for (c, i), r in rest.items()], "class string, item int, rest double")
+    rests = groups.join(own, "item").groupBy("class", "group").agg(F.max("rest").alias("rest"))
+    boosts = spark.createDataFrame(list(boost.items()), "item int, rest double")
+    found = reachable(postings, wanted, rests, groups.join(boosts, "item").groupBy("group").agg(F.max("rest").alias("rest")))
+    got = {(r["query_id"], r["item"]): r["n"] for r in found.collect()}
+    assert all(hits[pair] == n for pair, n in got.items())
+    reach = {pair for pair, n in hits.items() if n and score(*pair) >= least[pair[0]]}
+    assert reach <= set(got) and len(got) < sum(n > 0 for n in hits.values()) / 2
+    pairs = spark.createDataFrame(list(got), "query_id int, item int")
+    assert {(r["query_id"], r["item"]): r["n"] for r in term_sums(pairs, postings, wanted).collect()} == got
