@@ -29,25 +29,111 @@ def whole_word(word: str) -> str:
     return f"{word[0]}(?<!{WORD_CHAR}{word[0]}){word[1:]}(?!{WORD_CHAR})"
 
 
-# An escape of two characters, so that an escaped backslash is not taken for one.
-_CLASS_ESCAPE = re.compile(r"\\(.)", re.S)
-
-
-def _python_class(match: re.Match) -> str:
-    inside = {
-        "s": rf"[\x20{_OTHER_SPACES}{_WIDE}]", "S": rf"[^\x20{_OTHER_SPACES}{_WIDE_SPACES}]",
-        "d": r"\p{Nd}", "D": r"\P{Nd}", "w": WORD_CHAR, "W": r"[^\p{L}\p{N}_]",
-    }
-    return inside.get(match.group(1), match.group(0))
+_SPACE_CLASS = rf"[\x20{_OTHER_SPACES}{_WIDE}]"
+#: What each class of Python's means, as the inside of a Java class; of the opposites
+#: only that of digits can stand beside others there.
+_CATEGORIES = {
+    "CATEGORY_SPACE": SPACE_CHARS, "CATEGORY_DIGIT": r"\p{Nd}", "CATEGORY_WORD": r"\p{L}\p{N}_", "CATEGORY_NOT_DIGIT": r"\P{Nd}",
+    "CATEGORY_NOT_SPACE": rf"[^{SPACE_CHARS}]", "CATEGORY_NOT_WORD": r"[^\p{L}\p{N}_]",
+}
+_PLACES = {
+    "AT_BEGINNING_STRING": r"\A", "AT_END_STRING": r"\z", "AT_BOUNDARY": _BOUNDARY,
+    "AT_NON_BOUNDARY": rf"(?!\A\z)(?!{_BOUNDARY})",
+}
+_REPEATS = {"MAX_REPEAT": "", "MIN_REPEAT": "?", "POSSESSIVE_REPEAT": "+"}
+
+
+def _char(code: int) -> str:
+    """A literal character; whatever could mean something to Java goes by its number."""
+    char = chr(code)
+    return char if char.isascii() and char.isalnum() else rf"\x{{{code:x}}}"
+
+
+def _class(members) -> str:
+    """A set of characters. Java reads a class within an excluding class in its own way, so
+    that is looked ahead for instead."""
+    negated = bool(members) and str(members[0][0]) == "NEGATE"
+    inside, nested = "", False
+    for kind, value in members[negated:]:
+        name = str(kind)
+        if name == "LITERAL":
+            inside += _char(value)
+        elif name == "RANGE":
+            inside += f"{_char(value[0])}-{_char(value[1])}"
+        else:
+            inside += _CATEGORIES[str(value)]
+            nested |= str(value) in ("CATEGORY_NOT_SPACE", "CATEGORY_NOT_WORD")
+    if not negated:
+        return _SPACE_CLASS if inside == SPACE_CHARS else f"[{inside}]"
+    return rf"(?:(?![{inside}])(?s:.))" if nested else f"[^{inside}]"
+
+
+def _java(parts, flags: int) -> str:
+    """Java's text for a part of the parse tree, under Python's flags."""
+    out = ""
+    for kind, value in parts:
+        name = str(kind)
+        if name == "LITERAL":
+            out += _char(value)
+        elif name == "NOT_LITERAL":
+            out += f"[^{_char(value)}]"
+        elif name == "ANY":
+            out += "(?s:.)" if flags & re.DOTALL else r"[^\n]"
+        elif name == "IN":
+            out += _class(value)
+        elif name == "BRANCH":
+            out += "(?:" + "|".join(_java(way, flags) for way in value[1]) + ")"
+        elif name in _REPEATS:
+            low, high, body = value
+            bounds = {(0, 1): "?", (0, _parser.MAXREPEAT): "*", (1, _parser.MAXREPEAT): "+"}.get((low, high))
+            if bounds is None:
+                bounds = f"{{{low}}}" if low == high else f"{{{low},{'' if high == _parser.MAXREPEAT else high}}}"
+            inner = _java(body, flags)
+            single = len(body) == 1 and str(body[0][0]) in ("LITERAL", "NOT_LITERAL", "ANY", "IN", "SUBPATTERN")
+            out += (inner if single else f"(?:{inner})") + bounds + _REPEATS[name]
+        elif name == "SUBPATTERN":
+            group, on, off, body = value
+            inner = _java(body, (flags | on) & ~off)
+            if (on | off) & re.IGNORECASE:
+                inner = f"(?{'iu' if on & re.IGNORECASE else '-i'}:{inner})"
+            out += f"({inner})" if group is not None else f"(?:{inner})"
+        elif name == "ATOMIC_GROUP":
+            out += f"(?>{_java(value, flags)})"
+        elif name == "GROUPREF":
+            out += rf"(?:\{value})"
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            way, body = value
+            out += f"(?{'<' if way < 0 else ''}{'=' if name == 'ASSERT' else '!'}{_java(body, flags)})"
+        elif name == "AT":
+            place, lines = str(value), flags & re.MULTILINE
+            if place == "AT_BEGINNING":
+                out += r"(?:\A|(?<=\n))" if lines else r"\A"
+            elif place == "AT_END":
+                out += r"(?=\n|\z)" if lines else r"(?=\n?\z)"
+            else:
+                out += _PLACES[place]
+        elif name == "FAILURE":
+            out += "(?!)"
+        else:
+            raise ValueError(f"{name.lower()} has no counterpart in Java patterns")
+    return out
 
 
 def java_regex(pattern: str, ignore_case: bool = False) -> str:
-    """Rewrite a Python pattern so that Java reads ``\\s``, ``\\d``, ``\\w``, their
-    opposites, ``\\b`` and ``.`` the way Python does on text."""
+    """The Python pattern for Java, with Python's meaning on text.
+
+    Written anew from Python's own parse of it: classes, boundaries, line ends, flags,
+    names of groups, escapes and the signs that mean something only to Java come out as
+    Python reads them. What Java can't say (conditional groups), and flags that change the
+    classes (``(?a)``), raise a ValueError.
+    """
     word = _BOUNDED.fullmatch(pattern)
-    body = whole_word(word.group(1)) if word else pattern.replace(r"\b", _BOUNDARY)
-    body = _CLASS_ESCAPE.sub(_python_class, body)
-    return ("(?iud)" if ignore_case else "(?d)") + body
+    tree = _parser.parse(pattern)
+    flags = tree.state.flags
+    if flags & re.ASCII:
+        raise ValueError("ASCII classes are not supported")
+    body = whole_word(word.group(1)) if word else _java(tree, flags)
+    return ("(?iu)" if ignore_case or flags & re.IGNORECASE else "") + body
 
 
 def _runs(parts, runs: list[str]) -> None:

@@ -12,7 +12,7 @@ from corpuslens.functions import keywords as kw
 from corpuslens.functions import text as tx
 from corpuslens.functions.entities import entity_mentions, pattern_tags, required_words
 from corpuslens.functions.money import money_mentions
-from corpuslens.functions.patterns import fold_case, required_text
+from corpuslens.functions.patterns import fold_case, java_regex, required_text
 from corpuslens.functions.urls import canonical_url, domain, extract_urls
 from corpuslens.lexicons import (
     MARKETING_PATTERNS, MONEY_PATTERNS, STOP_WORDS, TOPICS, TRACKING_PARAMS, TRACKING_PREFIX, URL_PATTERN, entity_families,
@@ -248,3 +248,61 @@ def test_month_keys(spark):
             return None
 
     assert dict(zip(dates, column(spark, dates, tx.month_key(F.col("t"))))) == {d: month(d) for d in dates}
+
+
+# Python patterns whose text means something else, or nothing, to Java.
+PATTERNS = [
+    r"foo\Z", r"foo$", r"^b", r"(?m)^b$", r"\\bfoo", r"[a&&b]+", r"[a[b]+", r"a{,3}b", r"(?P<n>a)(?P=n)", r"(?s)a.b", r"a.b", r"[^\S ]+",
+    r"[^\W\d]+", r"[\W_]", r"\bfoo\b", r"\Bo", r"(?i)FoO", r"(?i:F)oo", r"a++b", r"(?>a+)b", r"(?<=a)b", r"(?<!a)b", r"\x41|é", r"[]a]+", r"(?:a{2}){2}",
+    r"(a)|b", r"\.\*\$\^#", r"(?x) a \# b  # no", r"[\]\-\\^]+", r"\ba|\n", r"x*", r"(?:ab|a)b", r"[^\n]+", r"\d\D", r"\s+\w", r"[a-z--]+",
+]
+SUBJECTS = [
+    "foo", "foo\n", "foo\nfoo", r"\bfoo", "a&b&&", "a[b", "aaab", "aa", "a\nb", "aéb", "a\rb", "A b\tc\x1cd", "FOO Foo foo", "aaaaab", "é Ab", "x]a",
+    ".*$^#", "a#b", "]-\\^", "", "b\nb\n", "١٢a3", "a b_c", "a b", "ab abb", "a-b--c", "\n", "z a\x85b",
+]
+
+
+def check_patterns(frame):
+    """Same matches; of patterns that can match nothing, between which engines step
+    differently, whether there is a match."""
+    found = frame.withColumns({"found": F.expr("regexp_extract_all(text, java, 0)"), "any": F.expr("rlike(text, java)")})
+    for r in found.collect():
+        matches = [m.group(0) for m in re.finditer(r["pattern"], r["text"])]
+        assert r["any"] == bool(matches), (r["pattern"], r["java"], r["text"])
+        if re._parser.parse(r["pattern"]).getwidth()[0]:
+            assert r["found"] == matches, (r["pattern"], r["java"], r["text"])
+
+
+def test_patterns_keep_pythons_meaning(spark):
+    rows = [(p, java_regex(p), t) for p in PATTERNS for t in SUBJECTS]
+    check_patterns(spark.createDataFrame(rows, "pattern string, java string, text string"))
+
+
+def test_random_patterns_keep_pythons_meaning(spark):
+    rng = random.Random(7)
+    atoms = ["a", "b", ".", r"\s", r"\S", r"\d", r"\w", r"\W", "[ab]", r"[^a\s]", r"[\Wa]", r"[^\Wb]", "&", r"\&", "#", " ", r"\b", r"\B", "^", "$", r"\Z", r"\A", "é", "[&&a]"]
+
+    def make(depth):
+        if depth == 0 or rng.random() < 0.4:
+            return rng.choice(atoms)
+        kind = rng.randrange(5)
+        if kind == 0:
+            return make(depth - 1) + make(depth - 1)
+        if kind == 1:
+            return f"(?:{make(depth - 1)}|{make(depth - 1)})"
+        if kind == 2:
+            return f"({make(depth - 1)}){rng.choice(['', '?', '*', '{1,2}', '{,2}', '+?'])}"
+        if kind == 3:
+            return f"(?{rng.choice(['=', '!'])}{make(depth - 1)})"
+        return f"(?{rng.choice(['i', 's', 'm'])}:{make(depth - 1)})"
+
+    patterns = {make(3) for _ in range(250)}
+    texts = ["".join(rng.choice("abAB1 é&#\n_ ") for _ in range(rng.randrange(9))) for _ in range(25)]
+    rows = [(p, java_regex(p), t) for p in sorted(patterns) for t in texts]
+    check_patterns(spark.createDataFrame(rows, "pattern string, java string, text string").repartition(8))
+
+
+def test_patterns_that_java_cannot_say():
+    for pattern in (r"(a)?(?(1)b|c)", r"(?a)\w"):
+        with pytest.raises(ValueError):
+            java_regex(pattern)
