@@ -162,7 +162,7 @@ def _own_shingles(texts: DataFrame, n: int) -> DataFrame:
 
 
 #: Sizes are binned by this ratio when pairs are formed.
-_BIN = 1.02
+_BIN = 1.06
 
 
 def _bin(size: Column) -> Column:
@@ -172,19 +172,19 @@ def _bin(size: Column) -> Column:
 def _pairs_left(left: DataFrame, threshold: float, rounds: int) -> DataFrame:
     """(a, b) of one bucket in different components that nothing rules out.
 
-    Each side names the sizes it can be linked with, so only pairs meet that allow each
-    other. Of those, a star rules out pairs whose distances to its centre differ too much
-    (the distance is a metric), and pairs whose overlap is too small: two texts share at
-    most the smaller of their overlaps with the centre, and of what they have beyond it
-    the smaller part that is not theirs alone.
+    The larger text names the sizes of smaller ones that it can be linked with, so only
+    pairs of such sizes meet. Of those, a star rules out pairs whose distances to its centre
+    differ too much (the distance is a metric), and pairs whose overlap is too small: two
+    texts share at most the smaller of their overlaps with the centre, and of what they have
+    beyond it the smaller part that is not theirs alone.
     """
     stars = [f"{c}{k}" for k in range(rounds) for c in ("sim", "with", "beyond")]
-    carried = ["node", "root", "size", "most", *stars]
-    reach = F.sequence(_bin(F.col("size") * threshold) - 1, _bin(F.least("most", F.col("size") / threshold)) + 1)
-    sized = left.select("bucket", _bin(F.col("size")).alias("own"), F.explode(reach).alias("other"), F.struct(*carried).alias("x"))
-    one = sized.select("bucket", "own", "other", F.col("x").alias("a"))
-    two = sized.select("bucket", F.col("other").alias("own"), F.col("own").alias("other"), F.col("x").alias("b"))
-    possible = (F.col("a.node") < F.col("b.node")) & (F.col("a.root") != F.col("b.root"))
+    carried = F.struct("node", "root", "size", "most", *stars)
+    reach = F.sequence(_bin(F.col("size") * (threshold * (1 - 1e-9))), _bin(F.col("size")))
+    small = left.select("bucket", _bin(F.col("size")).alias("bin"), carried.alias("a"))
+    large = left.select("bucket", F.explode(reach).alias("bin"), carried.alias("b"))
+    possible = (F.col("a.size") < F.col("b.size")) | ((F.col("a.size") == F.col("b.size")) & (F.col("a.node") < F.col("b.node")))
+    possible &= F.col("a.root") != F.col("b.root")
     possible &= (F.col("a.most") >= F.col("b.size")) & (F.col("b.most") >= F.col("a.size"))
     least = (F.col("a.size") + F.col("b.size")) * threshold / (1 + threshold) - 1e-6
     for k in range(rounds):
@@ -192,11 +192,9 @@ def _pairs_left(left: DataFrame, threshold: float, rounds: int) -> DataFrame:
         most = F.least(f"a.with{k}", f"b.with{k}") + F.least(f"a.beyond{k}", f"b.beyond{k}")
         both = F.col(f"a.sim{k}").isNotNull() & F.col(f"b.sim{k}").isNotNull()
         possible &= ~(both & (far | (most < least)))
-    keys = ["bucket", "own", "other"]
-    on = possible
-    for key in keys:
-        on &= F.col(f"l.{key}") == F.col(f"r.{key}")
-    return one.alias("l").join(two.alias("r"), on).select(F.col("a.node").alias("a"), F.col("b.node").alias("b")).distinct()
+    on = possible & (F.col("l.bucket") == F.col("r.bucket")) & (F.col("l.bin") == F.col("r.bin"))
+    met = small.alias("l").join(large.alias("r"), on)
+    return met.select(F.least("a.node", "b.node").alias("a"), F.greatest("a.node", "b.node").alias("b")).distinct()
 
 
 def near_duplicates(
