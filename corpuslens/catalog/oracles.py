@@ -599,6 +599,7 @@ def oracle_sql() -> dict[str, str]:
                cast(row_number() over (partition by t.lang order by t.ord_raw) as integer) as nth_in_group,
                t.ts as "createdAt_ts", t.text_clean, cast(coalesce(c.n, 0) as integer) as comments_n
         from threads t left join (select ord_raw, count(*) as n from comments group by 1) c using (ord_raw)""")
+    found["array_dump"] = found["round_trip_dump"]
     found["round_trip_threads"] = _sql("""
         select t.ord_raw, t.thread_id, t.iso as "createdAt_iso", t.ts as "createdAt_ts", t.url, t.text_clean,
                cast(coalesce(c.n, 0) as integer) as comments_n

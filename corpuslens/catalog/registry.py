@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.catalog import adapters as ad
@@ -14,7 +14,7 @@ from corpuslens.functions.entities import pattern_tags, required_words
 from corpuslens.functions.keywords import keyword_counts, present
 from corpuslens.functions.urls import canonical_url, domain, extract_urls
 from corpuslens.lexicons import OWN_DOMAIN_PREFIXES, TOPICS
-from corpuslens.operators.ordering import thread_order
+from corpuslens.operators.ordering import nth_in_group, thread_order
 from corpuslens.operators.staging import fresh_path, staged
 from corpuslens.operators.topk import number_rows
 from corpuslens.plans import (
@@ -23,7 +23,7 @@ from corpuslens.plans import (
 from corpuslens.plans.features import Lexicons, thread_features
 from corpuslens.plans.pack import write_evidence
 from corpuslens.sources.readers import read_comments, read_evidence, read_posts, read_threads, read_topic_index
-from corpuslens.sources.writers import write_csv, write_json
+from corpuslens.sources.writers import write_array, write_csv, write_json
 
 Query = Callable[[SparkSession, str], DataFrame]
 REGISTRY: dict[str, Query] = {}
@@ -436,10 +436,24 @@ def round_trip_dump(spark: SparkSession, sf: str) -> DataFrame:
     path = fresh_path(spark, "dump")
     posts = ad.posts_with_comments(spark, sf).orderBy("ord_raw")
     write_json(posts.drop("ord_raw"), path)
-    threads = ingest.clean_threads(read_posts(spark, path, lines=True))
-    place = F.row_number().over(Window.partitionBy("groupId").orderBy("ord_raw"))
-    return threads.select(
-        "thread_id", "groupId", place.alias("nth_in_group"), "createdAt_ts", "text_clean", F.size("comments").alias("comments_n")
+    return _posts_in_group(read_posts(spark, path, lines=True))
+
+
+@query
+def array_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw posts as files of one JSON array each, cut by bytes when read, and cleaned."""
+    path = fresh_path(spark, "array")
+    posts = ad.posts_with_comments(spark, sf).orderBy("ord_raw")
+    write_array(posts.drop("ord_raw"), path)
+    return _posts_in_group(read_posts(spark, path))
+
+
+def _posts_in_group(posts: DataFrame) -> DataFrame:
+    threads = staged(ingest.clean_threads(posts), "threads")
+    numbered = nth_in_group(threads, "groupId", "ord_raw", "nth_in_group").drop("groupId")
+    return threads.join(numbered, "ord_raw").select(
+        "thread_id", "groupId", F.col("nth_in_group").cast("int").alias("nth_in_group"), "createdAt_ts", "text_clean",
+        F.size("comments").alias("comments_n"),
     )
 
 

@@ -7,51 +7,27 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from corpuslens.sources import schemas
+from corpuslens.sources.arrays import read_array
+from corpuslens.sources.places import placed
 
 
-# Places packed into one number: file, megabyte of the file its split starts in,
-# row among those its task read.
-_FILE_BITS, _SPLIT_BITS, _ROW_BITS = 20, 20, 23
-
-
-def _input_order(scan: DataFrame) -> DataFrame:
+def _input_order(scan: DataFrame, path: str) -> DataFrame:
     """Add ``ord_raw``, which grows with the place in the dump: files by name, then
-    splits, then rows. A projection, so texts are not moved to be numbered. Files
-    that do not fit its number range fail instead of being misplaced. Splits must
-    be at least a megabyte (``spark.sql.files.maxPartitionBytes``), as they are
-    unless set otherwise.
-    """
-    files = sorted(scan.inputFiles())
-    if len(files) >= 2**_FILE_BITS:
-        raise ValueError("too many files to number the posts")
-    ranks = scan.sparkSession.createDataFrame(
-        [(name, rank) for rank, name in enumerate(files)], "_file string, _rank long"
-    )
-    placed = scan.select(
-        "*",
-        F.input_file_name().alias("_file"),
-        F.shiftright(F.col("_metadata.file_block_start"), 20).alias("_split"),
-        F.monotonically_increasing_id().bitwiseAND(F.lit(2**33 - 1)).alias("_row"),
-    ).join(F.broadcast(ranks), "_file", "left")
-    number = (
-        F.shiftleft("_rank", _SPLIT_BITS + _ROW_BITS) + F.shiftleft("_split", _ROW_BITS) + F.col("_row")
-    )
-    fits = F.col("_rank").isNotNull() & (F.col("_row") < 2**_ROW_BITS) & (F.col("_split") < 2**_SPLIT_BITS)
-    failed = F.raise_error(F.concat(F.lit("cannot number the posts of "), "_file")).cast("long")
-    return placed.withColumn("ord_raw", F.when(fits, number).otherwise(failed)).drop(
-        "_file", "_rank", "_split", "_row"
-    )
+    splits, then rows. A projection, so texts are not moved to be numbered."""
+    return placed(scan, path).drop("_file", "_split", "_length")
 
 
 def read_posts(spark: SparkSession, path: str, lines: bool = False, tasks: int | None = None) -> DataFrame:
     """Raw posts with ``ord_raw``, their place in the dump.
 
-    A dump is one JSON array per file, and each such file is one task; large
-    dumps should be many files, or one object per line (``lines=True``, which
-    splits). ``tasks`` deals what few files hold over that many tasks once read.
+    A dump is files that each hold one JSON array, or one object per line
+    (``lines=True``); both are split by bytes. ``tasks`` deals what few files hold over
+    that many tasks once read.
     """
-    scan = spark.read.schema(schemas.RAW_POST).option("multiLine", not lines).json(path)
-    numbered = _input_order(scan)
+    if lines:
+        numbered = _input_order(spark.read.schema(schemas.RAW_POST).json(path), path)
+    else:
+        numbered = read_array(spark, path, schemas.RAW_POST)
     return numbered.repartition(tasks, "ord_raw") if tasks else numbered
 
 
@@ -64,7 +40,7 @@ def read_threads(spark: SparkSession, path: str, numbered: bool = True) -> DataF
     unnumbered = ", ".join(
         part for part in _columns(schemas.THREAD) if not part.startswith("ord_raw ")
     )
-    return _input_order(spark.read.schema(unnumbered).json(path))
+    return _input_order(spark.read.schema(unnumbered).json(path), path)
 
 
 def _columns(schema: str) -> list[str]:

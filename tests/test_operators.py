@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.operators.ordering import nth_in_group
 from corpuslens.operators.distribution import descending_order_stats, equal_width_histogram
 from corpuslens.operators.impact import in_groups, reachable, term_sums
 from corpuslens.operators.staging import computed_once, staged
@@ -102,3 +103,13 @@ def test_reachable_pairs_of_term_queries(spark, seed):
     assert reach <= set(got) and len(got) < sum(n > 0 for n in hits.values()) / 2
     pairs = spark.createDataFrame(list(got), "query_id int, item int")
     assert {(r["query_id"], r["item"]): r["n"] for r in term_sums(pairs, postings, wanted).collect()} == got
+
+
+def test_nth_in_group_with_a_hot_group(spark):
+    rows = [(None if n % 50 == 0 else "hot" if n % 3 else f"g{n % 7}", n * 3) for n in range(2000)]
+    found = nth_in_group(spark.createDataFrame(rows, "g string, at long"), "g", "at", "nth").collect()
+    seen, expected = {}, {}
+    for group, at in rows:
+        seen[group] = seen.get(group, 0) + 1
+        expected[at] = (group, seen[group])
+    assert {r["at"]: (r["g"], r["nth"]) for r in found} == expected and len(found) == 2000
