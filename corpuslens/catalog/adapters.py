@@ -281,6 +281,17 @@ def composed_threads(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def in_words(threads: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Threads whose post is the first word of their text, and a flat table of comments with
+    the other words, one each."""
+    words = F.split(F.col("text_clean"), " ")
+    rest = threads.select("ord_raw", F.posexplode(F.slice(words, 2, F.greatest(F.size(words) - 1, F.lit(1)))).alias("idx", "text_clean"))
+    posts = threads.withColumn("text_clean", F.element_at(words, 1)).withColumn("text_raw", F.col("text_clean"))
+    return posts.drop("comments").withColumn("comments", F.lit(None).cast(threads.schema["comments"].dataType)), (
+        rest.withColumn("text_raw", F.col("text_clean"))
+    )
+
+
 def free_text_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(query_id, query)``: the benchmark passages, asked as questions."""
     return table(spark, sf_dir, "benchmark").select(

@@ -594,6 +594,12 @@ def oracle_sql() -> dict[str, str]:
         select thread_id, array_to_string(tags[1:5], '|') as tags_triggered, cast(len(tags) as double) as score
         from tagged_composed where len(tags) >= 2 order by len(tags) desc, ts desc, ord_raw limit 500""",
         extra={**composed, "tagged_composed": f"select *, {default_tags} as tags from composed"})
+    # Texts in pieces give what whole texts do.
+    found["entities_in_pieces"] = found["entities_found"]
+    found["entities_over_seams"] = found["entities_composed"]
+    found["marketing_over_seams"] = found["marketing_composed"]
+    found["links_in_pieces"] = found["links_rollup"]
+    found["topic_scores_in_pieces"] = found["topic_scores"]
     found["round_trip_dump"] = _sql("""
         select t.thread_id, t.lang as "groupId",
                cast(row_number() over (partition by t.lang order by t.ord_raw) as integer) as nth_in_group,

@@ -18,7 +18,7 @@ from corpuslens.operators.ordering import nth_in_group, thread_order
 from corpuslens.operators.staging import fresh_path, staged
 from corpuslens.operators.topk import number_rows
 from corpuslens.plans import (
-    engagement, entities, ingest, links, marketing, money, report, retrieval, topics,
+    engagement, entities, ingest, links, marketing, money, pieces, report, retrieval, topics,
 )
 from corpuslens.plans.features import Lexicons, thread_features
 from corpuslens.plans.pack import write_evidence
@@ -332,6 +332,64 @@ def topic_entries(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+# --------------------------------------------------- full texts in pieces
+# The same tables from a flat table of comments: no row holds a thread's full text. Blocks
+# of two comments make many seams out of the short threads of the test tables.
+
+
+def _flat_comments(spark: SparkSession, sf: str) -> DataFrame:
+    return ingest.clean_flat_comments(ad.raw_comments(spark, sf), ad.threads(spark, sf, keys_only=True))
+
+
+def _piece_features(spark: SparkSession, sf: str, only: list[str]) -> DataFrame:
+    return pieces.piece_features(
+        ad.threads(spark, sf), _flat_comments(spark, sf), TEST_LEXICONS, only, per_block=2
+    )
+
+
+@query
+def entities_in_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    rows = entities.entity_occurrences(_piece_features(spark, sf, ["numbered_entities"]))
+    return entities.entities_rollup(staged(rows, "entities")).select(
+        "entity", "category", "count_mentions", "doc_count_threads", "doc_count_all",
+        pipe("sample_thread_ids"), pipe("sample_urls"),
+    )
+
+
+@query
+def entities_over_seams(spark: SparkSession, sf: str) -> DataFrame:
+    """Examples of the default patterns, every word a comment of its own."""
+    threads, words = ad.in_words(ad.composed_threads(spark, sf))
+    rows = entities.entity_occurrences(pieces.piece_features(threads, words, only=["numbered_entities"], per_block=2))
+    return rows.groupBy("entity", "category").agg(F.count("*").alias("count_mentions"))
+
+
+@query
+def marketing_over_seams(spark: SparkSession, sf: str) -> DataFrame:
+    """Marketing patterns in texts of which every word is a comment of its own."""
+    threads, words = ad.in_words(ad.composed_threads(spark, sf))
+    tags = pieces.thread_tags(pieces.piece_features(threads, words, only=["tags"], per_block=2))
+    shown = thread_features(threads, only=["snippet_300"]).join(tags, "ord_raw")
+    top = marketing.marketing_top(marketing.marketing_candidates(shown))
+    return top.select("thread_id", pipe("tags_triggered"), F.round("score", 6).alias("score"))
+
+
+@query
+def links_in_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    """The link table of texts of which every word is a comment of its own."""
+    threads, words = ad.in_words(ad.link_threads(spark, sf))
+    rows = links.link_occurrences(pieces.piece_features(threads, words, only=["links"], per_block=2))
+    return links.links_rollup(staged(rows, "links")).select(
+        "url_canonical", "domain", "counts", pipe("sample_thread_ids"), pipe("sample_urls"),
+        "first_seen_iso", "last_seen_iso",
+    )
+
+
+@query
+def topic_scores_in_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.topic_hits(_piece_features(spark, sf, ["scores"])).select("ord_raw", "topic", "score")
+
+
 # --------------------------------------------------------------- retrieval
 
 

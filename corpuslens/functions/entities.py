@@ -26,29 +26,37 @@ def entity_mentions(
     uppered: str,
     present: str,
     families: list[tuple[str, list[str], bool]] | None = None,
+    numbered: bool = False,
 ) -> Column:
     """Array of ``(entity, category)``, by family, then pattern, then place in the text.
 
     Arguments name columns. The entity is the match in upper case. ``uppered`` is the
     text in upper case, ``present`` the required words that occur in it; a pattern
-    is only run when its own is among them.
+    is only run when its own is among them. ``numbered`` adds the number of the
+    pattern that matched to each, which texts in pieces are sorted by.
     """
     parts = []
     families = families or entity_families()
+    before = 0
     for category, patterns, in_upper in families:
         source = uppered if in_upper else text
-        matches = ", ".join(
+        found = [
             f"case when {_candidate(present, p)} then "
             f"regexp_extract_all({source}, {quote(java_regex(p, not in_upper))}, 0) else {NO_STRINGS} end"
             for p in patterns
-        )
-        parts.append(
-            f"transform(flatten(array({matches})), "
-            f"m -> named_struct('entity', upper(m), 'category', {quote(category)}))"
-        )
+        ]
+        shape = f"'entity', upper(m), 'category', {quote(category)}"
+        if numbered:
+            found = [
+                f"transform({f}, m -> named_struct({shape}, 'pattern', {before + i}))" for i, f in enumerate(found)
+            ]
+        matches = f"flatten(array({', '.join(found)}))"
+        parts.append(matches if numbered else f"transform({matches}, m -> named_struct({shape}))")
+        before += len(patterns)
     mentions = f"concat({', '.join(parts)})"
     if all(required_text(p) for _, patterns, _ in families for p in patterns):
-        none = "cast(array() as array<struct<entity:string,category:string>>)"
+        number = ",pattern:int" if numbered else ""
+        none = f"cast(array() as array<struct<entity:string,category:string{number}>>)"
         mentions = f"case when size({present}) > 0 then {mentions} else {none} end"
     return F.expr(mentions)
 

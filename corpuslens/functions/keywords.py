@@ -75,11 +75,16 @@ def _branches(node: dict) -> str:
     return body + "?" if "" in node else body
 
 
+def keyword_regex(keywords: list[str]) -> str:
+    """A pattern for the longest of the keywords at a place."""
+    return _branches(_tree(keywords))
+
+
 def _by_pattern(text: Column, keywords: list[str]) -> Column:
     """The same with built-in functions. One pattern, in which keywords share their
     beginnings, gives the longest keyword at each place; the shorter ones it begins
     with are there too. Keywords that can overlap themselves are counted apart."""
-    regex = f"(?=({_branches(_tree(keywords))}))"
+    regex = f"(?=({keyword_regex(keywords)}))"
     hits = F.regexp_extract_all(text, F.lit(regex), F.lit(1))
     beginnings = {k: [p for p in keywords if k.startswith(p)] for k in keywords}
     nested = {k: ps for k, ps in beginnings.items() if len(ps) > 1}

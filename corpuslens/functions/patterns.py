@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import re
 from re import _parser
 
@@ -40,6 +41,7 @@ _PLACES = {
     "AT_BEGINNING_STRING": r"\A", "AT_END_STRING": r"\z", "AT_BOUNDARY": _BOUNDARY,
     "AT_NON_BOUNDARY": rf"(?!\A\z)(?!{_BOUNDARY})",
 }
+_SPACES = [chr(c) for c in range(0x3001) if chr(c).isspace()]
 _REPEATS = {"MAX_REPEAT": "", "MIN_REPEAT": "?", "POSSESSIVE_REPEAT": "+"}
 
 
@@ -136,6 +138,88 @@ def java_regex(pattern: str, ignore_case: bool = False) -> str:
     return ("(?iu)" if ignore_case or flags & re.IGNORECASE else "") + body
 
 
+def _span(parts) -> tuple[float, bool]:
+    """Most characters a part of the parse tree goes over, a run of white space that may
+    have any length counted as one, and whether white space or an end of the text can be
+    among them."""
+    total, open_ = 0.0, False
+    for kind, value in parts:
+        name = str(kind)
+        if name == "LITERAL":
+            wide, holds = 1.0, chr(value).isspace()
+        elif name in ("NOT_LITERAL", "ANY"):
+            wide, holds = 1.0, True
+        elif name == "IN":
+            wide, holds = 1.0, _holds_space(value)
+        elif name == "BRANCH":
+            ways = [_span(way) for way in value[1]]
+            wide, holds = max(w for w, _ in ways), any(h for _, h in ways)
+        elif name in _REPEATS:
+            _, high, body = value
+            wide, holds = _span(body)
+            if high != _parser.MAXREPEAT:
+                wide *= high
+            elif not _only_space(body):
+                wide = math.inf
+        elif name == "SUBPATTERN":
+            wide, holds = _span(value[3])
+        elif name in ("ASSERT", "ASSERT_NOT"):
+            wide, holds = _span(value[1])
+        elif name == "ATOMIC_GROUP":
+            wide, holds = _span(value)
+        elif name == "AT":
+            wide, holds = 1.0, str(value) != "AT_BOUNDARY"
+        elif name == "FAILURE":
+            wide, holds = 0.0, False
+        else:
+            wide, holds = math.inf, True
+        total, open_ = total + wide, open_ or holds
+    return total, open_
+
+
+def _holds_space(members) -> bool:
+    """Whether a parsed set of characters holds any white space."""
+    negated = str(members[0][0]) == "NEGATE"
+    one = re.compile("[" + "".join(_python_member(m) for m in members[negated:]) + "]")
+    return any((one.match(c) is None) == negated for c in _SPACES)
+
+
+def _python_member(member) -> str:
+    kind, value = str(member[0]), member[1]
+    if kind == "LITERAL":
+        return re.escape(chr(value))
+    if kind == "RANGE":
+        return f"{re.escape(chr(value[0]))}-{re.escape(chr(value[1]))}"
+    letter = {"SPACE": "s", "DIGIT": "d", "WORD": "w"}[str(value).rsplit("_", 1)[1]]
+    return "\\" + (letter.upper() if "_NOT_" in str(value) else letter)
+
+
+def _only_space(body) -> bool:
+    """Whether the repeated part is one character and that is white space."""
+    if len(body) != 1:
+        return False
+    kind, value = str(body[0][0]), body[0][1]
+    if kind == "LITERAL":
+        return chr(value).isspace()
+    return kind == "IN" and all(str(v) == "CATEGORY_SPACE" or str(k) == "LITERAL" and chr(v).isspace() for k, v in value)
+
+
+def reach(pattern: str) -> int:
+    """How far a match of the pattern can go over white space, in characters, a run of
+    white space counted as one; 0 when no match holds any. Assertions count as long as
+    they look.
+
+    A pattern that can go over white space and over any number of other characters
+    raises a ValueError.
+    """
+    wide, holds = _span(_parser.parse(pattern))
+    if not holds:
+        return 0
+    if wide == math.inf:
+        raise ValueError(f"{pattern!r} has no bound on how far a match goes")
+    return int(wide)
+
+
 def _runs(parts, runs: list[str]) -> None:
     """Adds the runs of literal ASCII letters, digits, spaces and dollar signs that every
     match of the parsed pattern holds."""

@@ -12,13 +12,18 @@ SAMPLE = 5
 
 
 def entity_occurrences(features: DataFrame) -> DataFrame:
-    """One row per match of an entity in a thread."""
-    return features.select(
+    """One row per match of an entity in a thread. Features may be those of pieces; then
+    places are by pattern, piece and place in it, which is the order of the whole text's."""
+    in_pieces = "piece" in features.columns
+    rows = features.select(
         "ord_raw", "createdAt_ts", "thread_id", F.col("url").alias("thread_url"),
-        F.posexplode("entities").alias("at", "e"),
-    ).select(
+        *(["piece", F.posexplode("numbered_entities").alias("at", "e")] if in_pieces
+          else [F.posexplode("entities").alias("at", "e")]),
+    )
+    place = ["e.pattern", "piece", "at"] if in_pieces else ["at"]
+    return rows.select(
         "e.entity", "e.category", "thread_id", "thread_url",
-        order_key(F.col("at")).alias("seen_at"),
+        order_key(*map(F.col, place)).alias("seen_at"),
     )
 
 

@@ -66,12 +66,13 @@ def _comment_money(lex: Lexicons, context: bool) -> Column:
 
 def thread_features(
     threads: DataFrame, lex: Lexicons | None = None, only: list[str] | None = None, context: bool = False,
-    automaton: bool = False,
+    automaton: bool = False, keys: list[str] | None = None,
 ) -> DataFrame:
     """Thread keys plus, per thread: number of comments, snippets, canonical
     ``links``, ``entities``, marketing ``tags``, topic ``scores``, the post's and
     the comments' ``money``; or ``only`` some of these. ``context`` adds the words
-    around each price to its mention, ``automaton`` is that of :func:`keyword_counts`.
+    around each price to its mention, ``automaton`` is that of :func:`keyword_counts`,
+    ``keys`` are other columns to keep, and ``numbered_entities`` can be asked for.
 
     Needs ``text_clean``, ``text_raw`` and ``comments``; passes on ``metrics``
     when present. Links, entities, tags and topics look at the full text (post
@@ -97,6 +98,9 @@ def thread_features(
         "snippet_300": lambda: tx.cut(F.col("_clean"), 300),
         "links": lambda: F.expr(links_sql("_full")),
         "entities": lambda: entity_mentions("_full", "_upper", "_pattern_words", lex.entities),
+        "numbered_entities": lambda: entity_mentions(
+            "_full", "_upper", "_pattern_words", lex.entities, numbered=True
+        ),
         "tags": lambda: pattern_tags("_full", "_pattern_words", lex.marketing),
         "scores": lambda: topic_scores("_topic_words", lex.topics),
         "money": lambda: money_mentions(
@@ -104,7 +108,7 @@ def thread_features(
         ),
         "comment_money": lambda: _comment_money(lex, context),
     }
-    keep = THREAD_KEYS + [c for c in ("metrics",) if c in threads.columns]
+    keep = (keys or THREAD_KEYS) + [c for c in ("metrics",) if c in threads.columns]
     return computed_once(texts, keep, **{name: build[name]() for name in only or FEATURES})
 
 

@@ -19,9 +19,11 @@ def link_occurrences(
     """One row per link in a thread, links within the forum's own site left out.
 
     Stage this before several rollups: it is the only step that needs the texts.
+    Features may be those of pieces.
     """
+    piece = [c for c in ("piece",) if c in features.columns]
     rows = features.select(
-        "ord_raw", "createdAt_ts", "thread_id", "createdAt_iso",
+        "ord_raw", "createdAt_ts", "thread_id", "createdAt_iso", *piece,
         F.col("url").alias("thread_url"), F.posexplode("links").alias("at", "url_canonical"),
     ).withColumn("domain", domain("url_canonical"))
     rows = rows.where(F.col("domain") != "")
@@ -30,7 +32,7 @@ def link_occurrences(
     return rows.select(
         "url_canonical", "domain", "thread_id", "thread_url",
         F.nullif("createdAt_iso", F.lit("")).alias("createdAt_iso"),
-        order_key(F.col("at")).alias("seen_at"),
+        order_key(*map(F.col, piece), F.col("at")).alias("seen_at"),
     )
 
 
