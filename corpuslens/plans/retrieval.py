@@ -31,34 +31,41 @@ def queries_with_keywords(queries: DataFrame) -> DataFrame:
     return queries.withColumn("keywords", tx.query_keywords(F.col("query")))
 
 
-def _with_best_topics(queries: DataFrame, entries: DataFrame, n: int) -> DataFrame:
-    """Add ``best``: the topics that share most keywords with each query, in order.
+def _overlaps(asked: DataFrame, entries: DataFrame) -> DataFrame:
+    """``(query_id, topic_pos, overlap)`` of the queries and topics that share a keyword.
 
-    The topics are gathered into one array (a lexicon is small by nature) and each
-    query is compared with it inside its row.
+    Each different word of the queries meets the topic keywords that hold its rarest
+    three characters in a row, by an equal join; whether they hold the word is then asked
+    of those alone. A word with three characters that no keyword has meets none.
     """
-    lower = F.transform("keywords", lambda k: F.lower(k)).alias("lowered")
-    topic = F.struct("topic_pos", "topic", "keywords", "top_thread_ids", lower)
-    lexicon = entries.agg(F.array_sort(F.collect_list(topic)).alias("lexicon")).scalar()
-
-    def compare(t: Column) -> Column:
-        shared = F.filter(
-            "keywords", lambda q: F.exists(t["lowered"], lambda k: F.contains(k, q))
-        )
-        return F.struct(
-            (-F.size(shared)).alias("minus_overlap"), t["topic_pos"].alias("topic_pos"),
-            t["topic"].alias("topic"), t["keywords"].alias("keywords"),
-            t["top_thread_ids"].alias("top_thread_ids"),
-        )
-
-    compared = F.filter(
-        F.transform("lexicon", compare), lambda t: t["minus_overlap"] < 0
+    keyword = entries.select("topic_pos", F.explode("keywords").alias("_keyword")).select(
+        "topic_pos", F.lower("_keyword").alias("keyword")
+    ).distinct()
+    index = staged(
+        keyword.select("keyword").distinct().select("keyword", F.explode(_grams(F.col("keyword"))).alias("gram")),
+        "keyword-grams",
     )
-    return (
-        queries.withColumn("lexicon", lexicon)
-        .withColumn("best", F.slice(F.array_sort(compared), 1, n))
-        .drop("lexicon")
+    frequency = index.groupBy("gram").agg(F.count("*").alias("n"))
+    words = asked.select("query_id", F.explode("keywords").alias("word")).groupBy("query_id", "word").agg(
+        F.count("*").alias("times")
+    )
+    words = staged(words, "asked-words")
+    grams = words.select("word").distinct().select(
+        "word", F.explode(_grams(F.col("word"))).alias("gram"), F.size(_grams(F.col("word"))).alias("all")
     )
+    rarest = grams.join(frequency, "gram").groupBy("word", "all").agg(
+        F.count("*").alias("known"), F.min_by("gram", F.struct("n", "gram")).alias("gram")
+    ).where(F.col("known") == F.col("all"))
+    holds = rarest.join(index, "gram").where(F.contains("keyword", "word")).select("word", "keyword")
+    topics = staged(holds.join(keyword, "keyword").select("word", "topic_pos").distinct(), "word-topics")
+    return words.join(topics, "word").groupBy("query_id", "topic_pos").agg(F.sum("times").cast("int").alias("overlap"))
+
+
+def _grams(word: Column) -> Column:
+    """The different runs of three characters; query words have at least as many."""
+    at = F.sequence(F.lit(1), F.length(word) - 2)
+    runs = F.array_distinct(F.transform(at, lambda i: F.substring(word, i, F.lit(3))))
+    return F.when(F.length(word) > 2, runs).otherwise(F.array().cast("array<string>"))
 
 
 def query_topics(queries: DataFrame, entries: DataFrame, n: int = TOPICS_PER_QUERY) -> DataFrame:
@@ -67,27 +74,39 @@ def query_topics(queries: DataFrame, entries: DataFrame, n: int = TOPICS_PER_QUE
     A query keyword counts once per place it has in the query, when any keyword of
     the topic contains it. ``entries`` has one row per topic.
     """
-    best = _with_best_topics(queries_with_keywords(queries), entries, n)
-    return best.select("query_id", F.posexplode("best").alias("at", "t")).select(
-        "query_id", "t.topic", "t.topic_pos", (-F.col("t.minus_overlap")).alias("overlap"),
-        (F.col("at") + 1).alias("topic_rank"),
+    overlaps = _overlaps(queries_with_keywords(queries), entries)
+    best = top_per_key(overlaps, ["query_id"], [F.col("overlap").desc(), F.col("topic_pos")], n, rank="topic_rank")
+    return best.join(entries.select("topic_pos", "topic"), "topic_pos").select(
+        "query_id", "topic", "topic_pos", "overlap", "topic_rank"
     )
 
 
 def query_plans(queries: DataFrame, entries: DataFrame) -> DataFrame:
     """Per query: keywords, the keywords of its topics (by topic rank, then place in
     the topic, each once), the ids of the topics' best threads, and a name for the
-    set of its topics. A projection."""
-    best = _with_best_topics(queries_with_keywords(queries), entries, TOPICS_PER_QUERY)
-    positions = F.sort_array(F.col("best.topic_pos"))
-    return best.select(
-        "query_id", "query", "keywords",
-        F.array_distinct(F.flatten("best.keywords")).alias("topic_keywords"),
-        F.array_distinct(F.flatten("best.top_thread_ids")).alias("bonus_ids"),
-        F.array_join(positions.cast("array<string>"), "|").alias("topic_set"),
+    set of its topics. ``query_id`` differs in every row."""
+    known = entries.select("topic_pos", "keywords", "top_thread_ids")
+    topic = F.struct("topic_rank", "topic_pos", "keywords", "top_thread_ids")
+    # No more than three topics a query.
+    best = query_topics(queries, entries).join(known, "topic_pos").groupBy("query_id").agg(
+        F.array_sort(F.collect_list(topic)).alias("best")
+    )
+    return queries_with_keywords(queries).join(best, "query_id", "left").select(
+        "query_id", "query", "keywords", *_plan_columns()
     )
 
 
+def _plan_columns() -> list[Column]:
+    """What ``best``, the topics of a query in order, says of it; empty for null."""
+    none = F.array().cast("array<string>")
+    positions = F.sort_array(F.col("best.topic_pos"))
+    return [
+        F.coalesce(F.array_distinct(F.flatten("best.keywords")), none).alias("topic_keywords"),
+        F.coalesce(F.array_distinct(F.flatten("best.top_thread_ids")), none).alias("bonus_ids"),
+        F.coalesce(F.array_join(positions.cast("array<string>"), "|"), F.lit("")).alias("topic_set"),
+    ]
+
+
 def _explain(matched: Column, engagement: Column, score: Column) -> Column:
     """Why a thread was chosen: first five keywords, high engagement, score."""
     return F.concat_ws(
@@ -154,11 +173,21 @@ def with_score(scored: DataFrame) -> DataFrame:
 def single_query_plan(entries: DataFrame, query: str) -> tuple[list[str], list[str], list[str]]:
     """Keywords, topic keywords and bonus ids of one query, as values for the plan.
 
-    One row comes to the driver; it is as large as three topics of the lexicon.
+    The query's words are looked for in each topic's row; the three best topics come to
+    the driver.
     """
     spark = entries.sparkSession
-    row = query_plans(spark.createDataFrame([(0, query)], "query_id long, query string"), entries).first()
-    return row["keywords"], row["topic_keywords"], row["bonus_ids"]
+    asked = spark.range(1).select(tx.query_keywords(F.lit(query)).alias("keywords"))
+    keywords = asked.first()["keywords"]
+    lowered = F.transform("keywords", lambda k: F.lower(k))
+    shared = F.filter(string_array(keywords), lambda q: F.exists(lowered, lambda k: F.contains(k, q)))
+    best = (
+        entries.select("keywords", "top_thread_ids", "topic_pos", F.size(shared).alias("overlap"))
+        .where("overlap > 0").orderBy(F.desc("overlap"), "topic_pos").limit(TOPICS_PER_QUERY).collect()
+    )
+    words = dict.fromkeys(w for row in best for w in row["keywords"])
+    ids = dict.fromkeys(i for row in best for i in row["top_thread_ids"])
+    return keywords, list(words), list(ids)
 
 
 def evidence_pack(

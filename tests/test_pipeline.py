@@ -260,3 +260,33 @@ def test_empty_corpus(spark, built):
     index = topics.topic_index(topics.topic_hits(features))
     assert topics.topic_entries(index).count() == 9
     assert ingest.cleaning_stats(empty).first()["date_min"] is None
+
+def test_topics_of_many_keywords(spark):
+    """A hundred thousand topic keywords against every pair of word and keyword."""
+    rng = random.Random(9)
+    stems = ["".join(rng.choices("abcdefgh", k=rng.randint(2, 7))) for _ in range(700)]
+    lexicon = [[" ".join(rng.sample(stems, rng.randint(1, 2))).title() for _ in range(100)] for _ in range(1000)]
+    entries = spark.createDataFrame(
+        [(n, f"topic {n}", words, [f"t{n}", "both"]) for n, words in enumerate(lexicon)],
+        "topic_pos int, topic string, keywords array<string>, top_thread_ids array<string>",
+    )
+    rare = ["".join(rng.choices("abcdefgh", k=k)) for k in (4, 5, 6) for _ in range(25)]
+    asked = [rng.choices(rare + ["zzz", "qqqq"], k=rng.randint(0, 6)) for _ in range(40)] + [["zzz"], []]
+    queries = spark.createDataFrame([(n, " ".join(words)) for n, words in enumerate(asked)], "query_id int, query string")
+    lowered = [[k.lower() for k in words] for words in lexicon]
+    holders = {w: {n for n, words in enumerate(lowered) if any(w in k for k in words)} for w in rare + ["zzz", "qqqq"]}
+    want, best = set(), {}
+    for q, words in enumerate(asked):
+        overlap = Counter(n for w in words for n in holders[w])
+        best[q] = sorted(overlap, key=lambda n: (-overlap[n], n))[:3]
+        want |= {(q, n, overlap[n], rank) for rank, n in enumerate(best[q], 1)}
+    got = retrieval.query_topics(queries, entries).collect()
+    assert {(r.query_id, r.topic_pos, r.overlap, r.topic_rank) for r in got} == want
+    plans = {r.query_id: r for r in retrieval.query_plans(queries, entries).collect()}
+    assert len(plans) == len(asked)
+    for q, topics_of in best.items():
+        assert plans[q].topic_keywords == list(dict.fromkeys(w for n in topics_of for w in lexicon[n]))
+        assert plans[q].bonus_ids == list(dict.fromkeys(i for n in topics_of for i in (f"t{n}", "both")))
+        assert plans[q].topic_set == "|".join(map(str, sorted(topics_of)))
+    one = retrieval.single_query_plan(entries, " ".join(asked[3]))
+    assert one == (plans[3].keywords, plans[3].topic_keywords, plans[3].bonus_ids)
