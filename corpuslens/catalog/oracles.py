@@ -594,6 +594,21 @@ def oracle_sql() -> dict[str, str]:
         select thread_id, array_to_string(tags[1:5], '|') as tags_triggered, cast(len(tags) as double) as score
         from tagged_composed where len(tags) >= 2 order by len(tags) desc, ts desc, ord_raw limit 500""",
         extra={**composed, "tagged_composed": f"select *, {default_tags} as tags from composed"})
+    found["cleaned_dump"] = _sql("""
+        select t.ord_raw, t.thread_id, t.iso as "createdAt_iso", t.url, t.text_clean,
+               cast(coalesce(c.n, 0) as integer) as comments_n, coalesce(c.n, 0) as in_own_file,
+               count(*) over () as threads_count, cast(sum(coalesce(c.n, 0)) over () as bigint) as comments_count,
+               min(t.iso) over () as date_min, max(t.iso) over () as date_max
+        from threads t left join (select ord_raw, count(*) as n from comments group by 1) c using (ord_raw)""")
+    found["built_pack"] = f"""
+        select 'engagement_threads_top' as tbl, thread_id as name, cast(rank as bigint) as number
+        from ({found['engagement_top']}) union all
+        select 'resources_entities', entity, cast(count_mentions as bigint) from ({found['entities_found']}) union all
+        select 'marketing_swipe_file', thread_id, cast(engagement as bigint) from ({found['marketing_candidates']}) union all
+        select 'topic_index', topic || ':' || thread_id, cast(rank as bigint) from ({found['topic_index']}) union all
+        select 'pack_counts', name, number from (
+            select threads, unique_entities, marketing_candidates, topics from ({found['pack_counts']}))
+        unpivot (number for name in (threads, unique_entities, marketing_candidates, topics))"""
     # Texts in pieces give what whole texts do.
     found["entities_in_pieces"] = found["entities_found"]
     found["entities_over_seams"] = found["entities_composed"]

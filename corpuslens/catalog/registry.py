@@ -21,7 +21,7 @@ from corpuslens.plans import (
     engagement, entities, ingest, links, marketing, money, pieces, report, retrieval, topics,
 )
 from corpuslens.plans.features import Lexicons, thread_features
-from corpuslens.plans.pack import write_evidence
+from corpuslens.plans.pack import build_pack, clean_dump, write_evidence
 from corpuslens.sources.readers import read_comments, read_evidence, read_posts, read_threads, read_topic_index
 from corpuslens.sources.writers import write_array, write_csv, write_json
 
@@ -506,6 +506,54 @@ def array_dump(spark: SparkSession, sf: str) -> DataFrame:
     return _posts_in_group(read_posts(spark, path))
 
 
+@query
+def cleaned_dump(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole cleaning job, from a dump of JSON arrays to its three outputs, read back:
+    every thread with its place in the file, its comments there and in their own file, and
+    the totals."""
+    dump, out = fresh_path(spark, "dump"), fresh_path(spark, "clean")
+    write_array(ad.posts_with_comments(spark, sf).orderBy("ord_raw").drop("ord_raw"), dump)
+    clean_dump(spark, dump, out)
+    own = read_comments(spark, f"{out}/comments").groupBy("thread_id").agg(F.count("*").alias("in_own_file"))
+    totals = spark.read.json(f"{out}/stats").select("threads_count", "comments_count", "date_min", "date_max")
+    return read_threads(spark, f"{out}/threads").join(own, "thread_id", "left").select(
+        "ord_raw", "thread_id", "createdAt_iso", "url", "text_clean", F.size("comments").alias("comments_n"),
+        F.coalesce("in_own_file", F.lit(0)).alias("in_own_file"),
+    ).join(F.broadcast(totals))
+
+
+@query
+def built_pack(spark: SparkSession, sf: str) -> DataFrame:
+    """The whole pack built from threads with comments and counters, its files read back:
+    what each of four tables names, with its number."""
+    out = fresh_path(spark, "pack")
+    threads = ad.with_metrics(spark, sf, ad.threads_with_comments(spark, sf))
+    build_pack(threads, out, lex=TEST_LEXICONS)
+
+    def named(table: str, name: str, number: str) -> DataFrame:
+        rows = spark.read.options(header=True, escape='"', lineSep="\r\n").csv(f"{out}/{table}")
+        return rows.select(F.lit(table).alias("tbl"), F.col(name).alias("name"), F.col(number).cast("long").alias("number"))
+
+    entries = read_topic_index(spark, f"{out}/topic_index")
+    best = entries.select("topic", F.posexplode("top_thread_ids").alias("at", "thread_id")).select(
+        F.lit("topic_index").alias("tbl"), F.concat_ws(":", "topic", "thread_id").alias("name"),
+        (F.col("at") + 1).cast("long").alias("number"),
+    )
+    counted = spark.read.json(f"{out}/pack_counts").select(
+        F.lit("pack_counts").alias("tbl"),
+        F.explode(F.create_map(*[
+            part for name in ("threads", "unique_entities", "marketing_candidates", "topics")
+            for part in (F.lit(name), F.col(name))
+        ])).alias("name", "number"),
+    )
+    return (
+        named("engagement_threads_top", "thread_id", "rank")
+        .unionByName(named("resources_entities", "entity", "count_mentions"))
+        .unionByName(named("marketing_swipe_file", "thread_id", "engagement"))
+        .unionByName(best).unionByName(counted)
+    )
+
+
 def _posts_in_group(posts: DataFrame) -> DataFrame:
     threads = staged(ingest.clean_threads(posts), "threads")
     numbered = nth_in_group(threads, "groupId", "ord_raw", "nth_in_group").drop("groupId")
@@ -562,7 +610,7 @@ def round_trip_topic_index(spark: SparkSession, sf: str) -> DataFrame:
 def round_trip_evidence(spark: SparkSession, sf: str) -> DataFrame:
     """The evidence file, and on each row how many records were found in it."""
     path = fresh_path(spark, "evidence")
-    found = write_evidence(_evidence(spark, sf), path)
+    found = write_evidence(_evidence(spark, sf), path, read_back=True)
     return read_evidence(spark, path).select(
         "thread_id", "url", "createdAt_iso", "metrics.*", "post_text", pipe("comments_text"), "why_selected",
         F.lit(found).cast("long").alias("records"),
@@ -577,14 +625,17 @@ def _report_inputs(spark: SparkSession, sf: str):
         ad.threads_with_comments(spark, sf), TEST_LEXICONS, only=["entities", "tags", "snippet_300"]
     )
     docs = staged(docs, "features")
-    mentions = money.money_mentions_table(_money_features(spark, sf)).unionByName(
-        money.comment_mentions(ad.money_comments(spark, sf), ad.money_threads(spark, sf))
+    prices = money.mention_total(
+        ad.money_threads(spark, sf).select("text_clean", "text_raw").unionByName(
+            ad.money_comments(spark, sf).select("text_clean", "text_raw")
+        )
     )
     urls = links.url_counts(_link_occurrences(spark, sf))
     found = entities.entity_occurrences(docs).select("entity").distinct()
     counted = staged(_counted_threads(spark, sf), "counted")
     candidates = marketing.marketing_candidates(docs.join(counted.select("ord_raw", "metrics"), "ord_raw"))
-    return counted, mentions, urls, found, candidates
+    sizes = report.counts(unique_urls=urls, unique_entities=found, marketing_candidates=candidates)
+    return counted, report.side_by_side([prices, sizes])
 
 
 @query

@@ -108,6 +108,20 @@ def money_sql(
         transform({kept}, h -> {mention}) end"""
 
 
+def money_count(text: str, lowered: str, patterns: list[str] = MONEY_PATTERNS) -> Column:
+    """How many mentions :func:`money_mentions` gives; neither places nor words around
+    are looked at. 0 for a null text."""
+    counts = []
+    for pattern in patterns:
+        regex, needed = quote(java_regex(pattern)), required_text(pattern)
+        values = [_number(f"regexp_extract(m, {regex}, {g})") for g in range(1, re.compile(pattern).groups + 1)]
+        priced = " or ".join(f"coalesce({v} between 1 and 9999, false)" for v in values)
+        count = f"size(filter(regexp_extract_all({lowered}, {regex}, 0), m -> {priced}))"
+        counts.append(f"case when contains({lowered}, {quote(needed)}) then {count} else 0 end" if needed else count)
+    total = " + ".join(counts) or "0"
+    return F.expr(f"cast(case when rlike({text}, {quote(r'\p{Nd}')}) then {total} else 0 end as bigint)")
+
+
 def money_mentions(text: str, lowered: str, **options) -> Column:
     """One struct per match: pattern number, matched text, amounts, context tags,
     and the cleaned context if asked for. Patterns overlap, so one amount can give

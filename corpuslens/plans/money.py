@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
-from corpuslens.functions.money import money_mentions
+from corpuslens.functions.money import money_count, money_mentions
 from corpuslens.operators.staging import computed_once
 
 _OUT = [
@@ -76,6 +76,12 @@ def comment_mentions(comments: DataFrame, threads: DataFrame) -> DataFrame:
     ).select(*_OUT)
 
 
+def mention_total(texts: DataFrame, name: str = "money_mentions") -> DataFrame:
+    """One row: the mentions in a frame of posts or of flat comments, counted in place."""
+    read = texts.withColumn("_text", tx.post_text()).withColumn("_lower", F.lower("_text"))
+    return read.agg(F.coalesce(F.sum(money_count("_text", "_lower")), F.lit(0)).alias(name))
+
+
 def money_per_month(features: DataFrame) -> DataFrame:
     """``(month, n)``: mentions in posts, by the thread's month. Comments do not count."""
     return (

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.operators.ordering import thread_order
@@ -37,7 +37,8 @@ def build_pack(
     """Build every table of the pack, write the files, return the tables.
 
     The texts are read once, for the staged feature table. Occurrences of links
-    and entities are staged too, as two results come from each.
+    and entities are staged too, as two results come from each. Written tables are
+    counted as they are written; the report comes last.
     """
     lex = lex or Lexicons()
     features = staged(thread_features(threads, lex), "features")
@@ -49,6 +50,7 @@ def build_pack(
     candidates = marketing.marketing_candidates(features)
     index = topics.topic_index(topics.topic_hits(features))
     entries = topics.topic_entries(index, lex.topics)
+    sizes = {name: Observation(name) for name in ("money_mentions", "unique_urls", "unique_entities")}
     tables = {
         "engagement_threads_top": engagement.engagement_top(features, topn),
         "money_mentions": mentions,
@@ -57,31 +59,41 @@ def build_pack(
         "resources_entities": found,
         "marketing_swipe_file": marketing.marketing_top(candidates),
         "topic_index": entries,
-        "report": report.corpus_report(features, mentions, urls, found, candidates),
         "top_months": engagement.top_months(features),
         "top_domains": links.domains_by_unique_url(urls),
         "threads_over_time": engagement.threads_per_month(features),
         "engagement_hist_reactions": engagement.reaction_histogram(features),
         "top_domains_chart": links.domains_by_unique_url(urls, 15),
         "money_mentions_over_time": money.money_per_month(features),
-        "pack_counts": report.pack_counts(
-            features, mentions, urls, found, candidates, len(lex.topics)
-        ),
     }
-    _write_tables(tables, outdir)
-    return tables
+    _write_tables(tables, outdir, sizes)
+    observed = report.counts(
+        **{name: seen.get["rows"] for name, seen in sizes.items()}, marketing_candidates=candidates
+    )
+    more = {
+        "report": report.corpus_report(features, observed),
+        "pack_counts": report.pack_counts(features, observed, len(lex.topics)),
+    }
+    for name, table in more.items():
+        write_json(table, f"{outdir}/{name}", single_file=True)
+    return tables | more
+
 
+def _seen(df: DataFrame, observation: Observation) -> DataFrame:
+    """The sorted rows, counted as they are written. Nothing is shuffled behind it, so a task
+    that runs again after a loss counts once."""
+    return df.observe(observation, F.count(F.lit(1)).alias("rows"))
 
-def _write_tables(tables: dict[str, DataFrame], outdir: str) -> None:
+
+def _write_tables(tables: dict[str, DataFrame], outdir: str, sizes: dict[str, Observation]) -> None:
     def most_first(count: str) -> list[Column]:
         return [F.col(count).desc(), F.col("first_at")]
 
     write_csv(
         tables["engagement_threads_top"].orderBy("rank"), f"{outdir}/engagement_threads_top", True
     )
-    mentions = _joined(
-        tables["money_mentions"].orderBy(*thread_order(), "place"), "amount_values", "context_tags"
-    )
+    mentions = _seen(tables["money_mentions"].orderBy(*thread_order(), "place"), sizes["money_mentions"])
+    mentions = _joined(mentions, "amount_values", "context_tags")
     write_csv(
         mentions.select(
             "source_type", "thread_id", "comment_id", "createdAt_iso", "url", "matched_text",
@@ -89,16 +101,13 @@ def _write_tables(tables: dict[str, DataFrame], outdir: str) -> None:
         ),
         f"{outdir}/money_mentions",
     )
-    links_all = _joined(
-        tables["links_all"].orderBy(*most_first("counts")), "sample_thread_ids", "sample_urls"
-    )
+    links_all = _seen(tables["links_all"].orderBy(*most_first("counts")), sizes["unique_urls"])
+    links_all = _joined(links_all, "sample_thread_ids", "sample_urls")
     write_csv(links_all.drop("first_at"), f"{outdir}/links_all")
     domains = _joined(tables["domains_top"].orderBy(*most_first("counts")), "sample_urls")
     write_csv(domains.drop("first_at"), f"{outdir}/domains_top", True)
-    found = _joined(
-        tables["resources_entities"].orderBy(*most_first("count_mentions")),
-        "sample_thread_ids", "sample_urls",
-    )
+    found = _seen(tables["resources_entities"].orderBy(*most_first("count_mentions")), sizes["unique_entities"])
+    found = _joined(found, "sample_thread_ids", "sample_urls")
     write_csv(
         found.select(
             "entity", "category", "count_mentions", "doc_count_threads", "sample_thread_ids",
@@ -119,17 +128,20 @@ def _write_tables(tables: dict[str, DataFrame], outdir: str) -> None:
     )
     write_json(topics.topic_document(tables["topic_index"]), f"{outdir}/topic_index", True)
     for name in (
-        "report", "top_months", "top_domains", "threads_over_time", "engagement_hist_reactions",
-        "top_domains_chart", "money_mentions_over_time", "pack_counts",
+        "top_months", "top_domains", "threads_over_time", "engagement_hist_reactions",
+        "top_domains_chart", "money_mentions_over_time",
     ):
         write_json(tables[name], f"{outdir}/{name}", single_file=True)
 
 
-def write_evidence(evidence: DataFrame, path: str) -> int:
-    """Write an evidence pack in rank order; returns the number of records found
-    when the file is read back."""
+def write_evidence(evidence: DataFrame, path: str, read_back: bool = False) -> int:
+    """Write an evidence pack in rank order; returns the number of records, counted as they
+    are written, or with ``read_back`` as found in the file."""
     record = evidence.orderBy("rank").select(
         "thread_id", "url", "createdAt_iso", "metrics", "post_text", "comments_text", "why_selected"
     )
-    write_json(record, path, single_file=True)
+    seen = Observation("evidence")
+    write_json(_seen(record, seen), path, single_file=True)
+    if not read_back:
+        return seen.get["rows"]
     return evidence.sparkSession.read.json(path, schema=record.schema).count()

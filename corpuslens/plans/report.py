@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
@@ -12,7 +12,7 @@ from corpuslens.operators.distribution import descending_order_stats
 from corpuslens.plans.features import with_engagement
 
 
-def _side_by_side(frames: list[DataFrame]) -> DataFrame:
+def side_by_side(frames: list[DataFrame]) -> DataFrame:
     """One-row frames with different columns as one row."""
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     return stacked.agg(*[F.max(c).alias(c) for c in stacked.columns])
@@ -40,50 +40,28 @@ def thread_totals(threads: DataFrame) -> DataFrame:
     )
 
 
-def _count(frame: DataFrame, name: str) -> DataFrame:
-    return frame.agg(F.count("*").alias(name))
+def counts(**tables: DataFrame | int) -> DataFrame:
+    """One row with how many rows each table has. A number is taken as it is: what a write
+    has observed need not be read again."""
+    known = {name: n for name, n in tables.items() if isinstance(n, int)}
+    frames = {name: t for name, t in tables.items() if name not in known}
+    spark = next((t.sparkSession for t in frames.values()), None) or SparkSession.active()
+    first = spark.range(1).select(*[F.lit(n).cast("long").alias(name) for name, n in known.items()])
+    counted = [t.agg(F.count("*").alias(name)) for name, t in frames.items()]
+    return side_by_side(([first] if known else []) + counted).select(*tables)
 
 
-def corpus_report(
-    threads: DataFrame,
-    mentions: DataFrame,
-    urls: DataFrame,
-    entities: DataFrame,
-    candidates: DataFrame,
-) -> DataFrame:
+def corpus_report(threads: DataFrame, sizes: DataFrame) -> DataFrame:
     """One row with every number of the report; its top months and top domains are
-    ``engagement.top_months`` and ``links.domains_by_unique_url``."""
+    ``engagement.top_months`` and ``links.domains_by_unique_url``. ``sizes`` is one row:
+    ``money_mentions``, ``unique_urls``, ``unique_entities``, ``marketing_candidates``."""
     stats = descending_order_stats(
         with_engagement(threads), "engagement", {"p90": 0.1, "p50": 0.5}
     )
     counted = stats.select(F.coalesce("p90", F.lit(0)).alias("p90"), F.coalesce("p50", F.lit(0)).alias("p50"))
-    return _side_by_side(
-        [
-            thread_totals(threads),
-            counted,
-            _count(mentions, "money_mentions"),
-            _count(urls, "unique_urls"),
-            _count(entities, "unique_entities"),
-            _count(candidates, "marketing_candidates"),
-        ]
-    )
+    return side_by_side([thread_totals(threads), counted, sizes])
 
 
-def pack_counts(
-    threads: DataFrame,
-    mentions: DataFrame,
-    urls: DataFrame,
-    entities: DataFrame,
-    candidates: DataFrame,
-    topics: int,
-) -> DataFrame:
-    """One row of counts to check a finished pack by."""
-    return _side_by_side(
-        [
-            _count(threads, "threads"),
-            _count(mentions, "money_mentions"),
-            _count(urls, "unique_urls"),
-            _count(entities, "unique_entities"),
-            _count(candidates, "marketing_candidates"),
-        ]
-    ).withColumn("topics", F.lit(topics).cast("long"))
+def pack_counts(threads: DataFrame | int, sizes: DataFrame, topics: int) -> DataFrame:
+    """One row of counts to check a finished pack by. ``sizes`` as in :func:`corpus_report`."""
+    return side_by_side([counts(threads=threads), sizes]).withColumn("topics", F.lit(topics).cast("long"))
