@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from corpuslens.functions import keywords as kw
 from corpuslens.functions import text as tx
 from corpuslens.functions.entities import entity_mentions, pattern_tags, required_words
-from corpuslens.functions.money import money_mentions
+from corpuslens.functions.money import money_count, money_mentions
 from corpuslens.functions.patterns import fold_case, java_regex, required_text
 from corpuslens.functions.urls import canonical_url, domain, extract_urls
 from corpuslens.lexicons import (
@@ -115,6 +115,16 @@ def money_in_python(text):
     return out
 
 
+def test_money_count_is_the_number_of_mentions(spark):
+    parts = ["$", "1", "25", "0", "99999", " ", "-", " to ", "/hr", " per hour", " per visit", ".5", "٣", "x"]
+    texts = shuffled(parts, 400, 30, seed=3) + ["", None, "none", "$0 to 0"]
+    got = column(spark, texts, ("low", F.lower("t")), F.struct(
+        F.coalesce(F.size(money_mentions("t", "low")), F.lit(0)).alias("n"), money_count("t", "low").alias("counted")
+    ))
+    assert [r["counted"] for r in got] == [r["n"] for r in got]
+    assert sum(r["n"] > 1 for r in got) > 100
+
+
 def test_money_mentions(spark):
     parts = ["$", "150", "15000", "1,500", ".5", "-", "–", " to ", "/hr", " per hour", " per session",
              " per visit", " dollars", " ", "eval", "X" * 30, "0", "٣", "visit", "\n", "İ", "appointment"]
