@@ -5,12 +5,15 @@ from __future__ import annotations
 import re
 import unicodedata
 from functools import cache
+from itertools import accumulate
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import UNEVEN_SPACE, java_regex, required_text
-from corpuslens.functions.sqltext import NO_STRINGS, let, quote
+from corpuslens.functions.patterns import java_regex, required_text
+from corpuslens.functions.sqltext import quote
 from corpuslens.lexicons import MONEY_CONTEXT, MONEY_PATTERNS
 
 
@@ -29,83 +32,82 @@ def _number(value: str) -> str:
     return f"try_cast(translate({value}, {quote(other)}, {quote(ascii_digits)}) as double)"
 
 
-def _tags(context: str, families: dict[str, list[str]]) -> str:
-    """Names of the word families found in the context, in family order."""
-    cases = [
-        f"case when {' or '.join(f'contains({context}, {quote(k)})' for k in words)} then {quote(tag)} end"
-        for tag, words in families.items()
-    ]
-    return f"array_compact(array({', '.join(cases)}))"
-
-
-#: Matches whose offsets are added up together; appending to an array copies it.
-_BLOCK = 256
-
-
-def _with_starts(matches: str, pieces: str) -> str:
-    """``(m, start)`` per match; its offset follows from the lengths of the pieces
-    between matches. Offsets are added up within blocks of matches, then over blocks,
-    so that the time for a text grows with its matches."""
-    hit = "array<struct<m:string,start:int>>"
-    block = f"""aggregate(slice(ps, b * {_BLOCK} + 1, {_BLOCK}),
-        named_struct('pos', 0, 'hits', cast(array() as {hit})),
-        (acc, p) -> named_struct(
-            'pos', acc.pos + p.gap + length(p.m),
-            'hits', array_append(acc.hits, named_struct('m', p.m, 'start', acc.pos + p.gap))))"""
-    blocks = f"transform(sequence(0, (size(ps) - 1) div {_BLOCK}), b -> {block})"
-    moved = "transform(x.hits, h -> named_struct('m', h.m, 'start', acc.pos + h.start))"
-    pairs = f"""zip_with(slice({pieces}, 1, size({matches})), {matches},
-                 (gap, m) -> named_struct('gap', length(gap), 'm', m))"""
-    joined = f"""aggregate({blocks},
-        named_struct('pos', 0, 'hits', cast(array() as array<{hit}>)),
-        (acc, x) -> named_struct('pos', acc.pos + x.pos, 'hits', array_append(acc.hits, {moved})),
-        acc -> flatten(acc.hits))"""
-    return let("ps", pairs, joined)
-
-
-def _pattern_hits(lowered: str, number: int, pattern: str) -> str:
-    """Match, offset and groups of each match of one pattern, in place order."""
-    regex = quote(java_regex(pattern))
-    # A match read again on its own gives the same groups.
-    groups = range(1, re.compile(pattern).groups + 1)
-    values = ", ".join(f"regexp_extract(h.m, {regex}, {g})" for g in groups)
-    hits = _with_starts("ms", f"split({lowered}, {regex}, -1)")
-    hit = f"named_struct('n', {number}, 'm', h.m, 'start', h.start, 'groups', array({values}))"
-    needed = required_text(pattern)
-    found = f"regexp_extract_all({lowered}, {regex}, 0)"
-    if needed:
-        found = f"case when contains({lowered}, {quote(needed)}) then {found} else {NO_STRINGS} end"
-    return let("ms", found, f"case when size(ms) > 0 then transform({hits}, h -> {hit}) end")
-
-
-def money_sql(
-    text: str,
-    lowered: str,
-    window: int = 50,
-    patterns: list[str] = MONEY_PATTERNS,
-    families: dict[str, list[str]] = MONEY_CONTEXT,
-    with_context: bool = False,
-) -> str:
-    """:func:`money_mentions` as SQL text, for use inside larger expressions."""
-    per_pattern = ", ".join(
-        _pattern_hits(lowered, number, pattern) for number, pattern in enumerate(patterns, 1)
-    )
-    hits = f"flatten(array_compact(array({per_pattern})))"
-    left = f"greatest(h.start - {window}, 0)"
-    right = f"least(h.start + length(h.m) + {window}, length({text}))"
-    near = f"""named_struct('n', h.n, 'm', h.m,
-        'amounts', filter(transform(h.groups, v -> {_number('v')}), a -> a between 1 and 9999),
-        'c', substring({text}, {left} + 1, {right} - {left}))"""
-    kept = f"filter(transform({hits}, h -> {near}), h -> size(h.amounts) > 0)"
-    clean = f"trim(regexp_replace(h.c, {quote(UNEVEN_SPACE)}, ' '))"
-    cut = "case when length(c) <= 100 then c else concat(substring(c, 1, 97), '...') end"
-    mention = f"""named_struct(
-        'pattern_pos', h.n, 'matched_text', h.m, 'amount_values', h.amounts,
-        'context_tags', {let('low', 'lower(h.c)', _tags('low', families))}
-        {", 'context_snippet', " + let('c', clean, cut) if with_context else ""})"""
-    # Every amount needs a digit; texts without one skip all of this.
-    return f"""case when rlike({text}, {quote(r'\p{Nd}')}) then
-        transform({kept}, h -> {mention}) end"""
+_SPACES = re.compile(r"\s+")
+_FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?")
+_MENTION = [
+    ("pattern_pos", pa.int32()), ("matched_text", pa.string()), ("amount_values", pa.list_(pa.float64())),
+    ("context_tags", pa.list_(pa.string())), ("context_snippet", pa.string()),
+]
+_DDL = "pattern_pos: int, matched_text: string, amount_values: array<double>, context_tags: array<string>"
+
+
+def _amounts(found: re.Match) -> list[float]:
+    """Numbers from 1 to 9999 in the groups of a match; digits of any script count."""
+    out = []
+    for value in found.groups():
+        if value and not value.isascii():
+            value = value.translate(_digits())
+        if value and _FLOAT.fullmatch(value.strip()):
+            amount = float(value)
+            if 1 <= amount <= 9999:
+                out.append(amount)
+    return out
+
+
+@cache
+def _digits() -> dict[int, str]:
+    return {ord(c): str(i % 10) for i, c in enumerate(_other_digits())}
+
+
+def _cut(context: str) -> str:
+    clean = _SPACES.sub(" ", context).strip(" ")
+    return clean if len(clean) <= 100 else clean[:97] + "..."
+
+
+def _searcher(
+    nested: bool = False, window: int = 50, patterns: list[str] = MONEY_PATTERNS,
+    families: dict[str, list[str]] = MONEY_CONTEXT, with_context: bool = False,
+):
+    """The search as a function of columns of texts and their lower-cased forms, or with
+    ``nested`` of arrays of them."""
+    kind = f"array<struct<{_DDL}{', context_snippet: string' if with_context else ''}>>"
+
+    def search(texts: pa.Array, lowered: pa.Array) -> pa.Array:
+        if not nested:
+            return _found_in(texts, lowered, window, patterns, families, with_context)
+        found = _found_in(texts.flatten(), lowered.flatten(), window, patterns, families, with_context)
+        sizes = [x.as_py() or 0 for x in pc.list_value_length(texts)]
+        return pa.ListArray.from_arrays(
+            pa.array([0, *accumulate(sizes)], pa.int32()), found, mask=texts.is_null()
+        )
+
+    return F.arrow_udf(search, f"array<{kind}>" if nested else kind)
+
+
+def _found_in(texts, lowered, window: int, patterns: list[str], families: dict[str, list[str]], with_context: bool) -> pa.Array:
+    """The mentions of each text of a batch, null where the text is null."""
+    searched = [(n, re.compile(p), required_text(p)) for n, p in enumerate(patterns, 1)]
+    named = [(tag, re.compile("|".join(map(re.escape, words))).search) for tag, words in families.items() if words]
+    offsets, null, columns = [0], [], [[] for _ in _MENTION]
+    for text, low in zip(texts, lowered):
+        text, low = text.as_py(), low.as_py()
+        null.append(text is None)
+        for number, pattern, needed in searched:
+            if text is None or needed and needed not in low:
+                continue
+            for match in pattern.finditer(low):
+                amounts = _amounts(match)
+                if not amounts:
+                    continue
+                near = text[max(match.start() - window, 0) : min(match.end() + window, len(text))]
+                near_low = near.lower()
+                tags = [tag for tag, holds in named if holds(near_low)]
+                for column, value in zip(columns, (number, match.group(), amounts, tags, _cut(near) if with_context else None)):
+                    column.append(value)
+        offsets.append(len(columns[0]))
+    kept = _MENTION if with_context else _MENTION[:-1]
+    rows = pa.StructArray.from_arrays([pa.array(c, t) for c, (_, t) in zip(columns, kept)], [name for name, _ in kept])
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), rows, mask=pa.array(null, pa.bool_()))
 
 
 def money_count(text: str, lowered: str, patterns: list[str] = MONEY_PATTERNS) -> Column:
@@ -130,6 +132,14 @@ def money_mentions(text: str, lowered: str, **options) -> Column:
     ``text`` and ``lowered`` name the column and its lower-cased form. Amounts
     outside 1..9999 are dropped, and a match left without any is too. Offsets come
     from the lower-cased text, the context from the text as written. Null when the
-    text holds no digit.
+    text holds no digit. Texts are searched in Arrow batches; the options are ``window``,
+    ``patterns``, ``families`` and ``with_context``.
     """
-    return F.expr(money_sql(text, lowered, **options))
+    # Every amount needs a digit; texts without one skip all of this.
+    digits = F.rlike(F.col(text), F.lit(r"\p{Nd}"))
+    return _searcher(**options)(F.when(digits, F.col(text)), F.when(digits, F.col(lowered)))
+
+
+def money_mentions_each(texts: Column, lowered: Column, **options) -> Column:
+    """:func:`money_mentions` of each text of an array; a null text has null."""
+    return _searcher(nested=True, **options)(texts, lowered)

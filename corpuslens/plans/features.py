@@ -16,9 +16,8 @@ from corpuslens import lexicons
 from corpuslens.functions import text as tx
 from corpuslens.functions.entities import entity_mentions, pattern_tags, required_words
 from corpuslens.functions.keywords import keyword_counts, present
-from corpuslens.functions.money import money_mentions, money_sql
-from corpuslens.functions.patterns import UNEVEN_SPACE, fold_case
-from corpuslens.functions.sqltext import let, quote
+from corpuslens.functions.money import money_mentions, money_mentions_each
+from corpuslens.functions.patterns import fold_case
 from corpuslens.functions.topics import topic_scores, topic_words
 from corpuslens.functions.urls import links_sql
 from corpuslens.operators.staging import computed_once
@@ -45,23 +44,29 @@ FEATURES = [
 
 
 def _comment_money(lex: Lexicons, context: bool) -> Column:
-    """Per comment with a price: its id, time, url, snippet and mentions."""
-    text = "coalesce(nullif(c.text_clean, ''), nullif(c.text_raw, ''), '')"
-    read = (
-        "named_struct('comment_id', c.comment_id, 'createdAt_iso', c.createdAt_iso, 'url', c.url, "
-        f"'text', {text})"
+    """Per comment with a price: its id, time, url, snippet and mentions. ``_priced`` has
+    the comments whose texts hold a digit."""
+    found = money_mentions_each(
+        F.col("_priced.text"), F.transform("_priced.text", lambda t: F.lower(t)),
+        patterns=lex.money_patterns, families=lex.money_context, with_context=context,
     )
-    clean = f"trim(regexp_replace(c.text, {quote(UNEVEN_SPACE)}, ' '))"
-    cut = "case when length(t) <= 200 then t else concat(substring(t, 1, 197), '...') end"
-    mentions = money_sql(
-        "c.text", "lower_text", patterns=lex.money_patterns, families=lex.money_context, with_context=context
-    )
-    shaped = (
-        "named_struct('comment_id', c.comment_id, 'createdAt_iso', c.createdAt_iso, 'url', c.url, "
-        f"'text_snippet', {let('t', clean, cut)}, 'mentions', {let('lower_text', 'lower(c.text)', mentions)})"
-    )
-    with_digits = f"filter(transform(comments, c -> {read}), c -> rlike(c.text, {quote(r'\p{Nd}')}))"
-    return F.expr(f"filter(transform({with_digits}, c -> {shaped}), c -> size(c.mentions) > 0)")
+    shaped = F.zip_with("_priced", found, lambda c, mentions: F.struct(
+        c["comment_id"].alias("comment_id"), c["createdAt_iso"].alias("createdAt_iso"), c["url"].alias("url"),
+        c["text"].alias("text"), mentions.alias("mentions"),
+    ))
+    # Snippets of the comments with a price alone.
+    return F.transform(F.filter(shaped, lambda c: F.size(c["mentions"]) > 0), lambda c: F.struct(
+        c["comment_id"].alias("comment_id"), c["createdAt_iso"].alias("createdAt_iso"), c["url"].alias("url"),
+        tx.snippet(c["text"], 200).alias("text_snippet"), c["mentions"].alias("mentions"),
+    ))
+
+
+def _priced(comments: str = "comments") -> Column:
+    texts = F.transform(comments, lambda c: F.struct(
+        c["comment_id"].alias("comment_id"), c["createdAt_iso"].alias("createdAt_iso"), c["url"].alias("url"),
+        tx.first_text(c["text_clean"], c["text_raw"]).alias("text"),
+    ))
+    return F.filter(texts, lambda c: F.rlike(c["text"], F.lit(r"\p{Nd}")))
 
 
 def thread_features(
@@ -80,6 +85,8 @@ def thread_features(
     """
     lex = lex or Lexicons()
     texts = threads.withColumn("_post", tx.post_text()).withColumn("_full", tx.full_text())
+    if "comment_money" in (only or FEATURES):
+        texts = texts.withColumn("_priced", _priced())
     texts = texts.withColumns(
         {
             "_clean": tx.clean_text(F.col("_post")), "_post_lower": F.lower("_post"),
