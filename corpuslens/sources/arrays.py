@@ -18,6 +18,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -46,14 +47,30 @@ def _braces(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return places, steps, np.append(quotes[brace], quotes[-1] if len(quotes) else 0)
 
 
+#: Bytes of text worked on at once; an Arrow batch may hold many times that.
+PART_BYTES = 4 << 20
+
+
+def byte_slices(column: pa.Array, most: int = PART_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows with at most so many bytes, or of one row."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < len(ends):
+        before = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield at, end
+        at = end
+
+
 def _runs(batch: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
     """First row, split number and bytes of each stretch of rows from one split, with
-    the closing braces that the reader took away."""
+    the closing braces that the reader took away; long stretches in parts."""
     splits = batch.column("_split").to_numpy()
     starts = np.flatnonzero(np.diff(splits, prepend=splits[:1] - 1)) if len(splits) else []
     for start, end in zip(starts, [*starts[1:], len(splits)]):
-        values = batch.column("value").slice(start, end - start).to_pylist()
-        yield int(start), int(splits[start]), b"}".join(values) + b"}"
+        values = batch.column("value").slice(start, end - start)
+        for low, high in byte_slices(values):
+            yield int(start), int(splits[start]), b"}".join(values.slice(low, high - low).to_pylist()) + b"}"
 
 
 class _Effect:
@@ -168,7 +185,7 @@ class _Records:
                     self._leave()
                     self._enter(split, *(batch.column(name)[start].as_py() for name in _STATE))
                 self._stretch(data)
-            yield self._given()
+                yield self._given()
         self._leave()
         yield self._given()
 

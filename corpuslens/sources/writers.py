@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from corpuslens.sources.arrays import byte_slices
+
 
 def pipe_cell(values: str):
     """Array column as one cell, values separated by ``|``."""
@@ -43,9 +45,10 @@ def write_array(df: DataFrame, path: str, single_file: bool = False) -> None:
 def _bracketed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     before = "["
     for batch in batches:
-        lines = []
-        for entry in batch.column(0).to_pylist():
-            lines.append(before + entry)
-            before = ","
-        yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
+        for low, high in byte_slices(batch.column(0)):
+            lines = []
+            for entry in batch.column(0).slice(low, high - low).to_pylist():
+                lines.append(before + entry)
+                before = ","
+            yield pa.RecordBatch.from_pydict({"value": pa.array(lines, pa.string())})
     yield pa.RecordBatch.from_pydict({"value": ["[]" if before == "[" else "]"]})
