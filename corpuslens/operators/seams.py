@@ -55,12 +55,15 @@ def _runs(blocks: DataFrame, key: str, block: str, looks: list[Look]) -> DataFra
     """
     wide = max((look.reach for look in looks), default=0) + 2
     text = F.col("text")
-    long = F.rlike(text, F.lit(_units(wide, wide)))
-    ends = blocks.select(
-        key, block, long.alias("long"),
-        F.regexp_extract(text, _units(wide), 0).alias("head"),
-        F.reverse(F.regexp_extract(F.reverse(text), _units(wide), 0)).alias("tail"),
-    )
+    # Where white space stands alone, units are characters.
+    plain = ~F.rlike(text, F.lit(f"[{SPACE_CHARS}]{{2}}"))
+    backwards = F.reverse(F.regexp_extract(F.reverse(text), _units(wide), 0))
+    ends = staged(blocks.select(
+        key, block,
+        F.when(plain, F.length(text) >= wide).otherwise(F.rlike(text, F.lit(_units(wide, wide)))).alias("long"),
+        F.when(plain, F.substring(text, 1, wide)).otherwise(F.regexp_extract(text, _units(wide), 0)).alias("head"),
+        F.when(plain, F.right(text, F.lit(wide))).otherwise(backwards).alias("tail"),
+    ), "unit-ends")
     ranged = staged(ends.repartitionByRange(key, block).withColumn("_range", F.spark_partition_id()), "ends")
     here, place = F.struct(key, "long", "tail", "first"), F.struct(key, block)
     ranged = ranged.withColumn("first", F.col(block) < 0)
