@@ -127,10 +127,21 @@ def _boost(engagement: Column) -> Column:
     return F.when(engagement > 0, F.log1p(engagement.cast("double")) * 0.5).otherwise(F.lit(0.0))
 
 
-def matched_keywords(text: Column, keywords: Column, topic_keywords: Column) -> Column:
+def _record_texts(threads: DataFrame) -> DataFrame:
+    """What records say of a thread's text and ``_lower``, ``_words`` to look keywords up in,
+    computed once per thread; in :func:`matched_keywords` itself it would be once per keyword."""
+    keep = [c for c in threads.columns if c not in ("comments", "text_clean", "text_raw")]
+    texts = computed_once(
+        threads, keep, _lower=scoring_text(), post_text=tx.post_text(),
+        comments_text=tx.comment_texts(F.col("comments"), 5),
+    )
+    return computed_once(texts, texts.columns, _words=F.array_distinct(tx.words(F.col("_lower"))))
+
+
+def matched_keywords(text: Column, found_words: Column, keywords: Column, topic_keywords: Column) -> Column:
     """Query keywords that occur as words (repeats kept), then topic keywords that
-    occur anywhere and are not named yet."""
-    found_words = tx.words(text)
+    occur anywhere and are not named yet. ``text`` and its words are columns of a row:
+    what they are built from would be computed again for each keyword."""
     from_query = F.filter(keywords, lambda k: F.array_contains(found_words, k))
     from_topics = F.filter(topic_keywords, lambda k: F.contains(text, F.lower(k)))
     return F.concat(from_query, F.array_except(from_topics, from_query))
@@ -220,15 +231,12 @@ def evidence_pack(
     # At most k rows.
     texts = threads.drop("metrics", "createdAt_ts").join(F.broadcast(best), "ord_raw")
     matched = matched_keywords(
-        scoring_text(),
-        string_array(keywords), string_array(topic_keywords),
+        F.col("_lower"), F.col("_words"), string_array(keywords), string_array(topic_keywords),
     )
     return (
-        texts.withColumn("_matched", matched)
+        _record_texts(texts).withColumn("_matched", matched)
         .select(
-            "rank", "thread_id", "url", "createdAt_iso", "metrics",
-            tx.post_text().alias("post_text"),
-            tx.comment_texts(F.col("comments"), 5).alias("comments_text"),
+            "rank", "thread_id", "url", "createdAt_iso", "metrics", "post_text", "comments_text",
             _explain(F.col("_matched"), F.col("engagement"), F.col("score")).alias("why_selected"),
             "score",
         )
@@ -380,14 +388,12 @@ def evidence_records(
     so that Spark knows its bytes and, if they are few, sends them to the texts.
     """
     picked = staged(chosen.select("ord_raw").distinct(), "chosen-keys")
-    texts = threads.drop("metrics", "createdAt_ts").join(picked, "ord_raw", "left_semi")
+    texts = _record_texts(threads.drop("metrics", "createdAt_ts").join(picked, "ord_raw", "left_semi"))
     plans = query_plans(queries, entries).select("query_id", "keywords", "topic_keywords")
     joined = chosen.join(plans, "query_id").join(texts, "ord_raw")
-    matched = matched_keywords(scoring_text(), F.col("keywords"), F.col("topic_keywords"))
+    matched = matched_keywords(F.col("_lower"), F.col("_words"), F.col("keywords"), F.col("topic_keywords"))
     return joined.withColumn("_matched", matched).select(
-        "query_id", "rank", "thread_id", "url", "createdAt_iso", "metrics",
-        tx.post_text().alias("post_text"),
-        tx.comment_texts(F.col("comments"), 5).alias("comments_text"),
+        "query_id", "rank", "thread_id", "url", "createdAt_iso", "metrics", "post_text", "comments_text",
         _explain(F.col("_matched"), F.col("engagement"), F.col("score")).alias("why_selected"),
         "score",
     )

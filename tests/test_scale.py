@@ -1,7 +1,9 @@
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpuslens.operators import seams
+from corpuslens.plans import retrieval
 from corpuslens.sources import arrays
 from corpuslens.sources.writers import _bracketed
 
@@ -39,3 +41,26 @@ def test_ends_of_blocks_are_cut_once(spark, monkeypatch, gap):
     assert any(f"mit{gap} {gap}license" in t for t in whole[1])
     # Ordering by ranges reads its rows twice.
     assert "regexp" not in plans["ends"].lower() and "rlike" not in plans["ends"].lower()
+
+
+def test_records_search_each_text_once(spark):
+    """Not once per keyword and query: nothing within a search for keywords is built from the text."""
+    kind = "array<struct<text_clean string, text_raw string>>"
+    threads = spark.createDataFrame(
+        [(n, f"t{n}", "u", "2022", n, f"Rate {n} of License", None, [("the rate", None)]) for n in range(5)],
+        f"ord_raw long, thread_id string, url string, createdAt_iso string, createdAt_ts long, text_clean string, text_raw string, comments {kind}",
+    ).withColumn("metrics", F.struct(*[F.lit(1).cast("long").alias(c) for c in ("reactionCount", "shareCount", "commentCount")]))
+    entries = spark.createDataFrame(
+        [(0, "money", ["Rate", "Lic"], ["t3"], ["u"])],
+        "topic_pos int, topic string, keywords array<string>, top_thread_ids array<string>, top_urls array<string>",
+    )
+    asked = spark.createDataFrame([(1, "license rate rate"), (2, "zzz")], "query_id long, query string")
+    one = retrieval.evidence_pack(threads, entries, "license rate rate", 2)
+    chosen = retrieval.evidence_for_queries(threads, entries, asked, 2)
+    many = retrieval.evidence_records(threads, entries, asked, chosen)
+    for found in (one, many.where("query_id = 1")):
+        reasons = [r["why_selected"].split(";")[0] for r in found.orderBy("rank").collect()]
+        assert reasons == ["Matched keywords: license, rate, rate, Rate, Lic"] * 2
+    for frame in (one, many):
+        plan = frame._jdf.queryExecution().optimizedPlan().toString()
+        assert "lambda" in plan and "array_contains(regexp_extract_all" not in plan and "Contains(concat" not in plan
