@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.staging import stage
-from corpuslens.llm.words import hashed_words, slices
+from corpuslens.llm.words import hashed_words, parts, slices
 
 #: Discount of rare words' counts; what it frees goes to unknown words of the same ending.
 DISCOUNT = 0.5
@@ -57,7 +57,7 @@ def word_counts(texts: DataFrame, endings: int) -> DataFrame:
     """(word, ending, n) of all words of all texts; counted in each batch before the shuffle."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 0):
             words, places, ends = _words(batch.column(0), endings)
             for lo, hi in slices(places, SLICE_WORDS):
                 part = words[places[lo] : places[hi]]
@@ -131,7 +131,7 @@ def unit_bigrams(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     size = vocab.end + 1
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 0):
             words, places, ends = _words(batch.column(0), vocab.endings)
             for lo, hi in slices(places, SLICE_WORDS):
                 a, b = places[lo], places[hi]
@@ -343,7 +343,7 @@ def score(docs: DataFrame, model: Brown, key: str = "doc_id", text: str = "text"
     unknown = [math.log10(DISCOUNT * k + FLOOR) for k in v.unit_types[v.heads : v.end]]
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2):
             words, places, ends = _words(batch.column(2), v.endings)
             out: list[list] = [[], [], [], []]
             rare_words, rare_ends, rare_times, sizes = [], [], [], []

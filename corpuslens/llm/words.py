@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 #: Bytes of text hashed at once; bounds the memory of a task.
 BLOCK = 1 << 20
+#: Bytes of text of the rows that a task works on at once.
+PART = 1 << 22
 SPACE = np.zeros(256, dtype=bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: Everything in ASCII but letters and digits.
@@ -164,3 +167,18 @@ def slices(places: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
         to = min(n, max(at + 1, to))
         yield at, to
         at = to
+
+
+def parts(batches: Iterable[pa.RecordBatch], *texts: int) -> Iterator[pa.RecordBatch]:
+    """The rows of the batches in parts of about ``PART`` bytes in the columns ``texts``.
+
+    A batch has thousands of rows, however long; what is computed from a part is bounded
+    by it or by one long text.
+    """
+    for batch in batches:
+        ends = np.zeros(len(batch) + 1, np.int64)
+        for at in texts:
+            sizes = pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False)
+            ends[1:] += np.cumsum(sizes, dtype=np.int64)
+        for lo, hi in slices(ends, PART):
+            yield batch.slice(lo, hi - lo)
