@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from corpuslens.llm.components import components
 from corpuslens.llm.exact_dedup import LOCATOR, addressable, located, normalised, sha256_hex, whole_rows
 from corpuslens.llm.staging import stage
-from corpuslens.llm.words import draws, hashed_words, mix, shingles, slices
+from corpuslens.llm.words import draws, hashed_words, mix, parts, shingles, slices
 
 #: Words handled at once by a task.
-GROUP_WORDS = 600_000
+GROUP_WORDS = 200_000
 _STRIP = draws(101, 64)
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
@@ -100,7 +100,7 @@ def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
     schema = f"doc_id {kind}, _file string, _row long, digest string, size int, bands array<long>"
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 4):
             words, places = hashed_words(batch.column(4))
             counts = np.diff(places)
             sizes = np.where(counts >= n, counts - n + 1, np.minimum(counts, 1))
@@ -129,7 +129,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, n: int) -> DataFrame:
     """(a, b, sim) of candidate pairs, by their whole texts."""
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 2, 3):
             sims = similarity(batch.column(2), batch.column(3), n)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims)], names=["a", "b", "sim"])
 
@@ -146,7 +146,7 @@ def _own_shingles(texts: DataFrame, n: int) -> DataFrame:
     """
 
     def run(batches):
-        for batch in batches:
+        for batch in parts(batches, 1):
             words, places = hashed_words(batch.column(1))
             nodes = batch.column(0).to_numpy()
             for lo, hi in slices(places, GROUP_WORDS):
