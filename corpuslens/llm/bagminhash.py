@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.components import components
 from corpuslens.llm.exact_dedup import LOCATOR, addressable, located, normalised, sha256_hex, whole_rows
-from corpuslens.llm.staging import stage
+from corpuslens.llm.staging import bounded_batches, stage
 from corpuslens.llm.words import draws, hashed_words, mix, parts, shingles, slices
 
 #: Words handled at once by a task.
@@ -219,6 +219,7 @@ def near_duplicates(
     distance is a metric, so do distances to the same centre. A large group thus costs
     its stars and not all its pairs.
     """
+    bounded_batches(docs.sparkSession)
     docs = addressable(docs)
     signed = stage(_signed(docs, n, bands, rows), "signed")
     first = F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", *LOCATOR)).alias("first")

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.exact_dedup import LOCATOR, addressable, located, whole_rows
+from corpuslens.llm.staging import bounded_batches
 from corpuslens.llm.words import MARKS, hashed_words, shingles, slices
 
 #: Words of test items that one pass over the documents looks for; bounds what is broadcast.
@@ -170,6 +171,7 @@ def contaminations(
     left as they were is not found, whatever its score. Texts never leave the task that
     reads them.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_kind = benchmark.schema[item_key].dataType.simpleString()
     schema = f"doc_id {kind}, _file string, _row long, item_id {item_kind}, score double, first_word long, last_word long"

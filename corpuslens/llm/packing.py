@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from corpuslens.llm.numbering import number_within
+from corpuslens.llm.staging import bounded_batches
 from corpuslens.llm.tokens import id_bytes
 
 
@@ -54,6 +55,7 @@ def pack_documents(
     alone; null and repeated keys are packed like others; an empty table gives no rows;
     other columns are not read.
     """
+    bounded_batches(docs.sparkSession)
     kind = docs.schema[key].dataType.simpleString()
     classes = harmonic_classes(capacity)
     takes = {}

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, IntegerType, StructType
 
-from corpuslens.llm.staging import stage
+from corpuslens.llm.staging import bounded_batches, stage
 
 # --------------------------------------------------------------- language model
 
@@ -354,6 +354,7 @@ def fit(
     not there, null labels and null ids are left out. Without any label every document
     gets the score 0.5 at most; with one class only, no word is evidence.
     """
+    bounded_batches(docs.sparkSession)
     model = log_model(trigram_counts(docs))
     known = labels.select("doc_id", F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     known = known.where(allowed) if allowed is not None else known
@@ -400,6 +401,7 @@ def fit(
 
 def _as_struct(docs: DataFrame, columns: list[str]) -> DataFrame:
     """The columns as one struct, whatever their names."""
+    bounded_batches(docs.sparkSession)
     return docs.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("document"))
 
 
