@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.staging import stage
+from corpuslens.llm.staging import bounded_batches, stage
 from corpuslens.llm.words import hashed_words, parts, slices
 
 #: Discount of rare words' counts; what it frees goes to unknown words of the same ending.
@@ -19,6 +19,8 @@ DISCOUNT = 0.5
 #: Added for each ending, so that one that never occurred has a probability.
 FLOOR = 0.1
 SLICE_WORDS = 300_000
+#: Steps of a natural logarithm; sums of whole steps are the same in any order.
+STEPS = 1 << 12
 
 
 @dataclass
@@ -284,9 +286,10 @@ def exchange(bigrams: DataFrame, units: int, classes: int, sweeps: int | None, c
 class Brown:
     vocab: Vocabulary
     classes: np.ndarray  # of each unit
+    own: np.ndarray  # class of each of the frequent words
     transition: np.ndarray  # log10 P(class | class before)
     totals: np.ndarray  # mass of each class
-    counted: DataFrame  # (word, ending, n) of the training texts
+    counted: DataFrame  # (word, ending, n, class) of the training texts
 
 
 def fit(
@@ -295,23 +298,179 @@ def fit(
 ) -> Brown:
     """Learn from the one text column of ``texts``.
 
-    All words are counted, each keeps its own count, and all of them are clustered: the
-    ``heads`` most frequent as such, the others through one of ``endings`` hashed word
-    endings, so that the clustering's size is bounded while its statistics cover every
-    token. Without ``sweeps`` clustering goes on until no unit gains by a move. ``prior`` is the weight of the class frequencies in a transition.
+    All words are counted and each has its own count and class. First units are clustered:
+    the ``heads`` most frequent words, and the others joined by one of ``endings`` hashed
+    word endings; without ``sweeps`` this goes on until no unit gains by a move. Then every
+    other word, however rare, is put into the class that its own neighbours make likeliest
+    (``own_classes``). Class bigrams and masses are those of all words' own classes. ``prior``
+    is the weight of the class frequencies in a transition.
     """
+    bounded_batches(texts.sparkSession)
     counted = stage(word_counts(texts, endings), "words")
     vocab = vocabulary(counted, texts.count(), heads, endings, frequent)
     bigrams = stage(unit_bigrams(texts, vocab), "bigrams")
     of = exchange(bigrams, vocab.end + 1, classes, sweeps, vocab.unit_counts)
     totals = np.bincount(of, vocab.unit_counts, classes)
     totals += FLOOR * np.bincount(of[heads : vocab.end], minlength=classes)
-    table = np.zeros((classes, classes))
-    for a, b, n in _class_bigrams(bigrams, of):
+    first = _transition(_class_bigrams(bigrams, of), totals, prior)
+    placed = stage(own_classes(word_contexts(texts, vocab, of, classes), vocab, of, first, totals), "classes")
+    at = vocab.units >= 0
+    own = np.where(at, of[vocab.units], -1)
+    chosen = placed.where("frequent").select("word", "class").toArrow()  # as many as the vocabulary holds at most
+    own[np.searchsorted(vocab.frequent, chosen.column(0).to_numpy())] = chosen.column(1).to_numpy()
+    named = texts.sparkSession.createDataFrame(
+        [(int(w), int(c)) for w, c in zip(vocab.frequent[at], own[at])], "word long, class int"
+    )
+    counted = placed.drop("frequent").unionByName(counted.join(F.broadcast(named), "word"))
+    totals = np.bincount(own[at], vocab.counts[at], classes).astype(float)
+    totals[of[vocab.end]] += vocab.texts
+    totals += np.bincount(of[heads : vocab.end], DISCOUNT * vocab.unit_types[heads : vocab.end] + FLOOR, classes)
+    for c, n, kinds in placed.groupBy("class").agg(F.sum("n"), F.count(F.lit(1))).collect():
+        totals[c] += n - DISCOUNT * kinds
+    pairs = _own_bigrams(texts, vocab, own, int(of[vocab.end]), classes, placed.where("not frequent").select("word", "class"))
+    return Brown(vocab, of, own, np.log10(_transition(pairs, totals, prior)), totals, counted)
+
+
+def _transition(bigrams: list, totals: np.ndarray, prior: float) -> np.ndarray:
+    """P(class | class before) from rows (class before, class, n)."""
+    table = np.zeros((len(totals), len(totals)))
+    for a, b, n in bigrams:
         table[a, b] = n
     share = totals / totals.sum()
-    transition = (table + prior * share) / (table.sum(axis=1, keepdims=True) + prior)
-    return Brown(vocab, of, np.log10(np.maximum(transition, 1e-300)), totals, counted)
+    return np.maximum((table + prior * share) / (table.sum(axis=1, keepdims=True) + prior), 1e-300)
+
+
+def word_contexts(texts: DataFrame, vocab: Vocabulary, of: np.ndarray, classes: int) -> DataFrame:
+    """(word, code, n) of all words but the heads; code is the ending and the units' classes before and after."""
+
+    def run(batches):
+        for batch in parts(batches, 0):
+            words, places, ends = _words(batch.column(0), vocab.endings)
+            for lo, hi in slices(places, SLICE_WORDS):
+                a, b = places[lo], places[hi]
+                _, unit = _lookup(vocab, words[a:b], ends[a:b])
+                seq, at = _with_ends(unit, places[lo : hi + 1], vocab.end)
+                cls = np.concatenate((of[[vocab.end]], of[seq]))
+                here = np.delete(np.arange(len(seq)), at)[unit >= vocab.heads]
+                word, ending = words[a:b][unit >= vocab.heads], ends[a:b][unit >= vocab.heads]
+                code = (ending.astype(np.int64) * classes + cls[here]) * classes + cls[here + 2]
+                (word, code), n = _counted(word, code)
+                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(code), pa.array(n)], names=["word", "code", "n"])
+
+    return texts.mapInArrow(run, "word long, code long, n long")
+
+
+def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+    """Distinct rows of the columns, and how often each occurs."""
+    order = np.lexsort(columns[::-1])
+    columns = [c[order] for c in columns]
+    new = np.ones(len(order), bool)
+    new[1:] = np.any([c[1:] != c[:-1] for c in columns], axis=0)
+    starts = np.flatnonzero(new)
+    return [c[starts] for c in columns], np.diff(np.append(starts, len(order)))
+
+
+def own_classes(
+    contexts: DataFrame, vocab: Vocabulary, of: np.ndarray, transition: np.ndarray, totals: np.ndarray
+) -> DataFrame:
+    """(word, ending, n, class, frequent) of all words but the heads.
+
+    A word leaves its ending's class for the one that makes its occurrences likeliest, its
+    neighbours and the transitions being those of the units, if that gains more than the
+    choice of a class costs (the logarithm of their number). Its rows come together by a
+    shuffle and are added up one after the other, so no word is too frequent or too rare.
+    """
+    classes = len(totals)
+    logs = np.rint(np.log(transition) * STEPS)
+    before, after = logs, np.ascontiguousarray(logs.T)
+
+    def decided(word, ending, n, gain):
+        own, row = of[vocab.heads + ending], np.arange(len(word))
+        mass = totals + n[:, None]
+        mass[row, own] -= n
+        value = gain / STEPS - n[:, None] * np.log(np.maximum(mass, 1e-300))
+        best = value.argmax(axis=1)
+        chosen = np.where(value[row, best] - value[row, own] > np.log(classes), best, own)
+        frequent = np.isin(word, vocab.frequent)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(word), pa.array(ending, pa.int32()), pa.array(n), pa.array(chosen, pa.int32()), pa.array(frequent)],
+            names=["word", "ending", "n", "class", "frequent"],
+        )
+
+    def run(batches):
+        held = None  # the last word, whose rows may go on
+        for batch in batches:
+            word, code, n = (batch.column(k).to_numpy() for k in range(3))
+            for lo in range(0, len(word), 4096):
+                w, c, k = word[lo : lo + 4096], code[lo : lo + 4096], n[lo : lo + 4096]
+                starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
+                gain = (before[c // classes % classes] + after[c % classes]) * k[:, None]
+                rows = [w[starts], c[starts] // classes**2, np.add.reduceat(k, starts), np.add.reduceat(gain, starts, axis=0)]
+                if held is not None and held[0][0] == w[0]:
+                    rows[2][0] += held[2][0]
+                    rows[3][0] += held[3][0]
+                elif held is not None:
+                    rows = [np.concatenate(x) for x in zip(held, rows)]
+                held = [x[-1:] for x in rows]
+                if len(rows[0]) > 1:
+                    yield decided(*(x[:-1] for x in rows))
+        if held is not None:
+            yield decided(*held)
+
+    together = contexts.repartition("word").sortWithinPartitions("word")
+    return together.mapInArrow(run, "word long, ending int, n long, class int, frequent boolean")
+
+
+def _known_classes(vocab: Vocabulary, own: np.ndarray, words: np.ndarray) -> np.ndarray:
+    """Class of each of the frequent words, -1 for others."""
+    if not len(vocab.frequent):
+        return np.full(len(words), -1)
+    at = np.minimum(np.searchsorted(vocab.frequent, words), len(vocab.frequent) - 1)
+    return np.where(vocab.frequent[at] == words, own[at], -1)
+
+
+def _own_bigrams(texts: DataFrame, vocab: Vocabulary, own: np.ndarray, end: int, classes: int, rare: DataFrame) -> list:
+    """Class bigram counts by the words' own classes, at most classes squared rows.
+
+    Pairs of frequent words are counted in the task; each other word comes with its neighbours'
+    classes, and two of them in a row as a pair of words, to be joined with ``rare`` (word, class).
+    """
+
+    def run(batches):
+        def rows_of(a, b, x, y, n):
+            there = lambda v: pa.array(v, pa.int64()) if v is not None else pa.nulls(len(n), pa.int64())
+            return pa.RecordBatch.from_arrays(
+                [there(a), there(b), *(pa.array(v, pa.int32()) if v is not None else pa.nulls(len(n), pa.int32()) for v in (x, y)), pa.array(n, pa.int64())],
+                names=["a", "b", "x", "y", "n"],
+            )
+
+        table = np.zeros(classes * classes, np.int64)
+        for batch in parts(batches, 0):
+            words, places, _ = _words(batch.column(0), vocab.endings)
+            for lo, hi in slices(places, SLICE_WORDS):
+                a, b = places[lo], places[hi]
+                word, at = _with_ends(words[a:b], places[lo : hi + 1], 0)
+                cls, _ = _with_ends(_known_classes(vocab, own, words[a:b]), places[lo : hi + 1], end)
+                cls, word = np.concatenate(([end], cls)), np.concatenate(([0], word))
+                known = cls >= 0
+                both = known[:-1] & known[1:]
+                table += np.bincount(cls[:-1][both] * classes + cls[1:][both], minlength=classes * classes)
+                here = np.flatnonzero(~known)
+                (w, x, y), n = _counted(word[here], cls[here - 1], cls[here + 1])
+                yield rows_of(w, None, x, y, n)
+                two = here[~known[here + 1]]
+                (w, v), n = _counted(word[two], word[two + 1])
+                yield rows_of(w, v, None, None, n)
+        there = np.flatnonzero(table)
+        yield rows_of(None, None, there // classes, there % classes, table[there])
+
+    found = stage(texts.mapInArrow(run, "a long, b long, x int, y int, n long"), "pairs")
+    met = found.where("a is not null and b is null").join(rare.withColumnRenamed("word", "a"), "a").select(
+        "n", F.inline(F.array(F.struct(F.col("x"), F.col("class").alias("y")), F.struct(F.col("class").alias("x"), F.col("y")))),
+    ).where("x >= 0 and y >= 0")
+    two = found.where("b is not null").join(rare.toDF("a", "p"), "a").join(rare.toDF("b", "q"), "b")
+    pairs = found.where("a is null").select("x", "y", "n").union(met.select("x", "y", "n")).union(two.select("p", "q", "n"))
+    return pairs.groupBy("x", "y").agg(F.sum("n")).collect()
 
 
 def _class_bigrams(bigrams: DataFrame, of: np.ndarray) -> list:
@@ -329,32 +488,36 @@ def score(docs: DataFrame, model: Brown, key: str = "doc_id", text: str = "text"
     is the sum of log10 (c + 0.1) / (N + 0.1 (V + 1)). score is the log10 probability
     P(class | class before) P(word | class) of the tokens; the first follows an end. A
     frequent word's emission is its share of the class; any other word's is its count less
-    the discount, and an unknown word takes what its ending's words were discounted.
+    the discount, and an unknown word takes what its ending's words were discounted, in
+    the class of that ending.
     Null texts count as empty and have the end alone; null and repeated keys are rows of
     their own; an empty table gives no rows; other columns are not read.
 
     Words that are not among the frequent are joined with their counts by a shuffle of
-    (row, word, times); everything else is summed in the task that reads the text.
+    (row, word, classes before and after, times), pairs of two such words by another;
+    everything else is summed in the task that reads the text.
     """
-    v, of, trans, totals = model.vocab, model.classes, model.transition, model.totals
+    bounded_batches(docs.sparkSession)
+    v, of, named, trans, totals = model.vocab, model.classes, model.own, model.transition, model.totals
     kind = docs.schema[key].dataType.simpleString()
     lower = math.log10(v.tokens + 0.1 * (v.types + 1))
     class_log = np.log10(np.maximum(totals, 1e-300))
-    unknown = [math.log10(DISCOUNT * k + FLOOR) for k in v.unit_types[v.heads : v.end]]
+    unknown = np.log10(DISCOUNT * v.unit_types[v.heads : v.end] + FLOOR)
 
     def run(batches):
         for batch in parts(batches, 2):
             words, places, ends = _words(batch.column(2), v.endings)
             out: list[list] = [[], [], [], []]
-            rare_words, rare_ends, rare_times, sizes = [], [], [], []
+            alone: list[list] = [[], [], [], [], [], []]
+            paired: list[list] = [[], [], [], [], [], []]
             for lo, hi in slices(places, SLICE_WORDS):
                 a, b = places[lo], places[hi]
                 part = places[lo : hi + 1]
                 count, unit = _lookup(v, words[a:b], ends[a:b])
                 seq, at = _with_ends(unit, part, v.end)
-                cls = of[seq]
+                cls, _ = _with_ends(_known_classes(v, named, words[a:b]), part, of[v.end])
                 before = np.concatenate(([of[v.end]], cls[:-1]))
-                local = trans[before, cls] - class_log[cls]
+                local = np.where(cls >= 0, -class_log[cls], 0.0) + np.where((cls >= 0) & (before >= 0), trans[before, cls], 0.0)
                 seen, _ = _with_ends(count, part, v.texts)
                 head = (seq < v.heads) | (seq == v.end)
                 own = np.where(head, seen, seen - DISCOUNT)
@@ -365,29 +528,35 @@ def score(docs: DataFrame, model: Brown, key: str = "doc_id", text: str = "text"
                 out[1].append(np.add.reduceat(seen > 0, first, dtype=np.int64))
                 out[2].append(np.add.reduceat(base, first))
                 out[3].append(np.add.reduceat(local, first))
-                rare = np.flatnonzero(count < 0)
-                doc = np.searchsorted(part - a, rare, side="right") - 1
-                order = np.lexsort((words[a:b][rare], doc))
-                w, d, e = words[a:b][rare][order], doc[order], ends[a:b][rare][order]
-                new = np.ones(len(w), bool)
-                new[1:] = (w[1:] != w[:-1]) | (d[1:] != d[:-1])
-                starts = np.flatnonzero(new)
-                rare_words.append(w[starts])
-                rare_ends.append(e[starts])
-                rare_times.append(np.diff(np.append(starts, len(w))).astype(np.int32))
-                sizes.append(np.bincount(d[starts], minlength=hi - lo))
-            n_rows = len(batch)
-            flat = [np.concatenate(x) if x else np.empty(0) for x in (*out, rare_words, rare_ends, rare_times, sizes)]
-            offsets = pa.array(np.concatenate(([0], np.cumsum(flat[7]))).astype(np.int32)) if n_rows else pa.array([0], pa.int32())
-            lists = pa.ListArray.from_arrays(
-                offsets,
-                pa.StructArray.from_arrays(
-                    [pa.array(flat[4], pa.int64()), pa.array(flat[5], pa.int32()), pa.array(flat[6], pa.int32())], names=["word", "ending", "times"]
-                ),
-            )
+                word, _ = _with_ends(words[a:b], part, 0)
+                ending, _ = _with_ends(ends[a:b], part, 0)
+                rare = np.flatnonzero(cls < 0)
+                doc = np.searchsorted(at, rare)
+                two = rare[cls[rare + 1] < 0]
+                for held, columns in (
+                    (alone, (doc, word[rare], ending[rare], before[rare], cls[rare + 1])),
+                    (paired, (np.searchsorted(at, two), word[two], ending[two], word[two + 1], ending[two + 1])),
+                ):
+                    found, times = _counted(*columns)
+                    for k, x in enumerate((np.bincount(found[0], minlength=hi - lo), *found[1:], times)):
+                        held[k].append(x)
+            flat = [np.concatenate(x) if x else np.empty(0) for x in out]
+
+            def lists(held, names, kinds):
+                sizes, *columns = (np.concatenate(x) if x else np.empty(0, np.int64) for x in held)
+                offsets = pa.array(np.concatenate(([0], np.cumsum(sizes))).astype(np.int32))
+                return pa.ListArray.from_arrays(
+                    offsets, pa.StructArray.from_arrays([pa.array(x, t) for x, t in zip(columns, kinds)], names=names)
+                )
+
+            number, whole = pa.int64(), pa.int32()
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(flat[:4], (pa.int64(), pa.int64(), pa.float64(), pa.float64()))), lists],
-                names=["row", "key", "n_tokens", "n_known", "base", "local", "rare"],
+                [
+                    batch.column(0), batch.column(1), *(pa.array(x, t) for x, t in zip(flat, (number, number, pa.float64(), pa.float64()))),
+                    lists(alone, ["word", "ending", "x", "y", "times"], (number, whole, whole, whole, whole)),
+                    lists(paired, ["a", "ea", "b", "eb", "times"], (number, whole, number, whole, whole)),
+                ],
+                names=["row", "key", "n_tokens", "n_known", "base", "local", "rare", "pairs"],
             )
 
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).alias("key"), F.col(text).alias("text"))
@@ -395,20 +564,40 @@ def score(docs: DataFrame, model: Brown, key: str = "doc_id", text: str = "text"
         rows.mapInArrow(
             run,
             f"row long, key {kind}, n_tokens long, n_known long, base double, local double, "
-            "rare array<struct<word: long, ending: int, times: int>>",
+            "rare array<struct<word: long, ending: int, x: int, y: int, times: int>>, "
+            "pairs array<struct<a: long, ea: int, b: long, eb: int, times: int>>",
         ),
         "scored",
     )
-    rare = scored.select("row", F.inline("rare")).join(model.counted.select("word", "n"), "word", "left")
-    times, n = F.col("times"), F.coalesce("n", F.lit(0))
-    blank = F.element_at(F.lit(unknown), F.col("ending") + 1)
-    added = rare.groupBy("row").agg(
-        F.sum(F.when(n > 0, times).otherwise(0)).alias("known"),
-        F.sum(times * F.log10(n + 0.1)).alias("base_more"),
-        F.sum(times * F.when(n > 0, F.log10(n - DISCOUNT)).otherwise(blank)).alias("more"),
+
+    def value(numbers, at):
+        return F.element_at(F.expr(f"array({', '.join(f'{float(x)!r}D' for x in numbers)})"), at + 1)
+
+    def moved(x, y):
+        """log10 P(y | x), 0 if one of them is not known here."""
+        return F.when((x >= 0) & (y >= 0), value(trans.ravel(), F.greatest(x, F.lit(0)) * len(totals) + F.greatest(y, F.lit(0)))).otherwise(0.0)
+
+    def class_of(joined, ending):
+        """A word's own class, or for an unknown word that of its ending."""
+        return F.coalesce(joined, value(of[v.heads : v.end], F.col(ending)).cast("int"))
+
+    classed = model.counted.select("word", "n", "class")
+    rare = scored.select("row", F.inline("rare")).join(classed, "word", "left").withColumn("class", class_of(F.col("class"), "ending"))
+    times, n, c = F.col("times"), F.coalesce("n", F.lit(0)), F.col("class")
+    emitted = F.when(n > 0, F.log10(n - DISCOUNT)).otherwise(value(unknown, F.col("ending"))) - value(class_log, c)
+    one = rare.select(
+        "row", F.when(n > 0, times).otherwise(0).alias("known"), (times * F.log10(n + 0.1)).alias("base_more"),
+        (times * (emitted + moved(F.col("x"), c) + moved(c, F.col("y")))).alias("more"),
+    )
+    two = scored.select("row", F.inline("pairs")).join(classed.select(F.col("word").alias("a"), F.col("class").alias("p")), "a", "left").join(
+        classed.select(F.col("word").alias("b"), F.col("class").alias("q")), "b", "left"
+    ).select(
+        "row", F.lit(0).alias("known"), F.lit(0.0).alias("base_more"),
+        (times * moved(class_of(F.col("p"), "ea"), class_of(F.col("q"), "eb"))).alias("more"),
     )
+    added = one.union(two).groupBy("row").agg(*(F.sum(k).alias(k) for k in ("known", "base_more", "more")))
     zero = F.lit(0.0)
-    return scored.drop("rare").join(added, "row", "left").select(
+    return scored.drop("rare", "pairs").join(added, "row", "left").select(
         F.col("key").alias(key), "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
         F.lit(v.tokens).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("base_more", zero) - F.col("n_tokens") * lower).alias("base_score"),

@@ -139,3 +139,49 @@ def test_odd_documents(spark, odd_documents, no_documents):
     assert brown.score(no_documents, model).count() == 0
     bare = brown.fit(no_documents.select("text"), heads=20, endings=8, classes=4, sweeps=2)
     assert all(r.n_known == 0 and math.isfinite(r.score) for r in brown.score(odd_documents, bare).collect())
+
+
+@pytest.mark.parametrize("frequent", [16, 100])
+def test_words_beyond_the_heads_have_classes_of_their_own(spark, frequent):
+    """Words of two languages that share one ending, frequent ones and others: classes, transitions and scores."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    texts = []
+    for lang, rare in (("un", "p"), ("deux", "q")):
+        for i in range(60):
+            words = rng.choice([f"{lang}{k}" for k in range(8)], 30).tolist()
+            texts.append(" ".join([*words[:10], f"{rare}{i % 4}abc", *words[10:20], f"{rare}7abc", f"{rare}8abc", *words[20:]]))
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = brown.fit(frame.select("text"), heads=16, endings=1, classes=3, sweeps=6, frequent=frequent)
+    held = {r.word: r for r in m.counted.collect()}
+
+    def hashes(text):
+        return brown._words(pa.array([text]), 1)[0].tolist()
+
+    assert len(held) == 16 + 12 and sum(r.n for r in held.values()) == sum(len(t.split()) for t in texts)
+    p, q = ({held[hashes(f"{x}{k}abc")[0]]["class"] for k in range(4)} for x in "pq")
+    assert not p & q
+    end, blank = int(m.classes[-1]), int(m.classes[16])
+    table, mass = np.zeros((3, 3)), np.zeros(3)
+    mass[end] += len(texts)
+    mass[blank] += brown.FLOOR
+    heads = {int(h) for h, u in zip(m.vocab.frequent, m.vocab.units) if u >= 0}
+    for h, r in held.items():
+        mass[r["class"]] += r.n if h in heads else r.n - brown.DISCOUNT
+        mass[blank] += 0 if h in heads else brown.DISCOUNT
+    for t in texts:
+        seq = [end, *(held[h]["class"] for h in hashes(t)), end]
+        np.add.at(table, (seq[:-1], seq[1:]), 1)
+    share = mass / mass.sum()
+    assert np.allclose(m.totals, mass)
+    assert np.allclose(10**m.transition, (table + 5 * share) / (table.sum(axis=1, keepdims=True) + 5))
+    extra = [(900, "p0abc q1abc zzabc yabc un1 zzabc p7abc p7abc"), (901, texts[0])]
+    for r in brown.score(spark.createDataFrame(extra, frame.schema), m).collect():
+        before, total = end, 0.0
+        for h in [*hashes(dict(extra)[r.doc_id]), None]:
+            c = end if h is None else held[h]["class"] if h in held else blank
+            n = len(texts) if h is None else held[h].n if h in heads else held[h].n - brown.DISCOUNT if h in held else 12 * brown.DISCOUNT + brown.FLOOR
+            total += m.transition[before, c] + math.log10(n / mass[c])
+            before = c
+        assert r.score == pytest.approx(total)
