@@ -4,9 +4,12 @@ from __future__ import annotations
 
 import logging
 import math
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,6 +22,10 @@ DISCOUNT = 0.5
 #: Added for each ending, so that one that never occurred has a probability.
 FLOOR = 0.1
 SLICE_WORDS = 300_000
+#: Words of a task that are counted together before the shuffle.
+GATHERED_WORDS = 1 << 21
+#: Rows, or entries of their lists, that a task gives to Spark at once.
+BATCH_ROWS = 1 << 17
 #: Steps of a natural logarithm; sums of whole steps are the same in any order.
 STEPS = 1 << 12
 
@@ -47,6 +54,14 @@ class Vocabulary:
     def end(self) -> int:
         return self.heads + self.endings
 
+    @cached_property
+    def _index(self) -> pd.Index:
+        return pd.Index(self.frequent)
+
+    def find(self, words: np.ndarray) -> np.ndarray:
+        """Place of each word among the frequent, -1 if it is none of them."""
+        return self._index.get_indexer(words)
+
 
 def _words(column: pa.Array, endings: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     found: list[np.ndarray] = []
@@ -55,19 +70,45 @@ def _words(column: pa.Array, endings: int) -> tuple[np.ndarray, np.ndarray, np.n
     return words.view(np.int64), places, (ends % np.uint64(endings)).astype(np.int32)
 
 
+def _gathered(columns: Iterable[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
+    """The columns of several slices in a row, ``GATHERED_WORDS`` or one slice at once."""
+    held, size = [], 0
+    for some in columns:
+        held.append(some)
+        size += len(some[0])
+        if size >= GATHERED_WORDS:
+            yield [np.concatenate(x) for x in zip(*held)]
+            held, size = [], 0
+    if size:
+        yield [np.concatenate(x) for x in zip(*held)]
+
+
+def _grouped(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal words stand together, and where each begins there, with the end."""
+    order = np.argsort(words)
+    sorted_ = words[order]
+    return order, np.concatenate(([0], np.flatnonzero(sorted_[1:] != sorted_[:-1]) + 1, [len(words)]))
+
+
+def _rows(names: list[str], *columns: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """The columns in batches of ``BATCH_ROWS``."""
+    for lo in range(0, len(columns[0]), BATCH_ROWS):
+        yield pa.RecordBatch.from_arrays([pa.array(x[lo : lo + BATCH_ROWS]) for x in columns], names=names)
+
+
 def word_counts(texts: DataFrame, endings: int) -> DataFrame:
-    """(word, ending, n) of all words of all texts; counted in each batch before the shuffle."""
+    """(word, ending, n) of all words of all texts; counted in each task before the shuffle."""
 
-    def run(batches):
+    def found(batches):
         for batch in parts(batches, 0):
-            words, places, ends = _words(batch.column(0), endings)
-            for lo, hi in slices(places, SLICE_WORDS):
-                part = words[places[lo] : places[hi]]
-                if len(part):
-                    seen, first, n = np.unique(part, return_index=True, return_counts=True)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(seen), pa.array(ends[places[lo] : places[hi]][first]), pa.array(n)], names=["word", "ending", "n"]
-                    )
+            words, _, ends = _words(batch.column(0), endings)
+            yield words, ends
+
+    def run(batches):
+        for words, ends in _gathered(found(batches)):
+            order, starts = _grouped(words)
+            first = order[starts[:-1]]
+            yield from _rows(["word", "ending", "n"], words[first], ends[first], np.diff(starts))
 
     rows = texts.mapInArrow(run, "word long, ending int, n long")
     return rows.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
@@ -110,14 +151,14 @@ def vocabulary(counted: DataFrame, texts: int, heads: int, endings: int, frequen
     )
 
 
-def _lookup(vocab: Vocabulary, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Count (-1 if the word is none of the frequent) and unit of each word."""
-    if not len(vocab.frequent):
-        return np.full(len(words), -1), vocab.heads + ends.astype(np.int64)
-    at = np.minimum(np.searchsorted(vocab.frequent, words), len(vocab.frequent) - 1)
-    hit = vocab.frequent[at] == words
-    unit = np.where(hit, vocab.units[at], -1).astype(np.int64)
-    return np.where(hit, vocab.counts[at], -1), np.where(unit >= 0, unit, vocab.heads + ends)
+def _of_found(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at the places that ``Vocabulary.find`` gave, -1 for words that are none of the frequent."""
+    return np.append(values, -1)[at].astype(np.int64)
+
+
+def _units(vocab: Vocabulary, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    unit = _of_found(vocab.units, at)
+    return np.where(unit >= 0, unit, vocab.heads + ends)
 
 
 def _with_ends(values: np.ndarray, places: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -132,19 +173,19 @@ def unit_bigrams(texts: DataFrame, vocab: Vocabulary) -> DataFrame:
     """(left, right, n) of neighbouring units; a text follows and precedes the end unit."""
     size = vocab.end + 1
 
-    def run(batches):
+    def found(batches):
         for batch in parts(batches, 0):
             words, places, ends = _words(batch.column(0), vocab.endings)
             for lo, hi in slices(places, SLICE_WORDS):
                 a, b = places[lo], places[hi]
-                _, unit = _lookup(vocab, words[a:b], ends[a:b])
-                seq, _ = _with_ends(unit, places[lo : hi + 1], vocab.end)
+                seq, _ = _with_ends(_units(vocab, vocab.find(words[a:b]), ends[a:b]), places[lo : hi + 1], vocab.end)
                 left = np.concatenate(([vocab.end], seq[:-1]))
-                codes, n = np.unique(left * size + seq, return_counts=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array((codes // size).astype(np.int32)), pa.array((codes % size).astype(np.int32)), pa.array(n)],
-                    names=["a", "b", "n"],
-                )
+                yield (left * size + seq,)
+
+    def run(batches):
+        for (codes,) in _gathered(found(batches)):
+            codes, n = np.unique(codes, return_counts=True)
+            yield from _rows(["a", "b", "n"], (codes // size).astype(np.int32), (codes % size).astype(np.int32), n)
 
     return texts.mapInArrow(run, "a int, b int, n long").groupBy("a", "b").agg(F.sum("n").alias("n"))
 
@@ -290,6 +331,7 @@ class Brown:
     transition: np.ndarray  # log10 P(class | class before)
     totals: np.ndarray  # mass of each class
     counted: DataFrame  # (word, ending, n, class) of the training texts
+    rare: DataFrame  # (word, n, class) of the words that are none of the frequent
 
 
 def fit(
@@ -327,8 +369,9 @@ def fit(
     totals += np.bincount(of[heads : vocab.end], DISCOUNT * vocab.unit_types[heads : vocab.end] + FLOOR, classes)
     for c, n, kinds in placed.groupBy("class").agg(F.sum("n"), F.count(F.lit(1))).collect():
         totals[c] += n - DISCOUNT * kinds
-    pairs = _own_bigrams(texts, vocab, own, int(of[vocab.end]), classes, placed.where("not frequent").select("word", "class"))
-    return Brown(vocab, of, own, np.log10(_transition(pairs, totals, prior)), totals, counted)
+    rare = placed.where("not frequent").select("word", "n", "class")
+    pairs = _own_bigrams(texts, vocab, own, int(of[vocab.end]), classes, rare.drop("n"))
+    return Brown(vocab, of, own, np.log10(_transition(pairs, totals, prior)), totals, counted, rare)
 
 
 def _transition(bigrams: list, totals: np.ndarray, prior: float) -> np.ndarray:
@@ -341,23 +384,35 @@ def _transition(bigrams: list, totals: np.ndarray, prior: float) -> np.ndarray:
 
 
 def word_contexts(texts: DataFrame, vocab: Vocabulary, of: np.ndarray, classes: int) -> DataFrame:
-    """(word, code, n) of all words but the heads; code is the ending and the units' classes before and after."""
+    """(word, ending, around) of all words but the heads, one row for what a task has gathered of a word.
 
-    def run(batches):
+    ``around`` has the units' classes before and after each occurrence, as one number.
+    """
+
+    def found(batches):
         for batch in parts(batches, 0):
             words, places, ends = _words(batch.column(0), vocab.endings)
             for lo, hi in slices(places, SLICE_WORDS):
                 a, b = places[lo], places[hi]
-                _, unit = _lookup(vocab, words[a:b], ends[a:b])
+                unit = _units(vocab, vocab.find(words[a:b]), ends[a:b])
                 seq, at = _with_ends(unit, places[lo : hi + 1], vocab.end)
                 cls = np.concatenate((of[[vocab.end]], of[seq]))
-                here = np.delete(np.arange(len(seq)), at)[unit >= vocab.heads]
-                word, ending = words[a:b][unit >= vocab.heads], ends[a:b][unit >= vocab.heads]
-                code = (ending.astype(np.int64) * classes + cls[here]) * classes + cls[here + 2]
-                (word, code), n = _counted(word, code)
-                yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(code), pa.array(n)], names=["word", "code", "n"])
+                chosen = unit >= vocab.heads
+                here = np.delete(np.arange(len(seq)), at)[chosen]
+                yield words[a:b][chosen], ends[a:b][chosen], (cls[here] * classes + cls[here + 2]).astype(np.int32)
 
-    return texts.mapInArrow(run, "word long, code long, n long")
+    def run(batches):
+        for word, ending, around in _gathered(found(batches)):
+            order, starts = _grouped(word)
+            around, first = around[order], order[starts[:-1]]
+            for lo, hi in slices(starts, BATCH_ROWS):
+                a, b = starts[lo], starts[hi]
+                lists = pa.ListArray.from_arrays(pa.array((starts[lo : hi + 1] - a).astype(np.int32)), pa.array(around[a:b]))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(word[first[lo:hi]]), pa.array(ending[first[lo:hi]]), lists], names=["word", "ending", "around"]
+                )
+
+    return texts.mapInArrow(run, "word long, ending int, around array<int>")
 
 
 def _counted(*columns: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
@@ -391,7 +446,7 @@ def own_classes(
         value = gain / STEPS - n[:, None] * np.log(np.maximum(mass, 1e-300))
         best = value.argmax(axis=1)
         chosen = np.where(value[row, best] - value[row, own] > np.log(classes), best, own)
-        frequent = np.isin(word, vocab.frequent)
+        frequent = vocab.find(word) >= 0
         return pa.RecordBatch.from_arrays(
             [pa.array(word), pa.array(ending, pa.int32()), pa.array(n), pa.array(chosen, pa.int32()), pa.array(frequent)],
             names=["word", "ending", "n", "class", "frequent"],
@@ -400,12 +455,19 @@ def own_classes(
     def run(batches):
         held = None  # the last word, whose rows may go on
         for batch in batches:
-            word, code, n = (batch.column(k).to_numpy() for k in range(3))
+            word, ending = (batch.column(k).to_numpy() for k in range(2))
+            offsets, around = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy()
             for lo in range(0, len(word), 4096):
-                w, c, k = word[lo : lo + 4096], code[lo : lo + 4096], n[lo : lo + 4096]
-                starts = np.flatnonzero(np.concatenate(([True], w[1:] != w[:-1])))
-                gain = (before[c // classes % classes] + after[c % classes]) * k[:, None]
-                rows = [w[starts], c[starts] // classes**2, np.add.reduceat(k, starts), np.add.reduceat(gain, starts, axis=0)]
+                w, part = word[lo : lo + 4096], offsets[lo : lo + 4097]
+                new = np.concatenate(([True], w[1:] != w[:-1]))
+                starts, codes = np.flatnonzero(new), around[part[0] : part[-1]]
+                row = np.repeat(np.cumsum(new) - 1, np.diff(part)) * classes
+                sides = (
+                    np.bincount(row + side, minlength=len(starts) * classes).reshape(-1, classes).astype(float)
+                    for side in (codes // classes, codes % classes)
+                )
+                gain = sum(times @ log for times, log in zip(sides, (before, after)))
+                rows = [w[starts], ending[lo : lo + 4096][starts], np.add.reduceat(np.diff(part).astype(np.int64), starts), gain]
                 if held is not None and held[0][0] == w[0]:
                     rows[2][0] += held[2][0]
                     rows[3][0] += held[3][0]
@@ -421,14 +483,6 @@ def own_classes(
     return together.mapInArrow(run, "word long, ending int, n long, class int, frequent boolean")
 
 
-def _known_classes(vocab: Vocabulary, own: np.ndarray, words: np.ndarray) -> np.ndarray:
-    """Class of each of the frequent words, -1 for others."""
-    if not len(vocab.frequent):
-        return np.full(len(words), -1)
-    at = np.minimum(np.searchsorted(vocab.frequent, words), len(vocab.frequent) - 1)
-    return np.where(vocab.frequent[at] == words, own[at], -1)
-
-
 def _own_bigrams(texts: DataFrame, vocab: Vocabulary, own: np.ndarray, end: int, classes: int, rare: DataFrame) -> list:
     """Class bigram counts by the words' own classes, at most classes squared rows.
 
@@ -446,11 +500,12 @@ def _own_bigrams(texts: DataFrame, vocab: Vocabulary, own: np.ndarray, end: int,
 
         table = np.zeros(classes * classes, np.int64)
         for batch in parts(batches, 0):
-            words, places, _ = _words(batch.column(0), vocab.endings)
+            words, places = hashed_words(batch.column(0), fold=True)
+            words = words.view(np.int64)
             for lo, hi in slices(places, SLICE_WORDS):
                 a, b = places[lo], places[hi]
                 word, at = _with_ends(words[a:b], places[lo : hi + 1], 0)
-                cls, _ = _with_ends(_known_classes(vocab, own, words[a:b]), places[lo : hi + 1], end)
+                cls, _ = _with_ends(_of_found(own, vocab.find(words[a:b])), places[lo : hi + 1], end)
                 cls, word = np.concatenate(([end], cls)), np.concatenate(([0], word))
                 known = cls >= 0
                 both = known[:-1] & known[1:]
@@ -513,12 +568,12 @@ def score(docs: DataFrame, model: Brown, key: str = "doc_id", text: str = "text"
             for lo, hi in slices(places, SLICE_WORDS):
                 a, b = places[lo], places[hi]
                 part = places[lo : hi + 1]
-                count, unit = _lookup(v, words[a:b], ends[a:b])
-                seq, at = _with_ends(unit, part, v.end)
-                cls, _ = _with_ends(_known_classes(v, named, words[a:b]), part, of[v.end])
+                place = v.find(words[a:b])
+                seq, at = _with_ends(_units(v, place, ends[a:b]), part, v.end)
+                cls, _ = _with_ends(_of_found(named, place), part, of[v.end])
                 before = np.concatenate(([of[v.end]], cls[:-1]))
                 local = np.where(cls >= 0, -class_log[cls], 0.0) + np.where((cls >= 0) & (before >= 0), trans[before, cls], 0.0)
-                seen, _ = _with_ends(count, part, v.texts)
+                seen, _ = _with_ends(_of_found(v.counts, place), part, v.texts)
                 head = (seq < v.heads) | (seq == v.end)
                 own = np.where(head, seen, seen - DISCOUNT)
                 local += np.where(seen > 0, np.log10(np.maximum(own, 1e-300)), np.where(head, -300.0, 0.0))
@@ -581,7 +636,7 @@ def score(docs: DataFrame, model: Brown, key: str = "doc_id", text: str = "text"
         """A word's own class, or for an unknown word that of its ending."""
         return F.coalesce(joined, value(of[v.heads : v.end], F.col(ending)).cast("int"))
 
-    classed = model.counted.select("word", "n", "class")
+    classed = model.rare
     rare = scored.select("row", F.inline("rare")).join(classed, "word", "left").withColumn("class", class_of(F.col("class"), "ending"))
     times, n, c = F.col("times"), F.coalesce("n", F.lit(0)), F.col("class")
     emitted = F.when(n > 0, F.log10(n - DISCOUNT)).otherwise(value(unknown, F.col("ending"))) - value(class_log, c)

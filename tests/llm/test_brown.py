@@ -185,3 +185,26 @@ def test_words_beyond_the_heads_have_classes_of_their_own(spark, frequent):
             total += m.transition[before, c] + math.log10(n / mass[c])
             before = c
         assert r.score == pytest.approx(total)
+
+
+def test_a_task_sends_one_row_for_each_word(spark):
+    """Whatever neighbours it has: a word's occurrences in several slices leave the task together."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 50, 200)) for _ in range(30)]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    hashes, _, _ = brown._words(pa.array([f"w{i}" for i in range(50)]), 4)
+    none, endings = np.empty(0, np.int64), 4
+    vocab = brown.Vocabulary(none, none, none.astype(np.int32), 0, endings, 30, 6030, 51, np.ones(5), np.ones(5))
+    of = np.arange(5)
+    assert vocab.find(hashes).tolist() == [-1] * 50
+    assert brown.word_counts(frame, endings).agg(F.sum("n")).first()[0] == 6000
+    rows = brown.word_contexts(frame, vocab, of, 5).collect()
+    assert sorted(r.word for r in rows) == sorted(hashes.tolist())
+    want = Counter()
+    for t in texts:
+        words, _, ends = brown._words(pa.array([t]), endings)
+        around = [4, *ends.tolist(), 4]
+        want.update((int(w), around[i] * 5 + around[i + 2]) for i, w in enumerate(words))
+    assert Counter((r.word, code) for r in rows for code in r.around) == want
