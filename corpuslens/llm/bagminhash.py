@@ -78,20 +78,21 @@ def band_keys(times: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 def similarity(a: pa.Array, b: pa.Array, n: int) -> np.ndarray:
     """Weighted Jaccard similarity of the shingle multisets of paired texts."""
-    out = np.zeros(len(a))
     (wa, pa_), (wb, pb) = hashed_words(a), hashed_words(b)
-    for i in range(len(a)):
-        x, _ = shingles(wa[pa_[i] : pa_[i + 1]], np.array([0, pa_[i + 1] - pa_[i]]), n)
-        y, _ = shingles(wb[pb[i] : pb[i + 1]], np.array([0, pb[i + 1] - pb[i]]), n)
-        if not len(x) or not len(y):
-            out[i] = float(len(x) == len(y))
-            continue
-        ux, cx = np.unique(x, return_counts=True)
-        uy, cy = np.unique(y, return_counts=True)
-        _, ix, iy = np.intersect1d(ux, uy, assume_unique=True, return_indices=True)
-        both = int(np.minimum(cx[ix], cy[iy]).sum())
-        out[i] = both / (len(x) + len(y) - both)
-    return out
+    both, sizes = np.zeros(len(a), np.int64), np.zeros((2, len(a)), np.int64)
+    for lo, hi in slices(pa_ + pb, GROUP_WORDS):
+        sides = []
+        for k, (words, places) in enumerate(((wa, pa_), (wb, pb))):
+            part = places[lo : hi + 1]
+            keys, pair = shingles(words[part[0] : part[-1]], part - part[0], n)
+            sizes[k, lo:hi] = np.bincount(pair, minlength=hi - lo)
+            sides.append(weighted_elements(keys, pair))
+        (x, px, nx), (y, py, ny) = sides
+        own = [mix(keys + (pair.astype(np.uint64) + np.uint64(1)) * _STEP) for keys, pair in ((x, px), (y, py))]
+        _, ix, iy = np.intersect1d(*own, assume_unique=True, return_indices=True)
+        both[lo:hi] = np.bincount(px[ix], np.minimum(nx[ix], ny[iy]), hi - lo)
+    bare = (sizes == 0).any(axis=0)
+    return np.where(bare, sizes[0] == sizes[1], both / np.where(bare, 1, sizes.sum(axis=0) - both))
 
 
 def _signed(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -161,6 +162,12 @@ def _own_shingles(texts: DataFrame, n: int) -> DataFrame:
     return held.where("texts = 1").groupBy("node").agg(F.sum("times").alias("alone"))
 
 
+def _joined(linked: DataFrame, roots: DataFrame | None) -> DataFrame:
+    """Components of the links and of those that ``roots`` knows, whose links it stands for."""
+    links = linked.select("a", "b")
+    return components(links if roots is None else links.union(roots.select("node", "root")))
+
+
 #: Sizes are binned by this ratio when pairs are formed.
 _BIN = 1.06
 
@@ -244,7 +251,7 @@ def near_duplicates(
         "node", "pull", overlap.alias("shared"), (overlap * (1 + threshold) / threshold - F.col("size") + 1e-6).alias("most")
     )
     left = stage(buckets.drop("pull").join(able, "node").withColumn("root", F.col("node")), "groups")
-    links = roots = None
+    roots = None
     for turn in range(star_rounds):
         centre = left.groupBy("bucket").agg(
             F.count(F.lit(1)).alias("members"),
@@ -255,9 +262,7 @@ def near_duplicates(
         )
         pairs = rays.where("root <> c.root and most >= c.size and c.most >= size").select("a", "b").distinct()
         found = stage(_verified(pairs, texts, n), "found")
-        linked = found.where(F.col("sim") >= threshold)
-        links = linked if links is None else links.union(linked)
-        roots = components(links)
+        roots = _joined(found.where(F.col("sim") >= threshold), roots)
         sim = F.col(f"sim{turn}")
         overlap_c = F.round(sim / (1 + sim) * (F.col("size") + F.col("c.size")))
         placed = rays.join(found.withColumnRenamed("sim", f"sim{turn}"), ["a", "b"], "left").withColumns(
@@ -276,9 +281,8 @@ def near_duplicates(
     else:
         found = stage(_verified(_pairs_left(left, threshold, star_rounds), texts, n), "found")
         linked = found.where(F.col("sim") >= threshold)
-        links = linked if links is None else links.union(linked)
         if roots is None or not linked.isEmpty():
-            roots = components(links)
+            roots = _joined(linked, roots)
     classed = nodes.select("digest", "node", "first", "copies").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     heads = classed.groupBy("root").agg(F.min("first").alias("head"), F.sum("copies").alias("class_size"))
     labelled = classed.select("digest", "root").join(heads, "root")

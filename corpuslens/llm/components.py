@@ -25,26 +25,26 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return ordered if large else ordered.distinct()
 
 
+def _settled(links: DataFrame) -> bool:
+    """Whether every node is either linked to one smaller node, once, or has only larger neighbours."""
+    roles = links.select(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).union(
+        links.select(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    )
+    of_node = roles.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return of_node.where("up > 1 or up + down > 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root) for every node of a link, root being the smallest node of its component.
 
     ``edges`` has long columns a and b; repeated links, both directions and loops are
-    fine. Each pass is two grouped minima over the links, written to the shared folder;
-    the number of passes grows with the logarithm of the longest chain. Nodes without a
-    link are not in the result.
+    fine. They are read a few times, so what is costly to compute should be staged. Each
+    pass is two grouped minima over the links, written to the shared folder; the number
+    of passes grows with the logarithm of the longest chain, and none follows once all
+    links go to roots. Nodes without a link are not in the result.
     """
-    now = stage(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "links"
-    )
-    sums = None
-    while True:
-        # Order-free fingerprint: the same links give the same sums.
-        seen = now.agg(
-            F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")), F.sum(F.xxhash64("b", "a").cast("decimal(38,0)"))
-        ).first()
-        if seen == sums or seen[0] == 0:
-            break
-        sums = seen
+    now = edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    while not _settled(now):
         now = stage(_star(_star(now, True), False), "links")
     roots = now.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
     return now.select(F.col("a").alias("node"), F.col("b").alias("root")).union(roots)

@@ -145,3 +145,30 @@ def test_whole_table(spark):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     rows = [(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()]
     assert got_classes(near_duplicates(docs)) == classes(rows)
+
+
+@pytest.mark.parametrize("links, passes", [([(5, 1), (1, 7), (9, 9), (8, 3)], 0), ([(1, 9), (5, 9), (7, 9), (9, 8)], 1)])
+def test_components_make_no_pass_once_all_links_go_to_roots(spark, monkeypatch, links, passes):
+    import importlib
+
+    module = importlib.import_module("corpuslens.llm.components")
+    written = []
+    monkeypatch.setattr(module, "stage", lambda df, name, stage=module.stage: written.append(name) or stage(df, name))
+    got = {r.node: r.root for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {1: 1, 5: 1, 7: 1, **({8: 3, 3: 3} if passes == 0 else {8: 1, 9: 1})}
+    assert len(written) == passes
+
+
+def test_pairs_are_compared_together(monkeypatch):
+    """Texts of all pairs of a part go through one count of shingles, or through slices of bounded size."""
+    from corpuslens.llm import bagminhash
+
+    rng, calls = random.Random(3), []
+    texts = ["", None, "x y", *(prose(i, 40) for i in range(6))]
+    texts += [edited(t, rng, 3) for t in texts[3:]] + ["a a a a a a a a", "a a a a a a"]
+    left, right = zip(*[(x, y) for x in texts for y in texts])
+    monkeypatch.setattr(bagminhash, "shingles", lambda *a, f=bagminhash.shingles: calls.append(1) or f(*a))
+    want = [overlap(bag(x), bag(y)) for x, y in zip(left, right)]
+    assert similarity(pa.array(left), pa.array(right), 5).tolist() == want and len(calls) == 2
+    monkeypatch.setattr(bagminhash, "GROUP_WORDS", 100)
+    assert similarity(pa.array(left), pa.array(right), 5).tolist() == want
