@@ -5,9 +5,10 @@ from __future__ import annotations
 
 from re import _parser
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corpuslens.functions import text as tx
 from corpuslens.lexicons import MARKETING_PATTERNS, entity_families
 from corpuslens.operators.staging import spread
 from corpuslens.operators.topk import top_per_key
@@ -206,11 +207,19 @@ def money_threads_with_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit(0).cast("long").alias("createdAt"), text.alias("text"),
         F.struct(F.lit("").alias("name")).alias("author"),
     )
-    nested = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("ord_raw")).agg(
-        F.array_sort(F.collect_list(F.struct(F.col("l_linenumber").alias("at"), raw.alias("c")))).alias("c")
-    )
+    # Numbers are shuffled and texts made and cleaned where they meet; an id made of the place waits for it.
+    items = table(spark, sf_dir, "lineitem").repartition("l_orderkey")
+    flat = ingest.comment_struct(raw, F.lit(""), F.lit(None))
+    nested = items.select(F.col("l_orderkey").alias("ord_raw"), F.struct(F.col("l_linenumber").alias("at"), flat.alias("c")).alias("c"))
+    nested = nested.groupBy("ord_raw").agg(F.array_sort(F.collect_list("c")).alias("c"))
+
+    def numbered(comment: Column, at: Column) -> Column:
+        placed = comment.withField("comment_id", tx.comment_id(comment["url"], F.lit(""), at))
+        return F.when(comment["comment_id"].isNull(), placed).otherwise(comment)
+
+    waits = F.exists("c.c", lambda c: c["comment_id"].isNull())
     cleaned = nested.select(
-        "ord_raw", F.transform("c.c", lambda c, i: ingest.comment_struct(c, F.lit(""), i)).alias("comments")
+        "ord_raw", F.when(waits, F.transform("c.c", numbered)).otherwise(F.col("c.c")).alias("comments")
     )
     return money_threads(spark, sf_dir).drop("comments").join(cleaned, "ord_raw", "left")
 

@@ -6,12 +6,16 @@ import re
 import unicodedata
 from functools import cache
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from corpuslens.functions.patterns import UNEVEN_SPACE, java_regex, required_text
-from corpuslens.functions.sqltext import NO_STRINGS, let, quote
+from corpuslens.functions.patterns import java_regex, keeps_off, required_text
+from corpuslens.functions.sqltext import quote
 from corpuslens.lexicons import MONEY_CONTEXT, MONEY_PATTERNS
+from corpuslens.sources.arrays import byte_slices
 
 
 @cache
@@ -29,83 +33,195 @@ def _number(value: str) -> str:
     return f"try_cast(translate({value}, {quote(other)}, {quote(ascii_digits)}) as double)"
 
 
-def _tags(context: str, families: dict[str, list[str]]) -> str:
-    """Names of the word families found in the context, in family order."""
-    cases = [
-        f"case when {' or '.join(f'contains({context}, {quote(k)})' for k in words)} then {quote(tag)} end"
-        for tag, words in families.items()
+#: Stands between texts that are searched as one, where patterns keep off it.
+_MARK = "\0"
+#: Bytes of text searched as one.
+_AT_ONCE = 1 << 20
+_FLOAT = re.compile(r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?[dDfF]?")
+_FIELDS = {
+    "pattern_pos": "int", "matched_text": "string", "amount_values": "array<double>",
+    "context_tags": "array<string>", "context_snippet": "string",
+}
+
+
+@cache
+def _to_ascii() -> dict[int, str]:
+    return {ord(c): str(i % 10) for i, c in enumerate(_other_digits())}
+
+
+def _numbers(values: list[str | None]) -> np.ndarray:
+    """The groups as numbers, digits of any script; NaN for what is none."""
+    try:
+        found = pc.cast(pa.array(values, pa.string()), pa.float64())
+    except pa.ArrowInvalid:
+        plain = [(v or "").translate(_to_ascii()).strip() for v in values]
+        found = pa.array([float(v.rstrip("dDfF")) if _FLOAT.fullmatch(v) else None for v in plain], pa.float64())
+    return found.to_numpy(zero_copy_only=False)
+
+
+class _Texts:
+    """Strings joined by marks: their starts there, and which string a place is in."""
+
+    def __init__(self, strings: list[str]):
+        self.joined = _MARK.join(strings)
+        self.lengths = np.fromiter(map(len, strings), np.int64, len(strings))
+        self.starts = np.cumsum(self.lengths + 1) - self.lengths - 1
+
+    def holder(self, places: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.starts, places, side="right") - 1
+
+
+def _matches(lowered: list[str], pattern: str) -> tuple[np.ndarray, np.ndarray, list[re.Match]]:
+    """Text, offset there and match of each match of one pattern, in order."""
+    needed, search = required_text(pattern), re.compile(pattern).finditer
+    among = [i for i, low in enumerate(lowered) if needed in low]
+    if keeps_off(pattern, _MARK):
+        texts = _Texts([lowered[i] for i in among])
+        found = list(search(texts.joined))
+        at = np.array([m.start() for m in found], np.int64)
+        of = texts.holder(at) if among else at
+        return np.array(among, np.int64)[of], at - texts.starts[of], found
+    found = [(i, m) for i in among for m in search(lowered[i])]
+    return np.array([i for i, _ in found], np.int64), np.array([m.start() for _, m in found], np.int64), [m for _, m in found]
+
+
+def _in_windows(texts: _Texts, lefts: np.ndarray, rights: np.ndarray, families: dict[str, list[str]]) -> np.ndarray:
+    """Which families have a word in which window of the joined texts. Windows that overlap
+    are searched as one piece."""
+    order = np.argsort(lefts, kind="stable")
+    far = np.maximum.accumulate(rights[order])
+    new = np.append(True, lefts[order][1:] > far[:-1])
+    first = np.flatnonzero(new)
+    begins, ends = lefts[order][first], far[np.append(first[1:], len(order)) - 1]
+    pieces = _Texts([texts.joined[a:b] for a, b in zip(begins.tolist(), ends.tolist())])
+    moved = np.empty(len(order), np.int64)
+    moved[order] = (pieces.starts - begins)[np.cumsum(new) - 1]
+    lefts, rights = lefts + moved, rights + moved
+    holds = np.zeros((len(order), len(families)), bool)
+    for family, words in enumerate(families.values()):
+        for word in words:
+            places, at = [], pieces.joined.find(word)
+            while at >= 0:
+                places.append(at)
+                at = pieces.joined.find(word, at + 1)
+            if places:
+                places = np.array(places, np.int64)
+                next_one = np.searchsorted(places, lefts)
+                here = places[np.minimum(next_one, len(places) - 1)]
+                holds[:, family] |= (next_one < len(places)) & (here + len(word) <= rights)
+    return holds
+
+
+def _cut(context: str) -> str:
+    clean = " ".join(context.split())
+    return clean if len(clean) <= 100 else clean[:97] + "..."
+
+
+def _mentions_in(
+    texts: list[str], lowered: list[str], window: int, patterns: list[str], families: dict[str, list[str]],
+    with_context: bool,
+) -> tuple[np.ndarray, pa.StructArray]:
+    """The text and the struct of each mention, by text, pattern and place."""
+    rows, starts, lengths, numbers, words, priced, values = [], [], [], [], [], [], []
+    for number, pattern in enumerate(patterns, 1):
+        groups = re.compile(pattern).groups
+        row, start, found = _matches(lowered, pattern) if groups else ([], [], [])
+        if not len(found):
+            continue
+        amounts = _numbers([v for m in found for v in m.groups()]).reshape(-1, groups)
+        fits = (amounts >= 1) & (amounts <= 9999)
+        kept = np.flatnonzero(fits.any(axis=1))
+        words += [found[i].group() for i in kept.tolist()]
+        rows.append(row[kept])
+        starts.append(start[kept])
+        numbers.append(np.full(len(kept), number, np.int32))
+        priced.append(fits[kept].sum(axis=1))
+        values.append(amounts[kept][fits[kept]])
+    if not words:
+        return np.zeros(0, np.int64), pa.array([], _mention(with_context))
+    row, start, number, count = (np.concatenate(parts) for parts in (rows, starts, numbers, priced))
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    wide = np.fromiter(map(len, texts), np.int64, len(texts))
+    left = np.maximum(start - window, 0)
+    right = np.maximum(np.minimum(start + lengths + window, wide[row]), left)
+
+    # Lower-casing part of a text gives that part of the lower-cased text, unless it changes
+    # the length or has an ending of its own.
+    together = _Texts(lowered)
+    shifted = together.lengths != wide
+    if any("Σ" in text for text in texts):
+        shifted |= np.array(["Σ" in text for text in texts])
+    alone = shifted[row]
+    holds = np.zeros((len(row), len(families)), bool)
+    if not alone.all():
+        base = together.starts[row[~alone]]
+        holds[~alone] = _in_windows(together, base + left[~alone], base + right[~alone], families)
+    for i in np.flatnonzero(alone).tolist():
+        near = texts[row[i]][left[i]:right[i]].lower()
+        holds[i] = [any(word in near for word in family) for family in families.values()]
+
+    def lists(sizes: np.ndarray, flat: pa.Array) -> pa.Array:
+        return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat)
+
+    tags = pa.array(list(families), pa.string()).take(pa.array(np.nonzero(holds)[1]))
+    columns = [
+        pa.array(number), pa.array(words, pa.string()), lists(count, pa.array(np.concatenate(values))),
+        lists(holds.sum(axis=1), tags),
     ]
-    return f"array_compact(array({', '.join(cases)}))"
-
-
-#: Matches whose offsets are added up together; appending to an array copies it.
-_BLOCK = 256
-
-
-def _with_starts(matches: str, pieces: str) -> str:
-    """``(m, start)`` per match; its offset follows from the lengths of the pieces
-    between matches. Offsets are added up within blocks of matches, then over blocks,
-    so that the time for a text grows with its matches."""
-    hit = "array<struct<m:string,start:int>>"
-    block = f"""aggregate(slice(ps, b * {_BLOCK} + 1, {_BLOCK}),
-        named_struct('pos', 0, 'hits', cast(array() as {hit})),
-        (acc, p) -> named_struct(
-            'pos', acc.pos + p.gap + length(p.m),
-            'hits', array_append(acc.hits, named_struct('m', p.m, 'start', acc.pos + p.gap))))"""
-    blocks = f"transform(sequence(0, (size(ps) - 1) div {_BLOCK}), b -> {block})"
-    moved = "transform(x.hits, h -> named_struct('m', h.m, 'start', acc.pos + h.start))"
-    pairs = f"""zip_with(slice({pieces}, 1, size({matches})), {matches},
-                 (gap, m) -> named_struct('gap', length(gap), 'm', m))"""
-    joined = f"""aggregate({blocks},
-        named_struct('pos', 0, 'hits', cast(array() as array<{hit}>)),
-        (acc, x) -> named_struct('pos', acc.pos + x.pos, 'hits', array_append(acc.hits, {moved})),
-        acc -> flatten(acc.hits))"""
-    return let("ps", pairs, joined)
-
-
-def _pattern_hits(lowered: str, number: int, pattern: str) -> str:
-    """Match, offset and groups of each match of one pattern, in place order."""
-    regex = quote(java_regex(pattern))
-    # A match read again on its own gives the same groups.
-    groups = range(1, re.compile(pattern).groups + 1)
-    values = ", ".join(f"regexp_extract(h.m, {regex}, {g})" for g in groups)
-    hits = _with_starts("ms", f"split({lowered}, {regex}, -1)")
-    hit = f"named_struct('n', {number}, 'm', h.m, 'start', h.start, 'groups', array({values}))"
-    needed = required_text(pattern)
-    found = f"regexp_extract_all({lowered}, {regex}, 0)"
-    if needed:
-        found = f"case when contains({lowered}, {quote(needed)}) then {found} else {NO_STRINGS} end"
-    return let("ms", found, f"case when size(ms) > 0 then transform({hits}, h -> {hit}) end")
-
-
-def money_sql(
-    text: str,
-    lowered: str,
-    window: int = 50,
-    patterns: list[str] = MONEY_PATTERNS,
-    families: dict[str, list[str]] = MONEY_CONTEXT,
-    with_context: bool = False,
-) -> str:
-    """:func:`money_mentions` as SQL text, for use inside larger expressions."""
-    per_pattern = ", ".join(
-        _pattern_hits(lowered, number, pattern) for number, pattern in enumerate(patterns, 1)
-    )
-    hits = f"flatten(array_compact(array({per_pattern})))"
-    left = f"greatest(h.start - {window}, 0)"
-    right = f"least(h.start + length(h.m) + {window}, length({text}))"
-    near = f"""named_struct('n', h.n, 'm', h.m,
-        'amounts', filter(transform(h.groups, v -> {_number('v')}), a -> a between 1 and 9999),
-        'c', substring({text}, {left} + 1, {right} - {left}))"""
-    kept = f"filter(transform({hits}, h -> {near}), h -> size(h.amounts) > 0)"
-    clean = f"trim(regexp_replace(h.c, {quote(UNEVEN_SPACE)}, ' '))"
-    cut = "case when length(c) <= 100 then c else concat(substring(c, 1, 97), '...') end"
-    mention = f"""named_struct(
-        'pattern_pos', h.n, 'matched_text', h.m, 'amount_values', h.amounts,
-        'context_tags', {let('low', 'lower(h.c)', _tags('low', families))}
-        {", 'context_snippet', " + let('c', clean, cut) if with_context else ""})"""
-    # Every amount needs a digit; texts without one skip all of this.
-    return f"""case when rlike({text}, {quote(r'\p{Nd}')}) then
-        transform({kept}, h -> {mention}) end"""
+    if with_context:
+        cuts = zip(row.tolist(), left.tolist(), right.tolist())
+        columns.append(pa.array([_cut(texts[i][a:b]) for i, a, b in cuts], pa.string()))
+    order = np.argsort(row, kind="stable")
+    return row[order], pa.StructArray.from_arrays(columns, fields=list(_mention(with_context))).take(pa.array(order))
+
+
+def _mention(with_context: bool) -> pa.StructType:
+    kinds = [pa.int32(), pa.string(), pa.list_(pa.float64()), pa.list_(pa.string()), pa.string()]
+    return pa.struct(list(zip(_FIELDS, kinds))[: 5 if with_context else 4])
+
+
+def _search(texts: pa.Array, lowered: pa.Array | None, **options) -> pa.Array:
+    """An array of mentions for each text of a batch, null where it is null."""
+    known = texts.is_valid() if lowered is None else pc.and_(texts.is_valid(), lowered.is_valid())
+    texts, lowered = texts.filter(known), lowered.filter(known) if lowered is not None else None
+    counts, parts = [np.zeros(0, np.int64)], [pa.array([], _mention(options["with_context"]))]
+    for low, high in byte_slices(texts, _AT_ONCE):
+        part = _strings(texts, low, high)
+        row, mentions = _mentions_in(
+            part, [t.lower() for t in part] if lowered is None else _strings(lowered, low, high), **options
+        )
+        counts.append(np.bincount(row, minlength=high - low))
+        parts.append(mentions)
+    sizes = np.zeros(len(known), np.int64)
+    sizes[known.to_numpy(zero_copy_only=False)] = np.concatenate(counts)
+    return _lists(sizes, pa.concat_arrays(parts), pc.invert(known))
+
+
+def _strings(column: pa.Array, low: int, high: int) -> list[str]:
+    return column.slice(low, high - low).to_numpy(zero_copy_only=False).tolist()
+
+
+def _lists(sizes: np.ndarray, flat: pa.Array, null: pa.Array) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(np.append(0, np.cumsum(sizes)), pa.int32()), flat, mask=null)
+
+
+def _searcher(
+    nested: bool, window: int = 50, patterns: list[str] = MONEY_PATTERNS,
+    families: dict[str, list[str]] = MONEY_CONTEXT, with_context: bool = False,
+):
+    """The search as a function of texts and their lower-cased forms, or of arrays of texts."""
+    options = {"window": window, "patterns": patterns, "families": families, "with_context": with_context}
+    fields = [f"{name}: {kind}" for name, kind in _FIELDS.items()][: 5 if with_context else 4]
+    kind = f"array<struct<{', '.join(fields)}>>"
+
+    def search(texts: pa.Array, lowered: pa.Array) -> pa.Array:
+        return _search(texts, lowered, **options)
+
+    def search_each(texts: pa.Array) -> pa.Array:
+        sizes = pc.fill_null(pc.list_value_length(texts), 0).to_numpy(zero_copy_only=False)
+        return _lists(sizes, _search(texts.flatten(), None, **options), texts.is_null())
+
+    return F.arrow_udf(search_each, f"array<{kind}>") if nested else F.arrow_udf(search, kind)
 
 
 def money_count(text: str, lowered: str, patterns: list[str] = MONEY_PATTERNS) -> Column:
@@ -130,6 +246,14 @@ def money_mentions(text: str, lowered: str, **options) -> Column:
     ``text`` and ``lowered`` name the column and its lower-cased form. Amounts
     outside 1..9999 are dropped, and a match left without any is too. Offsets come
     from the lower-cased text, the context from the text as written. Null when the
-    text holds no digit.
+    text holds no digit. Options are ``window``, ``patterns``, ``families`` and
+    ``with_context``. Texts are searched in Arrow batches, many short ones as one.
     """
-    return F.expr(money_sql(text, lowered, **options))
+    # Every amount needs a digit; texts without one skip all of this.
+    priced = F.rlike(F.col(text), F.lit(r"\p{Nd}"))
+    return _searcher(False, **options)(F.when(priced, F.col(text)), F.when(priced, F.col(lowered)))
+
+
+def money_mentions_each(texts: str, **options) -> Column:
+    """:func:`money_mentions` of each text of an array; a null text has null."""
+    return _searcher(True, **options)(F.col(texts))

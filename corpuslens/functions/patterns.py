@@ -220,6 +220,37 @@ def reach(pattern: str) -> int:
     return int(wide)
 
 
+def _keeps_off(parts, mark: str) -> bool:
+    for kind, value in parts:
+        name = str(kind)
+        if name == "LITERAL":
+            fine = chr(value) != mark
+        elif name == "IN":
+            fine = str(value[0][0]) != "NEGATE" and not any("_NOT_" in str(v) for _, v in value) and not re.match(
+                "[" + "".join(_python_member(m) for m in value) + "]", mark
+            )
+        elif name == "BRANCH":
+            fine = all(_keeps_off(way, mark) for way in value[1])
+        elif name in _REPEATS:
+            fine = _keeps_off(value[2], mark)
+        elif name == "SUBPATTERN":
+            fine = _keeps_off(value[3], mark)
+        elif name == "ATOMIC_GROUP":
+            fine = _keeps_off(value, mark)
+        else:
+            fine = False
+        if not fine:
+            return False
+    return True
+
+
+def keeps_off(pattern: str, mark: str) -> bool:
+    """Whether no match holds the character and none depends on one beside it, so that texts
+    joined by it have the matches that each has alone. Assertions, anchors and sets of what is
+    not meant give False, as what can't be told does."""
+    return _keeps_off(_parser.parse(pattern), mark)
+
+
 def _runs(parts, runs: list[str]) -> None:
     """Adds the runs of literal ASCII letters, digits, spaces and dollar signs that every
     match of the parsed pattern holds."""

@@ -16,9 +16,8 @@ from corpuslens import lexicons
 from corpuslens.functions import text as tx
 from corpuslens.functions.entities import entity_mentions, pattern_tags, required_words
 from corpuslens.functions.keywords import keyword_counts, present
-from corpuslens.functions.money import money_mentions, money_sql
-from corpuslens.functions.patterns import UNEVEN_SPACE, fold_case
-from corpuslens.functions.sqltext import let, quote
+from corpuslens.functions.money import money_mentions, money_mentions_each
+from corpuslens.functions.patterns import fold_case, let
 from corpuslens.functions.topics import topic_scores, topic_words
 from corpuslens.functions.urls import links_sql
 from corpuslens.operators.staging import computed_once
@@ -46,22 +45,17 @@ FEATURES = [
 
 def _comment_money(lex: Lexicons, context: bool) -> Column:
     """Per comment with a price: its id, time, url, snippet and mentions."""
-    text = "coalesce(nullif(c.text_clean, ''), nullif(c.text_raw, ''), '')"
-    read = (
-        "named_struct('comment_id', c.comment_id, 'createdAt_iso', c.createdAt_iso, 'url', c.url, "
-        f"'text', {text})"
+    found = money_mentions_each(
+        "_replies", patterns=lex.money_patterns, families=lex.money_context, with_context=context
     )
-    clean = f"trim(regexp_replace(c.text, {quote(UNEVEN_SPACE)}, ' '))"
-    cut = "case when length(t) <= 200 then t else concat(substring(t, 1, 197), '...') end"
-    mentions = money_sql(
-        "c.text", "lower_text", patterns=lex.money_patterns, families=lex.money_context, with_context=context
-    )
-    shaped = (
-        "named_struct('comment_id', c.comment_id, 'createdAt_iso', c.createdAt_iso, 'url', c.url, "
-        f"'text_snippet', {let('t', clean, cut)}, 'mentions', {let('lower_text', 'lower(c.text)', mentions)})"
-    )
-    with_digits = f"filter(transform(comments, c -> {read}), c -> rlike(c.text, {quote(r'\p{Nd}')}))"
-    return F.expr(f"filter(transform({with_digits}, c -> {shaped}), c -> size(c.mentions) > 0)")
+
+    def shaped(comment: Column, mentions: Column) -> Column:
+        fields = [comment[name].alias(name) for name in ("comment_id", "createdAt_iso", "url")]
+        clean = tx.clean_text(tx.first_text(comment["text_clean"], comment["text_raw"]))
+        snippet = let(clean, lambda t: tx.cut(t, 200)).alias("text_snippet")
+        return F.when(F.size(mentions) > 0, F.struct(*fields, snippet, mentions.alias("mentions")))
+
+    return F.array_compact(F.zip_with("comments", found, shaped))
 
 
 def thread_features(
@@ -86,6 +80,12 @@ def thread_features(
             "_lower": F.lower("_full"), "_upper": F.upper("_full"),
         }
     )
+    # Comments without a digit name no price.
+    def with_digit(comment: Column) -> Column:
+        text = tx.first_text(comment["text_clean"], comment["text_raw"])
+        return F.when(F.rlike(text, F.lit(r"\p{Nd}")), text)
+
+    texts = texts.withColumn("_replies", F.transform("comments", with_digit))
     texts = texts.withColumn("_topic_words", keyword_counts(F.col("_lower"), topic_words(lex.topics), automaton))
     patterns = [p for _, family, _ in lex.entities for p in family] + lex.marketing
     texts = texts.withColumn(

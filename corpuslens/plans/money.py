@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.functions import text as tx
@@ -27,33 +27,24 @@ def money_mentions_table(features: DataFrame) -> DataFrame:
     context = "context_snippet" in features.schema["money"].dataType.elementType.names
     more = ["context_snippet"] if context else []
 
-    def of_post(m: Column, at: Column) -> Column:
-        return F.struct(
-            F.lit("thread").alias("source_type"), F.lit("").alias("comment_id"),
-            F.col("createdAt_iso").alias("createdAt_iso"), F.col("url").alias("url"),
-            m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"], *[m[c] for c in more],
-            F.col("snippet_200").alias("text_snippet"),
-            F.struct(F.lit(-1).alias("comment"), at.alias("match_at")).alias("place"),
-        )
-
-    def of_comment(c: Column, comment: Column) -> Column:
-        return F.transform(
-            c["mentions"],
-            lambda m, at: F.struct(
-                F.lit("comment").alias("source_type"), c["comment_id"], c["createdAt_iso"], c["url"],
-                m["pattern_pos"], m["matched_text"], m["amount_values"], m["context_tags"], *[m[x] for x in more],
-                c["text_snippet"],
-                F.struct(comment.alias("comment"), at.alias("match_at")).alias("place"),
-            ),
-        )
-
-    parts = [F.transform("money", of_post)]
+    source = F.struct(
+        F.lit("").alias("comment_id"), "createdAt_iso", "url", F.col("snippet_200").alias("text_snippet"),
+        F.col("money").alias("mentions"),
+    )
+    sources = F.array(source)
     if "comment_money" in features.columns:
-        parts.append(F.flatten(F.transform("comment_money", of_comment)))
-    both = F.flatten(F.array_compact(F.array(*parts)))
-    return features.select(
-        "thread_id", "ord_raw", "createdAt_ts", F.explode(both).alias("m")
-    ).select("thread_id", "ord_raw", "createdAt_ts", "m.*").select(*_OUT, *more)
+        sources = F.concat(sources, F.coalesce("comment_money", F.array()))
+    # No functions on arrays: Spark compiles what explodes them.
+    each = features.select("thread_id", "ord_raw", "createdAt_ts", F.posexplode(sources).alias("at", "s"))
+    found = each.select(
+        "thread_id", "ord_raw", "createdAt_ts", "at", "s.*"
+    ).select("*", F.posexplode("mentions").alias("match_at", "m"))
+    place = F.struct((F.col("at") - 1).alias("comment"), F.col("match_at"))
+    kind = F.when(F.col("at") == 0, F.lit("thread")).otherwise(F.lit("comment"))
+    return found.select(
+        kind.alias("source_type"), "thread_id", "comment_id", "createdAt_iso", "url", "m.*", "text_snippet",
+        "ord_raw", "createdAt_ts", place.alias("place"),
+    ).select(*_OUT, *more)
 
 
 def comment_mentions(comments: DataFrame, threads: DataFrame) -> DataFrame:

@@ -1,9 +1,16 @@
+import re
+
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
+from corpuslens.functions import money
+from corpuslens.functions.patterns import keeps_off
+from corpuslens.lexicons import MONEY_CONTEXT, MONEY_PATTERNS
 from corpuslens.operators import seams
 from corpuslens.plans import retrieval
+from corpuslens.plans.features import thread_features
+from corpuslens.plans.money import money_mentions_table
 from corpuslens.sources import arrays
 from corpuslens.sources.writers import _bracketed
 
@@ -64,3 +71,39 @@ def test_records_search_each_text_once(spark):
     for frame in (one, many):
         plan = frame._jdf.queryExecution().optimizedPlan().toString()
         assert "lambda" in plan and "array_contains(regexp_extract_all" not in plan and "Contains(concat" not in plan
+
+
+def test_prices_of_joined_texts_are_those_of_each():
+    """Many texts are searched as one, unless a pattern looks beyond what it matches."""
+    texts = ["$20", "5 to", "9 dollars", "x", "", "a\0$7\0b", "Σ SESSION ΌΣ 30/hr ΣΑΣ", "İİ visit 40 per visit", "80", "per hour", "٣/hr"] * 3
+    looking = [r"\d+$", r"(?<!\w)(\d{1,4})(?!\d)", r"^(\d+)", r"(\d+)[^a]*"]
+    assert all(keeps_off(p, "\0") for p in MONEY_PATTERNS) and not any(keeps_off(p, "\0") for p in looking)
+    options = {"window": 3, "patterns": MONEY_PATTERNS + looking, "families": MONEY_CONTEXT | {"end": ["ς"]}, "with_context": True}
+    both = [pa.array(c, pa.string()) for c in (texts, [t.lower() for t in texts])]
+    together = money._search(*both, **options).to_pylist()
+    for text, found in zip(texts, together):
+        want = []
+        for number, pattern in enumerate(options["patterns"], 1):
+            for m in re.finditer(pattern, text.lower()):
+                amounts = [float(g) for g in m.groups() if g and 1 <= float(g) <= 9999]
+                near = text[max(m.start() - 3, 0):min(m.end() + 3, len(text))]
+                tags = [tag for tag, words in options["families"].items() if any(w in near.lower() for w in words)]
+                if amounts:
+                    want.append((number, m.group(), amounts, tags, " ".join(near.split())))
+        assert [tuple(m.values()) for m in found] == want, text
+
+
+def test_prices_in_posts_and_comments_are_not_searched_step_by_step(spark):
+    """Functions on arrays are interpreted: none goes over the matches of a text or over its mentions."""
+    comment = "struct<comment_id string, createdAt_iso string, url string, text_clean string, text_raw string>"
+    threads = spark.createDataFrame(
+        [(1, 5, "t1", "2022", "u", "$20 each", None, [("c0", "2022", "v", "no price", None), ("c1", "2022", "w", None, "9/hr, 5 to 7")]),
+         (2, 5, "t2", "2022", "u", "1", None, [("c2", "2022", "v", "3", None), None]), (3, 5, "t3", "2022", "u", None, None, None)],
+        f"ord_raw long, createdAt_ts long, thread_id string, createdAt_iso string, url string, text_clean string, text_raw string, comments array<{comment}>",
+    )
+    features = thread_features(threads, only=["money", "snippet_200", "comment_money"], context=True)
+    table = money_mentions_table(features)
+    rows = sorted((r["place"]["comment"], r["place"]["match_at"], r["comment_id"], r["source_type"], r["matched_text"]) for r in table.collect())
+    assert rows == [(-1, 0, "", "thread", "$20"), (0, 0, "c1", "comment", "5 to 7"), (0, 1, "c1", "comment", "9/hr")]
+    plan = table._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_extract" not in plan and "aggregate(" not in plan and "flatten" not in plan
