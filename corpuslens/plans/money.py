@@ -50,18 +50,19 @@ def money_mentions_table(features: DataFrame) -> DataFrame:
 def comment_mentions(comments: DataFrame, threads: DataFrame) -> DataFrame:
     """Mentions of a flat table of cleaned comments, as rows of
     :func:`money_mentions_table`. They are extracted first; the join for thread id
-    and order then moves mentions, not texts. A comment whose thread is absent keeps
-    its mentions, without a thread id."""
+    and order then moves comments with mentions, one row each, not texts. A comment whose
+    thread is absent keeps its mentions, without a thread id."""
     texts = comments.withColumn("_text", tx.post_text())
     texts = texts.withColumn("_lower", F.lower("_text"))
     found = computed_once(
         texts, ["ord_raw", "comment_id", "createdAt_iso", "url", "idx"],
         text_snippet=tx.snippet(F.col("_text"), 200),
         mentions=money_mentions("_text", "_lower"),
-    ).select("*", F.posexplode("mentions").alias("match_at", "m"))
-    place = F.struct(F.col("idx").cast("int").alias("comment"), F.col("match_at"))
+    ).where(F.size("mentions") > 0)
     keys = threads.select("ord_raw", "createdAt_ts", "thread_id")
-    return found.join(keys, "ord_raw", "left").select(
+    rows = found.join(keys, "ord_raw", "left").select("*", F.posexplode("mentions").alias("match_at", "m"))
+    place = F.struct(F.col("idx").cast("int").alias("comment"), F.col("match_at"))
+    return rows.select(
         F.lit("comment").alias("source_type"), "thread_id", "comment_id", "createdAt_iso", "url",
         "m.*", "text_snippet", "ord_raw", "createdAt_ts", place.alias("place"),
     ).select(*_OUT)

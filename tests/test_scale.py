@@ -10,7 +10,7 @@ from corpuslens.lexicons import MONEY_CONTEXT, MONEY_PATTERNS
 from corpuslens.operators import seams
 from corpuslens.plans import retrieval
 from corpuslens.plans.features import thread_features
-from corpuslens.plans.money import money_mentions_table
+from corpuslens.plans.money import comment_mentions, money_mentions_table
 from corpuslens.sources import arrays
 from corpuslens.sources.writers import _bracketed
 
@@ -107,3 +107,16 @@ def test_prices_in_posts_and_comments_are_not_searched_step_by_step(spark):
     assert rows == [(-1, 0, "", "thread", "$20"), (0, 0, "c1", "comment", "5 to 7"), (0, 1, "c1", "comment", "9/hr")]
     plan = table._jdf.queryExecution().optimizedPlan().toString()
     assert "regexp_extract" not in plan and "aggregate(" not in plan and "flatten" not in plan
+
+
+def test_comments_meet_threads_before_their_mentions_part(spark):
+    comments = spark.createDataFrame(
+        [(1, "c1", None, "u", 0, "5 to 7 or 9/hr", None), (4, "c4", None, "u", 1, "$3", None), (1, "c5", None, "u", 2, "none 5", None)],
+        "ord_raw long, comment_id string, createdAt_iso string, url string, idx long, text_clean string, text_raw string",
+    )
+    threads = spark.createDataFrame([(1, 5, "t1")], "ord_raw long, createdAt_ts long, thread_id string")
+    found = comment_mentions(comments, threads)
+    rows = sorted((r["comment_id"], r["thread_id"], r["place"]["match_at"], r["matched_text"]) for r in found.collect())
+    assert rows == [("c1", "t1", 0, "5 to 7 "), ("c1", "t1", 1, "9/hr"), ("c4", None, 0, "$3")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Generate posexplode") < plan.index("Join") and "regexp_extract" not in plan
