@@ -15,7 +15,7 @@ from corpuslens.functions.keywords import keyword_counts, present
 from corpuslens.functions.urls import canonical_url, domain, extract_urls
 from corpuslens.lexicons import OWN_DOMAIN_PREFIXES, TOPICS
 from corpuslens.operators.ordering import nth_in_group, thread_order
-from corpuslens.operators.staging import fresh_path, staged
+from corpuslens.operators.staging import drop_staged, fresh_path, shuffles_removed, staged
 from corpuslens.operators.topk import number_rows
 from corpuslens.plans import (
     engagement, entities, ingest, links, marketing, money, pieces, report, retrieval, topics,
@@ -512,8 +512,9 @@ def cleaned_dump(spark: SparkSession, sf: str) -> DataFrame:
     every thread with its place in the file, its comments there and in their own file, and
     the totals."""
     dump, out = fresh_path(spark, "dump"), fresh_path(spark, "clean")
-    write_array(ad.posts_with_comments(spark, sf).orderBy("ord_raw").drop("ord_raw"), dump)
-    clean_dump(spark, dump, out)
+    with shuffles_removed(spark):
+        write_array(ad.posts_with_comments(spark, sf).orderBy("ord_raw").drop("ord_raw"), dump)
+    drop_staged(clean_dump(spark, dump, out, drop_dump=True))
     own = read_comments(spark, f"{out}/comments").groupBy("thread_id").agg(F.count("*").alias("in_own_file"))
     totals = spark.read.json(f"{out}/stats").select("threads_count", "comments_count", "date_min", "date_max")
     return read_threads(spark, f"{out}/threads").join(own, "thread_id", "left").select(

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -33,21 +35,48 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 def clear_staged(spark: SparkSession) -> None:
     """Remove all that this application has staged, once its results are written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(_own_folder(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    remove(spark, _own_folder(spark))
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """Write the frame as a Parquet table in the shared folder and read it back.
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+@contextmanager
+def shuffles_removed(spark: SparkSession) -> Iterator[None]:
+    """Within it, what a write shuffled is removed when the write ends. Spark keeps it until the
+    driver happens to collect its memory, and texts sorted once lie on disk beside the outputs."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, "false")
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
+def staged(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Write the frame as a Parquet table in the shared folder and read it back; ``options``
+    are the writer's.
 
     For narrow tables that several results are computed from: the texts behind
     them are scanned once, and lost executors cost no rescan.
     """
     path = fresh_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def drop_staged(df: DataFrame) -> None:
+    """Remove the tables staged by this application that the frame reads, once nothing needs it."""
+    spark = df.sparkSession
+    own = f"/corpuslens-{spark.sparkContext.applicationId}/"
+    for folder in {file.rsplit("/", 1)[0] for file in df.inputFiles() if own in file}:
+        remove(spark, folder)
+
+
 def computed_once(df: DataFrame, keep: list[str], **computed: Column) -> DataFrame:
     """Select ``keep`` and the computed columns, each evaluated once per row.
 

@@ -29,15 +29,32 @@ def comment_struct(comment: Column, thread: Column, index: Column) -> Column:
     )
 
 
+def _thread_id() -> Column:
+    return tx.thread_id(_or_empty(F.col("url")), _or_zero(F.col("createdAt")))
+
+
+def newest_first(posts: DataFrame) -> DataFrame:
+    """Raw posts in thread order. Cleaned behind it, a text is moved once, not in both forms."""
+    return posts.orderBy(_or_zero(F.col("createdAt")).desc(), F.col("ord_raw").asc())
+
+
+def comments_in_order(posts: DataFrame) -> DataFrame:
+    """One row per cleaned comment of raw posts, by post and place, as :func:`flatten_comments`
+    of the threads. Raw comments are sorted and cleaned behind that."""
+    raw = posts.select("ord_raw", _thread_id().alias("thread_id"), F.posexplode("topComments").alias("idx", "c"))
+    shaped = raw.orderBy("ord_raw", "idx").select(
+        "ord_raw", "idx", comment_struct(F.col("c"), F.col("thread_id"), F.col("idx")).alias("c")
+    )
+    return shaped.select("c.*", "ord_raw", "idx")
+
+
 def clean_threads(posts: DataFrame) -> DataFrame:
     """Raw posts (with ``ord_raw``) to threads with their comments inside.
 
     A projection: no shuffle. Sort by :func:`thread_order` when writing files
     that must be newest first.
     """
-    with_id = posts.withColumn(
-        "thread_id", tx.thread_id(_or_empty(F.col("url")), _or_zero(F.col("createdAt")))
-    )
+    with_id = posts.withColumn("thread_id", _thread_id())
     comments = F.coalesce(
         F.transform(
             "topComments", lambda c, i: comment_struct(c, F.col("thread_id"), i)

@@ -6,23 +6,30 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.operators.ordering import thread_order
-from corpuslens.operators.staging import staged
+from corpuslens.operators.staging import remove, shuffles_removed, staged
 from corpuslens.plans import engagement, entities, ingest, links, marketing, money, report, topics
 from corpuslens.plans.features import Lexicons, thread_features
 from corpuslens.sources.readers import read_posts
 from corpuslens.sources.writers import pipe_cell, write_csv, write_json
 
 
-def clean_dump(spark: SparkSession, dump: str, outdir: str, lines: bool = False) -> DataFrame:
+def clean_dump(
+    spark: SparkSession, dump: str, outdir: str, lines: bool = False, drop_dump: bool = False
+) -> DataFrame:
     """Write ``threads`` (newest first), ``comments`` (dump order) and ``stats``.
 
-    Returns the cleaned threads as a staged table.
+    Returns the cleaned threads, made from a staged table of the posts as they were read.
+    ``drop_dump`` removes the dump once that table is written, for a dump that is itself made
+    on the way and would lie beside the outputs.
     """
-    threads = staged(ingest.clean_threads(read_posts(spark, dump, lines)), "threads")
-    write_json(threads.orderBy(*thread_order()), f"{outdir}/threads")
-    comments = ingest.flatten_comments(threads).orderBy("ord_raw", "idx").drop("ord_raw", "idx")
-    write_json(comments, f"{outdir}/comments")
-    write_json(ingest.cleaning_stats(threads), f"{outdir}/stats", single_file=True)
+    with shuffles_removed(spark):
+        posts = staged(read_posts(spark, dump, lines), "posts", compression="zstd")
+        if drop_dump:
+            remove(spark, dump)
+        threads = ingest.clean_threads(posts)
+        write_json(ingest.clean_threads(ingest.newest_first(posts)), f"{outdir}/threads")
+        write_json(ingest.comments_in_order(posts).drop("ord_raw", "idx"), f"{outdir}/comments")
+        write_json(ingest.cleaning_stats(threads), f"{outdir}/stats", single_file=True)
     return threads
 
 

@@ -1,3 +1,4 @@
+import json
 import re
 
 import pyarrow as pa
@@ -8,7 +9,8 @@ from corpuslens.functions import money
 from corpuslens.functions.patterns import keeps_off
 from corpuslens.lexicons import MONEY_CONTEXT, MONEY_PATTERNS
 from corpuslens.operators import seams
-from corpuslens.plans import retrieval
+from corpuslens.operators.staging import drop_staged, shuffles_removed
+from corpuslens.plans import pack, retrieval
 from corpuslens.plans.features import thread_features
 from corpuslens.plans.money import comment_mentions, money_mentions_table
 from corpuslens.sources import arrays
@@ -120,3 +122,44 @@ def test_comments_meet_threads_before_their_mentions_part(spark):
     assert rows == [("c1", "t1", 0, "5 to 7 "), ("c1", "t1", 1, "9/hr"), ("c4", None, 0, "$3")]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.index("Generate posexplode") < plan.index("Join") and "regexp_extract" not in plan
+
+
+def test_cleaning_keeps_one_form_of_each_text_beside_its_outputs(spark, tmp_path, monkeypatch):
+    """What is staged and sorted are the raw posts; a dump made on the way goes when they are read."""
+    post = {"url": "https://h/p/1", "createdAt": 5, "text": " a  b ", "topComments": [{"url": "u", "text": " c\t"}, None, {"url": "?comment_id=7", "text": ""}]}
+    posts = [post, {"url": "https://h/p/2", "createdAt": 9, "text": None}, {"url": None, "topComments": []}]
+    (tmp_path / "dump").mkdir()
+    (tmp_path / "dump" / "part-0").write_text(json.dumps(posts))
+    sorted_plans, kinds = [], []
+    written = pack.write_json
+
+    def seen(df, path, **options):
+        sorted_plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        kinds.append(spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled"))
+        written(df, path, **options)
+
+    monkeypatch.setattr(pack, "write_json", seen)
+    threads = pack.clean_dump(spark, str(tmp_path / "dump"), str(tmp_path / "out"), drop_dump=True)
+    assert not (tmp_path / "dump").exists()
+    assert kinds == ["true"] * 3 and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+    for plan in sorted_plans[:2]:
+        below = plan[plan.index("Sort ["):]
+        assert "regexp_replace" not in below and "regexp_replace" in plan
+    assert sorted(r["text_clean"] for r in threads.collect()) == ["", "", "a b"]
+    found = [json.loads(x) for f in sorted((tmp_path / "out" / "threads").glob("part-*")) for x in f.read_text().splitlines()]
+    assert [t["url"] for t in found] == ["https://h/p/2", "https://h/p/1", ""]
+    rows = [json.loads(x) for f in sorted((tmp_path / "out" / "comments").glob("part-*")) for x in f.read_text().splitlines()]
+    assert rows == found[1]["comments"] and [c["text_clean"] for c in rows] == ["c", "", ""]
+    assert rows[1]["comment_id"] == found[1]["thread_id"] + "_comment_1" and rows[2]["comment_id"] == "comment_7"
+    files = threads.inputFiles()
+    drop_staged(threads)
+    assert files and not any((tmp_path / f.removeprefix("file://")).exists() for f in files)
+
+
+def test_shuffles_of_a_write_are_removed_only_within(spark):
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name)
+    with pytest.raises(ZeroDivisionError), shuffles_removed(spark):
+        assert spark.conf.get(name) == "true"
+        1 / 0
+    assert spark.conf.get(name) == before
