@@ -70,13 +70,13 @@ def _words(column: pa.Array, endings: int) -> tuple[np.ndarray, np.ndarray, np.n
     return words.view(np.int64), places, (ends % np.uint64(endings)).astype(np.int32)
 
 
-def _gathered(columns: Iterable[tuple[np.ndarray, ...]]) -> Iterator[list[np.ndarray]]:
-    """The columns of several slices in a row, ``GATHERED_WORDS`` or one slice at once."""
+def _gathered(columns: Iterable[tuple[np.ndarray, ...]], most: int = GATHERED_WORDS) -> Iterator[list[np.ndarray]]:
+    """The columns of several slices in a row, ``most`` words or one slice at once."""
     held, size = [], 0
     for some in columns:
         held.append(some)
         size += len(some[0])
-        if size >= GATHERED_WORDS:
+        if size >= most:
             yield [np.concatenate(x) for x in zip(*held)]
             held, size = [], 0
     if size:
@@ -102,13 +102,17 @@ def word_counts(texts: DataFrame, endings: int) -> DataFrame:
     def found(batches):
         for batch in parts(batches, 0):
             words, _, ends = _words(batch.column(0), endings)
-            yield words, ends
+            if len(words):
+                order, starts = _grouped(words)
+                first = order[starts[:-1]]
+                yield words[first], ends[first], np.diff(starts)
 
     def run(batches):
-        for words, ends in _gathered(found(batches)):
+        # Each word of a slice is one entry by now, with a count beside it.
+        for words, ends, n in _gathered(found(batches), GATHERED_WORDS // 2):
             order, starts = _grouped(words)
             first = order[starts[:-1]]
-            yield from _rows(["word", "ending", "n"], words[first], ends[first], np.diff(starts))
+            yield from _rows(["word", "ending", "n"], words[first], ends[first], np.add.reduceat(n[order], starts[:-1]))
 
     rows = texts.mapInArrow(run, "word long, ending int, n long")
     return rows.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
